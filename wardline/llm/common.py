@@ -52,6 +52,17 @@ def row_key(*cols: str) -> list[Column]:
     return [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(7), *reversed(parts)).alias("k2")]
 
 
+def salted_lookup(rows: DataFrame, facts: DataFrame, keys: list[str], deal_by: list[str], salts: int = 16) -> DataFrame:
+    """rows left-joined with facts (at most one row for each value of keys) where a few keys may hold most rows.
+
+    Rows are dealt out by a hash of deal_by besides the key, and each fact is repeated for every salt, so that no
+    task gets all rows of a hot key. Null keys find nothing.
+    """
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(*deal_by), F.lit(salts)).cast("int"))
+    spread = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(spread, [*keys, "__salt"], "left").drop("__salt")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a long, b long) by alternating large and small stars.
 
@@ -72,7 +83,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         joined = large.join(low, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b")
         new = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-        sign = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        sign = new.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
         old, e = e, new
         drop_written(old)
         if before == (sign["n"], sign["h"]):
