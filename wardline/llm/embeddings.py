@@ -143,13 +143,11 @@ def _links(one: DataFrame, count: int, threshold: float) -> DataFrame:
     parts = F.create_map(*[F.lit(v) for p in sizes for v in (p, -(-sizes[p] // TILE))])
     tiled = placed.withColumn("tile", table[F.col("pivot")] + F.pmod(F.xxhash64("vec_id"), parts[F.col("pivot")]).cast("int"))
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # one batch holds one tile
-        t = pa.Table.from_batches(batches)
+    def gather(t: pa.Table) -> pa.Table:
         x = unit(np.array(t.column("embedding").to_pylist(), float))
         centre = unit(x.sum(axis=0, keepdims=True) + 1e-12)[0]
         radius = float(np.arccos(np.clip((x @ centre).min(), -1, 1))) + 1e-6
-        yield pa.RecordBatch.from_arrays([pa.array([t.column("tile")[0].as_py()], pa.int32()), pa.array([np.asarray(t.column("vec_id")).tobytes()], pa.binary()), pa.array([np.asarray(t.column("copies")).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([radius], pa.float64())], names=["tile", "ids", "copies", "x", "centre", "radius"])
+        return pa.Table.from_arrays([pa.array([t.column("tile")[0].as_py()], pa.int32()), pa.array([np.asarray(t.column("vec_id")).tobytes()], pa.binary()), pa.array([np.asarray(t.column("copies")).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([radius], pa.float64())], names=["tile", "ids", "copies", "x", "centre", "radius"])
 
     tiles = written(tiled.select("tile", "vec_id", "copies", "embedding").groupBy("tile").applyInArrow(gather, "tile int, ids binary, copies binary, x binary, centre array<double>, radius double"), "tiles")
     meta = tiles.select("tile", "centre", "radius")

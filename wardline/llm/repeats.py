@@ -105,7 +105,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH) -> D
     names = docs.columns
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in names]
-    keyed = docs.withColumns({"k1": F.xxhash64(*parts), "k2": F.xxhash64(F.lit(7), data).cast("int").cast("long"), "data": data}) if not {"k1", "k2", "data"} & set(names) else None
+    keyed = docs.withColumns({"k1": F.xxhash64(*parts), "k2": F.xxhash64(F.lit(7), data).bitwiseAND(F.lit(0x7FFFFFFF).cast("long")), "data": data}) if not {"k1", "k2", "data"} & set(names) else None
     if keyed is None:
         raise ValueError("columns k1, k2 and data are taken; rename them")
     records = _records(keyed, width)
@@ -183,11 +183,10 @@ def _judged(touched: DataFrame, kinds: DataFrame, text: str, width: int) -> Data
         both = written(one.join(hot, "fp", "left"), "segments")
         cold, heated = both.where("hot is null").drop("hot"), both.where("hot").drop("hot")
 
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(batches)
-        yield _runs(t.column("fp"), t.column("s"), repeated_windows(t.column("body").to_pylist(), width))
+    def shard(t: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_runs(t.column("fp"), t.column("s"), repeated_windows(t.column("body").to_pylist(), width))])
 
-    out = cold.withColumn("shard", F.pmod(F.xxhash64("fp"), F.lit(shards))).groupBy("shard").applyInArrow(lambda batches: shard(batches), runs)
+    out = cold.withColumn("shard", F.pmod(F.xxhash64("fp"), F.lit(shards))).groupBy("shard").applyInArrow(shard, runs)
     if heated is None:
         return out
 
