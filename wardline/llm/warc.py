@@ -62,7 +62,7 @@ class Archive:
     def _directory(self) -> Iterator[Member]:
         tail_at = max(0, self.size - 22 - 0xFFFF)
         tail = self.read(tail_at, self.size - tail_at)
-        at = tail.rfind(b"PK\x05\x06")
+        at = tail.rfind(b"PK\x05\x06", 0, len(tail) - 18)
         while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
             at = tail.rfind(b"PK\x05\x06", 0, at)
         if at < 0:
