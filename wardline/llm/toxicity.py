@@ -140,7 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = TRAI
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("toxic").alias("y"), F.max("toxic").alias("y2")).where("y = y2").select("doc_id", "y")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t")).join(chosen, "doc_id").groupBy("doc_id").agg(F.min("t").alias("t"), F.min("y").alias("y"))
+    # at most `rows` ids and labels are broadcast, so the texts of other rows never move
+    sample = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("t").alias("t"), F.min("y").alias("y"))
 
     @F.arrow_udf("array<string>")
     def found(texts: pa.Array) -> pa.Array:
