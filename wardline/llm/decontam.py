@@ -12,7 +12,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -130,19 +129,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", iden
     nothing. Rows that repeat are reported once for each row. Items are taken in blocks of at most BLOCK_CHARS
     characters, so what a task holds is bounded however large the benchmark is. No shuffle of documents.
     """
-    spark = docs.sparkSession
+    schema = f"{ident} long, item_id long, edits int, end int"
+    out = None
+    for shared in _blocks(benchmark, least):
+        found = docs.select(F.col(ident).cast("long").alias(ident), F.col(text).alias("text")).mapInArrow(_search(shared, rate, least, ident), schema)
+        out = found if out is None else out.union(found)
+    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+
+
+def _blocks(benchmark: DataFrame, least: int):
+    """Broadcast blocks of (item id, text), of about BLOCK_CHARS characters each."""
+    spark = benchmark.sparkSession
     usable = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("t")).where(F.length(F.trim("t")) >= least)
     size = usable.agg(F.sum(F.length("t")).alias("n"), F.max(F.length("t")).alias("top")).first()
     blocks = -(-(size["n"] or 0) // max(1, BLOCK_CHARS - (size["top"] or 0))) if size["n"] else 0
-    schema = f"{ident} long, item_id long, edits int, end int"
-    out = None
     for k in range(blocks):
         part = usable if blocks == 1 else usable.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        items = [(r["item_id"], r["t"]) for r in part.collect()]  # about BLOCK_CHARS characters
-        shared = spark.sparkContext.broadcast(items)
-        found = docs.select(F.col(ident).cast("long").alias(ident), F.col(text).alias("text")).mapInArrow(_search(shared, rate, least, ident), schema)
-        out = found if out is None else out.union(found)
-    return out if out is not None else spark.createDataFrame([], schema)
+        yield spark.sparkContext.broadcast([(r["item_id"], r["t"]) for r in part.collect()])
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = RATE, least: int = LEAST) -> DataFrame:
+    """docs without the rows that hold an item: a filter, block by block, without a shuffle. Null texts stay."""
+    for shared in _blocks(benchmark, least):
+        docs = docs.where(~_holds(shared, rate, least)(F.coalesce(text, F.lit(""))))
+    return docs
+
+
+def _holds(shared, rate: float, least: int):
+    @F.arrow_udf("boolean")
+    def holds(texts: pa.Array) -> pa.Array:
+        searcher = Searcher([(i, t) for i, t in shared.value if len(normal(t)) >= least], rate)
+        return pa.array([bool(searcher.find(t.as_py())) for t in texts], pa.bool_())
+
+    return holds
 
 
 def _search(shared, rate: float, least: int, ident: str):

@@ -25,7 +25,7 @@ TRAINING_ROWS = 20_000
 LEXICON_SIZE = 3_000
 #: Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
 LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ι": "i", "κ": "k", "ν": "v", "τ": "t", "υ": "u", "χ": "x"}
-SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
+SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 #: Phrases in which a listed word is harmless; a deployment adds its own.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown")
 
