@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPAN = "struct<start:int,end:int,value:string>"
 EMPTY = "array<struct<start:int,end:int,value:string>>"
@@ -67,10 +71,17 @@ def clauses(text: Column, pattern: str) -> Column:
     return F.aggregate(F.arrays_zip(parts.alias("part"), breaks.alias("gap")), begin, step, lambda acc: acc["out"])
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df with its columns computed here and once: the optimiser doesn't merge projections across this node.
+def settled(df: DataFrame, name: str | None = None, kind: T.DataType | None = None, make: Callable[[pa.RecordBatch], pa.Array] | None = None) -> DataFrame:
+    """df with its columns computed here and once, and with one more if a helper in Python makes it from each Arrow batch.
 
-    It moves nothing: more partitions are allowed than there can be, so each stays what it is. Without it an expression
-    that is used once, inside a lambda, is copied there and evaluated for every element.
+    It is a step over Arrow batches that the optimiser can't see through. Without it, an expression that is used once, inside
+    a lambda, is copied there and evaluated for every element, and projections are merged into ever larger ones.
     """
-    return df.coalesce(1 << 30)
+    if name is None:
+        return df.mapInArrow(lambda batches: batches, df.schema)
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, make(b)], names=[*b.schema.names, name])
+
+    return df.mapInArrow(extend, T.StructType([*df.schema.fields, T.StructField(name, kind)]))

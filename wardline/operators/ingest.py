@@ -31,9 +31,9 @@ def _class(chars: str) -> str:
     return "".join(f"\\x{{{ord(c):x}}}" for c in chars)
 
 
-@F.arrow_udf(T.StringType())
-def nfkc(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
+def _nfkc(batch: pa.RecordBatch) -> pa.Array:
+    texts = batch.column(batch.schema.get_field_index("__plain")).to_pylist()
+    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts], pa.string())
 
 
 def parse_channel(channel: Column) -> Column:
@@ -63,7 +63,7 @@ def normalise(messages: DataFrame, config: Config) -> DataFrame:
         .when(F.col("original_length") > config.reject_over, "too_long").when(F.regexp_replace(raw, _SPACE_ENDS, "") == "", "empty")
     )
     m = m.withColumn("__early", early).withColumn("__ascii", raw.rlike(r"^\p{ASCII}*$"))
-    m = settled(settled(m.withColumn("__plain", F.when(F.col("__early").isNull() & ~F.col("__ascii"), raw))).withColumn("__nfkc", nfkc("__plain")))
+    m = settled(m.withColumn("__plain", F.when(F.col("__early").isNull() & ~F.col("__ascii"), raw)), "__nfkc", T.StringType(), _nfkc)
     display = F.when(F.col("__early").isNull(), F.coalesce("__nfkc", raw))
     m = m.withColumn("__display", display).withColumn("truncated", F.coalesce(F.length("__display") > config.truncate_at, F.lit(False)))
     m = m.withColumn("display_text", F.coalesce(F.left("__display", F.lit(config.truncate_at)), F.lit("")))
@@ -144,4 +144,4 @@ def extract(normal: DataFrame) -> DataFrame:
 
 
 def ingest(messages: DataFrame, config: Config | None = None) -> DataFrame:
-    return extract(normalise(messages, config or Config()))
+    return extract(settled(normalise(messages, config or Config())))

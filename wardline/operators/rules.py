@@ -98,7 +98,7 @@ def with_context(signals: DataFrame) -> DataFrame:
     mails = F.transform("emails", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), F.lower(F.substring_index(e["value"], "@", -1)).alias("host")))
     d = d.withColumn("__own", own).withColumn("__mailed", F.concat(mails, F.col("__own")))
     hosts = F.concat(F.transform("urls", lambda u: u["host"]), F.transform("__mailed", lambda m: m["host"]))
-    d = settled(settled(d.withColumn("__hosts", F.when(F.size(hosts) > 0, hosts))).withColumn("__imitates", br.imitations("__hosts")))
+    d = settled(d.withColumn("__hosts", F.when(F.size(hosts) > 0, hosts)), "__imitates", br.IMITATION_TYPE, br.imitations)
     spoof = lambda u: (u["has_homoglyphs"] | u["is_punycode"]) & u["official"].isNotNull()
     # zipped, so that no lambda holds the helper's column: the optimiser would put the helper itself there
     link_pairs = F.arrays_zip(F.col("urls").alias("u"), F.slice("__imitates", 1, F.size("urls")).alias("i"))
@@ -274,7 +274,7 @@ def evaluate(signals: DataFrame, config: Config | None = None) -> DataFrame:
     """Adds hits (in order of weight), fired (rule names), rule_raw, rule_score, critical_combo and combo_reason."""
     config = config or Config()
     text, ok = F.col("analysis_text"), F.col("status") == "OK"
-    d = with_context(signals)
+    d = settled(with_context(signals))
     specs = {name: (ident, category) for ident, name, category in lx.RULES}
     found = {name: detect() for name, detect in (_detectors() | DETECTORS).items()}
     d = settled(d.withColumns({f"__s_{name}": F.when(ok, spans.cast(SPANS)) for name, (_, _, spans) in found.items()}))
@@ -291,7 +291,7 @@ def evaluate(signals: DataFrame, config: Config | None = None) -> DataFrame:
     suspicious = F.exists(hits, lambda h: h["category"].isin("request", "obfuscation", "link") | h["name"].isin(*lx.IMPERSONATIONS))
     kept = F.filter(hits, lambda h: ~(F.col("__suspicious") & h["name"].isin(*lx.SELF_WRITTEN)))
     by_weight = F.transform(F.array_sort(F.transform(kept, lambda h: F.struct((h["weight"] < 0).alias("benign"), (-F.abs(h["weight"])).alias("w"), h["rule_id"].alias("id"), h.alias("hit")))), lambda x: x["hit"])
-    d = settled(d).withColumn("__suspicious", suspicious).withColumn("hits", by_weight).drop(*columns, *[f"__s_{n}" for n in found], "__suspicious")
+    d = settled(d.select(*[c for c in d.columns if not c.startswith(("__s_", "__links", "__mail", "__own", "__hosts", "__imitates", "__claims", "__meta"))])).withColumn("__suspicious", suspicious).withColumn("hits", by_weight).drop(*columns, "__suspicious")
     d = d.withColumn("fired", F.transform("hits", lambda h: h["name"]))
     d = d.withColumn("rule_raw", F.aggregate("hits", F.lit(0), lambda a, h: a + h["weight"])).withColumn("rule_score", F.greatest(F.lit(0), F.least(F.lit(100), F.col("rule_raw"))))
     asked = F.array_intersect("fired", F.array(*map(F.lit, lx.REQUESTS)))
@@ -300,7 +300,7 @@ def evaluate(signals: DataFrame, config: Config | None = None) -> DataFrame:
     combo = (F.size(asked) > 0) & ((F.size(posed) > 0) | (F.array_contains("fired", "AUTHORITY_CLAIM") & ~verified))
     who = F.when(F.size(posed) > 0, F.array_join(F.array_sort(posed), " + ")).otherwise("AUTHORITY_CLAIM (unverified)")
     reason = F.concat(F.array_join(F.array_sort(asked), " + "), F.lit(" combined with "), who)
-    return d.withColumn("critical_combo", combo).withColumn("combo_reason", F.when(combo, reason)).drop("__claims", "__meta", "__links", "__mails", "__mailed", "__own", "__hosts", "__imitates")
+    return settled(d.withColumn("critical_combo", combo).withColumn("combo_reason", F.when(combo, reason)))
 
 
 def rule_hits(evaluated: DataFrame) -> DataFrame:
