@@ -54,7 +54,7 @@ TEMPLATES = (
     ("sms", None, None, False, "We will never ask for this by mail, order {n} is on its way", "PROTECTIVE_LANGUAGE"),
     ("sms", None, None, False, "Order {n} has been shipped, see https://www.amazon.com/orders for more", "OFFICIAL_LINKS_ONLY"),
     ("chat", None, None, True, "Dinner at eight? I will bring the {n} photos with me", "KNOWN_CONTACT"),
-    ("sms", "+15550002222", None, False, "Chase Alert: verify your account now at http://chase-secure.com/v{n} or it will be suspended", "CREDENTIAL_REQUEST LOOKALIKE_DOMAIN SENDER_MISMATCH THREAT AUTHORITY_CLAIM"),
+    ("sms", "+15550002222", None, False, "Chase Alert: verify your account now at http://chase-secure.com/v{n} or it will be suspended", "CREDENTIAL_REQUEST LOOKALIKE_DOMAIN SENDER_MISMATCH AUTHORITY_CLAIM"),
     ("chat", None, None, False, "See you at the game on Friday, seat {n} is yours", ""),
     ("sms", None, None, False, "ok {n}", "-"),
     ("sms", None, None, False, "Hola, gracias por su pedido {n}, una cuenta para usted está lista", "-"),
