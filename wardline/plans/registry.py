@@ -60,15 +60,15 @@ def _evaluated(spark, sf_dir):
     return rules.evaluate(ingest.ingest(templated(spark, sf_dir)))
 
 
-@query(f"SELECT tier, action, count(*) AS n, sum(score)::BIGINT AS total FROM (SELECT score, {_TIER} AS tier, CASE WHEN score IS NULL THEN 'UNABLE_TO_ANALYZE' WHEN score >= 80 THEN 'BLOCK_LINKS' WHEN score >= 55 THEN 'INTERSTITIAL' WHEN score >= 30 THEN 'SOFT_WARN' ELSE 'ALLOW' END AS action FROM {_FINAL}) GROUP BY ALL")
+@query(f"SELECT tier, action, count(*) AS n, sum(coalesce(score, -1))::BIGINT AS total FROM (SELECT score, {_TIER} AS tier, CASE WHEN score IS NULL THEN 'UNABLE_TO_ANALYZE' WHEN score >= 80 THEN 'BLOCK_LINKS' WHEN score >= 55 THEN 'INTERSTITIAL' WHEN score >= 30 THEN 'SOFT_WARN' ELSE 'ALLOW' END AS action FROM {_FINAL}) GROUP BY ALL")
 def analysis_tiers(spark, sf_dir):
     """The whole analysis, by tier and action."""
-    return analyse(templated(spark, sf_dir)).groupBy("tier", "action").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
+    return analyse(templated(spark, sf_dir)).groupBy("tier", "action").agg(F.count("*").alias("n"), F.sum(F.coalesce("score", F.lit(-1))).alias("total"))
 
 
-@query(f"SELECT msg_id, score, {_TIER} AS tier FROM {_FINAL}")
+@query(f"SELECT msg_id, coalesce(score, -1) AS score, {_TIER} AS tier FROM {_FINAL}")
 def scored_messages(spark, sf_dir):
-    return analyse(templated(spark, sf_dir)).select("msg_id", "score", "tier")
+    return analyse(templated(spark, sf_dir)).select("msg_id", F.coalesce("score", F.lit(-1)).alias("score"), "tier")
 
 
 @query(f"SELECT rule AS name, count(*) AS n FROM (SELECT unnest(string_split(names, ' ')) AS rule FROM {_MESSAGES} WHERE names NOT IN ('', '-')) GROUP BY rule")
@@ -328,21 +328,22 @@ def word_recall(spark, sf_dir):
 # spans from lines of orders
 
 _CATS = list(lx.PRIORITY)
-_SPANS = "(SELECT l_orderkey AS msg_id, l_partkey % 40 AS s, l_partkey % 40 + l_suppkey % 15 AS e, (" + _LIST(_CATS) + ")[(l_linenumber % 7 + 1)::INTEGER] AS category, 'L' || CAST(l_partkey * 10 + l_linenumber AS VARCHAR) AS label, l_partkey * 10 + l_linenumber AS ord FROM lineitem)"
+_SPANS = "(SELECT l_orderkey AS msg_id, l_partkey % 40 AS s, l_partkey % 40 + l_suppkey % 15 AS e, (" + _LIST(_CATS) + ")[(l_linenumber % 7 + 1)::INTEGER] AS category, 'L' || CAST((l_partkey * 10 + l_linenumber) * 1000 + l_suppkey % 1000 AS VARCHAR) AS label, (l_partkey * 10 + l_linenumber) * 1000 + l_suppkey % 1000 AS ord FROM lineitem)"
 _PRI = "CASE category " + " ".join(f"WHEN '{c}' THEN {p}" for c, p in lx.PRIORITY.items()) + " END"
 
 
 @query(
-    f"""WITH sp AS (SELECT * FROM {_SPANS} WHERE e > s), b AS (SELECT DISTINCT msg_id, p FROM (SELECT msg_id, s AS p FROM sp UNION ALL SELECT msg_id, e FROM sp)),
+    f"""WITH sp AS (SELECT DISTINCT * FROM {_SPANS} WHERE e > s), b AS (SELECT DISTINCT msg_id, p FROM (SELECT msg_id, s AS p FROM sp UNION ALL SELECT msg_id, e FROM sp)),
  q AS (SELECT msg_id, p, lead(p) OVER (PARTITION BY msg_id ORDER BY p) AS q FROM b),
- f AS (SELECT q.msg_id, p, q, arg_max(category, {_PRI} * 100000000 - ord) AS category, string_agg(label, '|' ORDER BY ord) AS labels FROM q JOIN sp ON sp.msg_id = q.msg_id AND s <= p AND e >= q WHERE q IS NOT NULL GROUP BY ALL),
+ f AS (SELECT q.msg_id, p, q, arg_max(category, {_PRI} * 100000000000 - ord) AS category, string_agg(label, '|' ORDER BY ord) AS labels FROM q JOIN sp ON sp.msg_id = q.msg_id AND s <= p AND e >= q WHERE q IS NOT NULL GROUP BY ALL),
  r AS (SELECT *, CASE WHEN lag(q) OVER w = p AND lag(category) OVER w = category AND lag(labels) OVER w = labels THEN 0 ELSE 1 END AS new FROM f WINDOW w AS (PARTITION BY msg_id ORDER BY p)),
  g AS (SELECT *, sum(new) OVER (PARTITION BY msg_id ORDER BY p) AS run FROM r)
  SELECT msg_id, min(p)::BIGINT AS "start", max(q)::BIGINT AS "end", category, labels FROM g GROUP BY msg_id, run, category, labels"""
 )
 def span_overlay(spark, sf_dir):
+    n = (F.col("l_partkey") * 10 + F.col("l_linenumber")) * 1000 + F.col("l_suppkey") % 1000
     cats = F.array(*map(F.lit, _CATS))
-    d = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("msg_id"), (F.col("l_partkey") % 40).alias("start"), (F.col("l_partkey") % 40 + F.col("l_suppkey") % 15).alias("end"), F.element_at(cats, (F.col("l_linenumber") % 7 + 1).cast("int")).alias("category"), F.concat(F.lit("L"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).cast("string")).alias("label"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    d = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("msg_id"), (F.col("l_partkey") % 40).alias("start"), (F.col("l_partkey") % 40 + F.col("l_suppkey") % 15).alias("end"), F.element_at(cats, (F.col("l_linenumber") % 7 + 1).cast("int")).alias("category"), F.concat(F.lit("L"), n.cast("string")).alias("label"), n.alias("ord"))
     return evidence.overlay(d).select("msg_id", "start", "end", "category", F.array_join("labels", "|").alias("labels"))
 
 
