@@ -508,8 +508,7 @@ def test_op10_equals_brute_force(spark, docs):
     assert got == brute_near(docs)
 
 
-def test_op10_long_lists_and_chains(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "LONG_LIST", 4)
+def test_op10_chains_and_common_passages(spark):
     rnd = random.Random(13)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
     made, base = [], [word() for _ in range(80)]
