@@ -63,6 +63,10 @@ def salted_lookup(rows: DataFrame, facts: DataFrame, keys: list[str], deal_by: l
     return dealt.join(spread, [*keys, "__salt"], "left").drop("__salt")
 
 
+#: Edges that one task handles at least while components settle.
+EDGES_A_TASK = 50_000
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a long, b long) by alternating large and small stars.
 
@@ -73,7 +77,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = written(e, "edges")
-    before = None
+    before, count = None, e.count()
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -82,13 +86,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b")
-        new = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        edges = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        new = written(edges.coalesce(count // EDGES_A_TASK + 1), "edges")  # few edges need few tasks and files
         sign = new.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
         old, e = e, new
         drop_written(old)
         if before == (sign["n"], sign["h"]):
             break
-        before = (sign["n"], sign["h"])
+        before, count = (sign["n"], sign["h"]), sign["n"]
     else:
         raise RuntimeError("connected components did not settle")
     low = e.groupBy("a").agg(F.min("b").alias("component"))

@@ -1,15 +1,19 @@
 """MinHash near-dedup by an inverted join on signature coordinates.
 
 Each text becomes the set of its distinct five-word shingles (64-bit hashes of the words in order) and a signature of
-K minima. Two sets whose similarity is 0.75 agree in about 48 of 64 coordinates, and in fewer than T = 28 with a
-probability of about 1e-8. A pair with T agreeing coordinates has one among the first K - T + 1, so only those
-are posted (the prefix); agreements are counted on the signatures of pairs that meet in a posting list, and only
-pairs with T of them go on to the exact test on the full sets.
+K minima. Two sets whose similarity is 0.75 agree in about 48 of 64 coordinates, and in fewer than T = 32 with a
+probability of about 5e-6. Documents are posted under their coordinate-value pairs, but only under a prefix: with all
+pairs in order of how many documents share them, two documents that agree in T coordinates meet among the first
+K - T + 1 of each. Pairs that nobody shares come first and need no posting, so a document that shares fewer than T
+pairs with others, such as one with a common passage, is skipped altogether. Agreements are counted on the signatures
+of documents that meet in a list, and pairs with T of them go on to the exact test on the full sets.
 
 Lists are not expanded into all their pairs. Equal sets are one class from the start. Each class is first tested
-against the least class that it meets anywhere, and the components that result are contracted; then only
-lists that hold several components yield pairs, and only pairs across components. A list that is still long is
-split by the value at one further coordinate, as often as needed: a pair with T agreements has those as well.
+against the class that it meets and agrees with whose pairs are shared most, and the components that result are contracted; then only lists
+that hold several components yield pairs, and only pairs across components. Before that, documents that can't have a
+partner leave the lists: a shingle that no other document in them has is in no intersection, so more than
+100 - PERCENT percent of such shingles rule a link out; for two documents, what the one that shares less shares with
+anyone bounds their intersection, and pairs that this bound rules out are never formed.
 """
 
 from __future__ import annotations
@@ -24,13 +28,10 @@ from pyspark.sql import functions as F
 
 from wardline.llm.common import connected_components, salted_lookup, written
 
-K, T = 64, 28
+K, T = 64, 32
 WORDS = 5
 #: Links join sets with 100 * |intersection| >= PERCENT * |union|.
 PERCENT = 75
-#: A posting list with more classes than this is split by a further coordinate, down to so many levels.
-LONG_LIST, LEVELS = 48, 6
-
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _MIX = _rng.integers(0, 2**64, 256, np.uint64)
 _TIMES = _rng.integers(0, 2**64, WORDS, np.uint64) | np.uint64(1)
@@ -148,26 +149,50 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return joined.where((100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")) & (same >= T)).select("a", "b")
 
 
-def _across(lists: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Distinct pairs of classes of different components that share a list; lists has (key, at, cid, comp)."""
-    found = None
-    for level in range(LEVELS + 1):
-        mixed = lists.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key", "n")
-        lists = written(lists.join(mixed, "key"), "lists")
-        short = lists if level == LEVELS else lists.where(F.col("n") <= LONG_LIST)
-        one, two = short.select("key", F.col("cid").alias("a"), F.col("comp").alias("ca")), short.select("key", F.col("cid").alias("b"), F.col("comp").alias("cb"))
-        pairs = one.join(two, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-        found = pairs if found is None else found.union(pairs)
-        if level == LEVELS:
-            break
-        long = lists.where(F.col("n") > LONG_LIST)
-        if long.isEmpty():
-            break
-        # the next agreement of a pair lies behind this one, and leaves enough coordinates for the rest
-        tail = F.slice(F.col("sig"), F.col("at") + 2, F.greatest(F.lit(K - T + 1 + level + 1) - F.col("at") - 1, F.lit(0)))
-        split = long.join(sigs.select("cid", "sig"), "cid").select("key", "at", "cid", "comp", F.posexplode(tail).alias("p", "v"))
-        lists = split.select(F.xxhash64("key", F.col("at") + 1 + F.col("p"), "v").alias("key"), (F.col("at") + 1 + F.col("p")).alias("at"), "cid", "comp")
-    return found.distinct()
+def _mixed(lists: DataFrame) -> DataFrame:
+    """Lists (key, cid, comp) that hold classes of several components."""
+    mixed = lists.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
+    return lists.join(mixed, "key", "left_semi")
+
+
+def _able(lists: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The lists without classes that can't be similar to any other in them, by the shingles that only they have; the others
+    with size and shared, the number of shingles that are not theirs alone."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cid, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = shingles(t.as_py()).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), cid)), pa.array(h)], names=["cid", "h"])
+
+    there = written(lists.select("cid").distinct(), "listed")
+    owners = texts.join(there, "cid").select("cid", "text").mapInArrow(spell, "cid long, h long").groupBy("h").agg(F.min("cid").alias("cid"), F.max("cid").alias("top"))
+    alone = owners.where("cid = top").groupBy("cid").agg(F.count("*").alias("alone"))
+    able = there.join(sigs.select("cid", F.col("n_shingles").alias("size")).dropDuplicates(["cid"]), "cid").join(alone, "cid", "left").withColumn("shared", F.col("size") - F.coalesce("alone", F.lit(0)))
+    return lists.drop("size", "shared").join(able.where(100 * F.col("shared") >= PERCENT * F.col("size")).select("cid", "size", "shared"), "cid")
+
+
+def _across(lists: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Distinct pairs of classes of different components that share a list; lists has (key, cid, comp)."""
+    lists = written(_mixed(lists), "mixed")
+    for _ in range(2):  # what leaves takes its shingles along, so the second look may rule out more
+        lists = written(_mixed(_able(lists, sigs, texts)), "mixed")
+    one = lists.select("key", F.col("cid").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("na"), F.col("shared").alias("sa"))
+    two = lists.select("key", F.col("cid").alias("b"), F.col("comp").alias("cb"), F.col("size").alias("nb"), F.col("shared").alias("sb"))
+    # the intersection is at most what the one that shares less shares
+    most = F.least("sa", "sb")
+    possible = 100 * most >= PERCENT * (F.col("na") + F.col("nb") - most)
+    return one.join(two, "key").where("a < b and ca <> cb").where(possible).select("a", "b").distinct()
+
+
+def _posted(sigs: DataFrame) -> DataFrame:
+    """(key, cid, fame): each class under the prefix of its coordinate-value pairs, the rarest first. fame sums over all its
+    pairs how many share them: in a group of copies the text they were made from has most."""
+    pairs = sigs.select("cid", F.posexplode("sig").alias("at", "v")).select((F.shiftleft(F.col("at").cast("long"), 32) + F.col("v") + F.lit(1 << 31)).alias("key"), "cid")
+    shared = pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    mine = pairs.join(shared, "key").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("mine")).where(F.size("mine") >= T)
+    fame = F.aggregate("mine", F.lit(0).cast("long"), lambda a, p: a + p["n"])
+    return mine.select("cid", fame.alias("fame"), F.explode(F.slice("mine", 1, F.size("mine") - T + 1)).alias("p")).select(F.col("p.key").alias("key"), "cid", "fame")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
@@ -183,16 +208,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id")
     usable = table.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("cid"), F.max("doc_id").alias("top"))
     sigs = written(usable.join(classes.select("d1", "d2", F.col("cid").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi").select(F.col("doc_id").alias("cid"), "n_shingles", "sig"), "signatures")
-    posted = sigs.select("cid", F.posexplode(F.slice("sig", 1, K - T + 1)).alias("at", "v")).select((F.shiftleft(F.col("at").cast("long"), 32) + F.col("v") + F.lit(1 << 31)).alias("key"), "at", "cid")
-    low = posted.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("top")).where("low < top").drop("top")
-    shared = written(posted.join(low, "key"), "postings")
+    posted = written(_posted(sigs), "postings")
+    low = posted.groupBy("key").agg(F.max_by("cid", F.struct("fame", -F.col("cid"))).alias("centre"), F.min("cid").alias("low"), F.max("cid").alias("top")).where("low < top").select("key", "centre")
     texts = docs.where(F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("cid"), F.col(text).alias("text"))
 
-    stars = shared.groupBy("cid").agg(F.min("low").alias("a")).where("a < cid").select("a", F.col("cid").alias("b"))
-    links = written(confirmed(_agreeing(stars, sigs), texts), "links")
+    stars = posted.join(low, "key").where("centre <> cid").select(F.col("centre").alias("a"), F.col("cid").alias("b"), "fame").distinct()
+    nearest = _agreeing(stars.select("a", "b"), sigs).join(posted.select(F.col("cid").alias("a"), "fame").distinct(), "a").groupBy("b").agg(F.max_by("a", F.struct("fame", -F.col("a"))).alias("a")).select("a", "b")
+    links = written(confirmed(nearest, texts), "links")
     comps = written(connected_components(links), "components")
-    lists = shared.join(comps.withColumnRenamed("id", "cid"), "cid", "left").select("key", "at", "cid", F.coalesce("component", "cid").alias("comp"))
-    more = confirmed(_agreeing(_across(lists, sigs), sigs), texts)
+    lists = posted.join(low.select("key"), "key", "left_semi").join(comps.withColumnRenamed("id", "cid"), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"))
+    more = confirmed(_agreeing(_across(lists, sigs, texts), sigs), texts)
     # rows that share an id but not a set are one document: their classes are linked through the id
     same = usable.join(classes.select("d1", "d2", "cid"), ["d1", "d2"]).where("doc_id <> cid").select("doc_id", "cid").groupBy("doc_id").agg(F.min("cid").alias("c0"), F.max("cid").alias("c1"))
     ids = same.where("c0 < c1").select(F.col("c0").alias("a"), F.col("c1").alias("b"))
