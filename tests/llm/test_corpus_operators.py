@@ -279,6 +279,15 @@ def test_op5_edge_cases(spark):
     assert linededup.dedup_lines(frame.limit(0)).count() == 0
 
 
+def test_op5_boilerplate_goes_whatever_its_share_and_copies_stay(spark):
+    notice, copied = "all rights reserved, and a notice far longer than the page's own line", "a text that\nis copied whole"
+    made = [(i, f"own {i}\n{notice}", f"s{i}") for i in range(12)] + [(20, notice, "s1"), (21, f"{notice}\n{notice}\nown", None)]
+    made += [(30 + i, copied, f"s{i}") for i in range(12)] + [(50 + i, f"is copied whole\n{i}", f"s{i}") for i in range(5)]
+    got = {r["doc_id"]: (r["n_lines_removed"], r["text"]) for r in rows(linededup.dedup_lines(spark.createDataFrame(made, "doc_id long, text string, source string")))}
+    want = {i: (1, f"own {i}") for i in range(12)} | {20: (1, ""), 21: (2, "own")}
+    assert got == want | {i: (0, t) for i, t, _ in made if i >= 30}
+
+
 # BPE
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
