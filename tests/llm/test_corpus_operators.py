@@ -492,6 +492,17 @@ def test_op9_equals_brute_force(spark):
     assert [got[i] for i in range(len(urls))] == want and want[-1] == "block"
 
 
+def test_op9_labels_give_verdicts_that_no_rule_gives(spark):
+    bad = [f"http://casino-win.biz/play/{w}" for w in ("slots", "poker", "dice", "cards")]
+    deep = [f"http://mixed.biz/a/b/c/d/e/{kind}/{i}" for kind in ("bad", "good") for i in range(12)]
+    said = [(u, "block") for u in bad] + [(u, "block" if "/bad/" in u else "allow") for u in deep] + [("http://one.biz/x", "block"), ("http://none.biz/y", None)]
+    pages = ["http://casino-win.biz/play/wheel", "http://casino-win.biz/bonus", "http://mixed.biz/a/b/c/d/e/bad/99", "http://mixed.biz/a/b/c/d/e/good/99", "http://mixed.biz/z", "http://one.biz/z", "http://none.biz/y", "http://example.com/en/8", "http://example.com/xx/8", None]
+    frame = spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in rows(urlfilter.judge(frame, labels=spark.createDataFrame(said, "url string, verdict string")))}
+    assert [got[i] for i in range(len(pages))] == ["block", "block", "block", "allow", "allow", "allow", "allow", "block", "allow", "allow"]
+    assert {r["verdict"] for r in rows(urlfilter.judge(frame)) if r["page_id"] < 7} == {"allow"}
+
+
 # MinHash
 
 

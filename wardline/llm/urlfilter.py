@@ -4,6 +4,10 @@ The tree is built level by level as DataFrames, from counts by host and path. Be
 segment that is variable (digits, hexadecimal or a date by form, or one of very many siblings) becomes "*"; siblings
 whose share of blocked labels cannot be told from the node's share become one branch "~". The leaves are the
 templates, and a template whose smoothed share of blocked labels is high enough is rejected.
+
+Without a table of labelled URLs the rules' own matches are the labels, and the tree hardly ever says more than they do.
+With one, only its labels count, branches with few labels or none are held against their siblings by smoothed shares,
+and what a branch lacks in labels of its own it takes from around it.
 """
 
 from __future__ import annotations
@@ -67,12 +71,45 @@ def templates(paths: DataFrame) -> DataFrame:
     return tree.drop("segs")
 
 
-def judge(pages: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
-    """pages with host, path, template, rule and verdict (allow or block).
+def labelled_templates(paths: DataFrame) -> DataFrame:
+    """templates() for given labels, with the column prior: the share of blocked labels expected from around the template.
+
+    A node's prior comes from the labels outside it, the nearest first: ((b outside, below its parent) + PRIOR_ROWS *
+    (the parent's prior)) / ((l outside, below its parent) + PRIOR_ROWS), so no label counts twice. Children whose smoothed share can't
+    be told from the node's become one branch "~", those without labels too. The tree grows to the end of the deepest
+    labelled path: what lies deeper has no labels to tell it apart. Each segment of that path is a round.
+    """
+    segments = F.filter(F.split("path", "/"), lambda s: s != "")
+    paths = written(paths.withColumn("segs", segments), "labelled-paths")
+    depth = paths.where("labelled > 0").agg(F.max(F.size("segs"))).first()[0] or 0
+    cut = F.when(F.size("segs") > depth, F.concat(F.slice("segs", 1, depth), F.array(F.lit("**")))).otherwise(F.col("segs"))
+    tree = paths.withColumn("segs", cut).withColumn("template", F.lit("")).withColumn("prior", F.lit(PRIOR_SHARE))
+    for level in range(depth + 2):
+        seg = F.get(F.col("segs"), F.lit(level))
+        # "" stands for paths that end at the node
+        at = tree.withColumn("seg", F.when(F.size("segs") < level, F.lit(None)).when(seg.isNull(), "").when(seg.rlike(_VARIABLE), "*").otherwise(seg))
+        child = at.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.min("prior").alias("prior"))
+        inner = F.col("seg") != ""
+        node = child.groupBy("host", "template").agg(F.count_if(inner).alias("kinds"), F.sum(F.when(inner, F.col("n"))).alias("nn"), F.sum("l").alias("nl"), F.sum("b").alias("nb"))
+        share = (F.col("nb") + PRIOR_ROWS * F.col("prior")) / (F.col("nl") + PRIOR_ROWS)
+        far = F.abs((F.col("b") + PRIOR_ROWS * share) / (F.col("l") + PRIOR_ROWS) - share) > Z * F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) / (F.col("l") + PRIOR_ROWS))
+        many = (F.col("kinds") > CHILDREN) & (F.col("nn") < RARE * F.col("kinds"))
+        name = F.when(F.col("seg").isin("", "*", "**"), F.col("seg")).when((F.col("kinds") > 1) & ~far, "~").when(many & (F.col("l") == 0), "*").otherwise(F.col("seg"))
+        names = child.join(node, ["host", "template"]).withColumn("name", name)
+        around = names.groupBy("host", "template", "name").agg(((F.min("nb") - F.sum("b") + PRIOR_ROWS * F.min("prior")) / (F.min("nl") - F.sum("l") + PRIOR_ROWS)).alias("around"))
+        names = names.select("host", "template", "seg", "name").join(around, ["host", "template", "name"])
+        tree = at.join(names, ["host", "template", "seg"], "left").withColumn("prior", F.coalesce("around", "prior")).withColumn("template", F.when(F.coalesce("name", F.lit("")) == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))).drop("seg", "name", "around")
+        tree = written(tree, "template-tree")
+    return tree.drop("segs")
+
+
+def judge(pages: DataFrame, rules=RULES, url: str = "url", labels: DataFrame | None = None) -> DataFrame:
+    """pages with host, path, template, rule and verdict (allow or block). labels has (url, verdict), pages or others.
 
-    A rule's verdict holds where a rule fits; its matches are also the labels of the tree. Elsewhere the template
-    decides: blocked if (blocked + PRIOR_ROWS * PRIOR_SHARE) / (labelled + PRIOR_ROWS) reaches PURITY, so without
-    labels of its own a template is allowed. Rows are counted by host and path before anything is dealt out by
+    A rule's verdict holds where a rule fits; without labels its matches are also the labels of the tree. Elsewhere the
+    template decides: blocked if (blocked + PRIOR_ROWS * PRIOR_SHARE) / (labelled + PRIOR_ROWS) reaches PURITY, so without
+    labels of its own a template is allowed. With labels the prior comes from around the template instead of
+    PRIOR_SHARE, and a rule's matches say nothing about other URLs. Rows are counted by host and path before anything is dealt out by
     host, so a host with a third of all pages costs as many rows as it has paths; the verdicts by host and path are
     joined back over salts. Null and odd urls have empty host and path; repeated rows get equal verdicts; columns
     of pages called host, path, template, rule or verdict are replaced.
@@ -83,8 +120,15 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
     rows = rows.withColumn("rule", rule).withColumn("__says", says)
     known = F.col("__says").isNotNull()
     paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count_if(known).alias("labelled"), F.count_if(F.col("__says") == "block").alias("blocked"))
-    leaves = templates(paths)
-    purity = leaves.groupBy("host", "template").agg(((F.sum("blocked") + PRIOR_ROWS * PRIOR_SHARE) / (F.sum("labelled") + PRIOR_ROWS)).alias("purity"))
+    if labels is None:
+        leaves = templates(paths).withColumn("prior", F.lit(PRIOR_SHARE))
+    else:
+        host, path = host_and_path(F.col("url"))
+        given = labels.where(F.col("verdict").isin("allow", "block")).select(host.alias("host"), path.alias("path"), F.lit(0).cast("long").alias("n"), F.lit(1).cast("long").alias("labelled"), (F.col("verdict") == "block").cast("long").alias("blocked"))
+        zero = F.lit(0).cast("long")
+        both = given.unionByName(paths.withColumn("labelled", zero).withColumn("blocked", zero))
+        leaves = labelled_templates(both.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]))
+    purity = leaves.groupBy("host", "template").agg(((F.sum("blocked") + PRIOR_ROWS * F.min("prior")) / (F.sum("labelled") + PRIOR_ROWS)).alias("purity"))
     verdicts = leaves.join(purity, ["host", "template"]).select("host", "path", "template", F.when(F.col("purity") >= PURITY, "block").otherwise("allow").alias("__by_tree"))
     salts = 16
     verdicts = verdicts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
