@@ -241,6 +241,15 @@ def test_op4_terms_that_disclose(spark):
     assert pii.find(frame.limit(0)).count() == 0
 
 
+def test_op4_terms_of_entities_named_once(spark):
+    far = "the tide came in slowly " * 10
+    texts = [f"Marrowbane met somebody. {far} Write to m@x.org or n@x.org"] + ["somebody saw the tide"] * 5 + ["the tide came in slowly"] * 2994
+    found = {r["doc_id"]: r["spans"] for r in rows(pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))) if r["doc_id"] < 7}
+    terms = {i: [s["value"] for s in spans if s["kind"] == "term"] for i, spans in found.items()}
+    assert "Marrowbane" in terms[0] and not {"the", "tide", "somebody"} & set(terms[0])
+    assert not any(terms[i] for i in range(1, 7))
+
+
 # line dedup
 
 

@@ -3,8 +3,9 @@
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. The corpus then says which terms give a
 protected entity away: for a term t in the context of an entity e, the pointwise mutual information
 log2(p(e, t) / (p(e) p(t))) reaches the entity's whole information content log2(1 / p(e)) where t never
-occurs without e. A term whose share of that content is at least DISCLOSURE, with enough distinct contexts behind it,
-is sanitised wherever it stands, whether or not the entity is named there.
+occurs without e. A term whose share of that content is at least DISCLOSURE is sanitised wherever it stands, whether or
+not the entity is named there. The context is the whole document, and every entity is estimated; where a term and an entity
+share few documents, the lower confidence bound of p(e | t) counts instead of its estimate.
 """
 
 from __future__ import annotations
@@ -12,11 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import row_key, written
+from wardline.llm.common import row_key, salted_lookup, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Characters of context on either side of an entity, least length of a term, distinct contexts that a term needs.
-CONTEXT, TERM_CHARS, SUPPORT = 80, 3, 3
+#: Least length of a term, documents with entity and term from which p(e | t) counts as estimated, standard errors of its bound below.
+TERM_CHARS, SUPPORT, Z = 3, 3, 1.96
 #: Share of an entity's information content from which a term discloses it.
 DISCLOSURE = 0.8
 
@@ -86,25 +87,36 @@ def _terms(text: Column) -> Column:
 
 
 def disclosing_terms(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
-    """(term, share): terms that give a protected entity away; spans has (ctx, base) for documents with base spans.
+    """(term, share): terms that give a protected entity away; spans has (text, base) for documents with base spans.
 
-    Equal contexts, as copies have them, count once. The terms of all documents are counted with partial sums before
-    the shuffle, so what moves is at most the distinct terms of each task.
+    All counts are of documents (rows). Entities with the same documents have the same shares and stand as one class, so
+    a document with many entities of its own has its terms counted once. Counts have partial sums before the shuffle, so
+    what moves is at most the distinct terms of each task, or of each class in it.
     """
-    one = spans.select(F.explode("base").alias("s"), "text")
-    before = F.substring(F.col("text"), F.greatest(F.col("s.start") - CONTEXT + 1, F.lit(1)), F.least(F.col("s.start"), F.lit(CONTEXT)))
-    after = F.substr(F.col("text"), F.col("s.end") + 1, F.lit(CONTEXT))
-    seen = one.select(F.concat_ws(":", "s.kind", F.lower("s.value")).alias("e"), F.concat_ws(" ", before, after).alias("ctx")).distinct()
-    entities = seen.groupBy("e").agg(F.count("*").alias("ce")).where(F.col("ce") >= SUPPORT)
-    together = seen.join(entities, "e").select("e", "ce", F.explode(_terms(F.col("ctx"))).alias("term")).groupBy("e", "ce", "term").agg(F.count("*").alias("cet")).where(F.col("cet") >= SUPPORT)
+    texts = spans.select(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), "text", "base")
+    texts = written(texts.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.first("text").alias("text"), F.first("base").alias("base")), "protected-texts")
+    named = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
+    entities = texts.select("k1", "k2", "n", F.explode(named).alias("e"))
+    total_of = lambda c: F.sum(F.col(c).cast("decimal(20,0)"))
+    classes = entities.groupBy("e").agg(F.sum("n").alias("ce"), total_of("k1").alias("s1"), total_of("k2").alias("s2"))
+    held = salted_lookup(entities, classes, ["e"], ["k1"]).select("k1", "k2", F.struct("ce", "s1", "s2").alias("c"))
+    held = held.groupBy("k1", "k2").agg(F.collect_set("c").alias("classes"))
+    pairs = texts.join(held, ["k1", "k2"]).select("n", "classes", _terms(F.col("text")).alias("terms")).select("n", F.explode("classes").alias("c"), "terms")
+    together = pairs.select("n", "c.ce", "c.s1", "c.s2", F.explode("terms").alias("term")).groupBy("ce", "s1", "s2", "term").agg(F.sum("n").alias("cet"))
     together = written(together, "together")
     if together.isEmpty():
         return together.select("term", F.lit(0.0).alias("share"))
     total = docs.count()
     counted = docs.select(F.explode(_terms(F.coalesce(text, F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("ct"))
-    pmi = F.log2(F.col("cet") * F.lit(float(total)) / (F.col("ce") * F.greatest("ct", "cet")))
+    # a share of DISCLOSURE means p(e | t) >= p(e) ** (1 - DISCLOSURE), and p(e) >= 1 / total: frequent terms can't reach it
+    most = together.groupBy("term").agg(F.max("cet").alias("most"))
+    may = counted.join(most, "term").where(F.col("most") >= F.col("ct") * F.lit(0.999 * total ** (DISCLOSURE - 1))).select("term", "ct")
+    rated = salted_lookup(together, may, ["term"], ["s1"]).where("ct is not null")
+    p = F.col("cet") / F.col("ct")
+    low = (p + Z * Z / 2 / F.col("ct") - Z * F.sqrt(p * (1 - p) / F.col("ct") + Z * Z / 4 / (F.col("ct") * F.col("ct")))) / (1 + Z * Z / F.col("ct"))  # Wilson's bound
+    pmi = F.log2(F.when(F.col("cet") >= SUPPORT, p).otherwise(low) * F.lit(float(total)) / F.col("ce"))
     share = pmi / F.greatest(F.log2(F.lit(float(total)) / F.col("ce")), F.lit(1e-9))
-    return together.join(counted, "term").withColumn("share", share).where(F.col("share") >= DISCLOSURE).groupBy("term").agg(F.max("share").alias("share"))
+    return rated.withColumn("share", share).where(F.col("share") >= DISCLOSURE).groupBy("term").agg(F.max("share").alias("share"))
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
