@@ -70,27 +70,28 @@ EDGES_A_TASK = 50_000
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a long, b long) by alternating large and small stars.
 
-    Returns (id, component): every id that occurs in an edge, with the smallest id it reaches. Each round is
-    two aggregations over the edges, written to the shared folder, and the number of rounds grows with the
-    logarithm of the longest chain. A hub's neighbours are never gathered: only minima are aggregated, and the
-    joins that hand them out carry one row for each id, so Spark can split the hub's side.
+    Returns (id, component): every id that occurs in an edge, with the smallest id it reaches. The number of rounds grows
+    with the logarithm of the longest chain. A hub's neighbours are never gathered: only minima are aggregated, and they are
+    written before they are joined with the edges, so that both sides of the join have a shuffle of their own and Spark can
+    split the hub's.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = written(e, "edges")
     before, count = None, e.count()
     for _ in range(max_rounds):
+        few = count // EDGES_A_TASK + 1  # few edges need few tasks and files
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).coalesce(few), "least")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = written(large.coalesce(few), "large-stars")
         # large star: larger neighbours point to the least one; now small star: the others do, and the node itself
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b")
-        edges = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        new = written(edges.coalesce(count // EDGES_A_TASK + 1), "edges")  # few edges need few tasks and files
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")).coalesce(few), "least")
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b")
+        new = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(few), "edges")
         sign = new.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
-        old, e = e, new
-        drop_written(old)
+        for old in (e, low, large, least):
+            drop_written(old)
+        e = new
         if before == (sign["n"], sign["h"]):
             break
         before, count = (sign["n"], sign["h"]), sign["n"]

@@ -1,19 +1,20 @@
 """MinHash near-dedup by an inverted join on signature coordinates.
 
 Each text becomes the set of its distinct five-word shingles (64-bit hashes of the words in order) and a signature of
-K minima. Two sets whose similarity is 0.75 agree in about 48 of 64 coordinates, and in fewer than T = 32 with a
-probability of about 5e-6. Documents are posted under their coordinate-value pairs, but only under a prefix: with all
+K minima. Two sets whose similarity is 0.75 agree in about 48 of 64 coordinates, and in fewer than T = 28 with a
+probability of about 2.5e-8. Documents are posted under their coordinate-value pairs, but only under a prefix: with all
 pairs in order of how many documents share them, two documents that agree in T coordinates meet among the first
 K - T + 1 of each. Pairs that nobody shares come first and need no posting, so a document that shares fewer than T
 pairs with others, such as one with a common passage, is skipped altogether. Agreements are counted on the signatures
 of documents that meet in a list, and pairs with T of them go on to the exact test on the full sets.
 
 Lists are not expanded into all their pairs. Equal sets are one class from the start. Each class is first tested
-against the class that it meets and agrees with whose pairs are shared most, and the components that result are contracted; then only lists
-that hold several components yield pairs, and only pairs across components. Before that, documents that can't have a
-partner leave the lists: a shingle that no other document in them has is in no intersection, so more than
-100 - PERCENT percent of such shingles rule a link out; for two documents, what the one that shares less shares with
-anyone bounds their intersection, and pairs that this bound rules out are never formed.
+against one class that it meets, the one whose pairs are shared most, and what is linked so far is contracted. Only classes
+in lists that still hold several components go on. Among those, pairs are formed by the shingles themselves, the rarest
+first: two sets with a similarity of 0.75 share a shingle within the first quarter of the larger one's and within the first
+seventh of the smaller one's, and their places there bound the intersection. So copies that stay under 0.75 among thousands
+of their kind form no pairs, since their own shingles come first. The pairs across components that are left must agree in T coordinates too,
+and are tested on the full sets. Texts move once; pairs carry hashed sets, and a join's hot side can be split because the other side is a written table.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from wardline.llm.common import connected_components, salted_lookup, written
 
-K, T = 64, 32
+K, T = 64, 28
 WORDS = 5
 #: Links join sets with 100 * |intersection| >= PERCENT * |union|.
 PERCENT = 75
@@ -124,72 +125,74 @@ def signed(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFr
     return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(sign, "doc_id long, n_shingles long, d1 long, d2 long, sig array<int>")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar; texts has (cid, text)."""
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(cid, hs): the sorted shingles of each text, as 64-bit hashes; texts has (cid, text)."""
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, last, held = [], None, None
-            for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if a != last:
-                    last, held = a, shingles(ta.as_py())
-                keep.append(similar(held, shingles(tb.as_py())))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            sets = [shingles(t.as_py()).view(np.int64) for t in batch.column(1)]
+            ends = np.cumsum([0, *map(len, sets)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["cid", "hs"])
+
+    return texts.select("cid", "text").mapInArrow(spell, "cid long, hs array<long>")
 
-    joined = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b")
-    return joined.select("a", "b", "ta", "tb").mapInArrow(test, "a long, b long")
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar; sets has (cid, hs). No set is gathered with another but in its pair."""
+    one, two = sets.select(F.col("cid").alias("a"), F.col("hs").alias("ha")), sets.select(F.col("cid").alias("b"), F.col("hs").alias("hb"))
+    both = F.size(F.array_intersect("ha", "hb"))
+    return pairs.join(one, "a").join(two, "b").where(100 * both >= PERCENT * (F.size("ha") + F.size("hb") - both)).select("a", "b")
 
 
 def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow a link and whose signatures agree in T coordinates."""
+    """Pairs whose sizes allow a link and whose signatures agree in T coordinates; other columns of pairs stay."""
     one = sigs.select(F.col("cid").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na"))
     two = sigs.select(F.col("cid").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb"))
     same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
     joined = pairs.join(one, "a").join(two, "b")
-    return joined.where((100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")) & (same >= T)).select("a", "b")
+    return joined.where((100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")) & (same >= T)).drop("sa", "sb", "na", "nb")
 
 
 def _mixed(lists: DataFrame) -> DataFrame:
-    """Lists (key, cid, comp) that hold classes of several components."""
-    mixed = lists.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
-    return lists.join(mixed, "key", "left_semi")
+    """The classes (cid, comp) in lists (key, cid, comp) that hold several components."""
+    mixed = written(lists.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key"), "mixed")
+    return lists.join(mixed, "key", "left_semi").select("cid", "comp").distinct()
 
 
-def _able(lists: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The lists without classes that can't be similar to any other in them, by the shingles that only they have; the others
-    with size and shared, the number of shingles that are not theirs alone."""
+def _across(classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of classes (cid, comp) of different components that may be similar, by prefixes of their shingles.
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for cid, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h = shingles(t.as_py()).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), cid)), pa.array(h)], names=["cid", "h"])
-
-    there = written(lists.select("cid").distinct(), "listed")
-    owners = texts.join(there, "cid").select("cid", "text").mapInArrow(spell, "cid long, h long").groupBy("h").agg(F.min("cid").alias("cid"), F.max("cid").alias("top"))
-    alone = owners.where("cid = top").groupBy("cid").agg(F.count("*").alias("alone"))
-    able = there.join(sigs.select("cid", F.col("n_shingles").alias("size")).dropDuplicates(["cid"]), "cid").join(alone, "cid", "left").withColumn("shared", F.col("size") - F.coalesce("alone", F.lit(0)))
-    return lists.drop("size", "shared").join(able.where(100 * F.col("shared") >= PERCENT * F.col("size")).select("cid", "size", "shared"), "cid")
-
-
-def _across(lists: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Distinct pairs of classes of different components that share a list; lists has (key, cid, comp)."""
-    lists = written(_mixed(lists), "mixed")
-    for _ in range(2):  # what leaves takes its shingles along, so the second look may rule out more
-        lists = written(_mixed(_able(lists, sigs, texts)), "mixed")
-    one = lists.select("key", F.col("cid").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("na"), F.col("shared").alias("sa"))
-    two = lists.select("key", F.col("cid").alias("b"), F.col("comp").alias("cb"), F.col("size").alias("nb"), F.col("shared").alias("sb"))
-    # the intersection is at most what the one that shares less shares
-    most = F.least("sa", "sb")
-    possible = 100 * most >= PERCENT * (F.col("na") + F.col("nb") - most)
-    return one.join(two, "key").where("a < b and ca <> cb").where(possible).select("a", "b").distinct()
+    A class's shingles stand in order of how many classes have them (then by hash). Sets x and y, |x| <= |y|, with an
+    intersection of at least PERCENT percent of their union share one of x's first |x| - ceil(2p / (1 + p) |x|) + 1
+    shingles and one of y's first |y| - ceil(p |y|) + 1, p = PERCENT / 100; for the first that they share, what lies behind it in
+    either order bounds the intersection. Shingles that one class has alone come first and are never posted.
+    """
+    # an id may stand for several sets: each has its own order
+    held = sets.join(classes, "cid").select("cid", "comp", F.xxhash64("hs").alias("set"), F.size("hs").alias("n"), F.explode("hs").alias("h"))
+    often = written(held.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "shared-shingles")
+    ranked = held.join(often, "h").groupBy("cid", "comp", "set", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("mine"))
+    ranked = ranked.withColumn("alone", F.col("n") - F.size("mine"))
+    large = (F.col("n") - F.ceil(F.col("n") * F.lit(PERCENT) / 100) + 1).cast("int")
+    small = (F.col("n") - F.ceil(F.col("n") * F.lit(2 * PERCENT) / (100 + PERCENT)) + 1).cast("int")
+    ranked = ranked.withColumn("small", small).where(F.col("alone") < large)
+    posted = ranked.select("cid", "comp", "n", "small", "alone", F.posexplode(F.slice("mine", F.lit(1), F.greatest(large - F.col("alone"), F.lit(0)))).alias("i", "p"))
+    posted = written(posted.select("cid", "comp", "n", (F.col("i") + F.col("alone")).alias("at"), (F.col("i") + F.col("alone") < F.col("small")).alias("first"), F.col("p.h").alias("h")), "shingle-postings")
+    mixed = posted.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("first").alias("any")).where("c0 < c1 and any").select("h")
+    posted = written(posted.join(written(mixed, "mixed-shingles"), "h", "left_semi"), "mixed-postings")
+    one = posted.where("first").select("h", F.col("cid").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ix"))
+    two = posted.select("h", F.col("cid").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("at").alias("iy"))
+    ordered = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
+    most = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))
+    possible = (F.col("cx") != F.col("cy")) & ordered & (100 * F.col("nx") >= PERCENT * F.col("ny")) & ((100 + PERCENT) * most >= PERCENT * (F.col("nx") + F.col("ny")))
+    return one.join(two, "h").where(possible).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _posted(sigs: DataFrame) -> DataFrame:
     """(key, cid, fame): each class under the prefix of its coordinate-value pairs, the rarest first. fame sums over all its
     pairs how many share them: in a group of copies the text they were made from has most."""
     pairs = sigs.select("cid", F.posexplode("sig").alias("at", "v")).select((F.shiftleft(F.col("at").cast("long"), 32) + F.col("v") + F.lit(1 << 31)).alias("key"), "cid")
-    shared = pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-pairs")
     mine = pairs.join(shared, "key").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("mine")).where(F.size("mine") >= T)
     fame = F.aggregate("mine", F.lit(0).cast("long"), lambda a, p: a + p["n"])
     return mine.select("cid", fame.alias("fame"), F.explode(F.slice("mine", 1, F.size("mine") - T + 1)).alias("p")).select(F.col("p.key").alias("key"), "cid", "fame")
@@ -207,17 +210,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id")
     # classes of equal sets, under the least doc_id; empty sets and null ids stay out
     usable = table.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("cid"), F.max("doc_id").alias("top"))
-    sigs = written(usable.join(classes.select("d1", "d2", F.col("cid").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi").select(F.col("doc_id").alias("cid"), "n_shingles", "sig"), "signatures")
+    sigs = written(usable.join(classes.select("d1", "d2", F.col("cid").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi").dropDuplicates(["d1", "d2", "doc_id"]).select(F.col("doc_id").alias("cid"), "n_shingles", "sig"), "signatures")
     posted = written(_posted(sigs), "postings")
-    low = posted.groupBy("key").agg(F.max_by("cid", F.struct("fame", -F.col("cid"))).alias("centre"), F.min("cid").alias("low"), F.max("cid").alias("top")).where("low < top").select("key", "centre")
+    heads = posted.groupBy("key").agg(F.max(F.struct("fame", (-F.col("cid")).alias("minus"))).alias("top"), F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high")
+    heads = written(heads.select("key", (-F.col("top.minus")).alias("centre"), F.col("top.fame").alias("known")), "lists")
+    lists = written(posted.select("key", "cid").join(heads, "key"), "listed")
+
+    stars = written(lists.where("centre <> cid").select(F.col("centre").alias("a"), F.col("cid").alias("b"), "known").distinct(), "stars")
+    nearest = _agreeing(stars, sigs).groupBy("b").agg(F.max_by("a", F.struct("known", -F.col("a"))).alias("a")).select("a", "b")
+    # texts move once, and only those that meet another; from here on pairs carry hashed sets
+    met = written(stars.select(F.col("a").alias("cid")).union(stars.select("b")).distinct(), "met")
     texts = docs.where(F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("cid"), F.col(text).alias("text"))
-
-    stars = posted.join(low, "key").where("centre <> cid").select(F.col("centre").alias("a"), F.col("cid").alias("b"), "fame").distinct()
-    nearest = _agreeing(stars.select("a", "b"), sigs).join(posted.select(F.col("cid").alias("a"), "fame").distinct(), "a").groupBy("b").agg(F.max_by("a", F.struct("fame", -F.col("a"))).alias("a")).select("a", "b")
-    links = written(confirmed(nearest, texts), "links")
+    sets = written(shingle_sets(texts.join(met, "cid").dropDuplicates()), "sets")
+    links = written(confirmed(written(nearest, "nearest"), sets), "links")
     comps = written(connected_components(links), "components")
-    lists = posted.join(low.select("key"), "key", "left_semi").join(comps.withColumnRenamed("id", "cid"), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"))
-    more = confirmed(_agreeing(_across(lists, sigs, texts), sigs), texts)
+    apart = lists.select("key", "cid").join(comps.withColumnRenamed("id", "cid"), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"))
+    rest = written(_mixed(written(apart, "parts")), "rest")
+    more = confirmed(written(_agreeing(_across(rest, sets), sigs), "candidates"), sets)
     # rows that share an id but not a set are one document: their classes are linked through the id
     same = usable.join(classes.select("d1", "d2", "cid"), ["d1", "d2"]).where("doc_id <> cid").select("doc_id", "cid").groupBy("doc_id").agg(F.min("cid").alias("c0"), F.max("cid").alias("c1"))
     ids = same.where("c0 < c1").select(F.col("c0").alias("a"), F.col("c1").alias("b"))
