@@ -92,8 +92,8 @@ def test_op1_edge_cases_and_hot_anchor(spark, monkeypatch):
     texts += [texts[7], texts[7], texts[4][:399]]
     frame = spark.createDataFrame([(i % 47, t) for i, t in enumerate(texts)], "doc_id long, text string")
     want = sorted((i % 47, *x[:2]) for i, x in enumerate(brute_repeats([(t or "").encode() for t in texts], 400)))
-    for hot in (4096, 3):
-        monkeypatch.setattr(repeats, "HOT_SEGMENTS", hot)
+    for size in (4 << 20, 3000):  # in the second round the shared text's anchors are dealt over several shards
+        monkeypatch.setattr(repeats, "SHARD_BYTES", size)
         got = sorted((r["doc_id"], bytes(r["kept"]), sum(s["stop"] - s["start"] for s in r["removed"])) for r in rows(repeats.remove_repeats(frame)))
         assert got == want
     assert repeats.remove_repeats(frame.limit(0)).count() == 0
@@ -102,8 +102,18 @@ def test_op1_edge_cases_and_hot_anchor(spark, monkeypatch):
 def test_op1_chunks_meet_without_a_seam():
     rnd = random.Random(2)
     data = bytes(rnd.choice(b"abcdef ") for _ in range(9000))
+    anchors = lambda x: np.repeat(x[0], x[2]).tolist()
     whole = repeats.segments(data)
-    assert whole[2].sum() == len(data) - 399 and (whole[1] == np.cumsum(whole[2]) - whole[2]).all()
+    for chunk in (1000, 401, 8601):  # every window has the anchor that it has without chunks
+        parts = repeats.segments(data, chunk=chunk)
+        assert parts[2].sum() == len(data) - 399 and (parts[1] == np.cumsum(parts[2]) - parts[2]).all()
+        assert anchors(parts) == anchors(whole)
+
+
+def test_op1_columns_may_have_any_name(spark):
+    frame = spark.createDataFrame([(1, "x" * 500, "a", 5), (2, "y", "b", 6)], "k1 long, text string, `data.x` string, segs int")
+    got = rows(repeats.remove_repeats(frame))
+    assert sorted((r["k1"], r["data.x"], r["segs"], r["n_bytes"], len(r["kept"])) for r in got) == [(1, "a", 5, 500, 0), (2, "b", 6, 1, 1)]
 
 
 # WARC

@@ -6,9 +6,9 @@ once in the corpus, so their windows do too. Equal segments under an anchor repe
 anchors with several different segments: those segments, one of each kind, are dealt into shards by their anchor, and
 a shard's suffix array with its permuted common prefixes tells which windows repeat.
 
-So no window is compared that can't repeat, and shards need nothing from each other. An anchor with very many
-different segments would make a shard of its own size; its windows are counted by their 128-bit digests instead, with
-partial sums before the shuffle.
+So no window is compared that can't repeat. The segments of most anchors fit in one shard, and shards need nothing from each
+other. An anchor with more is dealt over as many shards as its bytes need: each of them finds the repeats within itself in the same
+way, and which of its windows stand in other shards too is told by 128-bit digests of the distinct ones.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardline.llm.common import written
 from wardline.llm.minhash import _BASE, _MIX, _powers, _scatter
@@ -28,8 +29,8 @@ from wardline.llm.suffix import repeated_windows
 WIDTH, GRAM = 400, 160
 #: Windows of a text that are looked at together; bounds a task's memory whatever a text's length.
 CHUNK = 1 << 20
-#: Bytes in a shard, about, and different segments of one anchor from which its windows are counted instead.
-SHARD_BYTES, HOT_SEGMENTS = 4 << 20, 4096
+#: Bytes in a shard, about.
+SHARD_BYTES = 4 << 20
 
 _POW, _INV = _powers(_BASE, CHUNK + WIDTH), _powers(pow(_BASE, -1, 2**64), CHUNK + WIDTH)
 _LOW = np.uint64((1 << 24) - 1)
@@ -46,12 +47,12 @@ def _least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def segments(data: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first window, number of windows) of each segment of a text, in order."""
+def segments(data: bytes, width: int = WIDTH, gram: int = GRAM, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, first window, number of windows) of each segment of a text, in order; chunk is at most CHUNK."""
     fps, firsts, counts = [], [], []
     raw = np.frombuffer(data, np.uint8)
-    for at in range(0, len(raw) - width + 1, CHUNK):
-        part = raw[at : at + CHUNK + width - 1]
+    for at in range(0, len(raw) - width + 1, chunk):
+        part = raw[at : at + chunk + width - 1]
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(_MIX[part] * _POW[: len(part)], out=sums[1:])
         h = _scatter((sums[gram:] - sums[:-gram]) * _INV[: len(part) - gram + 1])
@@ -99,46 +100,44 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH) -> D
     text or another; strings never span texts and are judged on the input. Texts are taken as UTF-8; null texts are
     empty. Rows that repeat are copies of each other and lose everything if they are long enough. Very long texts are
     read whole, a chunk of windows at a time. An empty table stays empty. Columns of docs called n_bytes, removed or
-    kept are replaced.
+    kept are replaced; others may have any name.
     """
     docs = docs.drop("n_bytes", "removed", "kept")
-    names = docs.columns
+    names = [f"`{c.replace('`', '``')}`" for c in docs.columns]
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in names]
-    keyed = docs.withColumns({"k1": F.xxhash64(*parts), "k2": F.xxhash64(F.lit(7), data).bitwiseAND(F.lit(0x7FFFFFFF).cast("long")), "data": data}) if not {"k1", "k2", "data"} & set(names) else None
-    if keyed is None:
-        raise ValueError("columns k1, k2 and data are taken; rename them")
-    records = _records(keyed, width)
+    # a row travels as one column, so that its names meet no others; k1 and k2 stand for its content
+    keyed = docs.select(F.struct(*names).alias("row"), data.alias("data"), F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(7), data).bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).alias("k2"))
+    records = written(_records(keyed, width), "segments")
     anchors = records.groupBy("fp").agg(F.count("*").alias("c"), F.min("s").alias("s0"), F.max("s").alias("s1")).where("c > 1").select("fp", (F.col("s0") != F.col("s1")).alias("mixed"))
-    again = written(records.join(anchors, "fp"), "repeated-anchors")
+    # what is joined is written first: then both sides have a shuffle of their own, and a hot anchor's can be split
+    again = written(records.join(written(anchors, "anchors"), "fp"), "repeated-anchors")
     kinds = again.where("mixed").groupBy("fp", "s").agg(F.min(F.struct("k1", "k2", "at")).alias("rep"), F.count("*").alias("c"), F.min("n").alias("n"))
     kinds = written(kinds, "kinds")
     # segments that occur twice repeat whole; single ones are compared with the other kinds of their anchor
     marked = again.join(kinds.select("fp", "s", "rep", "c"), ["fp", "s"], "left").select("k1", "k2", "fp", "s", "at", "n", (~F.col("mixed") | (F.coalesce("c", F.lit(2)) > 1)).alias("whole"), (F.col("rep") == F.struct("k1", "k2", "at")).alias("rep"))
-    lists = marked.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "n", "fp", "s", "whole", F.coalesce("rep", F.lit(False)).alias("rep"))).alias("segs"))
-    held = written(keyed.join(lists, ["k1", "k2"], "left").drop("data"), "held")
+    # a set: rows that repeat have one key and the same segments
+    lists = marked.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "n", "fp", "s", "whole", F.coalesce("rep", F.lit(False)).alias("rep"))).alias("segs"))
+    held = written(keyed.join(written(lists, "row-segments"), ["k1", "k2"], "left"), "held")
     touched = held.where("segs is not null")
-    verdicts = _judged(touched, kinds, text, width)
+    verdicts = _judged(touched, kinds, width)
 
     single = marked.where("not whole").select("k1", "k2", "fp", "s", "at")
     found = single.join(verdicts, ["fp", "s"]).select("k1", "k2", F.explode("runs").alias("r"), "at").groupBy("k1", "k2").agg(F.collect_set(F.struct((F.col("at") + F.col("r.a")).alias("a"), (F.col("at") + F.col("r.b")).alias("b"))).alias("found"))
     sure = F.transform(F.filter("segs", lambda x: x["whole"]), lambda x: F.struct(x["at"].alias("a"), (x["at"] + x["n"]).alias("b")))
-    joined = touched.join(found, ["k1", "k2"], "left").withColumn("wins", F.concat(sure, F.coalesce("found", F.array().cast("array<struct<a:int,b:int>>"))))
-    done = joined.select(*names, F.col(text).alias("__t"), "wins")
-    pruned = _prune(done, names, width)
-    rest = held.where("segs is null").select(*names, F.octet_length(data).cast("long").alias("n_bytes"), F.array().cast("array<struct<start:long,stop:long>>").alias("removed"), data.alias("kept"))
-    return pruned.union(rest)
+    joined = touched.join(written(found, "found"), ["k1", "k2"], "left").select("row", "data", F.concat(sure, F.coalesce("found", F.array().cast("array<struct<a:int,b:int>>"))).alias("wins"))
+    rest = held.where("segs is null").select("row", F.octet_length("data").cast("long").alias("n_bytes"), F.array().cast("array<struct<start:long,stop:long>>").alias("removed"), F.col("data").alias("kept"))
+    return _prune(joined, width).union(rest).select("row.*", "n_bytes", "removed", "kept")
 
 
-def _prune(rows: DataFrame, names: list[str], width: int) -> DataFrame:
-    """Turn repeated windows into maximal runs of removed bytes, and take them out."""
+def _prune(rows: DataFrame, width: int) -> DataFrame:
+    """Turn repeated windows into maximal runs of removed bytes, and take them out; rows has (row, data, wins)."""
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, removed, kept = [], [], []
-            for text, wins in zip(batch.column(len(names)), batch.column(len(names) + 1).to_pylist(), strict=True):
-                data = text.as_buffer() if text.is_valid else pa.py_buffer(b"")
-                raw = np.frombuffer(data, np.uint8)
+            for data, wins in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                raw = np.frombuffer(data.as_buffer(), np.uint8)
                 depth = np.zeros(len(raw) + 1, np.int64)
                 for w in wins:
                     depth[w["a"]] += 1
@@ -149,58 +148,74 @@ def _prune(rows: DataFrame, names: list[str], width: int) -> DataFrame:
                 removed.append([{"start": a, "stop": b} for a, b in zip(edges[::2], edges[1::2], strict=True)])
                 kept.append(raw[~gone].tobytes())
             kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(size, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())], names=[*names, "n_bytes", "removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())], names=["row", "n_bytes", "removed", "kept"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(names)])
-    return rows.mapInArrow(prune, f"{fields}, n_bytes long, removed array<struct<start:long,stop:long>>, kept binary")
+    schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL("n_bytes long, removed array<struct<start:long,stop:long>>, kept binary").fields])
+    return rows.select("row", "data", "wins").mapInArrow(prune, schema)
 
 
-def _judged(touched: DataFrame, kinds: DataFrame, text: str, width: int) -> DataFrame:
+def _judged(touched: DataFrame, kinds: DataFrame, width: int) -> DataFrame:
     """(fp, s, runs): runs of repeated windows, within a segment, of segments that stand in a mixed group."""
-    per = kinds.groupBy("fp").agg(F.count("*").alias("kinds"), F.sum(F.col("n") + width).alias("bytes"))
-    total = per.where(F.col("kinds") <= HOT_SEGMENTS).agg(F.sum("bytes")).first()[0] or 0
+    per = kinds.groupBy("fp").agg(F.sum(F.col("n") + width).alias("bytes"))
+    total = per.agg(F.sum("bytes")).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
-    hot = written(per.where(F.col("kinds") > HOT_SEGMENTS).select("fp", F.lit(True).alias("hot")), "hot-anchors")
+    wide = written(per.where(F.col("bytes") > SHARD_BYTES).select("fp", F.ceil(F.col("bytes") / SHARD_BYTES).cast("int").alias("parts")), "wide-anchors")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp, s, body = [], [], []
             for segs, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                view = memoryview(t.as_buffer()) if t.is_valid else b""
+                view = memoryview(t.as_buffer())
                 for x in segs:
                     fp.append(x["fp"])
                     s.append(x["s"])
                     body.append(bytes(view[x["at"] : x["at"] + x["n"] + width - 1]))
             yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(s, pa.int64()), pa.array(body, pa.binary())], names=["fp", "s", "body"])
 
-    reps = touched.select(F.filter("segs", lambda x: x["rep"]).alias("segs"), F.col(text)).where("size(segs) > 0").mapInArrow(fetch, "fp long, s long, body binary")
+    reps = touched.select(F.filter("segs", lambda x: x["rep"]).alias("segs"), "data").where("size(segs) > 0").mapInArrow(fetch, "fp long, s long, body binary")
     # a row that stands twice in the table names its segment twice
     one = reps.dropDuplicates(["fp", "s"])
-    runs = "fp long, s long, runs array<struct<a:int,b:int>>"
-    if hot.isEmpty():
-        cold, heated = one, None
+    split = not wide.isEmpty()
+    if split:
+        one = written(one, "bodies").join(wide, "fp", "left")
     else:
-        both = written(one.join(hot, "fp", "left"), "segments")
-        cold, heated = both.where("hot is null").drop("hot"), both.where("hot").drop("hot")
+        one = one.withColumn("parts", F.lit(None).cast("int"))
+    dealt = one.withColumn("shard", F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("fp"), F.lit(shards))).otherwise(F.xxhash64("fp", F.pmod(F.xxhash64(F.lit(3), "s"), F.col("parts")))))
 
     def shard(t: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_runs(t.column("fp"), t.column("s"), repeated_windows(t.column("body").to_pylist(), width))])
-
-    out = cold.withColumn("shard", F.pmod(F.xxhash64("fp"), F.lit(shards))).groupBy("shard").applyInArrow(shard, runs)
-    if heated is None:
-        return out
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for fp, s, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                m = len(body) - width + 1
-                d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(body[i : i + width]) for i in range(m)), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, fp)), pa.array(np.full(m, s)), pa.array(np.arange(m, dtype=np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1])], names=["fp", "s", "i", "d1", "d2"])
-
-    windows = written(heated.mapInArrow(spell, "fp long, s long, i int, d1 long, d2 long"), "hot-windows")
-    twice = windows.groupBy("d1", "d2").agg(F.count("*").alias("c")).where("c > 1").select("d1", "d2")
-    back = windows.join(twice, ["d1", "d2"], "left_semi").groupBy("fp", "s").agg(F.transform(F.array_sort(F.collect_set("i")), lambda i: F.struct(i.alias("a"), (i + 1).alias("b"))).alias("runs"))
-    return out.union(back)
+        bodies = t.column("body").to_pylist()
+        marks = repeated_windows(bodies, width)
+        out = [_runs(t.column("fp"), t.column("s"), marks)]
+        spread = np.flatnonzero(np.asarray(t.column("parts").is_valid())).tolist()
+        seen: set[bytes] = set()
+        for i in spread:
+            fp, s, body, mark = t.column("fp")[i].as_py(), t.column("s")[i].as_py(), bodies[i], marks[i].tolist()
+            at, digests = [], []
+            for k, twice in enumerate(mark):
+                d = xxhash.xxh3_128_digest(body[k : k + width])
+                if twice and d in seen:
+                    continue  # one row for each window of the shard
+                if twice:
+                    seen.add(d)
+                at.append(None if twice else k)
+                digests.append(d)
+            d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            m = len(at)
+            out.append(pa.RecordBatch.from_arrays([pa.array([fp] * m, pa.int64()), pa.array([s] * m, pa.int64()), pa.nulls(m, _RUNS), pa.array(at, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1])], names=_JUDGED))
+        return pa.Table.from_batches(out)
+
+    judged = dealt.select("shard", "fp", "s", "body", "parts").groupBy("shard").applyInArrow(shard, "fp long, s long, runs array<struct<a:int,b:int>>, i int, d1 long, d2 long")
+    if not split:
+        return judged.select("fp", "s", "runs")
+    judged = written(judged, "judged")
+    windows = judged.where("d1 is not null")
+    twice = written(windows.groupBy("d1", "d2").agg(F.count("*").alias("c")).where("c > 1").select("d1", "d2"), "across-shards")
+    back = windows.where("i is not null").join(twice, ["d1", "d2"], "left_semi").groupBy("fp", "s").agg(F.transform(F.array_sort(F.collect_set("i")), lambda i: F.struct(i.alias("a"), (i + 1).alias("b"))).alias("runs"))
+    return judged.where("runs is not null").select("fp", "s", "runs").union(back)
+
+
+_RUNS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+_JUDGED = ["fp", "s", "runs", "i", "d1", "d2"]
 
 
 def _runs(fp, s, marks: list[np.ndarray]) -> pa.RecordBatch:
@@ -209,6 +224,6 @@ def _runs(fp, s, marks: list[np.ndarray]) -> pa.RecordBatch:
         e = np.flatnonzero(np.diff(np.concatenate([[False], m, [False]]))).tolist()
         found.append([{"a": a, "b": b} for a, b in zip(e[::2], e[1::2], strict=True)])
     keep = pa.array([bool(x) for x in found], pa.bool_())
-    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-    whole = pa.RecordBatch.from_arrays([fp.combine_chunks() if isinstance(fp, pa.ChunkedArray) else fp, s.combine_chunks() if isinstance(s, pa.ChunkedArray) else s, pa.array(found, kind)], names=["fp", "s", "runs"])
+    n = len(found)
+    whole = pa.RecordBatch.from_arrays([fp.combine_chunks(), s.combine_chunks(), pa.array(found, _RUNS), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=_JUDGED)
     return whole.filter(keep)

@@ -3,15 +3,16 @@
 Suffixes are classified (S: smaller than the next one, L: larger), the leftmost smaller ones (LMS) are sorted by sorting
 the substrings between them and then, recursively, the string of those substrings' names, and all others are induced
 from them in one pass up (L) and one down (S). Each pass goes bucket by bucket: what a bucket holds is read at
-once and its left neighbours are dealt to their buckets in order, so the work is linear and done on arrays.
+once and its left neighbours are dealt to their buckets in order, so the work is linear and done on arrays. Buckets of a string with
+many symbols, such as the names of substrings, are too small for that; its passes go suffix by suffix.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: With more names than this, buckets are too small to be worth arrays: the reduced string is sorted by doubling.
-BUCKETS = 4096
+#: Suffixes for each bucket, on average, from which a pass goes bucket by bucket.
+FULL = 32
 
 
 def _types(t: np.ndarray) -> np.ndarray:
@@ -82,20 +83,31 @@ def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sigma: int) -> np.nda
     return sa
 
 
-def _doubling(r: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of r by their first `depth` symbols at least, by doubling."""
-    n, k = len(r), 1
-    rank = np.unique(r, return_inverse=True)[1].astype(np.int64)
-    while True:
-        nxt = np.zeros(n, np.int64)
-        nxt[: n - k] = rank[k:] + 1 if k < n else 0
-        key = rank * (n + 1) + nxt
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        rank[order] = new
-        k *= 2
-        if new[-1] == n - 1 or k >= min(depth, n):
-            return order
+def _induce_singly(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+    """_induce for a string of many symbols."""
+    size = np.bincount(t, minlength=sigma)
+    stop = np.cumsum(size)
+    head, by = (stop - size).tolist(), t[lms]
+    order = np.argsort(by, kind="stable")
+    count = np.bincount(by, minlength=sigma)
+    sa = np.full(len(t), -1, np.int64)
+    # the LMS suffixes of a bucket stand at its end, in the order given
+    sa[(stop - np.cumsum(count))[by[order]] + np.arange(len(lms))] = lms[order]
+    out, symbol, small = sa.tolist(), t.tolist(), s.tolist()
+    for j in out:  # the list is filled while it is read
+        if j > 0 and not small[j - 1]:
+            c = symbol[j - 1]
+            out[head[c]] = j - 1
+            head[c] += 1
+    tail = stop.tolist()
+    for i in range(len(out) - 1, -1, -1):
+        j = out[i] - 1
+        if j >= 0 and small[j]:
+            c = symbol[j]
+            tail[c] -= 1
+            out[tail[c]] = j
+    out[0] = len(t) - 1
+    return np.array(out, np.int32)
 
 
 def _name(t: np.ndarray, lms_sorted: np.ndarray, lms: np.ndarray) -> np.ndarray:
@@ -118,19 +130,16 @@ def _name(t: np.ndarray, lms_sorted: np.ndarray, lms: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(differ)])
 
 
-def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Suffix array of small non-negative integers ending in 0, a symbol that is nowhere else.
-
-    With depth, suffixes are in order by their first `depth` symbols at least, and those that agree in as many stand together.
-    """
+def suffix_array(t: np.ndarray) -> np.ndarray:
+    """Suffix array of small non-negative integers ending in 0, a symbol that is nowhere else."""
     n = len(t)
-    depth = n if depth is None else depth
     if n <= 2:
         return np.arange(n)[::-1].astype(np.int32)
     sigma = int(t.max()) + 1
+    induce = _induce if sigma * FULL <= n else _induce_singly
     s = _types(t)
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
-    sa = _induce(t, s, lms, sigma)
+    sa = induce(t, s, lms, sigma)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     lms_sorted = sa[is_lms[sa]]
@@ -138,12 +147,8 @@ def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
     if names[-1] + 1 < len(lms):
         at = np.empty(n, np.int64)
         at[lms_sorted] = names
-        reduced = at[lms]  # ends in the name of the last symbol, 0 and unique
-        # an LMS substring has two symbols at least besides the one it shares with the next
-        deep = -(-depth // 2) + 2
-        order = suffix_array(reduced.astype(np.uint16 if names[-1] < 65535 else np.int64), deep) if names[-1] < BUCKETS else _doubling(reduced, deep)
-        lms_sorted = lms[order]
-    return _induce(t, s, np.asarray(lms_sorted), sigma)
+        lms_sorted = lms[suffix_array(at[lms])]  # ends in the name of the last symbol, 0 and unique
+    return induce(t, s, np.asarray(lms_sorted), sigma)
 
 
 def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray, fresh: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +194,7 @@ def repeated_windows(segments: list[bytes], width: int) -> list[np.ndarray]:
     # 0 ends the text, 1 is between segments, bytes of UTF-8 go up to 0xF7
     t = np.concatenate([np.where(raw == 0xFF, 1, raw + np.uint8(2)).astype(np.uint8), np.zeros(1, np.uint8)])
     starts = np.cumsum(lengths + 1) - lengths - 1
-    sa = suffix_array(t, width)
+    sa = suffix_array(t)
     plcp, phi = permuted_common_prefixes(t, sa, starts, 2 * int(lengths.max(initial=0)) + 8)
     at = np.flatnonzero(plcp >= width)
     twice = np.zeros(len(t), bool)
