@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir). Only where it is unset, as in local tests, one is made."""
+    """The cluster's shared folder (spark.checkpoint.dir) as a full URI. Where it is unset, one is made in local mode, as in
+    tests; on a cluster that is an error, since no folder of the driver's is shared."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
@@ -18,9 +19,12 @@ def shared_folder(spark: SparkSession) -> str:
     if base is None:
         base = sc.getCheckpointDir()
     if base is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="wardline-")
         sc.setCheckpointDir(base)
-    return base.rstrip("/")
+    path = sc._jvm.org.apache.hadoop.fs.Path(base)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -28,10 +32,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: its lineage is cut and a lost executor costs nothing."""
+    """df written to the shared folder and read back: its lineage is cut and a lost executor costs nothing.
+
+    The size of such a table grows with the input and its files are far smaller than its rows in memory, so a join with it
+    shuffles both sides instead of broadcasting it by the size of its files."""
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
 
 
 def drop_written(df: DataFrame) -> None:

@@ -126,16 +126,17 @@ def signed(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFr
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
-    """(cid, hs): the sorted shingles of each text, as 64-bit hashes; texts has (cid, text)."""
+    """(cid, n, set, hs): how many shingles each text has, a hash of all, and they themselves as sorted 64-bit hashes; texts has (cid, text)."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py()).view(np.int64) for t in batch.column(1)]
             ends = np.cumsum([0, *map(len, sets)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["cid", "hs"])
+            whole = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(whole), lists], names=["cid", "n", "set", "hs"])
 
-    return texts.select("cid", "text").mapInArrow(spell, "cid long, hs array<long>")
+    return texts.select("cid", "text").mapInArrow(spell, "cid long, n int, set long, hs array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -169,7 +170,7 @@ def _across(classes: DataFrame, sets: DataFrame) -> DataFrame:
     either order bounds the intersection. Shingles that one class has alone come first and are never posted.
     """
     # an id may stand for several sets: each has its own order
-    held = sets.join(classes, "cid").select("cid", "comp", F.xxhash64("hs").alias("set"), F.size("hs").alias("n"), F.explode("hs").alias("h"))
+    held = sets.join(classes, "cid").select("cid", "comp", "set", "n", F.explode("hs").alias("h"))
     often = written(held.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "shared-shingles")
     ranked = held.join(often, "h").groupBy("cid", "comp", "set", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("mine"))
     ranked = ranked.withColumn("alone", F.col("n") - F.size("mine"))
@@ -228,8 +229,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id")
     rest = written(_mixed(written(apart, "parts")), "rest")
     more = confirmed(written(_agreeing(_across(rest, sets), sigs), "candidates"), sets)
     # rows that share an id but not a set are one document: their classes are linked through the id
-    same = usable.join(classes.select("d1", "d2", "cid"), ["d1", "d2"]).where("doc_id <> cid").select("doc_id", "cid").groupBy("doc_id").agg(F.min("cid").alias("c0"), F.max("cid").alias("c1"))
-    ids = same.where("c0 < c1").select(F.col("c0").alias("a"), F.col("c1").alias("b"))
+    many = usable.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("x"), F.max(F.struct("d1", "d2")).alias("y")).where("x <> y").select("doc_id")
+    same = usable.join(written(many, "ids-of-several-sets"), "doc_id", "left_semi").join(classes.select("d1", "d2", "cid"), ["d1", "d2"])
+    ids = same.where("doc_id <> cid").select(F.col("doc_id").alias("a"), F.col("cid").alias("b"))
     final = connected_components(links.union(more).union(ids))
 
     copies = classes.where("cid < top").select("d1", "d2", "cid")
