@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import row_key, written
+from wardline.llm.common import row_key, salted_lookup, written
 
 #: A line on so many distinct sites, in as many different texts, is boilerplate.
 SITES = 10
@@ -36,12 +36,14 @@ def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", sites
     of all rows weighs no more than any other.
     """
     whole = F.coalesce(text, F.lit(""))
-    lines = docs.where(F.col(site).isNotNull()).select(F.xxhash64(F.col(site).cast("string")).alias("site"), F.xxhash64(whole).alias("whole"), F.explode(F.split(whole, "\n")).alias("line")).where(F.trim("line") != "")
+    lines = docs.where(F.col(site).isNotNull()).select(F.xxhash64(F.col(site).cast("string")).alias("site"), F.xxhash64(whole).alias("whole"), F.explode(F.split(whole, "\n")).alias("line")).where(F.col("line").rlike(r"\S"))
     slim = lines.select(*_hashes(F.col("line")), "site", "whole")
     # a line seen fewer than `sites` times can't be on as many sites: most lines end here, before any sketch
     several = (F.col("s0") != F.col("s1")) & (F.col("w0") != F.col("w1")) if sites > 1 else F.lit(True)
     seen = slim.groupBy("l1", "l2").agg(F.count("*").alias("n"), F.min("site").alias("s0"), F.max("site").alias("s1"), F.min("whole").alias("w0"), F.max("whole").alias("w1")).where((F.col("n") >= sites) & several).select("l1", "l2")
-    repeated = slim.join(seen, ["l1", "l2"], "left_semi")
+    # over salts: a line in a third of all rows meets the few that are looked for in many tasks, and is summed up there
+    among = lambda few: salted_lookup(slim, few.withColumn("there", F.lit(True)), ["l1", "l2"], ["whole", "site"]).where("there")
+    repeated = among(seen)
     sketch = lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(c, F.lit(LOG_K)))
     sketched = repeated.groupBy("l1", "l2").agg(sketch("site").alias("est"), sketch("whole").alias("texts"))
     sketched = written(sketched.where(F.least("est", "texts") >= sites * (1 - NEAR)), "spread")
@@ -49,7 +51,7 @@ def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", sites
     near = sketched.where(F.least("est", "texts") <= sites * (1 + NEAR))
     # only what is near the threshold is counted exactly, sites or texts
     exactly = lambda c, est: F.when(F.max(est) > sites * (1 + NEAR), F.max(est)).otherwise(F.count_distinct(F.when(F.col(est) <= sites * (1 + NEAR), F.col(c)))).cast("long")
-    exact = slim.join(near, ["l1", "l2"]).groupBy("l1", "l2").agg(exactly("site", "est").alias("sites"), exactly("whole", "texts").alias("texts")).where(F.least("sites", "texts") >= sites).select("l1", "l2", "sites")
+    exact = among(near).groupBy("l1", "l2").agg(exactly("site", "est").alias("sites"), exactly("whole", "texts").alias("texts")).where(F.least("sites", "texts") >= sites).select("l1", "l2", "sites")
     return far.union(exact)
 
 
@@ -74,9 +76,9 @@ def remove_lines(docs: DataFrame, gone: DataFrame, text: str = "text") -> DataFr
 def dedup_lines(docs: DataFrame, text: str = "text", site: str = "source", sites: int = SITES) -> DataFrame:
     """docs without the lines that at least `sites` distinct sites share in different texts, and n_lines_removed.
 
-    Null texts stay null; null sites count for nothing, yet
-    their documents lose boilerplate too; repeated rows count as one site; very long lines are hashed whole. An empty
-    table stays empty. A column called n_lines_removed is replaced.
+    Null texts stay null, empty ones empty; null sites count for nothing, yet their documents lose boilerplate too; repeated
+    rows count as one site and one text; very long lines and texts are hashed and cut whole. A line on exactly `sites` sites goes.
+    An empty table stays empty. A column called n_lines_removed is replaced; others may have any name.
     """
     gone = written(boilerplate(docs, text, site, sites), "boilerplate")
     return remove_lines(docs, gone, text)
