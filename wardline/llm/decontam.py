@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Edits allowed for each character of an item, and characters that an item has at least.
-RATE, LEAST = 0.05, 40
+#: Edits allowed for each character of an item. An item too short for one must stand unchanged, as whole words.
+RATE = 0.05
 #: Items are sent to the executors in blocks of at most so many characters; each block is one pass over the documents.
 BLOCK_CHARS = 4_000_000
 
@@ -78,6 +78,8 @@ class Searcher:
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for ident, text in items:
             item = normal(text)
+            if not item:
+                continue
             budget = int(len(item) * rate)
             n = len(self.items)
             self.items.append((ident, item, budget, bit_masks(item)))
@@ -96,12 +98,17 @@ class Searcher:
             return []
         t = normal(text)
         wanted: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        exact: dict[int, int] = {}
         for end, (length, at) in self.automaton.iter(t):
             for n, start in at:
                 budget, size = self.items[n][2], len(self.items[n][1])
                 begin = end - length + 1 - start
+                if not budget:
+                    if not t[max(0, begin - 1) : begin].isalnum() and not t[end + 1 : end + 2].isalnum():
+                        exact.setdefault(n, end + 1)
+                    continue
                 wanted[n].append((max(0, begin - budget), min(len(t), begin + size + budget)))
-        out = []
+        out = [(self.items[n][0], 0, at) for n, at in exact.items()]
         for n, spans in wanted.items():
             ident, item, budget, masks = self.items[n]
             spans.sort()
@@ -121,52 +128,62 @@ class Searcher:
         return sorted(out)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", ident: str = "doc_id", rate: float = RATE, least: int = LEAST) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", ident: str = "doc_id", rate: float = RATE) -> DataFrame:
     """(doc_id, item_id, edits, end): each document and item of which it holds a stretch within the item's budget.
 
-    Matching is in lower case with runs of white space as one space; end is a place in the text so normalised. Items
-    that are null or shorter than `least` characters are too common to tell anything and match nothing; null texts hold
-    nothing. Rows that repeat are reported once for each row. Items are taken in blocks of at most BLOCK_CHARS
-    characters, so what a task holds is bounded however large the benchmark is. No shuffle of documents.
+    Matching is in lower case with runs of white space as one space; end is a place in the text so normalised, the first of equally
+    good ones. An item has an edit for every 1 / rate characters; shorter ones must stand unchanged as whole words. Null items and
+    those of white space match nothing; null and empty texts hold nothing. Rows that repeat are reported once for each row, items
+    that repeat once. Very long texts are searched whole. Items are taken in blocks of about BLOCK_CHARS characters, so what a task
+    holds is bounded however large the benchmark is; each block is one pass over the documents, without a shuffle of them. An empty
+    table on either side gives no rows. Other columns of docs play no part.
     """
-    schema = f"{ident} long, item_id long, edits int, end int"
+    schema = f"`{ident}` long, item_id long, edits int, end int"
     out = None
-    for shared in _blocks(benchmark, least):
-        found = docs.select(F.col(ident).cast("long").alias(ident), F.col(text).alias("text")).mapInArrow(_search(shared, rate, least, ident), schema)
+    for shared in _blocks(benchmark):
+        found = docs.select(F.col(ident).cast("long").alias(ident), F.col(text).alias("text")).mapInArrow(_search(shared, rate, ident), schema)
         out = found if out is None else out.union(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def _blocks(benchmark: DataFrame, least: int):
-    """Broadcast blocks of (item id, text), of about BLOCK_CHARS characters each."""
+def _blocks(benchmark: DataFrame):
+    """Broadcast blocks of (item id, text). A block's size is measured before it is collected: it has at most twice
+    BLOCK_CHARS characters, or one item."""
     spark = benchmark.sparkSession
-    usable = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("t")).where(F.length(F.trim("t")) >= least)
+    usable = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("t")).where(F.trim("t") != "").distinct()
     size = usable.agg(F.sum(F.length("t")).alias("n"), F.max(F.length("t")).alias("top")).first()
-    blocks = -(-(size["n"] or 0) // max(1, BLOCK_CHARS - (size["top"] or 0))) if size["n"] else 0
+    if not size["n"]:
+        return
+    blocks = -(-size["n"] // BLOCK_CHARS)
+    block = lambda: F.pmod(F.xxhash64("item_id", "t"), F.lit(blocks))
+    while usable.groupBy(block().alias("k")).agg(F.sum(F.length("t")).alias("n")).agg(F.max("n")).first()[0] > max(2 * BLOCK_CHARS, size["top"]):
+        blocks *= 2
     for k in range(blocks):
-        part = usable if blocks == 1 else usable.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        part = usable if blocks == 1 else usable.where(block() == k)
         yield spark.sparkContext.broadcast([(r["item_id"], r["t"]) for r in part.collect()])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = RATE, least: int = LEAST) -> DataFrame:
-    """docs without the rows that hold an item: a filter, block by block, without a shuffle. Null texts stay."""
-    for shared in _blocks(benchmark, least):
-        docs = docs.where(~_holds(shared, rate, least)(F.coalesce(text, F.lit(""))))
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = RATE) -> DataFrame:
+    """docs without the rows that hold an item, as contaminated() tells: a filter, block by block, without a shuffle. Null and
+    empty texts stay."""
+    for shared in _blocks(benchmark):
+        docs = docs.where(~_holds(shared, rate)(F.coalesce(text, F.lit(""))))
     return docs
 
 
-def _holds(shared, rate: float, least: int):
+def _holds(shared, rate: float):
     @F.arrow_udf("boolean")
-    def holds(texts: pa.Array) -> pa.Array:
-        searcher = Searcher([(i, t) for i, t in shared.value if len(normal(t)) >= least], rate)
-        return pa.array([bool(searcher.find(t.as_py())) for t in texts], pa.bool_())
+    def holds(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        searcher = Searcher(shared.value, rate)
+        for texts in batches:
+            yield pa.array([bool(searcher.find(t.as_py())) for t in texts], pa.bool_())
 
     return holds
 
 
-def _search(shared, rate: float, least: int, ident: str):
+def _search(shared, rate: float, ident: str):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = Searcher([(i, t) for i, t in shared.value if len(normal(t)) >= least], rate)
+        searcher = Searcher(shared.value, rate)
         for batch in batches:
             rows = [(d, *hit) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if t.is_valid for hit in searcher.find(t.as_py())]
             cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
