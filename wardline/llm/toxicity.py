@@ -1,7 +1,8 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick in folded text and normalised by length.
 
 Folding undoes look-alike letters and digit substitutions. The lexicon holds whole words and word beginnings with
-weights that are smoothed log-odds over labelled rows; exception phrases take back the matches they cover. A
+weights that are smoothed log-odds over labelled rows; exception phrases take back the matches they cover. These are
+the pairs of words that hold a listed one and yet occur in clean rows only, too often for chance, and what a deployment adds. A
 logistic curve over the weight and the weight by length gives the score.
 """
 
@@ -20,14 +21,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.llm.common import written
+
 #: Labelled rows that the lexicon and the curve are fitted on, at most; those with the least hash of their id.
 TRAINING_ROWS = 20_000
-LEXICON_SIZE = 3_000
+#: Rows that a feature occurs in at least, and log-odds (less 1.64 standard errors) from which it is listed.
+ROWS, ODDS = 3, 1.0
+#: Probability below which a phrase that is never toxic is taken for harmless.
+CHANCE = 0.01
 #: Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
 LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ι": "i", "κ": "k", "ν": "v", "τ": "t", "υ": "u", "χ": "x"}
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
-#: Phrases in which a listed word is harmless; a deployment adds its own.
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown")
 
 _FOLD = str.maketrans(LOOKALIKES | SUBSTITUTES | {chr(c): None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)})
 #: Marks of stress over letters stay: they tell words apart. Full-width letters fold by their distance to ASCII.
@@ -47,6 +51,19 @@ def features(text: str) -> list[str]:
     return ["=" + w for w in words] + ["^" + w for w in {w[:n] for w in words for n in STEMS if len(w) > n}]
 
 
+def phrases(text: str, weights: dict[str, float]) -> list[tuple[str, float]]:
+    """Distinct pairs of neighbouring words, as they stand in the folded text, of which one is listed whole or by its
+    beginning, with the greater weight of the two."""
+    t, out, last = fold(text), {}, None
+    for m in _WORD.finditer(t):
+        w = m.group()
+        weight = max([weights.get("=" + w, 0.0), *(weights.get("^" + w[:n], 0.0) for n in STEMS if len(w) > n)])
+        if last is not None and max(weight, last[1]) > 0 and m.start() - last[0].end() == 1:
+            out[t[last[0].start() : m.end()]] = max(weight, last[1])
+        last = m, weight
+    return sorted(out.items())
+
+
 @dataclass(frozen=True)
 class Model:
     """A fitted lexicon; small, and sent to the executors as JSON within the plan."""
@@ -132,34 +149,47 @@ def _curve(points: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return tuple(float(v) for v in w)
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = TRAINING_ROWS, size: int = LEXICON_SIZE, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = TRAINING_ROWS, exceptions: tuple[str, ...] = ()) -> Model:
     """Fit on at most `rows` labelled rows that are not held out: a bounded sample, the least by hash of the id.
 
     labels has doc_id and toxic; rows with a null in either, and ids with both labels, teach nothing. Repeated rows
-    teach once. Without rows of both kinds the lexicon is empty and every score is the share of toxic rows.
+    teach once. Without rows of both kinds the lexicon is empty and every score is the share of toxic rows. All features
+    and phrases that pass are listed: their number is bounded by the sample's.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("toxic").alias("y"), F.max("toxic").alias("y2")).where("y = y2").select("doc_id", "y")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # at most `rows` ids and labels are broadcast, so the texts of other rows never move
     sample = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("t").alias("t"), F.min("y").alias("y"))
+    sample = written(sample, "training-sample")
 
     @F.arrow_udf("array<string>")
     def found(texts: pa.Array) -> pa.Array:
         return pa.array([features(t.as_py()) for t in texts], pa.list_(pa.string()))
 
-    totals = known.join(chosen, ["doc_id", "y"], "left_semi").groupBy("y").count().collect()
+    totals = sample.groupBy("y").count().collect()
     n = {int(r["y"]): r["count"] for r in totals}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         p = (n1 + 0.5) / (n1 + n0 + 1)
         return Model({}, tuple(exceptions), (math.log(p / (1 - p)), 0.0, 0.0))
+
     counts = sample.select("y", F.explode(found("t")).alias("f")).groupBy("f").agg(F.sum("y").alias("c1"), F.sum(1 - F.col("y")).alias("c0"))
     # log-odds with half a row added on both sides, less 1.64 standard errors: rare features must be purer
     odds = F.log((F.col("c1") + 0.5) / (n1 + 1.0)) - F.log((F.col("c0") + 0.5) / (n0 + 1.0))
     sure = odds - 1.64 * F.sqrt(1 / (F.col("c1") + 0.5) + 1 / (F.col("c0") + 0.5))
-    kept = counts.where("c1 >= 3").withColumn("w", sure).where("w > 1.0").orderBy(F.desc("w"), "f").limit(size).collect()
+    kept = counts.where(F.col("c1") >= ROWS).withColumn("w", sure).where(F.col("w") > ODDS).orderBy("f").collect()
     weights = {r["f"]: round(float(r["w"]), 4) for r in kept}
-    first = Model(weights, tuple(exceptions), (0.0, 0.0, 0.0)).to_json()
+
+    @F.arrow_udf("array<struct<f:string,w:double>>")
+    def paired(texts: pa.Array) -> pa.Array:
+        return pa.array([[{"f": f, "w": w} for f, w in phrases(t.as_py(), weights)] for t in texts], pa.list_(pa.struct([("f", pa.string()), ("w", pa.float64())])))
+
+    # if a phrase were as toxic as its word is at least, so many clean rows and no toxic one would be this improbable
+    spared = sample.select("y", F.explode(paired("t")).alias("p")).groupBy("p.f").agg(F.sum("y").alias("c1"), F.count("*").alias("c0"), F.max("p.w").alias("w")).where((F.col("c1") == 0) & (F.col("c0") >= ROWS))
+    toxic = F.exp("w") * n1 / (F.exp("w") * n1 + n0)
+    spared = spared.where(F.col("c0") * F.log(1 - toxic) <= math.log(CHANCE)).orderBy("f").collect()
+    exceptions = tuple(dict.fromkeys([*exceptions, *(r["f"] for r in spared)]))
+    first = Model(weights, exceptions, (0.0, 0.0, 0.0)).to_json()
 
     @F.arrow_udf("array<double>")
     def points(texts: pa.Array) -> pa.Array:
@@ -167,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = TRAI
         return pa.array([m.points(t.as_py()) for t in texts], pa.list_(pa.float64()))
 
     seen = sample.select("y", points("t").alias("p")).collect()  # at most `rows` rows of three numbers
-    return Model(weights, tuple(exceptions), _curve(np.array([r["p"] for r in seen], float).reshape(-1, 2), np.array([r["y"] for r in seen], float)))
+    return Model(weights, exceptions, _curve(np.array([r["p"] for r in seen], float).reshape(-1, 2), np.array([r["y"] for r in seen], float)))
 
 
 def score_column(text: Column, model: Model) -> Column:
