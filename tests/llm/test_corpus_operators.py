@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import math
 import random
 import re
 import zipfile
@@ -239,6 +240,42 @@ def test_op4_patterns_on_odd_texts(spark):
         assert [(s["kind"], s["start"], s["end"]) for s in r["base"]] == brute_pii(r["text"]), r["text"]
 
 
+def test_op4_long_matches_and_many_of_them(spark):
+    texts = ["x@b" + ".b" * 200_000 + "_", "a@b.co, " * 20_000, "1.2.3.4 " * 5_000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["base"]] for r in rows(pii.with_base_spans(frame))}
+    assert got[0] == [("email", 0, len(texts[0]) - 1)]
+    assert got[1] == [("email", 8 * i, 8 * i + 6) for i in range(20_000)]
+    assert got[2][:5_000] == [("ip", 8 * i, 8 * i + 7) for i in range(5_000)]
+
+
+def brute_terms(texts):
+    """Terms that disclose an entity: shares from counts of rows, entity by entity."""
+    words = [{w for w in re.split(r"[^\w]+|_", (t or "").lower()) if len(w) >= pii.TERM_CHARS} for t in texts]
+    named = [{f"{k}:{t[a:b].lower()}" for k, a, b in brute_pii(t)} for t in (x or "" for x in texts)]
+    total, ct = len(texts), Counter(w for ws in words for w in ws)
+    ce, cet = Counter(e for es in named for e in es), Counter((e, w) for es, ws in zip(named, words, strict=True) for e in es for w in ws)
+    out, z = set(), pii.Z
+    for (e, w), n in cet.items():
+        c, p = ct[w], n / ct[w]
+        low = (p + z * z / 2 / c - z * math.sqrt(p * (1 - p) / c + z * z / 4 / (c * c))) / (1 + z * z / c)
+        share = math.log2((p if n >= pii.SUPPORT else low) * total / ce[e]) / max(math.log2(total / ce[e]), 1e-9)
+        if share >= pii.DISCLOSURE:
+            out.add(w)
+    return out
+
+
+def test_op4_terms_equal_brute_force(spark, docs):
+    want = brute_terms([d["text"] for d in docs])
+    found = rows(pii.find(spark.read.parquet(f"{SF}/documents.parquet")))
+    assert want and {s["value"].lower() for r in found for s in r["spans"] if s["kind"] == "term"} <= want
+    for r in found:
+        base, t = brute_pii(r["text"]), r["text"] or ""
+        spans = [("term", m.start(), m.end()) for m in re.finditer(r"[^\W_]+", t) if m.group().lower() in want]
+        spans = [s for s in spans if not any(a < s[2] and s[1] < b for _, a, b in base)]
+        assert [(s["kind"], s["start"], s["end"]) for s in r["spans"]] == base + spans
+
+
 def test_op4_terms_that_disclose(spark):
     texts = [f"{w} the harbour master Quillfeather wrote from m@x.org about {w}" for w in ("boats", "nets", "salt", "rope")]
     texts += [f"the harbour was quiet that {w} day" for w in ("first", "second", "third")] * 6 + ["Quillfeather, again", None, ""]
@@ -264,20 +301,17 @@ def test_op4_terms_of_entities_named_once(spark):
 
 
 def brute_lines(docs, sites):
-    on = defaultdict(set)
+    on, of = defaultdict(set), defaultdict(set)
     for d in docs:
         for line in (d["text"] or "").split("\n"):
-            if line.strip(" ") and d["source"] is not None:
+            if line.strip(" \t\n\x0b\f\r") and d["source"] is not None:
                 on[line].add(d["source"])
+                of[line].add(d["text"])
     out = []
     for d in docs:
-        if d["text"] is None:
-            out.append((0, ""))
-            continue
-        lines = d["text"].split("\n")
-        left = [x for x in lines if len(on.get(x, ())) < sites]
-        short = "\n".join(left)
-        out.append((len(lines) - len(left), short) if len(left) < len(lines) and len(short) >= 0.5 * len(d["text"]) else (0, d["text"]))
+        lines = (d["text"] or "").split("\n")
+        left = [x for x in lines if min(len(on.get(x, ())), len(of.get(x, ()))) < sites]
+        out.append((len(lines) - len(left), "\n".join(left)))
     return out
 
 
@@ -290,7 +324,7 @@ def test_op5_equals_brute_force(spark, docs):
 
 
 def test_op5_edge_cases(spark):
-    made = [{"doc_id": i % 50, "text": f"own line {i} which is long enough\nall rights reserved\n\nonly {i % 3}", "source": f"s{i % 12}"} for i in range(60)]
+    made = [{"doc_id": i % 50, "text": f"own line {i} which is long enough\nall rights reserved\n\n\t \nonly {i % 3}", "source": f"s{i % 12}"} for i in range(60)]
     made += [{"doc_id": 1, "text": None, "source": "s1"}, {"doc_id": None, "text": "", "source": None}, {"doc_id": 2, "text": "all rights reserved", "source": None}, made[0]]
     frame = spark.createDataFrame([(d["doc_id"], d["text"], d["source"]) for d in made], "doc_id long, text string, source string")
     got = sorted(((r["doc_id"] or 0), r["n_lines_removed"], r["text"] or "") for r in rows(linededup.dedup_lines(frame)))
@@ -359,6 +393,46 @@ def test_op7_held_out_accuracy(spark):
     assert n.get((0, 1), 0) / max(1, n.get((0, 0), 0) + n.get((0, 1), 0)) < 0.02
 
 
+def brute_score(model, text):
+    """Every word against every entry; of the entries at a word, the heaviest; exceptions take back what they cover."""
+    t = toxicity.fold(text)
+    word = lambda i: i >= 0 and i < len(t) and t[i].isalnum()
+    spared = [(i, i + len(toxicity.fold(e))) for e in model.exceptions for i in range(len(t)) if t.startswith(toxicity.fold(e), i) and not word(i - 1) and not word(i + len(toxicity.fold(e)))]
+    total = 0.0
+    for i in range(len(t)):
+        if word(i - 1):
+            continue
+        fits = [(w, -(i + len(k) - 1)) for k, w in model.weights.items() if t.startswith(k[1:], i) and word(i + len(k) - 1) == (k[0] == "^")]
+        # of equal weights the shorter entry is met first
+        if fits:
+            w, end = max(fits)
+            if not any(a <= i and -end <= b for a, b in spared):
+                total += w
+    a, b, c = model.curve
+    return 1 / (1 + math.exp(-max(-40.0, min(40.0, a + b * math.log1p(max(0, total)) + c * max(0, total) / math.sqrt(max(1, len(t) // 6))))))
+
+
+def test_op7_equals_brute_force(spark, docs):
+    sample = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.fit(sample, spark.read.parquet(f"{SF}/labels.parquet"))
+    m = toxicity.Matcher(model)
+    assert model.weights
+    small = toxicity.Model(dict(sorted(model.weights.items())[:40]), ("of the",), model.curve)
+    few = toxicity.Matcher(small)
+    for d in docs[:60]:
+        assert abs(m.score(d["text"][:3000]) - brute_score(model, d["text"][:3000])) < 1e-9
+        assert abs(few.score(d["text"]) - brute_score(small, d["text"])) < 1e-9
+
+
+def test_op7_learns_exceptions(spark):
+    made = [(i, f"you rotten person, go away {i}", 1) for i in range(100, 220)] + [(i, f"the rotten apples of basket {i}", 0) for i in range(300, 330)] + [(i, f"a fine day by the sea, number {i}", 0) for i in range(400, 900)]
+    frame = spark.createDataFrame(made, "doc_id long, text string, toxic int")
+    model = toxicity.fit(frame, frame)
+    assert "=rotten" in model.weights and "rotten apples" in model.exceptions and "rotten person" not in model.exceptions
+    m = toxicity.Matcher(model)
+    assert m.score("rotten apples here") == m.score("nothing said here!") < m.score("rotten eggs")
+
+
 def test_op7_folding_exceptions_and_edges(spark):
     model = toxicity.Model({"=idiot": 4.0, "^vequ": 3.0, "=trash": 4.0}, ("trash can",), (-3.0, 1.0, 5.0))
     m = toxicity.Matcher(model)
@@ -398,7 +472,7 @@ def test_op8_finds_all_within_the_budget(spark):
     rnd = random.Random(8)
     words = ["".join(rnd.choice("aeioutrns") for _ in range(rnd.randint(2, 8))) for _ in range(400)]
     say = lambda n: " ".join(rnd.choice(words) for _ in range(n))
-    items = [(i, say(25)) for i in range(12)] + [(12, "short"), (13, None)]
+    items = [(i, say(25)) for i in range(12)] + [(12, "Short  one"), (13, None), (14, " \t"), (0, None)]
     made = []
     for i in range(60):
         t = list(items[i % 12][1])
@@ -406,8 +480,8 @@ def test_op8_finds_all_within_the_budget(spark):
             at = rnd.randrange(len(t))
             t[at : at + 1] = rnd.choice([[], ["x"], [t[at], "y"]])
         made.append(say(30) + "\n " + "".join(t).upper().replace(" ", "  ") + " " + say(30))
-    made += [None, "", say(200)]
-    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    made += [None, "", say(200), "a short one.", "too short one2", "a short tone", "(short\none) short one"]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(made)], "doc_id long, text string, edits int")
     got = sorted((r["doc_id"], r["item_id"], r["edits"]) for r in rows(decontam.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"))))
     want = []
     for d, t in enumerate(made):
@@ -415,7 +489,9 @@ def test_op8_finds_all_within_the_budget(spark):
             n = plain_distance(decontam.normal(item), decontam.normal(t or ""))
             if n <= int(len(decontam.normal(item)) * decontam.RATE):
                 want.append((d, i, n))
-    assert got == sorted(want) and len(want) > 30
+        if re.search(r"(?<!\w)short one(?!\w)", decontam.normal(t or "")):
+            want.append((d, 12, 0))
+    assert got == sorted(want) and sum(i == 12 for _, i, _ in want) == 2 and len(want) > 30
     assert decontam.contaminated(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 

@@ -24,7 +24,7 @@ DISCLOSURE = 0.8
 #: The contract's patterns. Where a match can only begin at the start of a run or behind a match, this is said, so that a
 #: long run without a match costs its length and not its square.
 PATTERNS = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
@@ -49,22 +49,37 @@ def _valid(kind: str, value: Column) -> Column:
     return n.between(16, 19) & F.call_function("luhn_check", _digits(value)) if kind == "card" else n.between(8, 15)
 
 
+#: Places of a block in prefix_sums: arrays grow within a block and by a place for each block, never by one for each value.
+BLOCK = 256
+
+
+def prefix_sums(values: Column) -> Column:
+    """Sums of an int array up to each place, its own value included."""
+    grow = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["out"], F.array(acc["sum"] + x)).alias("out"))
+    running = lambda v, first: F.aggregate(v, F.struct(first.alias("sum"), F.array().cast("array<int>").alias("out")), grow, lambda acc: acc["out"])
+
+    def summed(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - 1, F.lit(0)), F.lit(BLOCK)), lambda at: F.slice(v, at + 1, F.lit(BLOCK)))
+        before = lambda b: F.concat(F.array(F.lit(0)), running(F.transform(b, lambda x: F.aggregate(x, F.lit(0), lambda s, y: s + y)), F.lit(0)))
+        parts = lambda b: F.zip_with(b, F.slice(before(b), F.lit(1), F.size(b)), lambda x, first: running(x, first))
+        return F.flatten(F.transform(F.array(blocks), parts)[0])
+
+    return F.transform(F.array(values), summed)[0]  # bound by a lambda, so that it is computed once
+
+
 def located(text: Column, pattern: Column, kind: str) -> Column:
     """The matches of a pattern in a text, leftmost and not overlapping, as an array of spans in code points.
 
-    Splitting at the same pattern gives what lies between the matches; a match's place is the length of all before it.
+    Splitting at the same pattern gives what lies between the matches; a match's end is the length of all up to it.
     """
     value = F.regexp_extract_all(text, pattern, F.lit(0))
-    steps = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(value)).alias("gap"), value.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    gaps = F.split(text, pattern, -1)
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["value"])
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def placed(both: Column) -> Column:
+        ends = prefix_sums(F.zip_with(both["gaps"], both["values"], lambda g, v: F.length(g) + F.length(v)))
+        return F.zip_with(ends, both["values"], lambda e, v: F.struct(F.lit(kind).alias("kind"), (e - F.length(v)).alias("start"), e.alias("end"), v.alias("value")))
 
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    return F.transform(F.array(F.struct(F.slice(gaps, F.lit(1), F.size(gaps) - 1).alias("gaps"), value.alias("values"))), placed)[0]
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -123,23 +138,25 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with base (spans by pattern) and spans (those, then the disclosing terms' spans of kind "term").
 
     A term's span is left out where it touches a base span. Null and empty texts have no spans; repeated rows get equal
-    spans; very long texts are read whole; an empty table stays empty. Columns called base or spans are replaced.
+    spans; very long texts and matches are read whole, at a cost nearly in proportion to their number; an empty table stays empty. Columns
+    called base or spans are replaced; others may have any name.
     """
     docs = docs.drop("base", "spans")
-    keys = row_key(*docs.columns)
-    slim = with_base_spans(docs.select(F.col(text).alias("text")))
-    some = written(slim.where("size(base) > 0").select("text", "base"), "protected")
-    terms = written(disclosing_terms(docs, some, text), "terms")
-    based = with_base_spans(docs, text)
-    if terms.isEmpty():
-        return based.withColumn("spans", F.col("base"))
-    keyed = docs.select("*", *[k.alias(f"__{n}") for k, n in zip(keys, ("k1", "k2"), strict=True)])
-    hits = keyed.select("__k1", "__k2", F.explode(_terms(F.coalesce(text, F.lit("")))).alias("term")).join(terms.select("term"), "term", "left_semi")
-    hits = written(hits.groupBy("__k1", "__k2").agg(F.collect_set("term").alias("__terms")), "term-hits")
-    joined = with_base_spans(keyed.join(hits, ["__k1", "__k2"], "left"), text)
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.array_sort("__terms"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    found = F.filter(located(F.col(text), pattern, "term"), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return joined.withColumn("spans", F.when(F.col("__terms").isNull(), F.col("base")).otherwise(F.concat("base", found))).drop("__k1", "__k2", "__terms")
+    names = [f"`{c.replace('`', '``')}`" for c in docs.columns]
+    keyed = docs.select(F.struct(*names).alias("row"), F.col(text).alias("text"), *[k.alias(n) for k, n in zip(row_key(*names), ("k1", "k2"), strict=True)])
+    # base spans are located once; rows that have some are few
+    slim = with_base_spans(keyed.select("k1", "k2", "text"))
+    some = written(slim.where("size(base) > 0"), "protected")
+    none = F.array().cast(f"array<{_SPAN}>")
+    terms = written(disclosing_terms(docs, some.select("text", "base"), text), "terms")
+    hits = keyed.select("k1", "k2", F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term")).join(terms.select("term"), "term", "left_semi")
+    facts = hits.select("k1", "k2", "term", F.lit(None).cast(f"array<{_SPAN}>").alias("base")).union(some.select("k1", "k2", F.lit(None).cast("string"), "base"))
+    facts = written(facts.groupBy("k1", "k2").agg(F.collect_set("term").alias("terms"), F.first("base", True).alias("base")), "row-facts")
+    joined = keyed.join(facts, ["k1", "k2"], "left").withColumn("base", F.coalesce("base", none))
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.array_sort("terms"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    found = F.filter(located(F.col("text"), pattern, "term"), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    spans = F.when(F.size("terms") > 0, F.concat("base", found)).otherwise(F.col("base"))
+    return joined.select("row.*", "base", spans.alias("spans"))
 
 
 def listed(spans: Column) -> Column:
