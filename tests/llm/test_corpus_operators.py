@@ -534,46 +534,43 @@ def brute_verdicts(urls):
     for host, path in parsed:
         fit = [(len(t), v) for v, t in urlfilter.RULES for h, _, p in [t.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
         says.append(max(fit)[1] if fit else None)
-    leaf = [""] * len(urls)
-    segs = []
-    for _, path in parsed:
-        s = [x for x in path.split("/") if x]
-        segs.append(s[: urlfilter.DEPTH] + ["**"] if len(s) > urlfilter.DEPTH else s)
-    for level in range(urlfilter.DEPTH + 1):
-        child, node = defaultdict(lambda: [0, 0, 0]), defaultdict(lambda: [0, 0, 0, 0])
-        name = [("*" if re.match(urlfilter._VARIABLE, s[level]) else s[level]) if level < len(s) else None for s in segs]
-        for (h, _), t, s, v in zip(parsed, leaf, name, says, strict=True):
-            if s is not None:
-                c = child[h, t, s]
-                c[0] += 1
-                c[1] += v is not None
-                c[2] += v == "block"
-        for (h, t, _), c in child.items():
-            n = node[h, t]
-            n[0] += 1
-            for i in range(3):
-                n[i + 1] += c[i]
-        for i, ((h, _), s) in enumerate(zip(parsed, name, strict=True)):
-            if s is None:
-                continue
-            (c, l, b), (kinds, nn, nl, nb) = child[h, leaf[i], s], node[h, leaf[i]]
-            if s not in ("*", "**"):
-                if kinds > urlfilter.CHILDREN and nn < urlfilter.RARE * kinds:
-                    s = "*"
-                elif kinds > 1 and nl and l:
-                    share = nb / nl
-                    if abs(b / l - share) <= urlfilter.Z * (max(share * (1 - share), 1e-9) / l) ** 0.5:
-                        s = "~"
-            leaf[i] += "/" + s
-    tally = defaultdict(lambda: [0, 0])
-    for (h, _), t, v in zip(parsed, leaf, says, strict=True):
-        tally[h, t][0] += v == "block"
-        tally[h, t][1] += v is not None
-    out = []
-    for (h, _), t, v in zip(parsed, leaf, says, strict=True):
-        b, l = tally[h, t]
-        out.append(v or ("block" if (b + urlfilter.PRIOR_ROWS * urlfilter.PRIOR_SHARE) / (l + urlfilter.PRIOR_ROWS) >= urlfilter.PURITY else "allow"))
-    return out
+    u, rows_, prior = urlfilter, range(len(urls)), {}
+    segs = [[x for x in path.split("/") if x] for _, path in parsed]
+    depth = max((len(s) for s, v in zip(segs, says, strict=True) if v), default=0)
+    segs = [s[:depth] + ["**"] if len(s) > depth else s for s in segs]
+    at = [(h, "") for h, _ in parsed]
+    mine = [u.PRIOR_SHARE] * len(urls)
+    for level in range(depth + 2):
+        seg = [None if len(s) < level else "" if len(s) == level else "*" if re.match(u._VARIABLE, s[level]) else s[level] for s in segs]
+        child = defaultdict(lambda: [0, 0, 0])
+        for i in rows_:
+            if seg[i] is not None:
+                prior[at[i]] = mine[i]
+                for k, x in enumerate((1, says[i] is not None, says[i] == "block")):
+                    child[at[i], seg[i]][k] += x
+        node = defaultdict(lambda: [0, 0, 0, 0])
+        for (t, s), (n, l, b) in child.items():
+            for k, x in enumerate((s != "", n * (s != ""), l, b)):
+                node[t][k] += x
+        name, part = {}, defaultdict(lambda: [0, 0])
+        for (t, s), (n, l, b) in child.items():
+            kinds, nn, nl, nb = node[t]
+            share = (nb + u.PRIOR_ROWS * prior[t]) / (nl + u.PRIOR_ROWS)
+            far = abs((b + u.PRIOR_ROWS * share) / (l + u.PRIOR_ROWS) - share) > u.Z * (max(share * (1 - share), 1e-9) / (l + u.PRIOR_ROWS)) ** 0.5
+            name[t, s] = s if s in ("", "*", "**") else "*" if kinds > u.CHILDREN and nn < u.RARE * kinds and not l else "~" if kinds > 1 and not far else s
+            part[t, name[t, s]][0] += l
+            part[t, name[t, s]][1] += b
+        for i in rows_:
+            if seg[i] is not None:
+                t, x = at[i], name[at[i], seg[i]]
+                mine[i] = (node[t][3] - part[t, x][1] + u.PRIOR_ROWS * prior[t]) / (node[t][2] - part[t, x][0] + u.PRIOR_ROWS)
+                at[i] = (t[0], t[1] + "/" + x) if x else t
+    tally, low = defaultdict(lambda: [0, 0]), {}
+    for i in rows_:
+        tally[at[i]][0] += says[i] == "block"
+        tally[at[i]][1] += says[i] is not None
+        low[at[i]] = min(low.get(at[i], 1.0), mine[i])
+    return [v or ("block" if (tally[t][0] + u.PRIOR_ROWS * low[t]) / (tally[t][1] + u.PRIOR_ROWS) >= u.PURITY else "allow") for t, v in zip(at, says, strict=True)]
 
 
 def test_op9_equals_brute_force(spark):
@@ -584,7 +581,15 @@ def test_op9_equals_brute_force(spark):
     urls += [f"http://spam.com/en/{i}" for i in range(30)] + ["http://spam.com//en/9"]
     got = {r["page_id"]: r["verdict"] for r in rows(urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")))}
     want = brute_verdicts(urls)
-    assert [got[i] for i in range(len(urls))] == want and want[-1] == "block"
+    assert [got[i] for i in range(len(urls))] == want and set(want) == {"allow", "block"}
+
+
+def test_op9_query_equals_brute_force_and_the_tree_decides(spark):
+    got = sorted(rows(queries.op9_url_filter(spark, SF)), key=lambda r: r["page_id"])
+    pages = sorted(rows(spark.read.parquet(f"{SF}/pages.parquet")), key=lambda r: r["page_id"])
+    want = brute_verdicts([p["url"] for p in pages])
+    assert [r["verdict"] for r in got] == want
+    assert {r["verdict"] for r in got if r["rule"] is None} == {"allow", "block"}
 
 
 def test_op9_labels_give_verdicts_that_no_rule_gives(spark):
@@ -595,7 +600,9 @@ def test_op9_labels_give_verdicts_that_no_rule_gives(spark):
     frame = spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")
     got = {r["page_id"]: r["verdict"] for r in rows(urlfilter.judge(frame, labels=spark.createDataFrame(said, "url string, verdict string")))}
     assert [got[i] for i in range(len(pages))] == ["block", "block", "block", "allow", "allow", "allow", "allow", "block", "allow", "allow"]
-    assert {r["verdict"] for r in rows(urlfilter.judge(frame)) if r["page_id"] < 7} == {"allow"}
+    assert {r["verdict"] for r in rows(urlfilter.judge(frame)) if r["page_id"] < 7} == {"allow"}  # no rule fits their hosts
+    clash = spark.createDataFrame([("http://spam.com/en/1", 1, 2, "x"), ("http://spam.com/en/1", 1, 2, "x")], "url string, __salt int, n int, `a.b` string")
+    assert [(r["verdict"], r["__salt"], r["a.b"]) for r in rows(urlfilter.judge(clash))] == [("block", 1, "x")] * 2
 
 
 # MinHash

@@ -1,13 +1,12 @@
 """URL filters: rules by host and path, and for all other URLs a path-template tree with smoothed labelled purity.
 
 The tree is built level by level as DataFrames, from counts by host and path. Below each node of a host's tree a
-segment that is variable (digits, hexadecimal or a date by form, or one of very many siblings) becomes "*"; siblings
-whose share of blocked labels cannot be told from the node's share become one branch "~". The leaves are the
-templates, and a template whose smoothed share of blocked labels is high enough is rejected.
+segment that is variable by form (digits, hexadecimal or a date) becomes "*"; siblings whose smoothed share of blocked labels can't
+be told from the node's become one branch "~", those with few labels or none too, and what is left of very many siblings
+becomes "*". The leaves are the templates, and a template whose smoothed share of blocked labels is high enough is rejected.
 
-Without a table of labelled URLs the rules' own matches are the labels, and the tree hardly ever says more than they do.
-With one, only its labels count, branches with few labels or none are held against their siblings by smoothed shares,
-and what a branch lacks in labels of its own it takes from around it.
+What a branch lacks in labels of its own it takes from around it. The labels are a table of labelled URLs or, without one, what
+the rules say of the URLs that they fit.
 """
 
 from __future__ import annotations
@@ -15,18 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import written
+from wardline.llm.common import salted_lookup, written
 
-#: Levels of path segments that the tree tells apart; what lies deeper is one remainder segment.
-DEPTH = 4
 #: A node with more distinct children than this, seen fewer than RARE times each on average, has variable children.
 CHILDREN, RARE = 16, 4.0
 #: Two shares differ if they are this many standard errors apart.
 Z = 1.96
 #: Weight and value of the prior share, and the smoothed share from which a template is rejected.
 PRIOR_ROWS, PRIOR_SHARE, PURITY = 2.0, 0.5, 0.8
-#: Columns whose values deal a host's rows out over salts, where a table has them.
-SALT_FROM = ("page_id", "doc_id")
 #: The rules of the contract, as (verdict, host and path).
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
@@ -54,25 +49,8 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def templates(paths: DataFrame) -> DataFrame:
-    """The leaf template of each row of (host, path, n, labelled, blocked), one row for each host and path, in column template."""
-    segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    tree = paths.withColumn("segs", F.when(F.size(segments) > DEPTH, F.concat(F.slice(segments, 1, DEPTH), F.array(F.lit("**")))).otherwise(segments)).withColumn("template", F.lit(""))
-    for level in range(DEPTH + 1):
-        seg = F.get(F.col("segs"), F.lit(level))
-        at = tree.withColumn("seg", F.when(seg.isNull(), F.lit(None)).when(seg.rlike(_VARIABLE), F.lit("*")).otherwise(seg))
-        child = at.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-        node = child.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("n").alias("nn"), F.sum("l").alias("nl"), F.sum("b").alias("nb"))
-        share = F.col("nb") / F.col("nl")
-        far = F.abs(F.col("b") / F.col("l") - share) > Z * F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) / F.col("l"))
-        name = F.when(F.col("seg").isin("*", "**"), F.col("seg")).when((F.col("kinds") > CHILDREN) & (F.col("nn") < RARE * F.col("kinds")), "*").when((F.col("kinds") > 1) & (F.col("nl") > 0) & (F.col("l") > 0) & ~far, "~").otherwise(F.col("seg"))
-        names = child.join(node, ["host", "template"]).select("host", "template", "seg", name.alias("name"))
-        tree = at.join(names, ["host", "template", "seg"], "left").withColumn("template", F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))).drop("seg", "name")
-        tree = written(tree, "template-tree")  # each level reads the one before twice
-    return tree.drop("segs")
-
-
-def labelled_templates(paths: DataFrame) -> DataFrame:
-    """templates() for given labels, with the column prior: the share of blocked labels expected from around the template.
+    """The leaf template of each row of (host, path, n, labelled, blocked), one row for each host and path, in column template, and
+    in column prior the share of blocked labels expected from around the template.
 
     A node's prior comes from the labels outside it, the nearest first: ((b outside, below its parent) + PRIOR_ROWS *
     (the parent's prior)) / ((l outside, below its parent) + PRIOR_ROWS), so no label counts twice. Children whose smoothed share can't
@@ -94,7 +72,7 @@ def labelled_templates(paths: DataFrame) -> DataFrame:
         share = (F.col("nb") + PRIOR_ROWS * F.col("prior")) / (F.col("nl") + PRIOR_ROWS)
         far = F.abs((F.col("b") + PRIOR_ROWS * share) / (F.col("l") + PRIOR_ROWS) - share) > Z * F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) / (F.col("l") + PRIOR_ROWS))
         many = (F.col("kinds") > CHILDREN) & (F.col("nn") < RARE * F.col("kinds"))
-        name = F.when(F.col("seg").isin("", "*", "**"), F.col("seg")).when((F.col("kinds") > 1) & ~far, "~").when(many & (F.col("l") == 0), "*").otherwise(F.col("seg"))
+        name = F.when(F.col("seg").isin("", "*", "**"), F.col("seg")).when(many & (F.col("l") == 0), "*").when((F.col("kinds") > 1) & ~far, "~").otherwise(F.col("seg"))
         names = child.join(node, ["host", "template"]).withColumn("name", name)
         around = names.groupBy("host", "template", "name").agg(((F.min("nb") - F.sum("b") + PRIOR_ROWS * F.min("prior")) / (F.min("nl") - F.sum("l") + PRIOR_ROWS)).alias("around"))
         names = names.select("host", "template", "seg", "name").join(around, ["host", "template", "name"])
@@ -106,31 +84,32 @@ def labelled_templates(paths: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules=RULES, url: str = "url", labels: DataFrame | None = None) -> DataFrame:
     """pages with host, path, template, rule and verdict (allow or block). labels has (url, verdict), pages or others.
 
-    A rule's verdict holds where a rule fits; without labels its matches are also the labels of the tree. Elsewhere the
-    template decides: blocked if (blocked + PRIOR_ROWS * PRIOR_SHARE) / (labelled + PRIOR_ROWS) reaches PURITY, so without
-    labels of its own a template is allowed. With labels the prior comes from around the template instead of
-    PRIOR_SHARE, and a rule's matches say nothing about other URLs. Rows are counted by host and path before anything is dealt out by
-    host, so a host with a third of all pages costs as many rows as it has paths; the verdicts by host and path are
-    joined back over salts. Null and odd urls have empty host and path; repeated rows get equal verdicts; columns
-    of pages called host, path, template, rule or verdict are replaced.
+    A rule's verdict holds where a rule fits; without labels the rules' verdicts are also the labels of the tree. Elsewhere the
+    template decides: blocked if (blocked + PRIOR_ROWS * prior) / (labelled + PRIOR_ROWS) reaches PURITY, where the prior is the
+    share expected from around the template and PRIOR_SHARE on a host without labels. So a host without any is allowed, and a branch
+    without any goes as its host does. With labels a rule's matches say nothing about other URLs. Rows are counted by host and path before
+    anything is dealt out by host, so a host with a third of all pages costs as many rows as it has paths; the verdicts by host and
+    path are joined back over salts.
+
+    Null and odd urls have empty host and path and are judged like a host of that name; very long urls are read whole, and the
+    tree is as deep as the deepest labelled path; a share of exactly PURITY blocks, and of several rules of one length the least by text
+    holds; repeated rows get equal verdicts; an empty table gives no rows. Columns of pages called host, path, template, rule or
+    verdict are replaced; others may have any name.
     """
+    kept = [c for c in pages.columns if c not in ("host", "path", "template", "rule", "verdict")]
+    names = [f"`{c.replace('`', '``')}`" for c in kept]
     host, path = host_and_path(F.col(url))
-    rows = pages.drop("host", "path", "template", "rule", "verdict").withColumn("host", host).withColumn("path", path)
+    rows = pages.select(F.struct(*names).alias("row"), host.alias("host"), path.alias("path"), F.xxhash64(*names).alias("deal"))
     rule, says = rule_columns(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("__says", says)
-    known = F.col("__says").isNotNull()
-    paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count_if(known).alias("labelled"), F.count_if(F.col("__says") == "block").alias("blocked"))
-    if labels is None:
-        leaves = templates(paths).withColumn("prior", F.lit(PRIOR_SHARE))
-    else:
+    rows = rows.withColumn("rule", rule).withColumn("says", says)
+    known = F.col("says").isNotNull() if labels is None else F.lit(False)
+    paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count_if(known).alias("labelled"), F.count_if(known & (F.col("says") == "block")).alias("blocked"))
+    if labels is not None:
         host, path = host_and_path(F.col("url"))
         given = labels.where(F.col("verdict").isin("allow", "block")).select(host.alias("host"), path.alias("path"), F.lit(0).cast("long").alias("n"), F.lit(1).cast("long").alias("labelled"), (F.col("verdict") == "block").cast("long").alias("blocked"))
-        zero = F.lit(0).cast("long")
-        both = given.unionByName(paths.withColumn("labelled", zero).withColumn("blocked", zero))
-        leaves = labelled_templates(both.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]))
+        paths = given.unionByName(paths).groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
+    leaves = templates(paths)
     purity = leaves.groupBy("host", "template").agg(((F.sum("blocked") + PRIOR_ROWS * F.min("prior")) / (F.sum("labelled") + PRIOR_ROWS)).alias("purity"))
-    verdicts = leaves.join(purity, ["host", "template"]).select("host", "path", "template", F.when(F.col("purity") >= PURITY, "block").otherwise("allow").alias("__by_tree"))
-    salts = 16
-    verdicts = verdicts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in SALT_FROM if c in rows.columns], F.col(url)), F.lit(salts)).cast("int"))
-    return salted.join(verdicts, ["host", "path", "__salt"], "left").withColumn("verdict", F.coalesce("__says", "__by_tree")).drop("__says", "__by_tree", "__salt")
+    verdicts = leaves.join(purity, ["host", "template"]).select("host", "path", "template", F.when(F.col("purity") >= PURITY, "block").otherwise("allow").alias("by_tree"))
+    judged = salted_lookup(rows, verdicts, ["host", "path"], ["deal"])
+    return judged.select("row.*", "host", "path", "template", "rule", F.coalesce("says", "by_tree").alias("verdict"))
