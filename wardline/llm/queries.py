@@ -22,6 +22,8 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        (F.size("removed") > 0).alias("has_repeats"),
+        F.call_function("make_valid_utf8", F.col("kept").cast("string")).alias("text"),
     )
 
 

@@ -29,8 +29,8 @@ from wardline.llm.suffix import repeated_windows
 WIDTH, GRAM = 400, 160
 #: Windows of a text that are looked at together; bounds a task's memory whatever a text's length.
 CHUNK = 1 << 20
-#: Bytes in a shard, about.
-SHARD_BYTES = 4 << 20
+#: Bytes in a shard, about: what a suffix array is sorted in without leaving the processor's caches.
+SHARD_BYTES = 1 << 20
 
 _POW, _INV = _powers(_BASE, CHUNK + WIDTH), _powers(pow(_BASE, -1, 2**64), CHUNK + WIDTH)
 _LOW = np.uint64((1 << 24) - 1)
@@ -122,7 +122,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH) -> D
     touched = held.where("segs is not null")
     verdicts = _judged(touched, kinds, width)
 
-    single = marked.where("not whole").select("k1", "k2", "fp", "s", "at")
+    single = kinds.where("c = 1").select("rep.k1", "rep.k2", "fp", "s", "rep.at")
     found = single.join(verdicts, ["fp", "s"]).select("k1", "k2", F.explode("runs").alias("r"), "at").groupBy("k1", "k2").agg(F.collect_set(F.struct((F.col("at") + F.col("r.a")).alias("a"), (F.col("at") + F.col("r.b")).alias("b"))).alias("found"))
     sure = F.transform(F.filter("segs", lambda x: x["whole"]), lambda x: F.struct(x["at"].alias("a"), (x["at"] + x["n"]).alias("b")))
     joined = touched.join(written(found, "found"), ["k1", "k2"], "left").select("row", "data", F.concat(sure, F.coalesce("found", F.array().cast("array<struct<a:int,b:int>>"))).alias("wins"))

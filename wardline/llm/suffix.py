@@ -90,23 +90,28 @@ def _induce_singly(t: np.ndarray, s: np.ndarray, lms: np.ndarray, sigma: int) ->
     head, by = (stop - size).tolist(), t[lms]
     order = np.argsort(by, kind="stable")
     count = np.bincount(by, minlength=sigma)
-    sa = np.full(len(t), -1, np.int64)
+    n = len(t)
+    sa = np.full(n, n, np.int64)
     # the LMS suffixes of a bucket stand at its end, in the order given
     sa[(stop - np.cumsum(count))[by[order]] + np.arange(len(lms))] = lms[order]
-    out, symbol, small = sa.tolist(), t.tolist(), s.tolist()
+    # the symbol to the left of each suffix if that is of one type, else -1; n stands for a place not filled yet
+    left = np.concatenate([[-1], t[:-1], [-1]]).astype(np.int64)
+    small = np.concatenate([[False], s[:-1], [False]])
+    out, large = sa.tolist(), np.where(small, -1, left).tolist()
     for j in out:  # the list is filled while it is read
-        if j > 0 and not small[j - 1]:
-            c = symbol[j - 1]
-            out[head[c]] = j - 1
-            head[c] += 1
-    tail = stop.tolist()
-    for i in range(len(out) - 1, -1, -1):
-        j = out[i] - 1
-        if j >= 0 and small[j]:
-            c = symbol[j]
-            tail[c] -= 1
-            out[tail[c]] = j
-    out[0] = len(t) - 1
+        c = large[j]
+        if c >= 0:
+            h = head[c]
+            out[h] = j - 1
+            head[c] = h + 1
+    tail, lesser = stop.tolist(), np.where(small, left, -1).tolist()
+    for i in range(n - 1, -1, -1):
+        j = out[i]
+        c = lesser[j]
+        if c >= 0:
+            tail[c] = h = tail[c] - 1
+            out[h] = j - 1
+    out[0] = n - 1
     return np.array(out, np.int32)
 
 
