@@ -152,9 +152,10 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     hits = keyed.select("k1", "k2", F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term")).join(terms.select("term"), "term", "left_semi")
     facts = hits.select("k1", "k2", "term", F.lit(None).cast(f"array<{_SPAN}>").alias("base")).union(some.select("k1", "k2", F.lit(None).cast("string"), "base"))
     facts = written(facts.groupBy("k1", "k2").agg(F.collect_set("term").alias("terms"), F.first("base", True).alias("base")), "row-facts")
-    joined = keyed.join(facts, ["k1", "k2"], "left").withColumn("base", F.coalesce("base", none))
+    body = F.col("row").getField(text)  # a text travels once, in its row
+    joined = keyed.select("row", "k1", "k2").join(facts, ["k1", "k2"], "left").withColumn("base", F.coalesce("base", none))
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.array_sort("terms"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    found = F.filter(located(F.col("text"), pattern, "term"), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    found = F.filter(located(body, pattern, "term"), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     spans = F.when(F.size("terms") > 0, F.concat("base", found)).otherwise(F.col("base"))
     return joined.select("row.*", "base", spans.alias("spans"))
 

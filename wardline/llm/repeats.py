@@ -118,7 +118,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH) -> D
     marked = again.join(kinds.select("fp", "s", "rep", "c"), ["fp", "s"], "left").select("k1", "k2", "fp", "s", "at", "n", (~F.col("mixed") | (F.coalesce("c", F.lit(2)) > 1)).alias("whole"), (F.col("rep") == F.struct("k1", "k2", "at")).alias("rep"))
     # a set: rows that repeat have one key and the same segments
     lists = marked.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "n", "fp", "s", "whole", F.coalesce("rep", F.lit(False)).alias("rep"))).alias("segs"))
-    held = written(keyed.join(written(lists, "row-segments"), ["k1", "k2"], "left"), "held")
+    # a text travels once, in its row
+    held = written(keyed.select("row", "k1", "k2").join(written(lists, "row-segments"), ["k1", "k2"], "left"), "held")
+    held = held.withColumn("data", F.coalesce(F.col("row").getField(text), F.lit("")).cast("binary"))
     touched = held.where("segs is not null")
     verdicts = _judged(touched, kinds, width)
 
