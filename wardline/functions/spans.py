@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SPAN = "struct<start:int,end:int,value:string>"
 EMPTY = "array<struct<start:int,end:int,value:string>>"
@@ -26,12 +22,14 @@ def no_spans() -> Column:
     return F.array().cast(EMPTY)
 
 
-def located(text: Column, pattern: str) -> Column:
+def located(text: Column, pattern: str | Column) -> Column:
     """All matches, leftmost first and not overlapping, as (start, end, value) in code points.
 
-    What lies between matches comes from splitting at the same pattern; a match starts where all before it ends.
+    What lies between matches comes from splitting at the same pattern; a match starts where all before it ends. The array grows
+    by a place for each match: this is for messages, whose length is limited.
     """
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    value = F.regexp_extract_all(text, pattern, F.lit(0))
     steps = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(value)).alias("gap"), value.alias("value"))
     begin = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
 
@@ -40,12 +38,13 @@ def located(text: Column, pattern: str) -> Column:
         end = start + F.length(x["value"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(steps, begin, step, lambda acc: acc["out"])).otherwise(no_spans())
+    return F.when(F.rlike(text, pattern), F.aggregate(steps, begin, step, lambda acc: acc["out"])).otherwise(no_spans())
 
 
 def located_any(text: Column, patterns, fold: bool = True) -> Column:
     """Matches of several patterns, sorted and distinct. One look at all of them spares most texts the rest."""
-    found = F.concat(*[located(text, rx(p, fold)) for p in patterns])
+    each = F.array(*[F.lit(rx(p, fold)) for p in patterns])
+    found = F.flatten(F.transform(each, lambda p: located(text, p)))
     return F.when(text.rlike(rx(any_of(patterns), fold)), F.array_sort(F.array_distinct(found))).otherwise(no_spans())
 
 
@@ -71,17 +70,11 @@ def clauses(text: Column, pattern: str) -> Column:
     return F.aggregate(F.arrays_zip(parts.alias("part"), breaks.alias("gap")), begin, step, lambda acc: acc["out"])
 
 
-def settled(df: DataFrame, name: str | None = None, kind: T.DataType | None = None, make: Callable[[pa.RecordBatch], pa.Array] | None = None) -> DataFrame:
-    """df with its columns computed here and once, and with one more if a helper in Python makes it from each Arrow batch.
+def settled(df: DataFrame) -> DataFrame:
+    """df with its columns computed here and once.
 
-    It is a step over Arrow batches that the optimiser can't see through. Without it, an expression that is used once, inside
-    a lambda, is copied there and evaluated for every element, and projections are merged into ever larger ones.
+    Coalescing to more partitions than there are changes nothing, but the optimiser leaves projections above and below it apart,
+    and still drops columns that nobody reads. Without it, an expression that is used once, inside a lambda, is copied there
+    and evaluated for every element, and projections are merged into ever larger ones.
     """
-    if name is None:
-        return df.mapInArrow(lambda batches: batches, df.schema)
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, make(b)], names=[*b.schema.names, name])
-
-    return df.mapInArrow(extend, T.StructType([*df.schema.fields, T.StructField(name, kind)]))
+    return df.coalesce(1 << 20)

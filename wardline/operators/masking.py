@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import lexicon as lx
-from wardline.functions.spans import located
 
 KINDS = ("credentials", "query", "email", "iban", "card", "ssn", "phone", "otp")
 
@@ -26,11 +25,12 @@ def iban_ok(value: Column) -> Column:
 
 
 def _swap(text: Column, pattern: str, put: str, fits) -> tuple[Column, Column]:
-    """The text with every match that fits replaced, and how many were."""
-    spans = F.filter(located(text, pattern), lambda s: fits(s["value"]))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(put)).alias("out"))
-    return F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text)))), F.size(spans)
+    """The text with every match that fits replaced, and how many were: what lies between the matches, and the matches or
+    what is put for them, joined in order. Texts without a match are left alone."""
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    may = text.rlike(pattern)
+    pieces = F.zip_with(F.split(text, pattern, -1), values, lambda gap, v: F.concat(gap, F.when(v.isNull(), "").when(fits(v), put).otherwise(v)))
+    return F.when(may, F.array_join(pieces, "")).otherwise(text), F.when(may, F.size(F.filter(values, fits))).otherwise(0)
 
 
 def mask_text(df: DataFrame, text: str, out: str = "masked_text", counts: str = "mask_counts") -> DataFrame:
@@ -49,7 +49,8 @@ def mask_text(df: DataFrame, text: str, out: str = "masked_text", counts: str =
     ]
     for i, (kind, pattern, put, fits) in enumerate(steps):
         t, p = F.col("__t"), "(?U)" + pattern
-        new, n = (F.regexp_replace(t, p, put), F.regexp_count(t, F.lit(p))) if fits is None else _swap(t, p, put, fits)
+        may = t.rlike(p)
+        new, n = (F.when(may, F.regexp_replace(t, p, put)).otherwise(t), F.when(may, F.regexp_count(t, F.lit(p))).otherwise(0)) if fits is None else _swap(t, p, put, fits)
         d = d.withColumns({f"__n{i}": n, "__t": new})
         tally[kind].append(f"__n{i}")
     pairs = F.array(*[F.struct(F.lit(k).alias("k"), sum((F.col(c) for c in cols[1:]), F.col(cols[0])).alias("v")) for k, cols in tally.items()])

@@ -6,6 +6,7 @@ clauses are nested higher-order functions over the clauses of the text. Nothing
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -98,9 +99,8 @@ def with_context(signals: DataFrame) -> DataFrame:
     mails = F.transform("emails", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), F.lower(F.substring_index(e["value"], "@", -1)).alias("host")))
     d = d.withColumn("__own", own).withColumn("__mailed", F.concat(mails, F.col("__own")))
     hosts = F.concat(F.transform("urls", lambda u: u["host"]), F.transform("__mailed", lambda m: m["host"]))
-    d = settled(d.withColumn("__hosts", F.when(F.size(hosts) > 0, hosts)), "__imitates", br.IMITATION_TYPE, br.imitations)
+    d = settled(settled(d).withColumn("__imitates", br.imitations(F.when(F.size(hosts) > 0, hosts))))
     spoof = lambda u: (u["has_homoglyphs"] | u["is_punycode"]) & u["official"].isNotNull()
-    # zipped, so that no lambda holds the helper's column: the optimiser would put the helper itself there
     link_pairs = F.arrays_zip(F.col("urls").alias("u"), F.slice("__imitates", 1, F.size("urls")).alias("i"))
     mail_pairs = F.arrays_zip(F.col("__mailed").alias("m"), F.slice("__imitates", F.size("urls") + 1, F.size("__mailed")).alias("i"))
     links = F.transform(F.when(F.size("urls") > 0, link_pairs), lambda x: F.struct(x["u"]["start"].alias("start"), x["u"]["end"].alias("end"), x["u"]["host"].alias("host"), x["u"]["registrable"].alias("registrable"), x["u"]["official"].alias("official"), spoof(x["u"]).alias("spoofed"), (x["u"]["has_homoglyphs"] | x["u"]["is_punycode"]).alias("odd"), x["i"].alias("imitates"), (F.array_contains("quality_flags", "from_image") & ~spoof(x["u"]) & F.coalesce(x["i"]["one_off"], F.lit(False))).alias("ocr_typo")))
@@ -111,7 +111,8 @@ def with_context(signals: DataFrame) -> DataFrame:
     d = d.withColumn("ocr_typos", F.filter("__links", lambda u: u["ocr_typo"]))
     d = d.withColumn("bad_link", F.exists("urls", lambda u: u["is_ip_literal"] | u["has_homoglyphs"] | u["is_punycode"] | u["official"].isNull()))
     asks, protects = credential_spans(F.col("analysis_text"), F.col("bad_link"))
-    return d.withColumn("asks_spans", asks).withColumn("protects_spans", protects)
+    d = d.withColumns({"asks_spans": asks, "protects_spans": protects})
+    return settled(d).withColumns({"__look": _lookalikes(), "__away": _mismatches()})
 
 
 def _lookalikes() -> Column:
@@ -202,8 +203,8 @@ def _detectors() -> dict[str, Callable[[], tuple[Column | None, Column, Column]]
         said = F.filter(parts, lambda p: p.isNotNull())
         return F.size(said) > 0, F.concat(F.lit("Obfuscation: "), F.array_join(said, "; ")), _obfuscation_spans()
 
-    def authority():
-        generic = located_any(text, lx.AUTHORITY)
+    def authority(placed: bool = True):
+        generic = located_any(text, lx.AUTHORITY) if placed else no_spans()
         claimed = F.coalesce("claimed_sender", F.lit(""))
         org = (claimed != "") & (claimed.rlike(rx(lx.ORG_WORD)) | claimed.rlike(rx(lx.EXECUTIVE)) | F.col("__meta").isNotNull())
         who = F.filter(F.array(br.brand_field(F.col("claimed_brand"), "display"), F.when(org, F.concat(F.lit("'"), claimed, F.lit("'")))), lambda w: w.isNotNull())
@@ -218,15 +219,15 @@ def _detectors() -> dict[str, Callable[[], tuple[Column | None, Column, Column]]
             return F.when(fires, F.concat(shifted(verb, c["start"]), phone)).otherwise(no_spans())
 
         pressed = text.rlike(rx(any_of(lx.WORDS["URGENCY"] + lx.WORDS["THREAT"] + lx.CALL_CONTEXT)))
-        spans = F.when(authority()[0] & pressed & text.rlike(rx(lx.CALL_VERB)), F.flatten(F.transform(clauses(text, rx(lx.CLAUSE_BREAK)), in_clause))).otherwise(no_spans())
+        spans = F.when(authority(False)[0] & pressed & text.rlike(rx(lx.CALL_VERB)), F.flatten(F.transform(clauses(text, rx(lx.CLAUSE_BREAK)), in_clause))).otherwise(no_spans())
         return listed(spans, "Wants you to call a number from the message")
 
     def lookalike():
-        items = _lookalikes()
+        items = F.col("__look")
         return F.size(items) > 0, F.concat(F.lit("Lookalike domain: "), _said(items)), _placed(items)
 
     def mismatch():
-        items = _mismatches()
+        items = F.col("__away")
         return F.size(items) > 0, F.concat(F.lit("Sender mismatch: "), _said(items)), F.concat(F.slice("brand_spans", 1, 1), _placed(items))
 
     def links(pick, reason):
@@ -271,29 +272,41 @@ DETECTORS: dict[str, Callable[[], tuple[Column | None, Column, Column]]] = {}
 
 
 def evaluate(signals: DataFrame, config: Config | None = None) -> DataFrame:
-    """Adds hits (in order of weight), fired (rule names), rule_raw, rule_score, critical_combo and combo_reason."""
+    """Adds hits (in order of weight), fired (rule names), rule_raw, rule_score, critical_combo and combo_reason.
+
+    Whether a rule fires is a column of its own, and names and sums come from these. Spans, snippets and reasons are made for rows
+    that fired, in hits only, and not at all where nobody reads hits.
+    """
     config = config or Config()
     text, ok = F.col("analysis_text"), F.col("status") == "OK"
-    d = settled(with_context(signals))
     specs = {name: (ident, category) for ident, name, category in lx.RULES}
     found = {name: detect() for name, detect in (_detectors() | DETECTORS).items()}
-    d = settled(d.withColumns({f"__s_{name}": F.when(ok, spans.cast(SPANS)) for name, (_, _, spans) in found.items()}))
-    columns = {}
-    for name, (fired, reason, _) in found.items():
+    # rules without a test of their own fire where they have spans
+    listed = {f"__s_{name}": F.when(ok, spans.cast(SPANS)) for name, (fired, _, spans) in found.items() if fired is None}
+    d = settled(settled(with_context(signals)).withColumns(listed))
+    tests = {f"__f_{name}": F.coalesce(ok & (F.size(F.col(f"__s_{name}")) > 0 if fired is None else fired), F.lit(False)) for name, (fired, _, _) in found.items()}
+    d = settled(d.withColumns(tests))
+    # an attacker can write these rules' words: they don't count beside anything suspicious
+    suspicious = [F.col(f"__f_{n}") for n in found if specs.get(n, (n, "lure"))[1] in ("request", "obfuscation", "link") or n in lx.IMPERSONATIONS]
+    clear = ~functools.reduce(Column.__or__, suspicious)
+    counts = {n: F.col(f"__f_{n}") & clear if n in lx.SELF_WRITTEN else F.col(f"__f_{n}") for n in found}
+    weights = {n: config.weights.get(n, 0) for n in found}
+    # penalties first, the heaviest first
+    order = sorted(found, key=lambda n: (weights[n] < 0, -abs(weights[n]), specs.get(n, (n,))[0]))
+    d = d.withColumn("fired", F.array_compact(F.array(*[F.when(counts[n], F.lit(n)) for n in order])))
+    d = d.withColumn("rule_raw", functools.reduce(Column.__add__, [F.when(counts[n], F.lit(weights[n])).otherwise(0) for n in order]))
+    d = d.withColumn("rule_score", F.greatest(F.lit(0), F.least(F.lit(100), F.col("rule_raw"))))
+
+    def hit(name: str) -> Column:
         ident, category = specs.get(name, (name, "lure"))
-        spans = F.col(f"__s_{name}")
-        fired = F.size(spans) > 0 if fired is None else fired
-        snippets = F.slice(F.array_distinct(F.transform(F.filter(spans, lambda s: s["end"] > s["start"]), lambda s: F.substr(text, s["start"] + 1, s["end"] - s["start"]))), 1, 5)
-        hit = F.struct(F.lit(ident).alias("rule_id"), F.lit(name).alias("name"), F.lit(category).alias("category"), F.lit(config.weights.get(name, 0)).alias("weight"), reason.alias("reason"), spans.alias("spans"), snippets.alias("snippets"))
-        columns["__" + ident] = F.when(ok & fired, hit)
-    d = d.withColumns(columns)
-    hits = F.filter(F.array(*columns), lambda h: h.isNotNull())
-    suspicious = F.exists(hits, lambda h: h["category"].isin("request", "obfuscation", "link") | h["name"].isin(*lx.IMPERSONATIONS))
-    kept = F.filter(hits, lambda h: ~(F.col("__suspicious") & h["name"].isin(*lx.SELF_WRITTEN)))
-    by_weight = F.transform(F.array_sort(F.transform(kept, lambda h: F.struct((h["weight"] < 0).alias("benign"), (-F.abs(h["weight"])).alias("w"), h["rule_id"].alias("id"), h.alias("hit")))), lambda x: x["hit"])
-    d = settled(d.select(*[c for c in d.columns if not c.startswith(("__s_", "__links", "__mail", "__own", "__hosts", "__imitates", "__claims", "__meta"))])).withColumn("__suspicious", suspicious).withColumn("hits", by_weight).drop(*columns, "__suspicious")
-    d = d.withColumn("fired", F.transform("hits", lambda h: h["name"]))
-    d = d.withColumn("rule_raw", F.aggregate("hits", F.lit(0), lambda a, h: a + h["weight"])).withColumn("rule_score", F.greatest(F.lit(0), F.least(F.lit(100), F.col("rule_raw"))))
+        fired, reason, spans = found[name]
+        spans = F.col(f"__s_{name}") if fired is None else spans.cast(SPANS)
+        snippets = lambda s: F.slice(F.array_distinct(F.transform(F.filter(s, lambda x: x["end"] > x["start"]), lambda x: F.substr(text, x["start"] + 1, x["end"] - x["start"]))), 1, 5)
+        one = lambda s: F.struct(F.lit(ident).alias("rule_id"), F.lit(name).alias("name"), F.lit(category).alias("category"), F.lit(weights[name]).alias("weight"), reason.alias("reason"), s.alias("spans"), snippets(s).alias("snippets"))
+        return F.when(counts[name], F.transform(F.array(spans), one)[0])
+
+    d = d.withColumn("hits", F.array_compact(F.array(*[hit(n) for n in order])))
+    d = settled(d.select(*[c for c in d.columns if not c.startswith(("__s_", "__f_", "__links", "__mail", "__own", "__look", "__away", "__imitates", "__claims", "__meta"))]))
     asked = F.array_intersect("fired", F.array(*map(F.lit, lx.REQUESTS)))
     posed = F.array_intersect("fired", F.array(*map(F.lit, lx.IMPERSONATIONS)))
     verified = F.col("known_contact") | F.coalesce("trusted_sender", F.lit(False))

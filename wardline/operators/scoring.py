@@ -21,11 +21,16 @@ def tier_rank(tier: Column) -> Column:
     return F.coalesce(*[F.when(tier == t, F.lit(i)) for i, t in enumerate(TIERS)], F.lit(-1))
 
 
-def confidence_table(spark, config: Config) -> DataFrame:
-    """(mode, diff, edge, confidence): every confidence there can be, rounded as the exact binary value rounds; 3 333 rows."""
-    caps = {"hybrid": config.hybrid_cap, "rules_only": config.rules_cap, "rules_only_fallback": config.fallback_cap}
-    rows = [(m, d, e, round(cap * (1.0 - d / 100) * min(1.0, 0.5 + e / 20), 2)) for m, cap in caps.items() for d in range(101) for e in range(11)]
-    return spark.createDataFrame(rows, "mode string, diff int, edge int, confidence double")
+MODES = ("hybrid", "rules_only", "rules_only_fallback")
+
+
+def confidence_of(mode: Column, diff: Column, edge: Column, config: Config) -> Column:
+    """Confidence by mode, disagreement (0 to 100) and distance to a tier's edge (0 to 10), out of a literal list of all 3 333
+    values: each is rounded as its exact binary value rounds, which a product of columns would not be."""
+    caps = (config.hybrid_cap, config.rules_cap, config.fallback_cap)
+    values = [round(cap * (1.0 - d / 100) * min(1.0, 0.5 + e / 20), 2) for cap in caps for d in range(101) for e in range(11)]
+    place = F.coalesce(*[F.when(mode == m, F.lit(i)) for i, m in enumerate(MODES)]) * 1111 + diff * 11 + edge
+    return F.get(F.split(F.lit(" ".join(map(repr, values))), " ").cast("array<double>"), place)
 
 
 def score(evaluated: DataFrame, config: Config | None = None) -> DataFrame:
@@ -62,8 +67,7 @@ def score(evaluated: DataFrame, config: Config | None = None) -> DataFrame:
     d = d.withColumn("adjustments", F.filter(says, lambda s: s.isNotNull()))
     edge = F.least(*[F.abs(F.col("score") - t) for t in (config.medium, config.high, config.critical)], F.lit(10))
     d = d.withColumn("diff", F.when(blend, F.abs(rules - llm)).otherwise(0).cast("int")).withColumn("edge", F.coalesce(edge, F.lit(0)).cast("int"))
-    table = F.broadcast(confidence_table(d.sparkSession, config))  # 3 333 rows, whatever the input
-    d = d.join(table, ["mode", "diff", "edge"], "left").withColumn("confidence", F.when(ok, F.col("confidence")))
+    d = d.withColumn("confidence", F.when(ok, confidence_of(F.col("mode"), F.col("diff"), F.col("edge"), config)))
     d = settled(d)
     part = F.when(blend, F.lit(config.rules_weight)).otherwise(1.0)
     by_rule = F.transform("hits", lambda h, i: F.struct(F.round(h["weight"] * part, 1).alias("contribution"), i.alias("i"), h["name"].alias("name"), F.lit("rule").alias("source"), h["reason"].alias("detail")))

@@ -66,5 +66,6 @@ def templated(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = [(i, c, s, w, k, t) for i, (c, s, w, k, t, _) in enumerate(TEMPLATES)]
     table = F.broadcast(spark.createDataFrame(kinds, "tid int, channel string, sender_id string, claimed_sender string, known_contact boolean, template string"))  # 27 rows
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey"), F.col("o_custkey").cast("string").alias("user_id"), (F.col("o_orderkey") % len(TEMPLATES)).cast("int").alias("tid"))
-    d = orders.join(table, "tid")
+    # a few bytes of each order make a message that costs milliseconds: files of orders are too few partitions for that
+    d = orders.repartition(4 * spark.sparkContext.defaultParallelism).join(table, "tid")
     return d.select(F.col("o_orderkey").cast("string").alias("msg_id"), "user_id", F.replace("template", F.lit("{n}"), F.col("o_orderkey").cast("string")).alias("text"), "channel", "sender_id", "claimed_sender", "known_contact", "tid")
