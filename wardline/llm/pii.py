@@ -18,6 +18,8 @@ from wardline.llm.common import row_key, salted_lookup, written
 KINDS = ("email", "ip", "card", "phone")
 #: Least length of a term, documents with entity and term from which p(e | t) counts as estimated, standard errors of its bound below.
 TERM_CHARS, SUPPORT, Z = 3, 3, 1.96
+#: Disclosing terms up to which they are broadcast to the documents.
+BROADCAST_TERMS = 200_000
 #: Share of an entity's information content from which a term discloses it.
 DISCLOSURE = 0.8
 
@@ -149,7 +151,10 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     some = written(slim.where("size(base) > 0"), "protected")
     none = F.array().cast(f"array<{_SPAN}>")
     terms = written(disclosing_terms(docs, some.select("text", "base"), text), "terms")
-    hits = keyed.select("k1", "k2", F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term")).join(terms.select("term"), "term", "left_semi")
+    listed = terms.select("term")
+    if listed.count() <= BROADCAST_TERMS:  # else both sides are shuffled
+        listed = F.broadcast(listed)
+    hits = keyed.select("k1", "k2", F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term")).join(listed, "term", "left_semi")
     facts = hits.select("k1", "k2", "term", F.lit(None).cast(f"array<{_SPAN}>").alias("base")).union(some.select("k1", "k2", F.lit(None).cast("string"), "base"))
     facts = written(facts.groupBy("k1", "k2").agg(F.collect_set("term").alias("terms"), F.first("base", True).alias("base")), "row-facts")
     body = F.col("row").getField(text)  # a text travels once, in its row
