@@ -266,11 +266,6 @@ def trusted_senders(spark, sf_dir):
     return casestore.trusted_senders(d)
 
 
-@query()
-def sender_hashes(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", casestore.keyed_hash(F.col("c_name"), _PEPPER).alias("user_hash"))
-
-
 # evaluation: labels are the truth, a document's quality stands for its tier
 
 _RECORDS = "(SELECT l.doc_id AS id, CASE WHEN toxic = 1 THEN 'scam' ELSE 'legit' END AS label, CASE l.doc_id % 5 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'HIGH' WHEN 3 THEN 'CRITICAL' ELSE 'INSUFFICIENT' END AS tier, CASE WHEN quality = 1 THEN 'dev' ELSE 'holdout' END AS split, lang AS category, n_chars::DOUBLE AS latency_ms FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"

@@ -19,22 +19,27 @@ def read_labelled(spark: SparkSession, path: str, split: str | None = None) -> D
 def parse_payloads(requests: DataFrame, body: str = "payload", most_bytes: int = 64_000) -> DataFrame:
     """Adds code, error and the message's columns. The first fault counts: too large, not an object, channel, field types, lines."""
     raw = F.col(body)
-    kind = lambda name: F.regexp_extract(raw, rf'"{name}"\s*:\s*(.)', 1)
+    kind = lambda name: F.schema_of_variant(F.try_variant_get(F.try_parse_json(raw), f"$.{name}", "variant"))
     p = F.from_json(raw, PAYLOAD)
     d = requests.withColumn("__p", p).withColumn("__ocr", F.from_json("__p.ocr", OCR))
-    string = lambda name: (kind(name) == "") | (kind(name) == '"') | (kind(name) == "n")
-    flag = lambda name: F.coalesce(F.col(f"__p.{name}"), F.lit("false")).isin("true", "false") & (kind(name) != '"')
+    of = lambda name, *kinds: F.coalesce(kind(name).isin(*kinds, "VOID"), F.lit(True))  # noqa: E731  a field may be null or missing
     lines = F.col("__ocr.lines")
-    fault = (
-        F.when(F.octet_length(raw) > most_bytes, F.struct(F.lit(413).alias("code"), F.lit("body too large").alias("error")))
-        .when(F.call_function("json_object_keys", raw).isNull(), F.struct(F.lit(400).alias("code"), F.lit("body must be a JSON object").alias("error")))
-        .when(~F.coalesce(F.col("__p.channel"), F.lit("sms")).isin("sms", "email", "chat"), F.struct(F.lit(400), F.lit("channel must be sms, email or chat")))
-        .when(~string("sender_id"), F.struct(F.lit(400), F.lit("sender_id must be a string"))).when(~string("claimed_sender"), F.struct(F.lit(400), F.lit("claimed_sender must be a string")))
-        .when(~flag("known_contact"), F.struct(F.lit(400), F.lit("known_contact must be a boolean"))).when(~flag("trusted_sender"), F.struct(F.lit(400), F.lit("trusted_sender must be a boolean")))
-        .when(F.col("__p.ocr").isNotNull() & lines.isNull(), F.struct(F.lit(400), F.lit("ocr.lines must be a list"))).when(F.size(lines) > 400, F.struct(F.lit(400), F.lit("too many OCR lines")))
-        .when(F.exists(lines, lambda l: l["text"].isNull()), F.struct(F.lit(400), F.lit("each OCR line needs text"))).when(F.exists(lines, lambda l: F.coalesce(F.size(l["bbox"]) != 4, F.lit(True))), F.struct(F.lit(400), F.lit("each OCR line needs bbox [x0, y0, x1, y1]")))
-        .when(F.col("__p.ocr").isNull() & ~string("text"), F.struct(F.lit(400), F.lit("text must be a string")))
-    )
+    wrong = {
+        "channel must be sms, email or chat": ~F.coalesce(F.col("__p.channel"), F.lit("sms")).isin("sms", "email", "chat"),
+        "sender_id must be a string": ~of("sender_id", "STRING"),
+        "claimed_sender must be a string": ~of("claimed_sender", "STRING"),
+        "known_contact must be a boolean": ~of("known_contact", "BOOLEAN"),
+        "trusted_sender must be a boolean": ~of("trusted_sender", "BOOLEAN"),
+        "ocr.lines must be a list": F.col("__p.ocr").isNotNull() & lines.isNull(),
+        "too many OCR lines": F.size(lines) > 400,
+        "each OCR line needs text": F.exists(lines, lambda l: l["text"].isNull()),
+        "each OCR line needs bbox [x0, y0, x1, y1]": F.exists(lines, lambda l: F.coalesce(F.size(l["bbox"]) != 4, F.lit(True))),
+        "text must be a string": F.col("__p.ocr").isNull() & ~of("text", "STRING"),
+    }
+    says = lambda code, error: F.struct(F.lit(code).alias("code"), F.lit(error).alias("error"))
+    fault = F.when(F.octet_length(raw) > most_bytes, says(413, "body too large")).when(F.call_function("json_object_keys", raw).isNull(), says(400, "body must be a JSON object"))
+    for error, test in wrong.items():
+        fault = fault.when(test, says(400, error))
     field = lambda name: F.nullif(F.left(F.trim(f"__p.{name}"), F.lit(200)), F.lit(""))
     d = d.withColumn("__f", fault)
     return d.select(
