@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPAN = "struct<start:int,end:int,value:string>"
 EMPTY = "array<struct<start:int,end:int,value:string>>"
@@ -78,3 +82,14 @@ def settled(df: DataFrame) -> DataFrame:
     and evaluated for every element, and projections are merged into ever larger ones.
     """
     return df.coalesce(1 << 20)
+
+
+def extended(df: DataFrame, name: str, kind: T.DataType, make: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
+    """df with one more column that a helper in Python makes from each Arrow batch. Not a function column: the optimiser
+    would put that into lambdas that use it, where Python can't be called."""
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, make(b)], names=[*b.schema.names, name])
+
+    return df.mapInArrow(extend, T.StructType([*df.schema.fields, T.StructField(name, kind)]))

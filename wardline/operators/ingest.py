@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from wardline.config import Config
 from wardline.functions import lexicon as lx
-from wardline.functions.spans import located, rx, settled, starts_in
+from wardline.functions.spans import extended, located, rx, settled, starts_in
 from wardline.operators.brands import official_brand, registrable_domain
 
 CHANNELS = ("sms", "email", "chat")
@@ -31,9 +31,9 @@ def _class(chars: str) -> str:
     return "".join(f"\\x{{{ord(c):x}}}" for c in chars)
 
 
-@F.arrow_udf(T.StringType())
-def nfkc(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
+def _nfkc(batch: pa.RecordBatch) -> pa.Array:
+    texts = batch.column(batch.schema.get_field_index("__plain")).to_pylist()
+    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts], pa.string())
 
 
 def parse_channel(channel: Column) -> Column:
@@ -63,7 +63,7 @@ def normalise(messages: DataFrame, config: Config) -> DataFrame:
         .when(F.col("original_length") > config.reject_over, "too_long").when(F.regexp_replace(raw, _SPACE_ENDS, "") == "", "empty")
     )
     m = m.withColumn("__early", early).withColumn("__ascii", raw.rlike(r"^\p{ASCII}*$"))
-    m = settled(m.withColumn("__nfkc", nfkc(F.when(F.col("__early").isNull() & ~F.col("__ascii"), raw))))
+    m = extended(m.withColumn("__plain", F.when(F.col("__early").isNull() & ~F.col("__ascii"), raw)), "__nfkc", T.StringType(), _nfkc)
     display = F.when(F.col("__early").isNull(), F.coalesce("__nfkc", raw))
     m = m.withColumn("__display", display).withColumn("truncated", F.coalesce(F.length("__display") > config.truncate_at, F.lit(False)))
     m = m.withColumn("display_text", F.coalesce(F.left("__display", F.lit(config.truncate_at)), F.lit("")))
@@ -96,7 +96,7 @@ def normalise(messages: DataFrame, config: Config) -> DataFrame:
     hidden = F.filter(F.sequence(F.lit(0), F.length("display_text")), lambda i: (i < F.length("display_text")) & F.substr(F.col("display_text"), i + 1, F.lit(1)).rlike(f"[{both}]"))
     m = m.withColumn("hidden_positions", F.when(ok & (F.col("zero_width_removed") > 0), hidden).otherwise(F.array().cast("array<int>")))
     m = m.withColumns({c: F.when(ok, F.col(c)).otherwise("") for c in ("analysis_text", "clean_text")}).withColumn("mixed_script_words", F.when(ok, F.col("mixed_script_words")).otherwise(F.array().cast("array<string>")))
-    return m.drop("__raw", "__early", "__ascii", "__nfkc", "__display", "__flag")
+    return m.drop("__raw", "__early", "__ascii", "__nfkc", "__plain", "__display", "__flag")
 
 
 def to_display(position: Column, hidden: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wardline.config import Config
 from wardline.functions import lexicon as lx
-from wardline.functions.spans import any_of, clauses, located, located_any, no_spans, rx, settled, shifted, starts_in
+from wardline.functions.spans import any_of, clauses, extended, located, located_any, no_spans, rx, settled, shifted, starts_in
 from wardline.operators import brands as br
 
 HIT = "struct<rule_id:string,name:string,category:string,weight:int,reason:string,spans:array<struct<start:int,end:int>>,snippets:array<string>>"
@@ -99,7 +99,7 @@ def with_context(signals: DataFrame) -> DataFrame:
     mails = F.transform("emails", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), F.lower(F.substring_index(e["value"], "@", -1)).alias("host")))
     d = d.withColumn("__own", own).withColumn("__mailed", F.concat(mails, F.col("__own")))
     hosts = F.concat(F.transform("urls", lambda u: u["host"]), F.transform("__mailed", lambda m: m["host"]))
-    d = settled(settled(d).withColumn("__imitates", br.imitations(F.when(F.size(hosts) > 0, hosts))))
+    d = extended(d.withColumn("__hosts", F.when(F.size(hosts) > 0, hosts)), "__imitates", br.IMITATIONS, br.imitations)
     spoof = lambda u: (u["has_homoglyphs"] | u["is_punycode"]) & u["official"].isNotNull()
     link_pairs = F.arrays_zip(F.col("urls").alias("u"), F.slice("__imitates", 1, F.size("urls")).alias("i"))
     mail_pairs = F.arrays_zip(F.col("__mailed").alias("m"), F.slice("__imitates", F.size("urls") + 1, F.size("__mailed")).alias("i"))
@@ -306,7 +306,7 @@ def evaluate(signals: DataFrame, config: Config | None = None) -> DataFrame:
         return F.when(counts[name], F.transform(F.array(spans), one)[0])
 
     d = d.withColumn("hits", F.array_compact(F.array(*[hit(n) for n in order])))
-    d = settled(d.select(*[c for c in d.columns if not c.startswith(("__s_", "__f_", "__links", "__mail", "__own", "__look", "__away", "__imitates", "__claims", "__meta"))]))
+    d = settled(d.select(*[c for c in d.columns if not c.startswith(("__s_", "__f_", "__links", "__mail", "__own", "__look", "__away", "__imitates", "__hosts", "__claims", "__meta"))]))
     asked = F.array_intersect("fired", F.array(*map(F.lit, lx.REQUESTS)))
     posed = F.array_intersect("fired", F.array(*map(F.lit, lx.IMPERSONATIONS)))
     verified = F.col("known_contact") | F.coalesce("trusted_sender", F.lit(False))
