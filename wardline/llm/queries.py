@@ -91,4 +91,27 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_minhash_neardup": op10_minhash_neardup,
 }
-ORACLE: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Components of links e(a, b) among ids v(id): the least id that reaches each one.
+_REACH = "ab AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r(id, root) AS (SELECT id, id FROM v UNION SELECT ab.b, r.root FROM r JOIN ab ON ab.a = r.id), comp AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)"
+_BASE32 = " || ".join(f"substr('{_UPPER}234567', 1 + ((('0x' || substr(h, {1 + 5 * i}, 5))::INTEGER >> {shift}) & 31), 1)" for i in range(8) for shift in (15, 10, 5, 0))
+
+#: What DuckDB says of the same tables. The other operators can't be said in SQL: bytes of a text cut by place, disclosing terms,
+#: merges, fitted scores, edit distances within stretches and a tree that is built level by level. Tests hold those against brute force.
+ORACLE: dict[str, str] = {
+    "op2_warc": f"""SELECT page_id, octet_length(encode(t)) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> low THEN low END AS refers_to
+ FROM (SELECT page_id, t, sha1(t) AS h, min(page_id) OVER (PARTITION BY t) AS low FROM (SELECT page_id, coalesce(html, '') AS t FROM pages))""",
+    "op3_embedding_neardup": f"""WITH RECURSIVE g AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+ e AS (SELECT p.id AS a, q.id AS b FROM g p JOIN g q ON p.id < q.id AND len(p.x) = len(q.x) WHERE list_cosine_similarity(p.x, q.x) >= 0.95), v AS (SELECT vec_id AS id FROM embeddings), {_REACH},
+ n AS (SELECT a AS id, count(*) AS n_links FROM ab GROUP BY a)
+ SELECT v.id AS vec_id, coalesce(n_links, 0) AS n_links, component_id, v.id = component_id AS kept FROM v JOIN comp USING (id) LEFT JOIN n USING (id)""",
+    "op5_line_dedup": f"""WITH l AS (SELECT source, coalesce(text, '') AS t, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents WHERE source IS NOT NULL),
+ b AS (SELECT line FROM l WHERE regexp_matches(line, '[^ \t\n\x0b\f\r]') GROUP BY line HAVING least(count(DISTINCT source), count(DISTINCT t)) >= {linededup.SITES}),
+ d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts, coalesce((SELECT list(line) FROM b), []) AS gone FROM documents)
+ SELECT doc_id, (len(parts) - len(kept))::BIGINT AS n_lines_removed, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM (SELECT *, list_filter(parts, lambda x: NOT list_contains(gone, x)) AS kept FROM d)""",
+    "op10_minhash_neardup": f"""WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ s AS (SELECT id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) END) AS sh FROM w),
+ x AS (SELECT id, len(sh) AS n, unnest(sh) AS g FROM s), p AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
+ e AS (SELECT a, b FROM p WHERE 100 * c >= 75 * (na + nb - c)), v AS (SELECT id FROM s), {_REACH}
+ SELECT s.id AS doc_id, len(sh)::BIGINT AS n_shingles, component_id, s.id = component_id AS kept FROM s JOIN comp USING (id)""",
+}
