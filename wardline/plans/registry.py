@@ -138,15 +138,19 @@ def message_entities(spark, sf_dir):
 
 @query("SELECT * FROM (VALUES ('paypa1.com','PayPal','leetspeak'),('paypal-secure.com','PayPal','brand-in-domain'),('paypla.com','PayPal','typosquat'),('paypal.com.evil.io','PayPal','subdomain-trick'),('chase.com-login.net','Chase','subdomain-trick'),('rnicrosoft.com','Microsoft','leetspeak'),('wellsfrago.com','Wells Fargo','typosquat')) AS t(host, brand, technique)")
 def lookalike_hosts(spark, sf_dir):
+    """Every host of pages, none of which imitates a brand, and some that do."""
     hosts = ["paypa1.com", "paypal-secure.com", "paypla.com", "paypal.com.evil.io", "chase.com-login.net", "rnicrosoft.com", "wellsfrago.com", "phase.com", "example.org", "www.paypal.com", None]
-    d = brands.lookalike_hosts(spark.createDataFrame([(h,) for h in hosts], "host string"))
+    seen = table(spark, sf_dir, "pages").select(F.lower(F.regexp_extract("url", "://([^/?#:]*)", 1)).alias("host"))
+    d = brands.lookalike_hosts(seen.union(spark.createDataFrame([(h,) for h in hosts], "host string")))
     return d.select("host", brands.brand_field(F.col("brand_ord"), "display").alias("brand"), "technique")
 
 
-@query("SELECT DISTINCT p_name, damerau_levenshtein(split_part(p_name, ' ', 1), 'paypal')::INTEGER AS distance FROM part WHERE length(split_part(p_name, ' ', 1)) > 0 AND damerau_levenshtein(split_part(p_name, ' ', 1), 'paypal') >= 5")
+@query("SELECT DISTINCT p_name, damerau_levenshtein(w, 'paypal')::INTEGER AS distance, damerau_levenshtein(w, w[2:2] || w[1:1] || w[3:])::INTEGER AS swapped FROM (SELECT p_name, split_part(p_name, ' ', 1) AS w FROM part)")
 def edit_distance(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select("p_name").distinct()
-    return names.select("p_name", brands.osa_distance(F.substring_index("p_name", " ", 1), F.lit("paypal")).alias("distance")).where("distance >= 5")
+    """First words of all names: to a brand, and to themselves with two letters swapped, which is one edit."""
+    w = F.substring_index("p_name", " ", 1)
+    swapped = F.concat(F.substring(w, 2, 1), F.substring(w, 1, 1), F.substr(w, F.lit(3)))
+    return table(spark, sf_dir, "part").select("p_name").distinct().select("p_name", brands.osa_distance(w, F.lit("paypal")).alias("distance"), brands.osa_distance(w, swapped).alias("swapped"))
 
 
 @query("SELECT c_custkey, replace(replace(translate(lower(c_name), '013457@$', 'oleastas'), 'rn', 'm'), 'vv', 'w') AS plain FROM customer")
