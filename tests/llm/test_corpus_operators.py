@@ -649,6 +649,38 @@ def test_op10_chains_and_common_passages(spark):
     assert sorted(((r["doc_id"] or 0), r["component_id"] or 0, r["kept"]) for r in rows(minhash.near_duplicates(odd))) == [(0, 0, True), (0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False)]
 
 
+def test_op10_copies_that_stay_apart_form_few_pairs(spark):
+    rnd = random.Random(19)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    base, made = [word() for _ in range(30)], []
+    for _ in range(120):  # one word differs: 21 of 31 shingles are shared with the text, 16 of 36 with each other
+        t = list(base)
+        t[rnd.randrange(4, 26)] = word()
+        made.append(" ".join(t))
+    docs = [{"doc_id": i, "text": t} for i, t in enumerate(made + made[:5])]
+    frame = spark.createDataFrame([(d["doc_id"], d["text"], 1, "x") for d in docs], "doc_id long, text string, cid int, hs string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in rows(minhash.near_duplicates(frame))}
+    assert got == brute_near(docs)
+    sets = minhash.shingle_sets(frame.limit(120).select(F.col("doc_id").alias("cid"), "text"))
+    pairs = minhash._across(sets.select("cid", F.col("cid").alias("comp")), sets).count()
+    assert pairs < 10 * 120  # of 7140
+
+
+def test_op10_recall_at_the_threshold(spark):
+    rnd = random.Random(23)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    docs = []
+    for i in range(300):
+        a = [word() for _ in range(54)]  # 50 shingles; the last seven words differ: 43 of 57 shared, 0.754
+        docs += [{"doc_id": 2 * i, "text": " ".join(a)}, {"doc_id": 2 * i + 1, "text": " ".join(a[:-7] + [word() for _ in range(7)])}]
+    want = brute_near(docs)
+    assert sum(c != i for i, (_, c, _) in want.items()) == 300
+    frame = spark.createDataFrame([(d["doc_id"], d["text"]) for d in docs], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in rows(minhash.near_duplicates(frame))}
+    found = sum(got[i] == c for i, (_, c, _) in want.items() if c != i)
+    assert found >= 0.99 * 300
+
+
 def test_components_of_long_chains_and_stars(spark):
     rnd = random.Random(17)
     links = [(i, i + 1) for i in range(200)] + [(1000, 1001 + i) for i in range(300)] + [(rnd.randint(2000, 2300), rnd.randint(2000, 2300)) for _ in range(250)]
