@@ -61,5 +61,10 @@ def rate_limit_stream(requests: DataFrame, limit: int = LIMIT, window: float = W
 
 
 def analyse_stream(stream: DataFrame, analyse, sink_folder: str, checkpoint: str):
-    """Analyse a stream of messages in micro-batches and append the results; returns the running query."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: analyse(batch).write.mode("append").parquet(sink_folder)).start()
+    """Analyse a stream of messages in micro-batches; returns the running query. Each batch has a folder of its own under its
+    number, so one that is tried again replaces what it wrote before."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        analyse(batch).write.mode("overwrite").parquet(f"{sink_folder}/batch={number}")
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put).start()
