@@ -2,7 +2,7 @@
 
 Unit vectors are gathered into tiles around pivots. A pair of tiles is skipped if the angle between their centres
 exceeds both radii and the linking angle together. For the other pairs of tiles the int8 components are
-multiplied (exactly, as whole numbers within float32) and each product is off by at most
+multiplied (as whole numbers within float32) and each product is off by at most
 e_a * |y| + |x'| * e_b, where e is the length of what quantising a vector lost; only pairs that may reach the
 threshold by this bound are computed in double precision. A task sends back how many partners each vector has and
 edges that span its linked groups, never the pairs.
@@ -28,7 +28,9 @@ SLACK = 1e-6
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    """Rows of length 1; scaled by their largest component first, so that no square overflows or vanishes."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,7 +48,8 @@ def tile_product(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD, sam
     out = np.zeros((len(x), len(y)), bool)
     for i in range(0, len(x), block):
         rows = slice(i, i + block)
-        # sums of up to 1000 products of int8 stay below 2 ** 24, where float32 is exact
+        # sums of up to 1000 products of int8 stay below 2 ** 24, where float32 is exact; the error of longer ones (6e-8 at 4096
+        # components, relative) is far within SLACK
         near = (fx[rows] @ fy) * (sx[rows, None] * sy[None, :]).astype(np.float32)
         bound = ex[rows, None] + (1.0 + ex[rows, None]) * ey[None, :] + SLACK
         maybe = near >= (threshold - bound).astype(np.float32) - np.float32(SLACK)
@@ -79,8 +82,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, ident: str
 
     Vectors that are null, empty, zero or hold a null or a component that isn't finite link with nothing; so do
     null ids, whose component is null. Vectors of another length than most are compared with those of their length
-    only. Equal vectors are one class from the start and count as links of each other. Rows that share an id are
-    taken as separate vectors under one id. An empty table gives no rows.
+    only. Equal vectors are one class from the start and count as links of each other. Ids are meant to be unique: rows that share
+    an id and a vector count as copies; of different vectors under one id the least by its components is compared. A cosine
+    of exactly the threshold links. Very long vectors are compared whole. Other columns play no part. An empty table gives no rows.
     """
     spark = vectors.sparkSession
 
@@ -89,8 +93,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, ident: str
             good, dim, d1, d2 = [], [], [], []
             for v in batch.column(1).to_pylist():
                 x = np.array([], float) if v is None or any(c is None for c in v) else np.array(v, float)
-                with np.errstate(over="ignore"):
-                    fine = len(x) > 0 and bool(np.isfinite(x).all()) and 0 < float(np.linalg.norm(x)) < np.inf
+                fine = len(x) > 0 and bool(np.isfinite(x).all()) and bool(x.any())
                 digest = xxhash.xxh3_128_digest((x + 0.0).tobytes())
                 good.append(fine)
                 dim.append(len(x))
