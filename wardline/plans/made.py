@@ -186,16 +186,6 @@ def sender_hashes(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", casestore.keyed_hash(F.col("c_name"), "pepper").alias("user_hash"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS i FROM events),
- w(event_id, user_id, i, recent, allowed) AS (SELECT event_id, user_id, i, [t], true FROM e WHERE i = 1 UNION ALL
-  SELECT event_id, user_id, i, CASE WHEN len(near) < 3 THEN list_append(near, t) ELSE near END, len(near) < 3 FROM (SELECT e.event_id, e.user_id, e.i, e.t, list_filter(w.recent, lambda x: e.t - x <= 3600) AS near FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1))
- SELECT event_id AS id, user_id::VARCHAR AS key, allowed FROM w""")
-def limited_requests(spark, sf_dir):
-    from wardline.streaming.limits import rate_limit
-
-    return rate_limit(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", limit=3, window=3600.0).select("id", "key", "allowed")
-
-
 _STATE = f"(SELECT user_hash, sender_hash, arg_max(active, event_id) AS active FROM (SELECT * FROM {_TRUST} WHERE active IS NOT NULL) GROUP BY user_hash, sender_hash)"
 
 

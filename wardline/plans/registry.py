@@ -318,7 +318,7 @@ def word_hits(spark, sf_dir):
     return a.join(b, ["id", "w"], "left").groupBy("id").agg(F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("hits"), F.sum("n").alias("words"))
 
 
-@query()
+@query("WITH p AS (SELECT b.item_id AS id, b.text AS source, d.text AS seen FROM benchmark b JOIN documents d ON d.doc_id = b.item_id), a AS (SELECT id, w, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(lower(source), '[a-z0-9]+')) AS w FROM p) GROUP BY ALL), c AS (SELECT id, w, count(*) AS m FROM (SELECT id, unnest(regexp_extract_all(lower(seen), '[a-z0-9]+')) AS w FROM p) GROUP BY ALL) SELECT p.id, coalesce(recall, 1.0)::DOUBLE AS recall FROM p LEFT JOIN (SELECT id, sum(least(n, coalesce(m, 0)))::DOUBLE / sum(n)::DOUBLE AS recall FROM a LEFT JOIN c USING (id, w) GROUP BY id) r ON r.id = p.id")
 def word_recall(spark, sf_dir):
     p = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("source")).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("seen")), "id")
     return metrics.word_recall(p)
@@ -346,7 +346,10 @@ def span_overlay(spark, sf_dir):
     return evidence.overlay(d).select("msg_id", "start", "end", "category", F.array_join("labels", "|").alias("labels"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS i FROM events),
+ w(event_id, user_id, i, t, recent, allowed) AS (SELECT event_id, user_id, i, t, [t], true FROM e WHERE i = 1 UNION ALL
+  SELECT event_id, user_id, i, t, CASE WHEN len(near) < 3 THEN list_append(near, t) ELSE near END, len(near) < 3 FROM (SELECT e.event_id, e.user_id, e.i, e.t, list_filter(w.recent, lambda x: e.t - x <= 3600) AS near FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1))
+ SELECT event_id AS id, user_id::VARCHAR AS key, t AS now, allowed FROM w""")
 def request_limits(spark, sf_dir):
     return rate_limit(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", limit=3, window=3600.0)
 
