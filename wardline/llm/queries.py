@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import bpe, decontam, embeddings, linededup, minhash, pii, repeats, toxicity, urlfilter, warc
+from wardline.llm import bpe, centroids, decontam, embeddings, linededup, minhash, negatives, pii, repeats, topk, toxicity, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,18 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc": op2_warc,
@@ -90,12 +102,42 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_url_filter": op9_url_filter,
     "op10_minhash_neardup": op10_minhash_neardup,
+    "op11_exponion": op11_exponion,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_topk_search": op13_topk_search,
 }
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Components of links e(a, b) among ids v(id): the least id that reaches each one.
 _REACH = "ab AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r(id, root) AS (SELECT id, id FROM v UNION SELECT ab.b, r.root FROM r JOIN ab ON ab.a = r.id), comp AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)"
 _BASE32 = " || ".join(f"substr('{_UPPER}234567', 1 + ((('0x' || substr(h, {1 + 5 * i}, 5))::INTEGER >> {shift}) & 31), 1)" for i in range(8) for shift in (15, 10, 5, 0))
 
+#: Usable vectors as whole numbers, kept as doubles, in which sums of their products are exact.
+_WHOLE = "(SELECT *, list_transform(embedding, lambda c: floor({scale} * c::DOUBLE)) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0{more})"
+
+
+def _clusters() -> str:
+    """Rounds of assignments a and centroids c, one after the other."""
+    k, rounds, dim = centroids.CLUSTERS, centroids.ROUNDS, centroids.DIM
+    near = "SELECT vec_id, x, arg_min(num, [d, num]) AS num, min(d) AS d FROM (SELECT v.vec_id, v.x, c.num, list_inner_product(v.x, v.x) - 2 * list_inner_product(v.x, c.x) + list_inner_product(c.x, c.x) AS d FROM v, {c} c) GROUP BY vec_id, x"
+    mean = "SELECT {c}.num, coalesce(m.x, {c}.x) AS x FROM {c} LEFT JOIN (SELECT num, list(f ORDER BY i) AS x FROM (SELECT num, i, floor(sum(y) / count(*)) AS f FROM (SELECT num, generate_subscripts(x, 1) AS i, unnest(x) AS y FROM {a}) GROUP BY num, i) GROUP BY num) m USING (num)"
+    steps = [f"v AS {_WHOLE.format(scale=64, more=f' AND len(embedding) = {dim}')}", f"c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS num, x FROM (SELECT x, sha256('{centroids.SEED}:' || vec_id) AS h FROM v ORDER BY h LIMIT {k}))"]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS ({near.format(c=f'c{i}')})")
+        if i < rounds:
+            steps.append(f"c{i + 1} AS ({mean.format(c=f'c{i}', a=f'a{i}')})")
+    last = f"SELECT vec_id, num::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY num))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, h AS centroid_sha256 FROM a{rounds} JOIN (SELECT num, sha256(array_to_string(list_transform(x, lambda y: y::BIGINT), ',')) AS h FROM c{rounds}) USING (num)"
+    return "WITH " + ", ".join(steps) + " " + last
+
+
+_NEGATIVES = f"""WITH v AS (SELECT vec_id, x, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM {_WHOLE.format(scale=256, more=" AND label IS NOT NULL")}),
+ s AS (SELECT a.vec_id AS anchor_id, v.vec_id AS other, a.label = v.label AS same, list_inner_product(a.x, v.x)::BIGINT AS score FROM v a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % {negatives.EVERY} = 0),
+ p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= {negatives.POSITIVES}),
+ n AS (SELECT p.*, s.other AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.other) AS rank FROM p JOIN s USING (anchor_id) WHERE NOT same AND {negatives.LEAST} * positive_score <= 100 * s.score AND 100 * s.score <= {negatives.MOST} * positive_score)
+ SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {negatives.NEGATIVES}"""
+_TOP = f"""WITH v AS {_WHOLE.format(scale=64, more="")},
+ s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.x, v.x)::BIGINT AS score FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.x) = len(v.x) WHERE q.vec_id % {topk.EVERY} = 0)
+ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= {topk.K}"""
+
 #: What DuckDB says of the same tables. The other operators can't be said in SQL: bytes of a text cut by place, disclosing terms,
 #: merges, fitted scores, edit distances within stretches and a tree that is built level by level. Tests hold those against brute force.
 ORACLE: dict[str, str] = {
@@ -114,4 +156,7 @@ ORACLE: dict[str, str] = {
  x AS (SELECT id, len(sh) AS n, unnest(sh) AS g FROM s), p AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
  e AS (SELECT a, b FROM p WHERE 100 * c >= 75 * (na + nb - c)), v AS (SELECT id FROM s), {_REACH}
  SELECT s.id AS doc_id, len(sh)::BIGINT AS n_shingles, component_id, s.id = component_id AS kept FROM s JOIN comp USING (id)""",
+    "op11_exponion": _clusters(),
+    "op12_hard_negatives": _NEGATIVES,
+    "op13_topk_search": _TOP,
 }
