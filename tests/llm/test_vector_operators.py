@@ -179,8 +179,8 @@ def test_windows_are_exact():
 
 
 def test_scores_beyond_a_long_are_an_error(spark):
-    frame = spark.createDataFrame([(0, [1e17, 1.0], 1), (1, [1e17, 2.0], 1)], VEC)
+    frame = spark.createDataFrame([(0, [1e15, 1.0], 1), (1, [1e15, 2.0], 1)], VEC)
     with pytest.raises(Exception, match="leave the long"):
         topk.search(frame).collect()
     with pytest.raises(Exception, match="components of"):
-        centroids.cluster_vectors(spark.createDataFrame([(0, [1e17] * 64, 1)], VEC)).collect()
+        centroids.cluster_vectors(spark.createDataFrame([(0, [1e15] * 64, 1)], VEC)).collect()
