@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from wardline.plans import made, registry
+from wardline.plans import made, registry, texts
 
 SF = "/root/testdata/sf0.001"
-NAMES = [n for n in registry.ORACLE if registry.QUERIES[n].__module__ == made.__name__ and n not in ("calm_messages", "screenshots_and_trust", "entities")]
+NAMES = [n for n in registry.ORACLE if registry.QUERIES[n].__module__ in (made.__name__, texts.__name__) and n not in ("calm_messages", "screenshots_and_trust", "entities")]
 
 
 @pytest.fixture(scope="module")

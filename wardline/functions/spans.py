@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Places of a block in running_totals().
+BLOCK = 256
 SPAN = "struct<start:int,end:int,value:string>"
 EMPTY = "array<struct<start:int,end:int,value:string>>"
 
@@ -60,18 +62,52 @@ def shifted(spans: Column, by: Column) -> Column:
     return F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["value"].alias("value")))
 
 
+def running_totals(values: Column) -> Column:
+    """Sums of an int array up to each place, its own value included.
+
+    Arrays grow within a block of BLOCK places and by a place for each block, never by one for each value: work is linear for all
+    texts that fit a row."""
+    none = F.array().cast("array<int>")
+    grow = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["out"], F.array(acc["sum"] + x)).alias("out"))
+    run = lambda v, first: F.aggregate(v, F.struct(first.alias("sum"), none.alias("out")), grow, lambda acc: acc["out"])
+    added = lambda v: F.aggregate(v, F.lit(0), lambda a, x: a + x)
+
+    def of(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - 1, F.lit(0)), F.lit(BLOCK)), lambda at: F.slice(v, at + 1, F.lit(BLOCK)))
+        firsts = lambda b: F.concat(F.array(F.lit(0)), run(F.transform(b, added), F.lit(0)))
+        return bound(blocks, lambda b: F.flatten(F.zip_with(b, F.slice(firsts(b), F.lit(1), F.size(b)), run)))
+
+    return bound(values, of)
+
+
+def bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value), with value computed once however often make names it."""
+    return F.transform(F.array(value), make)[0]
+
+
+def located_long(text: Column, pattern: str) -> Column:
+    """located() for texts of any length: places come from running totals."""
+
+    def placed(both: Column) -> Column:
+        ends = running_totals(F.zip_with(both["gaps"], both["values"], lambda g, v: F.length(g) + F.length(v)))
+        return F.zip_with(ends, both["values"], lambda e, v: F.struct((e - F.length(v)).alias("start"), e.alias("end"), v.alias("value")))
+
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    both = F.struct(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(values)).alias("gaps"), values.alias("values"))
+    return F.when(text.rlike(pattern), bound(both, placed)).otherwise(no_spans())
+
+
 def clauses(text: Column, pattern: str) -> Column:
-    """What lies between matches of a break, as (start, end, value); empty clauses are left out."""
-    parts = F.split(text, pattern, -1)
-    breaks = F.concat(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array(F.lit("")))
-    begin = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
+    """What lies between matches of a break, as (start, end, value); empty clauses are left out. Linear in the text."""
 
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(x["part"])
-        one = F.array(F.struct(acc["at"].alias("start"), end.alias("end"), x["part"].alias("value")))
-        return F.struct((end + F.length(F.coalesce(x["gap"], F.lit("")))).alias("at"), F.when(F.length(x["part"]) > 0, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def placed(both: Column) -> Column:
+        ends = running_totals(F.zip_with(both["parts"], both["breaks"], lambda p, b: F.length(p) + F.length(F.coalesce(b, F.lit("")))))
+        ends_of = lambda b, i: F.get(b["ends"], i) - F.length(F.coalesce(F.get(b["breaks"], i), F.lit("")))
+        whole = F.struct(both["parts"].alias("parts"), both["breaks"].alias("breaks"), ends.alias("ends"))
+        return bound(whole, lambda b: F.filter(F.transform(b["parts"], lambda p, i: F.struct((ends_of(b, i) - F.length(p)).alias("start"), ends_of(b, i).alias("end"), p.alias("value"))), lambda c: c["end"] > c["start"]))
 
-    return F.aggregate(F.arrays_zip(parts.alias("part"), breaks.alias("gap")), begin, step, lambda acc: acc["out"])
+    both = F.struct(F.split(text, pattern, -1).alias("parts"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("breaks"))
+    return bound(both, placed)
 
 
 def settled(df: DataFrame) -> DataFrame:

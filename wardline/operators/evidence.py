@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.lexicon import PRIORITY
-from wardline.operators.ingest import to_display
+from wardline.functions.spans import bound
+from wardline.operators.ingest import INVISIBLE, to_display
 
 
 def priority(category: Column) -> Column:
@@ -55,13 +56,51 @@ def escaped(text: Column) -> Column:
     return out
 
 
+#: What stands for an invisible character in HTML.
+HIDDEN_MARK = '<span class="hidden" title="hidden character">&#9670;</span>'
+PIECE = "struct<text:string,category:string,labels:array<string>,hidden:boolean>"
+
+
+def display_pieces(text: Column, spans: Column, hidden: Column) -> Column:
+    """The text cut into pieces (text, category, labels, hidden), so that a client needs no offsets.
+
+    spans are (start, end, category, labels), disjoint and in order; hidden are the places of invisible characters, each of which is a piece
+    of its own. A sweep over the bounds of both: a piece belongs to the span that covers it, and neighbours of one category with the
+    same labels are one piece unless one of them is hidden. An empty or null text has no pieces."""
+    n = F.length(text)
+    fits = lambda p: (p >= 0) & (p <= n)
+    ends = F.concat(F.array(F.lit(0), n), F.transform(spans, lambda s: s["start"].cast("int")), F.transform(spans, lambda s: s["end"].cast("int")), hidden.cast("array<int>"), F.transform(hidden, lambda p: (p + 1).cast("int")))
+
+    def cut(bounds: Column) -> Column:
+        def piece(a: Column, i: Column) -> Column:
+            b = F.get(bounds, i + 1)
+            over = F.get(F.filter(spans, lambda s: (s["start"] <= a) & (b <= s["end"])), F.lit(0))
+            return F.struct(a.alias("a"), b.alias("b"), over["category"].alias("category"), F.coalesce(over["labels"], F.array().cast("array<string>")).alias("labels"), F.array_contains(hidden.cast("array<int>"), a).alias("hidden"))
+
+        return F.transform(F.slice(bounds, F.lit(1), F.size(bounds) - 1), piece)
+
+    def joined(pieces: Column) -> Column:
+        same = lambda x, y: ~x["hidden"] & ~y["hidden"] & x["category"].eqNullSafe(y["category"]) & (x["labels"] == y["labels"])
+        heads = F.filter(pieces, lambda p, i: (i == 0) | ~same(p, F.get(pieces, F.greatest(i - 1, F.lit(0)))))
+        told = lambda h, p, stop: F.struct(F.substr(text, p["a"] + 1, stop - p["a"]).alias("text"), p["category"].alias("category"), p["labels"].alias("labels"), p["hidden"].alias("hidden"))
+        return bound(heads, lambda h: F.transform(h, lambda p, i: told(h, p, F.coalesce(F.get(h, i + 1)["a"], n))))
+
+    pieces = bound(bound(F.array_sort(F.array_distinct(F.filter(ends, fits))), cut), joined)
+    return F.when(n > 0, pieces).otherwise(F.array().cast(f"array<{PIECE}>"))
+
+
+def marked_hidden(escaped_text: Column) -> Column:
+    """Escaped text with a visible mark for each invisible character."""
+    return F.regexp_replace(escaped_text, "[" + "".join(f"\\x{{{ord(c):x}}}" for c in INVISIBLE) + "]", HIDDEN_MARK)
+
+
 def highlighted(text: Column, segments: Column) -> Column:
-    """HTML of a text with its segments (start, end, category, labels; disjoint and in order) marked and all else escaped."""
+    """HTML of a text with its segments (start, end, category, labels; disjoint and in order) marked, all else escaped and invisible characters shown."""
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        gap = escaped(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]))
-        mark = F.concat(F.lit('<mark class="'), s["category"], F.lit('" title="'), escaped(F.array_join(s["labels"], "; ")), F.lit('">'), escaped(F.substr(text, s["start"] + 1, s["end"] - s["start"])), F.lit("</mark>"))
+        gap = marked_hidden(escaped(F.substr(text, acc["at"] + 1, s["start"] - acc["at"])))
+        mark = F.concat(F.lit('<mark class="'), s["category"], F.lit('" title="'), escaped(F.array_join(s["labels"], "; ")), F.lit('">'), marked_hidden(escaped(F.substr(text, s["start"] + 1, s["end"] - s["start"]))), F.lit("</mark>"))
         return F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, mark).alias("out"))
 
-    return F.replace(F.aggregate(segments, begin, step, lambda acc: F.concat(acc["out"], escaped(F.substr(text, acc["at"] + 1, F.length(text))))), F.lit("\n"), F.lit("<br>"))
+    return F.replace(F.aggregate(segments, begin, step, lambda acc: F.concat(acc["out"], marked_hidden(escaped(F.substr(text, acc["at"] + 1, F.length(text)))))), F.lit("\n"), F.lit("<br>"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.lexicon import TLDS
+from wardline.functions.spans import bound
 
 LINE = "struct<text:string,confidence:double,x0:double,y0:double,x1:double,y1:double>"
 # Patterns and words of a phone's interface, of a sender's line, and repairs of misread signs.
@@ -20,6 +21,10 @@ CHROME_WORDS = (
 ).split()
 CHROME_MARKERS = "message messages imessage sms mms rcs today yesterday now delivered read seen edited me".split()
 TIME = r"(?i)^\d{1,2}[:.]\d{2}([ap]m)?$|^\d{1,2}/\d{1,2}(/\d{2,4})?$|^\d{1,2}([ap]m)$"
+NAME_LINE = r"^[A-Za-z][A-Za-z&'.-]*( [A-Za-z&'.()-]+){0,3}$"
+NO_NAMES = "urgent important alert notice warning reminder hi hello hey dear attention final".split()
+#: Longest interface text without spaces, and longest part of one: an hour with am or pm, a date with a year.
+GLUED_CHARS, PART_CHARS = 40, 10
 SENDER_LINE = r"^(\+?[\d\s().-]{5,20}|[\w.+-]+@[\w-]+(\.[\w-]+)+|\d{5,6})$"
 REPAIRS = (
     (r"(?<![A-Za-z])f(?=\d{1,3}(?:[,.]\d{3})*(?:\.\d{2})?\b)", "£"),
@@ -52,13 +57,29 @@ def rows(lines: Column) -> Column:
     return F.filter(F.transform(grouped, merged), lambda r: r["text"] != "")
 
 
+def is_glued_chrome(text: Column) -> Column:
+    """Interface words, times, dates and signs without anything between them ("TextMessage·Today9:41AM"), a strong word or a time among them.
+
+    The text without its spaces is cut by dynamic programming: a place can be reached if a part of the closed vocabulary ends there that
+    begins at a place that can be reached. Only short texts that hold a strong word or a time come that far."""
+    low = F.lower(F.regexp_replace(text, r"(?U)\s+", ""))
+    part = lambda w: w.isin(*CHROME_WORDS) | w.rlike(r"^(?:\d{1,2}[:.]\d{2}(?:am|pm)?|\d{1,2}/\d{1,2}(?:/\d{2,4})?|[·•|,.:()-])$")
+
+    def covered(s: Column) -> Column:
+        ends_at = lambda ok, i: F.exists(F.sequence(F.lit(1), F.least(i, F.lit(PART_CHARS))), lambda n: F.get(ok, i - n) & part(F.substr(s, i - n + 1, n)))
+        return F.element_at(F.aggregate(F.sequence(F.lit(1), F.length(s)), F.array(F.lit(True)), lambda ok, i: F.concat(ok, F.array(ends_at(ok, i)))), -1)
+
+    may = F.length(low).between(1, GLUED_CHARS) & low.rlike("|".join(CHROME_MARKERS) + r"|\d{1,2}[:.]\d{2}")
+    return F.when(may, bound(low, covered)).otherwise(False)
+
+
 def is_chrome(text: Column) -> Column:
-    """Interface text: a known label or time, words of the interface only with a strong one or a time, or a clock with a glyph or two."""
+    """Interface text: a known label or time, words of the interface only with a strong one or a time (with spaces or without), or a clock with a glyph or two."""
     tokens = F.filter(F.transform(F.split(text, r"(?U)\s+"), lambda w: F.regexp_replace(F.regexp_replace(w, r"(?U)[^\w:/.@+-]", ""), r"^[.-]+|[.-]+$", "")), lambda w: w != "")
     words = F.transform(F.filter(tokens, lambda t: ~t.rlike(TIME)), lambda t: F.lower(t))
     timed = F.size(words) < F.size(tokens)
     only = (F.size(tokens) <= 8) & (F.size(words) > 0) & F.forall(words, lambda w: w.isin(*CHROME_WORDS))
-    return F.regexp_replace(text, r"\s+", "").rlike(CHROME) | (F.size(tokens) == 0) | (only & (timed | F.exists(words, lambda w: w.isin(*CHROME_MARKERS)))) | (timed & (F.size(words) <= 2) & F.forall(words, lambda w: F.length(w) <= 4))
+    return F.regexp_replace(text, r"\s+", "").rlike(CHROME) | is_glued_chrome(text) | (F.size(tokens) == 0) | (only & (timed | F.exists(words, lambda w: w.isin(*CHROME_MARKERS)))) | (timed & (F.size(words) <= 2) & F.forall(words, lambda w: F.length(w) <= 4))
 
 
 def is_garbage(text: Column, confidence: Column) -> Column:
@@ -101,8 +122,54 @@ def repaired(text: Column) -> Column:
     return text
 
 
+def preview_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def is_preview(words: Column, following: Column) -> Column:
+    """Whether words (three or more) repeat the beginning of the words that follow: four fifths of them, each as often as it
+    occurs in both, within twice as many words and four; the last, which may be cut off, aside."""
+    asked = F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
+    there = F.slice(following, F.lit(1), 2 * F.size(words) + 4)
+    times = lambda ws, w: F.size(F.filter(ws, lambda x: x == w))
+    hits = lambda a, b: F.aggregate(F.array_distinct(a), F.lit(0), lambda n, w: n + F.least(times(a, w), times(b, w)))
+    both = F.struct(asked.alias("a"), there.alias("b"))
+    return (F.size(words) >= 3) & (5 * bound(both, lambda p: hits(p["a"], p["b"])) >= 4 * (F.size(words) - 1))
+
+
+def leading_previews(texts: Column) -> Column:
+    """How many rows at the top only repeat what follows them, as subjects and previews do. The last row never does."""
+
+    def count(words: Column) -> Column:
+        rest = lambda i: F.flatten(F.slice(words, i + 2, F.greatest(F.size(words) - i - 1, F.lit(0))))
+        begin = F.struct(F.lit(0).alias("n"), F.lit(True).alias("on"))
+
+        def step(acc: Column, i: Column) -> Column:
+            more = F.when(acc["on"] & (i < F.size(words) - 1), is_preview(F.get(words, i), rest(i))).otherwise(False)
+            return F.when(more, F.struct((acc["n"] + 1).alias("n"), F.lit(True).alias("on"))).otherwise(F.struct(acc["n"].alias("n"), F.lit(False).alias("on")))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(words)), begin, step, lambda acc: acc["n"])
+
+    return bound(F.transform(texts, preview_words), count)
+
+
+def clean_paragraphs(text: Column) -> Column:
+    """Text that recognition has put together already: (text, sender_hint) without interface paragraphs, with a leading line of a sender lifted
+    out and signs repaired."""
+    kept = F.filter(F.split(text, "\n", -1), lambda p: (F.regexp_replace(p, r"(?U)\s+", "") != "") & ~is_chrome(p))
+    trimmed = lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")
+
+    def lifted(ps: Column) -> Column:
+        first = F.get(ps, F.lit(0))
+        sender = F.when((F.size(ps) > 1) & (F.length(first) <= 50) & trimmed(first).rlike(SENDER_LINE), trimmed(first))
+        return F.struct(repaired(F.array_join(F.when(sender.isNotNull(), F.slice(ps, F.lit(2), F.greatest(F.size(ps) - 1, F.lit(0)))).otherwise(ps), "\n")).alias("text"), sender.alias("sender_hint"))
+
+    return bound(kept, lifted)
+
+
 def extract_messages(images: DataFrame, lines: str = "lines") -> DataFrame:
-    """Adds rows, dropped (interface text and garbage), sender_hint (a number or address in the header), text and mean_confidence.
+    """Adds rows, dropped (interface text, garbage and previews of the body), sender_hint (a number or address in the header), claimed_hint (a short
+    title there, which stays in the text), text and mean_confidence.
 
     images has an array of LINE per row; null and empty arrays give an empty text.
     """
@@ -117,5 +184,12 @@ def extract_messages(images: DataFrame, lines: str = "lines") -> DataFrame:
     d = d.withColumn("sender_hint", F.try_element_at(F.filter(header, lambda s: s.isNotNull()), F.lit(1)))
     first = F.array_position(F.transform("__kept", lambda r: r["text"]), F.col("sender_hint"))
     left = F.filter("__kept", lambda r, i: F.coalesce(i + 1 != first, F.lit(True)))
+    d = d.withColumn("__left", left)
+    titles = F.slice("__left", F.lit(1), F.greatest(F.when(at > 0, at - 1).otherwise(F.size("__kept")) - F.when(F.col("sender_hint").isNotNull(), 1).otherwise(0), F.lit(0)))
+    named = F.filter(F.transform(titles, lambda r: r["text"]), lambda t: (F.length(t) <= 30) & t.rlike(NAME_LINE) & ~F.lower(t).isin(*NO_NAMES))
+    d = d.withColumn("claimed_hint", F.when(F.size("__left") > 1, F.get(named, F.lit(0))))
+    d = d.withColumn("__previews", leading_previews(F.transform("__left", lambda r: r["text"])))
+    d = d.withColumn("dropped", F.concat("dropped", F.transform(F.slice("__left", F.lit(1), F.col("__previews")), lambda r: r["text"])))
+    left = F.slice("__left", F.col("__previews") + 1, F.size("__left"))
     mean = F.try_divide(F.aggregate(F.col(lines).cast(f"array<{LINE}>"), F.lit(0.0), lambda a, l: a + l["confidence"]), F.size(lines))
-    return d.withColumn("text", repaired(paragraphs(left))).withColumn("mean_confidence", mean).withColumn("rows", F.transform("__rows", lambda r: r["text"])).drop("__rows", "__kept")
+    return d.withColumn("text", repaired(paragraphs(left))).withColumn("mean_confidence", mean).withColumn("rows", F.transform("__rows", lambda r: r["text"])).drop("__rows", "__kept", "__left", "__previews")
