@@ -5,11 +5,13 @@ import math
 import random
 import re
 
+import pytest
+import regex
 from pyspark.sql import functions as F
 
 from wardline.functions import lexicon as lx
 from wardline.functions.spans import clauses, located_long, running_totals, rx
-from wardline.operators import evidence, layout, respace
+from wardline.operators import casestore, evidence, ingest, layout, masking, metrics, respace
 from wardline.plans import texts
 from wardline.sources import readers
 
@@ -149,3 +151,81 @@ def test_odd_images(spark):
     assert (got["png"]["width"], got["png"]["height"], got["png"]["shown_height"], got["png"]["orientation"]) == (7, 9, 9, None)
     large = readers.judge_images(spark.createDataFrame([(cases["large"][0],)], "content binary"), most_bytes=400).first()
     assert large["flag"] == "image_too_large" and large["width"] is None
+
+
+# addresses and bare domains as they were written before they were made possessive
+PLAIN_EMAIL = r"[A-Za-z0-9._%+-]+@((?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24})"
+PLAIN_DOMAIN = r"(?<![@\w.-])(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+(?:" + lx.TLDS + r")(?![\w-])(?:/[^\s<>\"'()]*)?"
+
+
+def test_possessive_patterns_match_as_plain_ones():
+    rnd = random.Random(4)
+    pieces = ["a", "b1", "-", ".", "@", "com", "co", "x" * 30, "org.", "1.2.", ".a.b.", "net", " ", "é", "/p", "_", "a@b.com", "io", "x" * 63, "a-"]
+    url = lx.URL[lx.URL.index("|(?<![@") + 1 :]
+    for _ in range(4000):
+        t = "".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 14)))
+        assert [m.group() for m in regex.finditer(lx.EMAIL, t)] == [m.group() for m in re.finditer(PLAIN_EMAIL, t)], t
+        assert [(m.group(), m[1]) for m in regex.finditer(lx.MASK_EMAIL, t)] == [(m.group(), m[1]) for m in re.finditer(PLAIN_EMAIL, t)], t
+        assert [m.span() for m in regex.finditer(url, t, regex.I)] == [m.span() for m in re.finditer(PLAIN_DOMAIN, t, re.I)], t
+
+
+def plain_mask(text):
+    """Masking by substitution after substitution."""
+    t = "".join(c for c in text if c not in lx.ZERO_WIDTH + lx.BIDI)
+    digits = lambda v: re.sub(r"\D", "", v)
+
+    def luhn(v):
+        d = [int(c) for c in digits(v)][::-1]
+        return 13 <= len(d) <= 19 and sum(sum(divmod(2 * x, 10)) if i % 2 else x for i, x in enumerate(d)) % 10 == 0
+
+    def iban(v):
+        s = v.replace(" ", "").upper()
+        return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+    t = regex.sub(lx.MASK_USERINFO, r"\1[CREDENTIALS]@", t)
+    t = regex.sub(lx.MASK_QUERY, r"\1?[QUERY]", t)
+    t = re.sub(PLAIN_EMAIL, r"[EMAIL]@\1", t)
+    t = re.sub(lx.MASK_IBAN, lambda m: "[IBAN]" if iban(m[0]) else m[0], t)
+    t = re.sub(lx.MASK_CARD, lambda m: "[CARD]" if luhn(m[0]) else m[0], t)
+    t = re.sub(lx.MASK_SSN_NEAR, r"\1[SSN]", re.sub(lx.MASK_SSN, "[SSN]", t))
+    t = re.sub(lx.MASK_PHONE, lambda m: "[PHONE]" if 7 <= len(digits(m[0])) <= 15 else m[0], t)
+    t = re.sub(lx.MASK_OTP_BEFORE, "[OTP]", re.sub(lx.MASK_OTP_AFTER, r"\1[OTP]", t))
+    return re.sub(lx.MASK_OTP_ALONE, "[OTP]", t)
+
+
+def test_masks_of_whole_documents_and_of_long_addresses(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    made = [
+        ("Your code is 482913. Don't share it.",), ("Call (415) 555-0132 today or +44 7700 900123 please",), ("card 4111​1111 1111 1111 now",), ("Balance $100.00 in 2026, tracking 1Z999AA10123456784",),
+        ("IBAN GB82 WEST 1234 5698 7654 32 and GB00 WEST 1234 5698 7654 32",), ("ref 4111 1111 1111 1112",), ("social security no 123456789, PIN: 4821",), ("",),
+    ]
+    long = {"me@" + "a." * 200_000 + "com now": "[EMAIL]@" + "a." * 200_000 + "com now", "x@" + "1." * 200_000 + " end": "x@" + "1." * 200_000 + " end", "y" * 200_000 + " z@b.org": "y" * 200_000 + " [EMAIL]@b.org"}
+    frame = docs.union(spark.createDataFrame(made + [(t,) for t in long], "text string"))
+    got = masking.mask_text(frame, "text").select("text", "masked_text").collect()
+    assert len(got) == 1011 and [r["masked_text"] for r in got] == [long.get(r["text"]) or plain_mask(r["text"]) for r in got]
+    long = "see " + "a." * 2400 + "zz or " + "b." * 40 + "com for more"
+    d = ingest.ingest(spark.createDataFrame([("1", long)], "msg_id string, text string")).first()
+    assert d["status"] == "OK" and [u["raw"] for u in d["urls"]] == ["b." * 40 + "com"]
+
+
+def test_variants_and_reports_on_odd_rows(spark):
+    read = "variant string, id long, truth string, got string, tier string, text_tier string, ms double"
+    made = [("a", 1, "one two two x.com", "two one", "LOW", None, 3.0), ("a", 2, None, None, None, None, 5.0), ("b", 3, "x.com", "x.com y.org", "HIGH", "MEDIUM", 1.0)]
+    got = {r["variant"]: tuple(r)[1:] for r in metrics.variant_scores(spark.createDataFrame(made, read)).collect()}
+    assert got == {"a": (2, 0.7, 1, 2, 1, 4.0), "b": (1, 1.0, 0, 1, 1, 1.0), "all": (3, 0.8, 1, 3, 2, 3.0)}
+    records = "mode string, split string, label string, category string, tier string, id long, score long, fired array<string>, quality_flags array<string>, llm_type string, llm_score long"
+    rows_ = [("rules", "dev", "scam", "c", None, 1, None, [], ["empty"], None, None), ("rules", "dev", "scam", "c", "LOW", 2, 7, ["THREAT"], [], "phishing", 90)]
+    lines = [r["line"] for r in metrics.report(spark.createDataFrame(rows_, records)).orderBy("mode", "section", "place").collect()]
+    assert lines[0].startswith("| mode |") and "| rules | all | 2 | interrupt | 0.000 | 0.000 | 0.000 | 0.000 | 0 | 0 | 0 | 2 |" in lines
+    assert lines[-2:] == ["**1** false negative (no warning): No analysis ran: stopped at the gate by empty.", "**2** false negative (no warning): Fired: THREAT; score 7 is 23 below MEDIUM. The classifier said phishing (90). Nothing asked for a secret or a payment, and nobody was imitated."]
+    assert metrics.report(spark.createDataFrame([], records)).count() == 0
+
+
+def test_bound_values_are_never_read_as_sql(spark):
+    d = spark.createDataFrame([(1, "x"), (2, "y' OR '1' = '1"), (3, "?")], "id int, name string")
+    ask = lambda v: [r["id"] for r in casestore.ask({"names_here": d}, "SELECT id FROM names_here WHERE name = ?", v).collect()]
+    assert (ask("x"), ask("y' OR '1' = '1"), ask("?"), ask("x'; DROP VIEW names_here; --"), ask("x")) == ([1], [2], [3], [], [1])
+    with pytest.raises(Exception, match="UNBOUND|parameter|PARAMETER"):
+        casestore.ask({"names_here": d}, "SELECT id FROM names_here WHERE name = ?").collect()
+    log = spark.createDataFrame([(f"2024-01-0{i}", i, i) for i in range(1, 8)], "ts string, cases_deleted int, events_deleted int")
+    assert [r["cases_deleted"] for r in casestore.recent_purges(log).collect()] == [7, 6, 5, 4, 3]

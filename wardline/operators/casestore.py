@@ -158,3 +158,15 @@ def export_csv(cases: DataFrame, path: str) -> None:
 
 def export_rows(cases: DataFrame) -> DataFrame:
     return cases.select(*EXPORT).orderBy("ts", "case_id")
+
+
+def ask(views: dict[str, DataFrame], sql: str, *values) -> DataFrame:
+    """Any query over the store's tables and views, by the names given. Each ? in it is bound to a value, which is never read as SQL."""
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    return next(iter(views.values())).sparkSession.sql(sql, args=list(values))
+
+
+def recent_purges(log: DataFrame, n: int = 5) -> DataFrame:
+    """The last purges of a log (ts, cases_deleted, events_deleted), newest first."""
+    return log.orderBy(F.desc("ts"), F.desc("cases_deleted")).limit(n)

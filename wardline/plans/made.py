@@ -222,14 +222,18 @@ def under_warned(spark, sf_dir):
     return metrics.under_warned(_records(spark, sf_dir).withColumn("rule_score", F.col("id") * 7 % 101)).select("id", "why")
 
 
-_PAIRS = "(SELECT d.doc_id AS id, b.text AS source, d.text AS seen FROM documents d JOIN benchmark b ON b.item_id = (d.doc_id % (SELECT count(*) FROM benchmark)))"
+_ITEM_WORDS = "(SELECT item_id, w, count(*) AS n, sum(count(*)) OVER (PARTITION BY item_id) AS total FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark) GROUP BY item_id, w)"
 
 
-@query(f"WITH p AS {_PAIRS}, a AS (SELECT id, w, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(lower(source), '[a-z0-9]+')) AS w FROM p) GROUP BY ALL), c AS (SELECT id, w, count(*) AS m FROM (SELECT id, unnest(regexp_extract_all(lower(seen), '[a-z0-9]+')) AS w FROM p) GROUP BY ALL) SELECT p.id, coalesce(recall, 1.0)::DOUBLE AS recall FROM p LEFT JOIN (SELECT id, sum(least(n, coalesce(m, 0)))::DOUBLE / sum(n)::DOUBLE AS recall FROM a LEFT JOIN c USING (id, w) GROUP BY id) r ON r.id = p.id")
+@query(
+    f"""WITH k AS (SELECT count(*) AS k FROM benchmark), a AS {_ITEM_WORDS}, h AS (SELECT id, w, count(*) AS n FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents) GROUP BY id, w),
+ s AS (SELECT h.id, sum(least(h.n, a.n)) AS hits FROM h JOIN a ON a.w = h.w AND a.item_id = h.id % (SELECT k FROM k) GROUP BY h.id)
+ SELECT doc_id AS id, CASE WHEN total IS NULL THEN 1.0 ELSE coalesce(hits, 0) / total END::DOUBLE AS recall FROM documents JOIN (SELECT item_id, any_value(total)::DOUBLE AS total FROM benchmark LEFT JOIN a USING (item_id) GROUP BY item_id) t ON t.item_id = doc_id % (SELECT k FROM k) LEFT JOIN s ON s.id = doc_id"""
+)
 def document_recall(spark, sf_dir):
     """Every document against a benchmark item, the item's words as often as they occur."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("source"))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("seen"), (F.col("doc_id") % b.count()).alias("item_id"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("seen"), (F.col("doc_id") % b.select(F.count("*")).scalar()).alias("item_id"))
     return metrics.word_recall(d.join(b, "item_id"))
 
 

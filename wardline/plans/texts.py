@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from wardline.functions import lexicon as lx
 from wardline.functions.spans import clauses, running_totals, rx
-from wardline.operators import evidence, layout, respace, rules
+from wardline.operators import casestore, evidence, layout, metrics, respace, rules
 from wardline.plans.made import _by, _text
-from wardline.plans.registry import _LIST, _quote, query, table
+from wardline.plans.registry import _CASES, _EVENTS, _LIST, _R, _RECORDS, _cases, _events, _records, query, table
 from wardline.sources import readers
 
 # DuckDB has no look-behind: a break after a sign takes the sign along, which belongs to the clause before
@@ -164,3 +164,53 @@ def image_headers(spark, sf_dir):
     content = F.unhex(_by(k, png, jpeg, jpeg2, vp8x, vp8, vp8l, F.lit("FFD8FFE00004AAAAFFD9")))
     d = readers.judge_images(table(spark, sf_dir, "orders").select(k, content.alias("content")), most_pixels=25_000_000)
     return d.select("o_orderkey", "format", "width", "height", "orientation", "shown_width", "shown_height", "flag")
+
+
+_READ = "(SELECT page_id, page_id % 3 AS variant, url AS truth, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN replace(url, '.com', '.c0m') ELSE replace(url, '/', ' ') END AS got, ['LOW', 'MEDIUM', 'HIGH'][(page_id % 5 % 3 + 1)::INTEGER] AS tier, ['LOW', 'MEDIUM', NULL][(page_id % 7 % 3 + 1)::INTEGER] AS text_tier, length(html)::DOUBLE / 10 AS ms FROM pages)"
+_DOMAINS = "list_distinct(regexp_extract_all(lower({}), '" + metrics.DOMAIN + "'))"
+
+
+@query(
+    f"""WITH r AS {_READ}, w AS (SELECT page_id, w, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(lower(truth), '[a-z0-9]+')) AS w FROM r) GROUP BY ALL), h AS (SELECT page_id, w, count(*) AS m FROM (SELECT page_id, unnest(regexp_extract_all(lower(got), '[a-z0-9]+')) AS w FROM r) GROUP BY ALL),
+ c AS (SELECT page_id, sum(least(n, coalesce(m, 0)))::DOUBLE / sum(n) AS recall FROM w LEFT JOIN h USING (page_id, w) GROUP BY page_id),
+ d AS (SELECT r.*, recall, tier = coalesce(text_tier, 'INSUFFICIENT') AS t, (tier IN ('MEDIUM', 'HIGH', 'CRITICAL')) = coalesce(text_tier IN ('MEDIUM', 'HIGH', 'CRITICAL'), false) AS v, list_has_all({_DOMAINS.format("got")}, {_DOMAINS.format("truth")}) AS k FROM r JOIN c USING (page_id))
+ SELECT CASE WHEN grouping(variant) = 1 THEN 'all' ELSE variant::VARCHAR END AS variant, count(*) AS n, round(avg(recall), 3) AS recall, count(*) FILTER (t) AS same_tier, count(*) FILTER (v) AS same_warning, count(*) FILTER (k) AS domains_kept, round(quantile_cont(ms, 0.5), 2) AS median_ms FROM d GROUP BY ROLLUP (variant)"""
+)
+def variant_scores(spark, sf_dir):
+    """URLs of pages as read in three ways, against what they are."""
+    k, url = F.col("page_id"), F.col("url")
+    tier = lambda n, *of: F.get(F.array(*[F.lit(t).cast("string") for t in of]), (k % n % 3).cast("int"))
+    got = _by(k, url, F.replace(url, F.lit(".com"), F.lit(".c0m")), F.replace(url, F.lit("/"), F.lit(" ")))
+    d = table(spark, sf_dir, "pages").select(k.alias("id"), (k % 3).cast("string").alias("variant"), url.alias("truth"), got.alias("got"), tier(5, "LOW", "MEDIUM", "HIGH").alias("tier"), tier(7, "LOW", "MEDIUM", None).alias("text_tier"), (F.length("html") / 10).alias("ms"))
+    return metrics.variant_scores(d)
+
+
+_JUDGED = f"(SELECT *, CASE WHEN id % 2 = 0 THEN 'rules' ELSE 'hybrid' END AS mode, CASE WHEN tier = 'INSUFFICIENT' THEN NULL ELSE id % 100 END AS score, array_to_string(list_filter([CASE WHEN id % 3 = 0 THEN 'SHORTENED_URL' END, CASE WHEN id % 2 = 0 THEN 'URGENCY' END], lambda x: x IS NOT NULL), ', ') AS fired, CASE WHEN id % 2 = 1 THEN ' The classifier said phishing (' || (id % 100) || ').' ELSE '' END AS said FROM {_RECORDS})"
+_F3 = lambda a, b: f"printf('%.3f', {_R(a, b)})"
+
+
+@query(
+    f"""WITH j AS {_JUDGED}, p AS (SELECT j.*, point, coalesce(CASE point WHEN 'warn' THEN tier IN ('MEDIUM', 'HIGH', 'CRITICAL') ELSE tier IN ('HIGH', 'CRITICAL') END, false) AS f FROM j, (VALUES ('warn'), ('interrupt')) AS x(point)),
+ c AS (SELECT mode, point, grouping(split) AS g, split, count(*) AS n, count(*) FILTER (f AND label = 'scam') AS tp, count(*) FILTER (f AND label <> 'scam') AS fp, count(*) FILTER (NOT f AND label <> 'scam') AS tn, count(*) FILTER (NOT f AND label = 'scam') AS fn FROM p GROUP BY GROUPING SETS ((mode, point), (mode, point, split)))
+ SELECT mode, '1 summary' AS section, CASE WHEN g = 1 THEN '' ELSE split END || ' ' || point AS place, '| ' || concat_ws(' | ', mode, CASE WHEN g = 1 THEN 'all' ELSE split END, n, point, {_F3("tp", "tp + fp")}, {_F3("tp", "tp + fn")}, {_F3("2 * tp", "2 * tp + fp + fn")}, {_F3("fp", "fp + tn")}, tp, fp, tn, fn) || ' |' AS line FROM c
+ UNION ALL SELECT mode, '2 label by tier', label, '| ' || concat_ws(' | ', label, {", ".join(f"count(*) FILTER (tier = '{t}')" for t in metrics.TIERS)}) || ' |' FROM j GROUP BY mode, label
+ UNION ALL SELECT mode, '3 categories', label || ':' || category, '| ' || concat_ws(' | ', label || ':' || category, count(*) FILTER (tier IN ('MEDIUM', 'HIGH', 'CRITICAL')), count(*) FILTER (tier IN ('HIGH', 'CRITICAL')), count(*)) || ' |' FROM j GROUP BY mode, label, category
+ UNION ALL SELECT mode, '4 errors', id::VARCHAR, '**' || id || '** ' || CASE WHEN label = 'scam' THEN 'false negative (no warning): ' || CASE WHEN tier = 'INSUFFICIENT' THEN 'No analysis ran: stopped at the gate by too_short.' ELSE 'Fired: ' || CASE WHEN fired = '' THEN 'no rule' ELSE fired END || '; score ' || score || ' is ' || (30 - score) || ' below MEDIUM.' || said || ' Nothing asked for a secret or a payment, and nobody was imitated.' END
+  ELSE 'false positive (' || tier || '): Fired: ' || CASE WHEN fired = '' THEN 'none' ELSE fired END || '; score ' || score || '. Harmless messages of this kind have these patterns too.' END FROM j WHERE (label = 'scam') <> (tier IN ('MEDIUM', 'HIGH', 'CRITICAL'))
+ UNION ALL SELECT mode, section, '', line FROM (SELECT DISTINCT mode FROM j), (VALUES ('1 summary', '| mode | split | n | point | precision | recall | F1 | false positives | TP | FP | TN | FN |'), ('2 label by tier', '| label | {" | ".join(metrics.TIERS)} |'), ('3 categories', '| category | warned | interrupted | n |')) AS h(section, line)"""
+)
+def report_lines(spark, sf_dir):
+    """A report on labelled documents, in two modes."""
+    k = F.col("id")
+    d = _records(spark, sf_dir).withColumn("mode", F.when(k % 2 == 0, "rules").otherwise("hybrid")).withColumn("score", F.when(F.col("tier") != "INSUFFICIENT", k % 100))
+    fired = F.filter(F.array(F.when(k % 3 == 0, "SHORTENED_URL"), F.when(k % 2 == 0, "URGENCY")), lambda x: x.isNotNull())
+    d = d.withColumns({"fired": fired, "quality_flags": F.array(F.lit("too_short")), "llm_type": F.when(k % 2 == 1, "phishing"), "llm_score": F.when(k % 2 == 1, k % 100)})
+    return metrics.report(d)
+
+
+@query(f"SELECT c.case_id, tier, count(e.event_id) AS events FROM {_CASES} c LEFT JOIN {_EVENTS} e ON e.case_id = c.case_id AND e.actor = 'user' WHERE tier = 'HIGH' AND c.case_id <> '1'' OR ''1'' = ''1' GROUP BY c.case_id, tier HAVING count(e.event_id) >= 1")
+def asked_cases(spark, sf_dir):
+    """SQL over the store's tables with bound values, one of which tries to be SQL."""
+    views = {"audit_log": _cases(spark, sf_dir), "case_events": _events(spark, sf_dir)}
+    sql = "SELECT c.case_id, tier, count(e.event_id) AS events FROM audit_log c LEFT JOIN case_events e ON e.case_id = c.case_id AND e.actor = ? WHERE tier = ? AND c.case_id <> ? GROUP BY c.case_id, tier HAVING count(e.event_id) >= ?"
+    return casestore.ask(views, sql, "user", "HIGH", "1' OR '1' = '1", 1)
