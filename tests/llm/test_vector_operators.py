@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from wardline.llm import centroids, negatives, queries, tiles, topk
+from wardline.llm import centroids, embeddings, negatives, queries, tiles, topk
 
 VEC = "vec_id long, embedding array<double>, label int"
 SF = "/root/testdata/sf0.01"
@@ -184,3 +184,20 @@ def test_scores_beyond_a_long_are_an_error(spark):
         topk.search(frame).collect()
     with pytest.raises(Exception, match="components of"):
         centroids.cluster_vectors(spark.createDataFrame([(0, [1e15] * 64, 1)], VEC)).collect()
+
+
+def test_op3_keeps_links_of_vectors_whose_ids_repeat(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(5, 6))
+    made = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0])]
+    made += [(int(rng.integers(10, 40)), (base[rng.integers(0, 5)] + rng.normal(size=6) * 0.15).tolist()) for _ in range(150)]
+    made += [made[10], made[10], (50, made[20][1]), (10, [0.0] * 6), (None, made[20][1])]
+    frame = spark.createDataFrame([(*r, "x") for r in made], "vec_id long, embedding array<double>, cls string")
+    good = [i is not None and any(v) for i, v in made]
+    unit = [np.array(v) / np.linalg.norm(v) if g else None for g, (_, v) in zip(good, made, strict=True)]
+    near = [[j for j in range(len(made)) if j != i and good[i] and good[j] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.95] for i in range(len(made))]
+    least = [i for i, _ in made]
+    for _ in made:
+        least = [min([least[i], *(least[j] for j in near[i])]) if near[i] else least[i] for i in range(len(made))]
+    want = sorted(((i, len(near[n]), least[n], i is None or i == least[n]) for n, (i, _) in enumerate(made)), key=repr)
+    assert rows(embeddings.near_duplicates(frame)) == want

@@ -82,11 +82,39 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, ident: str
 
     Vectors that are null, empty, zero or hold a null or a component that isn't finite link with nothing; so do
     null ids, whose component is null. Vectors of another length than most are compared with those of their length
-    only. Equal vectors are one class from the start and count as links of each other. Ids are meant to be unique: rows that share
-    an id and a vector count as copies; of different vectors under one id the least by its components is compared. A cosine
+    only. Equal vectors are one class from the start and count as links of each other. Rows that share
+    an id and a vector count as copies; different vectors under one id are compared each, and each has a row of its own. A cosine
     of exactly the threshold links. Very long vectors are compared whole. Other columns play no part. An empty table gives no rows.
     """
     spark = vectors.sparkSession
+    source = vectors.select(F.col(ident).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("embedding"))
+    told = "vec_id long, good boolean, dim int, d1 long, d2 long"
+    table = written(source.mapInArrow(_look(False), told), "vectors")
+    usable = source.mapInArrow(_look(True), f"{told}, embedding array<double>").where("good and vec_id is not null")
+    # equal vectors are a class with a number of its own: ids may repeat, with other vectors
+    classes = usable.groupBy("d1", "d2", "dim").agg(F.min("vec_id").alias("cid"), F.count("*").alias("copies"), F.any_value("embedding").alias("embedding"))
+    classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    found = None
+    for r in classes.groupBy("dim").count().collect():  # one row for each vector length
+        part = _links(classes.where(F.col("dim") == r["dim"]).select("cls", "embedding", "copies"), int(r["count"]), threshold)
+        found = part if found is None else found.union(part)
+    if found is None:
+        found = spark.createDataFrame([], "a long, b long, n long")
+    found = written(found, "tile-links")
+    degree = found.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("others"))
+    comps = written(connected_components(found.where("b is not null").select("a", "b")), "components").withColumnRenamed("id", "cls")
+    least = comps.join(classes.select("cls", "cid"), "cls").groupBy("component").agg(F.min("cid").alias("component_id"))
+    comps = salted_lookup(comps, least, ["component"], ["cls"]).select("cls", "component_id")
+    facts = classes.select("d1", "d2", "cls", "cid", "copies").join(degree, "cls", "left").join(comps, "cls", "left").where("copies > 1 or others > 0")
+    rows = salted_lookup(table, facts, ["d1", "d2"], ["vec_id"])
+    linked = F.col("good") & F.col("vec_id").isNotNull()
+    rows = rows.withColumn("n_links", F.when(linked, F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("others", F.lit(0))).otherwise(0).cast("long"))
+    rows = rows.withColumn("component_id", F.when(linked, F.coalesce("component_id", "cid", "vec_id")).otherwise(F.col("vec_id")))
+    return rows.select("vec_id", "n_links", "component_id", (F.col("vec_id").isNull() | (F.col("vec_id") == F.col("component_id"))).alias("kept"))
+
+
+def _look(whole: bool):
+    """A pass over (vec_id, embedding) that tells usable vectors and gives them 128-bit keys; whole: the vectors go along."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,35 +127,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, ident: str
                 dim.append(len(x))
                 d1.append(int.from_bytes(digest[:8], "little", signed=True))
                 d2.append(int.from_bytes(digest[8:], "little", signed=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(good, pa.bool_()), pa.array(dim, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], names=["vec_id", "good", "dim", "d1", "d2"])
+            arrays = [batch.column(0), pa.array(good, pa.bool_()), pa.array(dim, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())]
+            names = ["vec_id", "good", "dim", "d1", "d2"]
+            yield pa.RecordBatch.from_arrays([*arrays, batch.column(1)], names=[*names, "embedding"]) if whole else pa.RecordBatch.from_arrays(arrays, names=names)
 
-    source = vectors.select(F.col(ident).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("embedding"))
-    table = written(source.mapInArrow(look, "vec_id long, good boolean, dim int, d1 long, d2 long"), "vectors")
-    usable = table.where("good and vec_id is not null")
-    classes = written(usable.groupBy("d1", "d2", "dim").agg(F.min("vec_id").alias("cid"), F.max("vec_id").alias("top"), F.count("*").alias("copies")), "classes")
-    total = classes.groupBy("dim").count().collect()  # one row for each vector length
-    one = source.join(classes.select(F.col("cid").alias("vec_id"), "copies", "dim"), "vec_id").where("size(embedding) = dim").groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.min("copies").alias("copies"))
-    one = written(one, "one-each")
-    found = None
-    for r in total:
-        part = _links(one.where(F.size("embedding") == r["dim"]), int(r["count"]), threshold)
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = spark.createDataFrame([], "a long, b long, n long")
-    found = written(found, "tile-links")
-    degree = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("others"))
-    comps = connected_components(found.where("b is not null").select("a", "b"))
-    facts = classes.select("d1", "d2", "cid", "copies").join(degree, "cid", "left").join(comps.withColumnRenamed("id", "cid"), "cid", "left").where("copies > 1 or others > 0")
-    rows = salted_lookup(table, facts, ["d1", "d2"], ["vec_id"])
-    linked = F.col("good") & F.col("vec_id").isNotNull()
-    rows = rows.withColumn("n_links", F.when(linked, F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("others", F.lit(0))).otherwise(0).cast("long"))
-    rows = rows.withColumn("component_id", F.when(linked, F.coalesce("component", "cid", "vec_id")).otherwise(F.col("vec_id")))
-    return rows.select("vec_id", "n_links", "component_id", (F.col("vec_id").isNull() | (F.col("vec_id") == F.col("component_id"))).alias("kept"))
+    return look
 
 
 def _links(one: DataFrame, count: int, threshold: float) -> DataFrame:
     """(a, null, n): class a has n linked vectors in other classes; (a, b, null): edges that span linked classes."""
-    sample = one.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(PIVOT_SAMPLE, PIVOTS * 8)).select("embedding").collect()
+    sample = one.orderBy(F.xxhash64("cls"), "cls").limit(min(PIVOT_SAMPLE, PIVOTS * 8)).select("embedding").collect()
     pivots = unit(np.array([r["embedding"] for r in sample], float))
     pivots = pivots[: min(PIVOTS, max(1, count // TILE + 1))]
 
@@ -135,24 +144,24 @@ def _links(one: DataFrame, count: int, threshold: float) -> DataFrame:
         for batch in batches:
             if len(batch):
                 x = unit(np.array(batch.column(1).to_pylist(), float))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array((x @ pivots.T).argmax(axis=1), pa.int32())], names=["vec_id", "embedding", "copies", "pivot"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array((x @ pivots.T).argmax(axis=1), pa.int32())], names=["cls", "embedding", "copies", "pivot"])
 
-    placed = written(one.select("vec_id", "embedding", "copies").mapInArrow(assign, "vec_id long, embedding array<double>, copies long, pivot int"), "placed")
+    placed = written(one.select("cls", "embedding", "copies").mapInArrow(assign, "cls long, embedding array<double>, copies long, pivot int"), "placed")
     sizes = {r["pivot"]: r["count"] for r in placed.groupBy("pivot").count().collect()}  # a row for each pivot
     start, first = {}, 0
     for p in sorted(sizes):
         start[p], first = first, first + -(-sizes[p] // TILE)
     table = F.create_map(*[F.lit(v) for p in sizes for v in (p, start[p])])
     parts = F.create_map(*[F.lit(v) for p in sizes for v in (p, -(-sizes[p] // TILE))])
-    tiled = placed.withColumn("tile", table[F.col("pivot")] + F.pmod(F.xxhash64("vec_id"), parts[F.col("pivot")]).cast("int"))
+    tiled = placed.withColumn("tile", table[F.col("pivot")] + F.pmod(F.xxhash64("cls"), parts[F.col("pivot")]).cast("int"))
 
     def gather(t: pa.Table) -> pa.Table:
         x = unit(np.array(t.column("embedding").to_pylist(), float))
         centre = unit(x.sum(axis=0, keepdims=True) + 1e-12)[0]
         radius = float(np.arccos(np.clip((x @ centre).min(), -1, 1))) + 1e-6
-        return pa.Table.from_arrays([pa.array([t.column("tile")[0].as_py()], pa.int32()), pa.array([np.asarray(t.column("vec_id")).tobytes()], pa.binary()), pa.array([np.asarray(t.column("copies")).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([radius], pa.float64())], names=["tile", "ids", "copies", "x", "centre", "radius"])
+        return pa.Table.from_arrays([pa.array([t.column("tile")[0].as_py()], pa.int32()), pa.array([np.asarray(t.column("cls")).tobytes()], pa.binary()), pa.array([np.asarray(t.column("copies")).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([radius], pa.float64())], names=["tile", "ids", "copies", "x", "centre", "radius"])
 
-    tiles = written(tiled.select("tile", "vec_id", "copies", "embedding").groupBy("tile").applyInArrow(gather, "tile int, ids binary, copies binary, x binary, centre array<double>, radius double"), "tiles")
+    tiles = written(tiled.select("tile", "cls", "copies", "embedding").groupBy("tile").applyInArrow(gather, "tile int, ids binary, copies binary, x binary, centre array<double>, radius double"), "tiles")
     meta = tiles.select("tile", "centre", "radius")
     pairs = meta.select(F.col("tile").alias("i"), F.col("centre").alias("ci"), F.col("radius").alias("ri"), F.explode(F.sequence(F.col("tile"), F.lit(first - 1))).alias("j"))
     pairs = pairs.join(meta.select(F.col("tile").alias("j"), F.col("centre").alias("cj"), F.col("radius").alias("rj")), "j")
