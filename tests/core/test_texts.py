@@ -1,6 +1,7 @@
 """Places in long texts, respacing, screens, display pieces and image headers against plain versions."""
 
 import itertools
+import json
 import math
 import random
 import re
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 
 from wardline.functions import lexicon as lx
 from wardline.functions.spans import clauses, located_long, running_totals, rx
-from wardline.operators import casestore, evidence, ingest, layout, masking, metrics, respace
+from wardline.operators import casestore, evidence, ingest, layout, masking, metrics, respace, responses
 from wardline.plans import texts
+from wardline.plans.messages import analyse
 from wardline.sources import readers
 
 SF = "/root/testdata/sf0.001"
@@ -229,3 +231,49 @@ def test_bound_values_are_never_read_as_sql(spark):
         casestore.ask({"names_here": d}, "SELECT id FROM names_here WHERE name = ?").collect()
     log = spark.createDataFrame([(f"2024-01-0{i}", i, i) for i in range(1, 8)], "ts string, cases_deleted int, events_deleted int")
     assert [r["cases_deleted"] for r in casestore.recent_purges(log).collect()] == [7, 6, 5, 4, 3]
+
+
+def test_segments_of_a_row_equal_those_of_the_table(spark):
+    rnd = random.Random(7)
+    cats = list(lx.PRIORITY)
+    made = []
+    for m in range(60):
+        for i in range(rnd.randint(0, 8)):
+            a = rnd.randint(0, 20)
+            made.append((m, a, a + rnd.randint(0, 9), rnd.choice(cats), f"L{rnd.randint(0, 3)}", i))
+    d = spark.createDataFrame(made, "msg_id int, start int, end int, category string, label string, ord int")
+    want = sorted((r["msg_id"], r["start"], r["end"], r["category"], tuple(r["labels"])) for r in evidence.overlay(d).collect())
+    spans = d.groupBy("msg_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "category", "label", "ord"))).alias("s"))
+    # pieces that the table joins are joined when they are shown
+    got = []
+    for r in spans.select("msg_id", responses.overlaid(F.col("s")).alias("o")).collect():
+        out = []
+        for p in r["o"]:
+            if out and out[-1][2] == p["start"] and out[-1][3:] == (p["category"], tuple(p["labels"])):
+                out[-1] = (*out[-1][:2], p["end"], *out[-1][3:])
+            else:
+                out.append((r["msg_id"], p["start"], p["end"], p["category"], tuple(p["labels"])))
+        got += out
+    assert sorted(got) == want
+
+
+def test_responses_logs_and_screens(spark):
+    d = spark.createDataFrame([("1", "reply with your password at http://10.20.30.40/x or it is closed"), ("2", "ok")], "msg_id string, text string")
+    got = {r["msg_id"]: json.loads(r["body"]) for r in responses.responses(analyse(d)).collect()}
+    assert set(got["1"]) >= {"risk", "evidence", "segments", "links", "intervention", "tiers"} and not {"risk", "evidence"} & set(got["2"])
+    assert got["1"]["links"] == [{"raw": "http://10.20.30.40/x", "host": "10.20.30.40"}] and "".join(p["text"] for p in got["1"]["segments"]) == d.first()["text"]
+    assert got["2"]["intervention"]["action"] == "UNABLE_TO_ANALYZE" and got["2"]["model_version"].endswith("/rules-only")
+    bad = analyse(d).withColumns({"code": F.lit(413), "error": F.lit("body too large")})
+    assert {(r["code"], r["body"]) for r in responses.responses(bad).collect()} == {(413, '{"error":"body too large"}')}
+
+    logs = spark.createDataFrame([("c1", "HIGH", "my secret text", "x-api-key: abc sk-abcdefghij")], "case_id string, tier string, text string, event string")
+    line = json.loads(responses.log_lines(logs, F.col("event")).first()["log_line"])
+    assert line == {"level": "INFO", "logger": "wardline", "event": "[REDACTED] [REDACTED]", "case_id": "c1", "tier": "HIGH"}
+
+    texts_ = {"a​b": "ab", "\U0001d400\U0001d7ce": "A0", "hi 😀★": "hi ", "": "", None: None}
+    shown = spark.createDataFrame([(k,) for k in texts_], "t string").select("t", responses.screen_text(F.col("t")).alias("s"))
+    assert {r["t"]: r["s"] for r in shown.collect()} == texts_
+
+    cases = spark.createDataFrame([("g", "a", "LOW", "sms", None, None, "t", "p.png", None, None), ("g", "b", "LOW", "sms", None, None, "t", None, b"x", None), ("g", "c", "LOW", "sms", None, None, "t", None, None, True)], "group string, title string, expect string, channel string, sender string, claimed string, text string, image string, bytes binary, simulate boolean")
+    info = responses.service_info(spark, cases).first()
+    assert [(c["title"], c["image"]) for c in info["demo_cases"]] == [("a", "/demo/p.png")] and info["mode"] == "rules_only" and responses.service_info(spark, cases.limit(0)).first()["demo_cases"] == []

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wardline.config import Config
 from wardline.operators.masking import mask_sender, mask_text
+from wardline.operators.responses import model_version
 
 ACTORS = ("user", "analyst", "system")
 USER_ACTIONS = ("appeal_legitimate", "report_scam", "links_revealed", "trust_sender_requested", "trust_sender_confirmed", "trust_sender_cancelled", "trust_sender_removed")
@@ -49,7 +50,7 @@ def case_rows(decided: DataFrame, now: Column, pepper: str, config: Config | Non
         "channel", "status", "masked_message", mask_sender(F.col("sender_id")).alias("sender_masked"), "claimed_sender", signals.alias("signals"),
         F.to_json("hits").alias("rule_hits"), F.lit(None).cast("string").alias("llm_output"), "llm_status", "score", "tier", "confidence",
         F.col("needs_review").cast("int").alias("needs_review"), "mode", F.col("action").alias("intervention"), F.lit(None).cast("string").alias("user_action"),
-        F.lit("pending").alias("analyst_outcome"), F.lit("rules").alias("model_version"), F.lit(config.config_hash).alias("config_hash"), F.lit(None).cast("double").alias("latency_ms"),
+        F.lit("pending").alias("analyst_outcome"), model_version(F.col("llm_status"), F.lit(None).cast("string") if "llm_model" not in decided.columns else F.col("llm_model")).alias("model_version"), F.lit(config.config_hash).alias("config_hash"), F.lit(None).cast("double").alias("latency_ms"),
     )
 
 

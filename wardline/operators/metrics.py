@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.functions.lexicon import IMPERSONATIONS, REQUESTS
+
 TIERS = ("INSUFFICIENT", "LOW", "MEDIUM", "HIGH", "CRITICAL")
 POINTS = {"warn": ("MEDIUM", "HIGH", "CRITICAL"), "interrupt": ("HIGH", "CRITICAL")}
 
@@ -45,8 +47,10 @@ def misclassified(records: DataFrame) -> DataFrame:
 
 
 def under_warned(records: DataFrame) -> DataFrame:
-    """Scams that were warned of but not interrupted, with why."""
-    return records.where((F.col("label") == "scam") & (F.col("tier") == "MEDIUM")).withColumn("why", F.when(F.col("rule_score") < 55, "the rules' sum is below HIGH").otherwise("capped"))
+    """Scams that were warned of but not interrupted, with why: by the names of the rules that fired."""
+    asked, posed = (F.arrays_overlap("fired", F.array(*map(F.lit, names))) for names in (REQUESTS, IMPERSONATIONS))
+    why = F.when(~asked, "pressed or imitated, but asked for no secret and no payment").when(~posed, "asked without an imitation, so that the floor of HIGH did not hold").otherwise("all weights together stayed below HIGH")
+    return records.where((F.col("label") == "scam") & (F.col("tier") == "MEDIUM")).withColumn("why", why)
 
 
 def word_counts(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from wardline.functions import lexicon as lx
 from wardline.functions.spans import clauses, running_totals, rx
-from wardline.operators import casestore, evidence, layout, metrics, respace, rules
+from wardline.operators import casestore, evidence, layout, metrics, respace, responses, rules
+from wardline.plans.messages import analyse, templated
 from wardline.plans.made import _by, _text
-from wardline.plans.registry import _CASES, _EVENTS, _LIST, _R, _RECORDS, _cases, _events, _records, query, table
+from wardline.plans.registry import _CASES, _EVENTS, _FINAL, _LIST, _R, _RECORDS, _TIER, _cases, _events, _records, query, table
 from wardline.sources import readers
 
 # DuckDB has no look-behind: a break after a sign takes the sign along, which belongs to the clause before
@@ -214,3 +215,34 @@ def asked_cases(spark, sf_dir):
     views = {"audit_log": _cases(spark, sf_dir), "case_events": _events(spark, sf_dir)}
     sql = "SELECT c.case_id, tier, count(e.event_id) AS events FROM audit_log c LEFT JOIN case_events e ON e.case_id = c.case_id AND e.actor = ? WHERE tier = ? AND c.case_id <> ? GROUP BY c.case_id, tier HAVING count(e.event_id) >= ?"
     return casestore.ask(views, sql, "user", "HIGH", "1' OR '1' = '1", 1)
+
+
+@query("SELECT o_orderdate::VARCHAR AS ts, o_orderkey AS cases_deleted FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 5")
+def recent_purges(spark, sf_dir):
+    d = table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("cases_deleted"))
+    return casestore.recent_purges(d).select(F.col("ts").cast("string").alias("ts"), "cases_deleted")
+
+
+@query(f"SELECT doc_id, md5(regexp_replace('authorization: ' || source || ' ' || text, '{responses.SECRET}', '[REDACTED]', 'g')) AS event, source = 'logged' AS leaked FROM documents")
+def redacted_logs(spark, sf_dir):
+    """Whole documents as events of a log, behind a header that carries a secret: what is left of them, and that no field beside it gets into a line."""
+    event = F.concat(F.lit("authorization: "), F.col("source"), F.lit(" "), F.col("text"))
+    d = responses.log_lines(table(spark, sf_dir, "documents"), event)
+    return d.select("doc_id", F.md5(responses.redacted(event)).alias("event"), (F.size(F.array_except(F.call_function("json_object_keys", F.col("log_line")), F.array(F.lit("level"), F.lit("logger"), F.lit("event")))) > 0).alias("leaked"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(text, '[\\p{So}\\x{10000}-\\x{10FFFF}\\x{200B}-\\x{200F}\\x{2060}\\x{FEFF}\\x{AD}\\x{180E}\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}]', '', 'g')) AS shown FROM documents")
+def screen_texts(spark, sf_dir):
+    """Documents with pictures, invisible characters and mathematical letters put in are shown as they were."""
+    bold = "".join(chr(0x1D41A + i) for i in range(26))
+    spoiled = F.replace(F.translate("text", "abcdefghijklmnopqrstuvwxyz", bold), F.lit(" "), F.lit(" ★​😀"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(responses.screen_text(spoiled)).alias("shown"))
+
+
+@query(f"SELECT msg_id, {_TIER} AS tier, CASE WHEN score IS NULL THEN 'UNABLE_TO_ANALYZE' WHEN score >= 80 THEN 'BLOCK_LINKS' WHEN score >= 55 THEN 'INTERSTITIAL' WHEN score >= 30 THEN 'SOFT_WARN' ELSE 'ALLOW' END AS action, text AS said, names = 'OBFUSCATION' AS hides, '{responses.NAME}-{responses.VERSION}/{responses.RULESET}/rules-only' AS model_version FROM {_FINAL}")
+def response_bodies(spark, sf_dir):
+    """Bodies of responses, read again: tier, action, and the text out of its pieces."""
+    d = responses.responses(analyse(templated(spark, sf_dir)))
+    body = F.from_json("body", "struct<risk:struct<tier:string>,intervention:struct<action:string>,segments:array<struct<text:string,hidden_char:boolean>>,model_version:string>")
+    d = d.select("msg_id", body.alias("b"))
+    return d.select("msg_id", F.col("b.risk.tier").alias("tier"), F.col("b.intervention.action").alias("action"), F.array_join(F.transform("b.segments", lambda p: p["text"]), "").alias("said"), F.exists("b.segments", lambda p: F.coalesce(p["hidden_char"], F.lit(False))).alias("hides"), F.col("b.model_version").alias("model_version"))
