@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import functions as F
 
 from wardline.functions import lexicon as lx
-from wardline.functions.spans import clauses, located_long, running_totals, rx
+from wardline.functions.spans import clauses, located_long, message_clauses, running_totals, rx
 from wardline.operators import casestore, evidence, ingest, layout, masking, metrics, respace, responses
 from wardline.plans import texts
 from wardline.plans.messages import analyse
@@ -32,13 +32,14 @@ def test_running_totals_and_places_in_long_texts(spark):
     made = ["", "a", "a. b! c", "x - y — z\n\n\nw", " . ", "one;  two\n", "😀. é! b", "the end. " * 40_000]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "i int, t string")
     split = re.compile(r"(?<=[.!?;])\s+|\n+|\s+[-–—]\s+")
-    for r in rows(frame.select("i", clauses(F.col("t"), rx(lx.CLAUSE_BREAK)).alias("c"), located_long(F.col("t"), "[a-z]+").alias("w"))):
+    for r in rows(frame.select("i", clauses(F.col("t"), rx(lx.CLAUSE_BREAK)).alias("c"), F.when(F.length("t") < 5000, message_clauses(F.col("t"), rx(lx.CLAUSE_BREAK))).alias("m"), located_long(F.col("t"), "[a-z]+").alias("w"))):
         t, pos, want = made[r["i"]], 0, []
         for m in split.finditer(t):
             want.append((pos, m.start()))
             pos = m.end()
         want.append((pos, len(t)))
         assert [(c["start"], c["end"]) for c in r["c"]] == [(a, b) for a, b in want if b > a]
+        assert r["m"] is None or r["m"] == r["c"]
         assert all(t[c["start"] : c["end"]] == c["value"] for c in r["c"])
         assert [(w["start"], w["end"], w["value"]) for w in r["w"]] == [(*m.span(), m[0]) for m in re.finditer("[a-z]+", t)]
 

@@ -36,6 +36,12 @@ def _nfkc(batch: pa.RecordBatch) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts], pa.string())
 
 
+def stopword_count(text: Column, words) -> Column:
+    """How many words of a text, in any case, are among some."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0)), lambda w: F.lower(w))
+    return F.size(F.filter(found, lambda w: w.isin(*words)))
+
+
 def parse_channel(channel: Column) -> Column:
     return F.when(F.lower(channel).isin(*CHANNELS), F.lower(channel)).otherwise("sms")
 
@@ -75,8 +81,7 @@ def normalise(messages: DataFrame, config: Config) -> DataFrame:
     other = F.regexp_count("clean_text", F.lit(r"(?:(?!\p{IsLatin})\p{L})"))
     excused = F.regexp_count(F.array_join("mixed_script_words", " "), F.lit(r"(?:(?!\p{IsLatin})\p{L})"))
     ratio = F.when(F.col("__ascii") | (letters == 0), F.lit(0.0)).otherwise((other - excused) / letters)
-    found = F.transform(F.regexp_extract_all("analysis_text", F.lit(r"\p{L}+"), F.lit(0)), lambda w: F.lower(w))
-    counted = lambda words: F.size(F.filter(found, lambda w: w.isin(*words)))
+    counted = lambda words: stopword_count(F.col("analysis_text"), words)
     foreign = (ratio > 0.3) | ((counted(lx.FOREIGN) >= 3) & (counted(lx.FOREIGN) > 2 * counted(lx.ENGLISH)))
     late = F.when(~F.col("analysis_text").rlike(r"[\p{L}\p{N}]"), "no_text_content").when(F.length(F.regexp_replace("analysis_text", _SPACE_ENDS, "")) < config.min_chars, "too_short").when(foreign, "unsupported_language")
     m = m.withColumn("__flag", F.coalesce("__early", late)).withColumn("status", F.when(F.col("__flag").isNull(), "OK").otherwise("INSUFFICIENT_DATA"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wardline.config import Config
 from wardline.functions import lexicon as lx
-from wardline.functions.spans import any_of, clauses, extended, located, located_any, no_spans, rx, settled, shifted, starts_in
+from wardline.functions.spans import any_of, extended, located, located_any, message_clauses, no_spans, rx, settled, shifted, starts_in
 from wardline.operators import brands as br
 
 HIT = "struct<rule_id:string,name:string,category:string,weight:int,reason:string,spans:array<struct<start:int,end:int>>,snippets:array<string>>"
@@ -63,7 +63,7 @@ def credential_spans(text: Column, bad_link: Column) -> tuple[Column, Column]:
         return F.concat(F.transform(terms, of_term), whole)
 
     relevant = text.rlike(rx(any_of([lx.SECRET, lx.VERIFY_ACCOUNT])))
-    found = F.when(relevant, F.flatten(F.transform(clauses(text, rx(lx.CLAUSE_BREAK)), judged))).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string>>"))
+    found = F.when(relevant, F.flatten(F.transform(message_clauses(text, rx(lx.CLAUSE_BREAK)), judged))).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string>>"))
     of = lambda kind: F.transform(F.filter(found, lambda s: s["kind"] == kind), _bare)
     asked = F.concat(of("asks"), F.transform(located(text, rx(lx.ASK_CODE)), _bare))
     return F.array_sort(F.array_distinct(asked)), F.array_sort(F.array_distinct(of("protects")))
@@ -84,7 +84,7 @@ def clause_pair_spans(text: Column, term: str, verb: str) -> Column:
         terms, verbs = located(c["value"], rx(term)), F.filter(located(c["value"], rx(verb)), lambda v: ~negated_before(c["value"], v["start"]))
         return F.when((F.size(terms) > 0) & (F.size(verbs) > 0), shifted(F.concat(terms, F.slice(verbs, 1, 1)), c["start"])).otherwise(no_spans())
 
-    return F.when(text.rlike(rx(term)) & text.rlike(rx(verb)), F.array_sort(F.array_distinct(F.flatten(F.transform(clauses(text, rx(lx.CLAUSE_BREAK)), pair))))).otherwise(no_spans())
+    return F.when(text.rlike(rx(term)) & text.rlike(rx(verb)), F.array_sort(F.array_distinct(F.flatten(F.transform(message_clauses(text, rx(lx.CLAUSE_BREAK)), pair))))).otherwise(no_spans())
 
 
 def with_context(signals: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def _detectors() -> dict[str, Callable[[], tuple[Column | None, Column, Column]]
             return F.when(fires, F.concat(shifted(verb, c["start"]), phone)).otherwise(no_spans())
 
         pressed = text.rlike(rx(any_of(lx.WORDS["URGENCY"] + lx.WORDS["THREAT"] + lx.CALL_CONTEXT)))
-        spans = F.when(authority(False)[0] & pressed & text.rlike(rx(lx.CALL_VERB)), F.flatten(F.transform(clauses(text, rx(lx.CLAUSE_BREAK)), in_clause))).otherwise(no_spans())
+        spans = F.when(authority(False)[0] & pressed & text.rlike(rx(lx.CALL_VERB)), F.flatten(F.transform(message_clauses(text, rx(lx.CLAUSE_BREAK)), in_clause))).otherwise(no_spans())
         return listed(spans, "Wants you to call a number from the message")
 
     def lookalike():

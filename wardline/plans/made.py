@@ -159,7 +159,9 @@ def score_cases(spark, sf_dir):
 
 
 _TIERS = ("LOW", "MEDIUM", "HIGH", "CRITICAL", None)
-_POLICY = "(VALUES " + ", ".join(f"({i}, {_quote(t)}, {_quote(scoring.POLICY[t][0])}, {scoring.POLICY[t][2]}, {scoring.POLICY[t][3]}, {scoring.POLICY[t][4]}, {n}, {5 if t == 'CRITICAL' else 0})" for i, (t, n) in enumerate(zip(_TIERS, (0, 4, 2, 2, 2), strict=True))) + ") AS p(i, tier, action, links_disabled, requires_confirmation, recommend_report, tips, steps)"
+# tier, action, links off, confirmation, report, tips (two basic ones without a tier; advice on two rules; both at MEDIUM; none at LOW), steps
+_POLICY = """(VALUES (0, 'LOW', 'ALLOW', false, false, false, 0, 0), (1, 'MEDIUM', 'SOFT_WARN', false, false, false, 4, 0), (2, 'HIGH', 'INTERSTITIAL', true, true, false, 2, 0),
+ (3, 'CRITICAL', 'BLOCK_LINKS', true, true, true, 2, 5), (4, NULL, 'UNABLE_TO_ANALYZE', false, false, false, 2, 0)) AS p(i, tier, action, links_disabled, requires_confirmation, recommend_report, tips, steps)"""
 
 
 @query(f"SELECT c_custkey, action, links_disabled, requires_confirmation, recommend_report, tips, steps FROM customer JOIN {_POLICY} ON i = c_custkey % 5")

@@ -103,15 +103,15 @@ _LIST = lambda words: "[" + ", ".join(_quote(w) for w in words) + "]"  # noqa: E
 
 @query(f"SELECT doc_id, len(list_filter(w, lambda x: list_contains({_LIST(lx.ENGLISH)}, x))) AS english, len(list_filter(w, lambda x: list_contains({_LIST(lx.FOREIGN)}, x))) AS other FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '\\p{{L}}+'), lambda x: lower(x)) AS w FROM documents)")
 def stopword_counts(spark, sf_dir):
-    words = F.transform(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)), lambda w: F.lower(w))
-    n = lambda kept: F.size(F.filter(words, lambda w: w.isin(*kept))).cast("long")
+    n = lambda kept: ingest.stopword_count(F.col("text"), kept).cast("long")
     return table(spark, sf_dir, "documents").select("doc_id", n(lx.ENGLISH).alias("english"), n(lx.FOREIGN).alias("other"))
 
 
-@query(f"SELECT p_partkey, translate(replace(replace(replace(p_name, 'a', 'а'), 'o', 'ο'), 'e', 'е'), {_quote(lx.LOOKALIKE_FROM)}, {_quote(lx.LOOKALIKE_TO)}) AS folded FROM part")
+@query(f"SELECT p_partkey, 'a plain note for you ' || translate(replace(replace(replace(p_name, 'a', 'а'), 'o', 'ο'), 'e', 'е'), {_quote(lx.LOOKALIKE_FROM)}, {_quote(lx.LOOKALIKE_TO)}) AS folded FROM part")
 def homoglyph_fold(spark, sf_dir):
-    spoofed = F.translate("p_name", "aoe", "аοе")
-    return table(spark, sf_dir, "part").select("p_partkey", F.translate(spoofed, lx.LOOKALIKE_FROM, lx.LOOKALIKE_TO).alias("folded"))
+    """Part names with three letters of other scripts in them, as the analysis reads them."""
+    d = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("a plain note for you "), F.translate("p_name", "aoe", "аοе")).alias("text"))
+    return ingest.normalise(d, Config()).select("p_partkey", F.col("analysis_text").alias("folded"))
 
 
 _HOST = "lower(regexp_extract(url, '://([^/?#:]*)', 1))"

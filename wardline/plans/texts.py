@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from wardline.functions import lexicon as lx
 from wardline.functions.spans import clauses, running_totals, rx
-from wardline.operators import casestore, evidence, layout, metrics, respace, responses, rules
+from wardline.operators import brands, casestore, evidence, layout, metrics, respace, responses, rules
 from wardline.plans.messages import analyse, templated
-from wardline.plans.made import _by, _text
+from wardline.plans.made import _BRAND_SQL, _BRANDS, _branded, _by, _text
 from wardline.plans.registry import _CASES, _EVENTS, _FINAL, _LIST, _R, _RECORDS, _TIER, _cases, _events, _records, query, table
 from wardline.sources import readers
 
@@ -246,3 +246,23 @@ def response_bodies(spark, sf_dir):
     body = F.from_json("body", "struct<risk:struct<tier:string>,intervention:struct<action:string>,segments:array<struct<text:string,hidden_char:boolean>>,model_version:string>")
     d = d.select("msg_id", body.alias("b"))
     return d.select("msg_id", F.col("b.risk.tier").alias("tier"), F.col("b.intervention.action").alias("action"), F.array_join(F.transform("b.segments", lambda p: p["text"]), "").alias("said"), F.exists("b.segments", lambda p: F.coalesce(p["hidden_char"], F.lit(False))).alias("hides"), F.col("b.model_version").alias("model_version"))
+
+
+# Of each brand: a letter of its name left out, a digit for a letter, words added to it, and its domain before another one. Names of fewer than six letters
+# may not be one letter off, those without o, e, l or s have no digit, and gov.uk is a public suffix: these are hosts of nobody.
+_IMITATED = f"(SELECT c_custkey, c_custkey // {len(_BRANDS)} % 4 AS kind, b.* FROM customer JOIN {_BRAND_SQL} ON ord = c_custkey % {len(_BRANDS)})"
+
+
+@query(
+    f"""SELECT c_custkey, host, display AS brand, CASE kind WHEN 0 THEN 'typosquat' WHEN 1 THEN 'leetspeak' WHEN 2 THEN 'brand-in-domain' ELSE 'subdomain-trick' END AS technique FROM (
+ SELECT *, CASE kind WHEN 0 THEN left(key, length(key) - 2) || right(key, 1) || '.net' WHEN 1 THEN translate(key, 'oels', '0315') || '.net' WHEN 2 THEN key || '-secure.net' ELSE domain || '.c' || c_custkey || '.io' END AS host FROM {_IMITATED})
+ WHERE length(key) >= 6 AND domain <> 'gov.uk' AND (kind <> 1 OR regexp_matches(key, '[oels]'))"""
+)
+def imitated_hosts(spark, sf_dir):
+    """Four imitations of each brand's name and domain, over all customers."""
+    k, kind = F.col("c_custkey"), (F.col("c_custkey") / len(_BRANDS)).cast("long") % 4
+    d = _branded(spark, sf_dir).where("length(key) >= 6 and domain <> 'gov.uk'").where((kind != 1) | F.col("key").rlike("[oels]"))
+    n = F.length("key")
+    host = _by(kind, _text(F.left("key", n - 2), F.right("key", F.lit(1)), ".net"), _text(F.translate("key", "oels", "0315"), ".net"), _text(F.col("key"), "-secure.net"), _text(F.col("domain"), ".c", k, ".io"))
+    d = d.select(k, host.alias("host"))
+    return d.join(brands.lookalike_hosts(d), "host").select(k, "host", brands.brand_field(F.col("brand_ord"), "display").alias("brand"), "technique")
