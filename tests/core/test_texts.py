@@ -278,3 +278,32 @@ def test_responses_logs_and_screens(spark):
     cases = spark.createDataFrame([("g", "a", "LOW", "sms", None, None, "t", "p.png", None, None), ("g", "b", "LOW", "sms", None, None, "t", None, b"x", None), ("g", "c", "LOW", "sms", None, None, "t", None, None, True)], "group string, title string, expect string, channel string, sender string, claimed string, text string, image string, bytes binary, simulate boolean")
     info = responses.service_info(spark, cases).first()
     assert [(c["title"], c["image"]) for c in info["demo_cases"]] == [("a", "/demo/p.png")] and info["mode"] == "rules_only" and responses.service_info(spark, cases.limit(0)).first()["demo_cases"] == []
+
+
+def test_entities_of_documents_and_turns(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) < 5000").select(F.concat(F.lit("d"), "doc_id").alias("msg_id"), "text")
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").select(F.concat_ws(":", "conv_id", "turn").alias("msg_id"), "text")
+    made = [("m1", "pay $1,200.50 or 30 EUR to bc1qar0srrr7xfkvy5l643lydnw9re59gtzzwf5mdq or 0x52908400098527886E0F7030069857D2E4169EE7 soon"), ("m2", "mail a.b@c.org, see https://x.org/?q=a@b.org or call (415) 555-0132, 212-555-0199 or 555-0132 today"), ("m3", "write to info@shop.example.com or visit shop.example.com/a now please")]
+    frame = docs.union(turns).union(spark.createDataFrame(made, "msg_id string, text string"))
+    kinds = ("emails", "crypto", "phones", "amounts")
+    seen = 0
+    for r in ingest.ingest(frame).where("status = 'OK'").select("msg_id", "analysis_text", "urls", *kinds).collect():
+        t = r["analysis_text"]
+        spans = lambda p, flags=0: [m.span() for m in regex.finditer(p, t, flags)]  # noqa: B023, E731
+        within = lambda s, others: any(a <= s[0] < b for a, b in others)
+        links = [(u["start"], u["end"]) for u in r["urls"]]
+        emails = spans(lx.EMAIL)
+        trimmed = []
+        for a, b in spans(lx.URL, regex.I):
+            raw = t[a:b].rstrip(".,;:!?)'\"")
+            if "." in re.sub(r"^(?:https?|hxxps?)://", "", raw, flags=re.I).split("/")[0].split("?")[0].split("#")[0]:
+                trimmed.append((a, a + len(raw)))
+        shut = trimmed + emails
+        crypto = [s for s in spans(lx.CRYPTO) if not within(s, shut)]
+        phones = [s for s in spans(lx.PHONE) if not within(s, shut + crypto) and 7 <= len(re.sub("[^0-9]", "", t[s[0] : s[1]])) <= 15]
+        amounts = [s for s in spans(lx.AMOUNT, regex.I) if not within(s, shut)]
+        for kind, want in zip(kinds, (emails, crypto, phones, amounts), strict=True):
+            assert [(s["start"], s["end"]) for s in r[kind]] == want, (r["msg_id"], kind)
+            seen += len(want)
+        assert links == [s for s in trimmed if not within(s, emails)]
+    assert seen > 30

@@ -266,3 +266,24 @@ def imitated_hosts(spark, sf_dir):
     host = _by(kind, _text(F.left("key", n - 2), F.right("key", F.lit(1)), ".net"), _text(F.translate("key", "oels", "0315"), ".net"), _text(F.col("key"), "-secure.net"), _text(F.col("domain"), ".c", k, ".io"))
     d = d.select(k, host.alias("host"))
     return d.join(brands.lookalike_hosts(d), "host").select(k, "host", brands.brand_field(F.col("brand_ord"), "display").alias("brand"), "technique")
+
+
+_BOXES = "(SELECT l_orderkey AS k, (l_partkey % 60)::DOUBLE AS y0, (l_partkey % 60 + 10 + l_suppkey % 20)::DOUBLE AS y1, (l_linenumber * 37 % 90)::DOUBLE AS x0, 'w' || l_linenumber || 'z' || l_suppkey || CASE WHEN l_partkey % 5 = 0 THEN '-' ELSE '' END AS t FROM lineitem)"
+
+
+@query(
+    f"""WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY y0, x0, y1, t) AS i FROM {_BOXES}),
+ w(k, i, r, top, bottom) AS (SELECT k, i, 1, y0, y1 FROM b WHERE i = 1 UNION ALL SELECT k, i, CASE WHEN joins THEN r ELSE r + 1 END, CASE WHEN joins THEN top ELSE y0 END, CASE WHEN joins THEN bottom ELSE y1 END FROM (SELECT b.*, r, top, bottom, (b.y0 + b.y1) / 2 BETWEEN top AND bottom AS joins FROM w JOIN b ON b.k = w.k AND b.i = w.i + 1)),
+ rows AS (SELECT k, r, string_agg(t, ' ' ORDER BY x0, t) AS text, min(y0) AS y0, max(y1) AS y1 FROM w JOIN b USING (k, i) GROUP BY k, r),
+ s AS (SELECT k, r, text, CASE WHEN r = 1 THEN '' WHEN y0 - lag(y1) OVER o > 0.9::DOUBLE * median(y1 - y0) OVER (PARTITION BY k) THEN chr(10) WHEN lag(text) OVER o LIKE '%-' THEN '' ELSE ' ' END AS gap FROM rows WINDOW o AS (PARTITION BY k ORDER BY r))
+ SELECT k AS l_orderkey, count(*)::INTEGER AS rows, string_agg(gap || text, '' ORDER BY r) AS text FROM s GROUP BY k"""
+)
+def layout_rows(spark, sf_dir):
+    """Boxes of all places and heights, one for each line of an order: rows by lines of sight, paragraphs by gaps, cut words joined."""
+    d, at = table(spark, sf_dir, "lineitem"), F.col("l_partkey") % 60
+    text = _text("w", F.col("l_linenumber"), "z", F.col("l_suppkey"), F.when(F.col("l_partkey") % 5 == 0, "-").otherwise(""))
+    left = (F.col("l_linenumber") * 37 % 90).cast("double")
+    box = F.struct(text.alias("text"), F.lit(0.9).alias("confidence"), left.alias("x0"), at.cast("double").alias("y0"), (left + 30).alias("x1"), (at + 10 + F.col("l_suppkey") % 20).cast("double").alias("y1"))
+    d = d.groupBy("l_orderkey").agg(F.collect_list(box).alias("lines"))  # a handful of lines each
+    d = d.withColumn("r", layout.rows(F.col("lines").cast(f"array<{layout.LINE}>")))
+    return d.select("l_orderkey", F.size("r").alias("rows"), layout.paragraphs(F.col("r")).alias("text"))
