@@ -1,9 +1,9 @@
 """URL filters: rules by host and path, and for all other URLs a path-template tree with smoothed labelled purity.
 
-The tree is built level by level as DataFrames, from counts by host and path. Below each node of a host's tree a
-segment that is variable by form (digits, hexadecimal or a date) becomes "*"; siblings whose smoothed share of blocked labels can't
-be told from the node's become one branch "~", those with few labels or none too, and what is left of very many siblings
-becomes "*". The leaves are the templates, and a template whose smoothed share of blocked labels is high enough is rejected.
+The tree is built from branching to branching as DataFrames, from counts by host and path. Below each node of a host's tree a
+segment that is variable by form (digits, hexadecimal or a date) becomes a wildcard; siblings whose smoothed share of blocked labels
+can't be told from the node's become one branch, those with few labels or none too, and what is left of very many siblings
+becomes a wildcard. The leaves are the templates, and a template whose smoothed share of blocked labels is high enough is rejected.
 
 What a branch lacks in labels of its own it takes from around it. The labels are a table of labelled URLs or, without one, what
 the rules say of the URLs that they fit.
@@ -22,6 +22,8 @@ CHILDREN, RARE = 16, 4.0
 Z = 1.96
 #: Weight and value of the prior share, and the smoothed share from which a template is rejected.
 PRIOR_ROWS, PRIOR_SHARE, PURITY = 2.0, 0.5, 0.8
+#: Wildcards in templates, with a character that no path has: any segment, siblings in one, what lies below all labels.
+ANY, LIKE, DEEPER = "?", "?~", "?+"
 #: The rules of the contract, as (verdict, host and path).
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
@@ -54,31 +56,40 @@ def templates(paths: DataFrame) -> DataFrame:
 
     A node's prior comes from the labels outside it, the nearest first: ((b outside, below its parent) + PRIOR_ROWS *
     (the parent's prior)) / ((l outside, below its parent) + PRIOR_ROWS), so no label counts twice. Children whose smoothed share can't
-    be told from the node's become one branch "~", those without labels too. The tree grows to the end of the deepest
-    labelled path: what lies deeper has no labels to tell it apart. Each segment of that path is a round.
+    be told from the node's become one branch, those without labels too. The tree grows to the end of the deepest
+    labelled path: what lies deeper has no labels to tell it apart. A chain of single children, which leaves the prior as it is,
+    is passed in one step, so a path costs a round for each node on it where others leave it, however long it is.
     """
-    segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    paths = written(paths.withColumn("segs", segments), "labelled-paths")
-    depth = paths.where("labelled > 0").agg(F.max(F.size("segs"))).first()[0] or 0
-    cut = F.when(F.size("segs") > depth, F.concat(F.slice("segs", 1, depth), F.array(F.lit("**")))).otherwise(F.col("segs"))
-    tree = paths.withColumn("segs", cut).withColumn("template", F.lit("")).withColumn("prior", F.lit(PRIOR_SHARE))
-    for level in range(depth + 2):
-        seg = F.get(F.col("segs"), F.lit(level))
+    segments = F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), lambda s: F.when(s.rlike(_VARIABLE), ANY).otherwise(s))
+    paths = written(paths.withColumn("rest", segments), "labelled-paths")
+    depth = paths.where("labelled > 0").agg(F.max(F.size("rest"))).first()[0] or 0
+    cut = F.when(F.size("rest") > depth, F.concat(F.slice("rest", 1, depth), F.array(F.lit(DEEPER)))).otherwise(F.col("rest"))
+    tree = paths.withColumn("rest", cut).withColumn("template", F.lit("")).withColumn("prior", F.lit(PRIOR_SHARE))
+    done = None
+    while True:
         # "" stands for paths that end at the node
-        at = tree.withColumn("seg", F.when(F.size("segs") < level, F.lit(None)).when(seg.isNull(), "").when(seg.rlike(_VARIABLE), "*").otherwise(seg))
-        child = at.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.min("prior").alias("prior"))
+        at = tree.withColumn("seg", F.coalesce(F.get("rest", F.lit(0)), F.lit(""))).withColumn("tail", F.slice("rest", 2, F.greatest(F.size("rest") - 1, F.lit(0))))
+        child = at.groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.min("prior").alias("prior"), F.min("tail").alias("low"), F.max("tail").alias("high"))
         inner = F.col("seg") != ""
         node = child.groupBy("host", "template").agg(F.count_if(inner).alias("kinds"), F.sum(F.when(inner, F.col("n"))).alias("nn"), F.sum("l").alias("nl"), F.sum("b").alias("nb"))
         share = (F.col("nb") + PRIOR_ROWS * F.col("prior")) / (F.col("nl") + PRIOR_ROWS)
         far = F.abs((F.col("b") + PRIOR_ROWS * share) / (F.col("l") + PRIOR_ROWS) - share) > Z * F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) / (F.col("l") + PRIOR_ROWS))
         many = (F.col("kinds") > CHILDREN) & (F.col("nn") < RARE * F.col("kinds"))
-        name = F.when(F.col("seg").isin("", "*", "**"), F.col("seg")).when(many & (F.col("l") == 0), "*").when((F.col("kinds") > 1) & ~far, "~").otherwise(F.col("seg"))
+        name = F.when(F.col("seg").isin("", ANY, DEEPER), F.col("seg")).when(many & (F.col("l") == 0), ANY).when((F.col("kinds") > 1) & ~far, LIKE).otherwise(F.col("seg"))
         names = child.join(node, ["host", "template"]).withColumn("name", name)
-        around = names.groupBy("host", "template", "name").agg(((F.min("nb") - F.sum("b") + PRIOR_ROWS * F.min("prior")) / (F.min("nl") - F.sum("l") + PRIOR_ROWS)).alias("around"))
+        # the least and the greatest of a branch's tails begin alike as far as all of them do
+        differ = F.array_position(F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y)), False)
+        around = names.groupBy("host", "template", "name").agg(((F.min("nb") - F.sum("b") + PRIOR_ROWS * F.min("prior")) / (F.min("nl") - F.sum("l") + PRIOR_ROWS)).alias("around"), F.min("low").alias("low"), F.max("high").alias("high"))
+        around = around.select("host", "template", "name", "around", F.when(differ == 0, F.size("low")).otherwise(differ - 1).cast("int").alias("alike"), (differ == 0).alias("alone"))
         names = names.select("host", "template", "seg", "name").join(around, ["host", "template", "name"])
-        tree = at.join(names, ["host", "template", "seg"], "left").withColumn("prior", F.coalesce("around", "prior")).withColumn("template", F.when(F.coalesce("name", F.lit("")) == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))).drop("seg", "name", "around")
-        tree = written(tree, "template-tree")
-    return tree.drop("segs")
+        grown = F.when(F.col("name") == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), F.array_join(F.concat(F.array("name"), F.slice("tail", F.lit(1), F.col("alike"))), "/")))
+        rest = F.when(~F.col("alone") & (F.col("name") != ""), F.slice("tail", F.col("alike") + 1, F.size("tail")))
+        step = at.join(names, ["host", "template", "seg"]).select("host", "path", "n", "labelled", "blocked", rest.alias("rest"), grown.alias("template"), F.col("around").alias("prior"))
+        step = written(step, "template-tree")
+        ended, tree = step.where("rest is null").drop("rest"), step.where("rest is not null")
+        done = ended if done is None else done.union(ended)
+        if tree.isEmpty():
+            return done
 
 
 def judge(pages: DataFrame, rules=RULES, url: str = "url", labels: DataFrame | None = None) -> DataFrame:
