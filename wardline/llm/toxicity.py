@@ -11,9 +11,11 @@ from __future__ import annotations
 import json
 import math
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from dataclasses import asdict, dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -111,7 +113,10 @@ class Matcher:
             if weight is not None and (start not in best or weight > best[start][0]):
                 best[start] = (weight, end)
         if spared:
-            best = {s: x for s, x in best.items() if not any(a <= s and x[1] <= b for a, b in spared)}
+            # the farthest end of all phrases that begin at a word's start or before it
+            spared.sort()
+            begins, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+            best = {s: x for s, x in best.items() if not (k := bisect_right(begins, s)) or reach[k - 1] < x[1]}
         return sum(w for w, _ in best.values()), n
 
     def points(self, text: str) -> tuple[float, float]:
