@@ -26,8 +26,9 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Parts of texts whose tokens a Python worker remembers before it starts anew; bounds its memory at about 300 MB.
-PARTS_KEPT = 1_000_000
+#: Parts of texts whose tokens a Python worker remembers before it starts anew, and the characters of these parts (a text
+#: without spaces is one part); together they bound its memory at about 300 MB besides the texts at hand.
+PARTS_KEPT, CHARS_KEPT = 1_000_000, 20_000_000
 #: Characters of whole texts that are encoded together.
 BATCH_CHARS = 4_000_000
 PAIRS_KEPT = 2_000_000
@@ -310,10 +311,12 @@ class _Parts:
 
     def empty(self) -> None:
         self.number: dict[str, int] = {}
+        self.chars = 0
         self.ids, self.start, self.count = array("i"), array("q"), array("q")
 
     def add(self, parts: list[str]) -> None:
         """Distinct parts that are new."""
+        self.chars += sum(map(len, parts))
         plain = [p for p in parts if p.split() == [p]] if self.lead else []
         if len(plain) < len(parts):
             known = set(plain)
@@ -336,7 +339,7 @@ class _Parts:
 
     def numbers(self, parts: list[str]) -> np.ndarray:
         """The numbers of parts; those that are new are encoded together."""
-        if len(self.number) > PARTS_KEPT:
+        if len(self.number) > PARTS_KEPT or self.chars > CHARS_KEPT:
             self.empty()
         get = self.number.get
         found = np.fromiter(map(get, parts, repeat(-1)), np.int64, len(parts))
