@@ -1,9 +1,10 @@
 """WARC records packed in ZIP archives: a writer, and a reader that range-reads records without extraction.
 
 An archive holds archive/data.warc.gz, each record a gzip member of its own, and indexes/index.cdx with one line
-for each record: page id, offset and length within the data member. Both members are stored, not deflated, so a
+for each record: offset and length within the data member, all lines of one width, so that a span of records is found by
+reading its lines alone. Both members are stored, not deflated, so a
 record's place in the archive is the member's place plus its offset. The reader parses the end record (and the
-ZIP64 one where there is one), the central directory and the local headers, then reads the index and ranges.
+ZIP64 one where there is one), the central directory and the local headers, then reads ranges of the index and of the data.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from wardline.llm.common import fresh_path
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
+#: A line of the index, and its bytes.
+LINE, LINE_BYTES = "{:019d} {:019d}\n", 40
 #: Adjacent records are fetched in one read of at most about this many bytes.
 READ_BYTES = 4 << 20
 #: An archive is closed when its data reaches this size.
@@ -108,10 +111,14 @@ class Archive:
         n, k = struct.unpack_from("<HH", head, 26)
         return m.header + 30 + n + k, m.size
 
-    def index(self) -> list[tuple[int, int]]:
-        """(offset, length) of each record, in order."""
+    def index(self, first: int = 0, count: int | None = None) -> list[tuple[int, int]]:
+        """(offset, length) of records in order: of all, or of count records from the first on. Only their lines are read."""
         start, length = self.place(INDEX)
-        return [(int(a), int(b)) for a, b in (line.split() for line in self.read(start, length).splitlines())]
+        if length % LINE_BYTES:
+            raise ValueError("a damaged index")
+        stop = length if count is None else min(length, (first + count) * LINE_BYTES)
+        lines = self.read(start + first * LINE_BYTES, max(0, stop - first * LINE_BYTES)).splitlines()
+        return [(int(a), int(b)) for a, b in map(bytes.split, lines)]
 
     def records(self, ranges: Iterable[tuple[int, int]] | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
         """Headers and content of the records at ranges of the data member, or of all; adjacent ones share a read."""
@@ -162,7 +169,7 @@ class ArchiveWriter:
         return struct.pack("<4sHHHHHLLLHH", b"PK\x03\x04", 45, 8, 0, 0, 33, 0, 0xFFFFFFFF, 0xFFFFFFFF, len(name), 20) + name.encode() + struct.pack("<HHQQ", 1, 16, 0, 0)
 
     def add(self, packed: bytes) -> None:
-        self.lines.append(f"{self.at - self.begin} {len(packed)}\n")
+        self.lines.append(LINE.format(self.at - self.begin, len(packed)))
         self.crc = zlib.crc32(packed, self.crc)
         self._put(packed)
 
@@ -208,7 +215,8 @@ def write_archives(pages: DataFrame, folder: str, payload: str = "html", least:
     The rows are lazy: read them once, by write(). Each task writes archives of its own under names with its
     attempt, so a task that is run again, or twice at once, leaves at most an archive that no row names.
     Null payloads are empty; a null page_id is kept as such; repeated rows give repeated records, and rows with the
-    smallest id of their payload are all responses; very long payloads are one record each.
+    smallest id of their payload are all responses; very long payloads are one record each. An empty table leaves no archive and
+    no row. Only page_id, url and the payload go into records; other columns may have any name.
     """
     rows = with_verdicts(pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("__body")), "__body", least)
 
@@ -268,7 +276,7 @@ def read_archives(archives: DataFrame, per_task: int = 2_000) -> DataFrame:
                 with fs.open_input_file(at) as f:
                     archive = Archive(f, f.size())
                     held, size = [], 0
-                    for headers, content in archive.records(archive.index()[first : first + per_task]):
+                    for headers, content in archive.records(archive.index(first, per_task)):
                         held.append(_row(headers, content))
                         size += len(content)
                         if size > READ_BYTES:
