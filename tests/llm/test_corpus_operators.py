@@ -6,6 +6,7 @@ import io
 import math
 import random
 import re
+import time
 import zipfile
 import zlib
 from collections import Counter, defaultdict
@@ -100,6 +101,22 @@ def test_op1_edge_cases_and_hot_anchor(spark, monkeypatch):
     assert repeats.remove_repeats(frame.limit(0)).count() == 0
 
 
+def test_op1_shards_of_one_anchor_compare_few_blocks(spark, monkeypatch):
+    rnd = random.Random(23)
+    base = "".join(rnd.choice("abcdefgh") for _ in range(900))
+    texts = []
+    for i in range(300):  # near copies, each with an edit of its own, so that one anchor has hundreds of different segments
+        at = rnd.randrange(900)
+        texts.append(base[:at] + chr(0x100 + i) + base[at:])
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 20_000)
+    cut, seen = repeats._blocks, []
+    monkeypatch.setattr(repeats, "_blocks", lambda asked, *x: (seen.append(asked.count()), cut(asked, *x))[1])
+    got = {r["doc_id"]: bytes(r["kept"]) for r in rows(repeats.remove_repeats(frame))}
+    assert got == {i: x[0] for i, x in enumerate(brute_repeats([t.encode() for t in texts], 400))}
+    assert len(seen) == 3 and seen[1] < seen[0]
+
+
 def test_op1_chunks_meet_without_a_seam():
     rnd = random.Random(2)
     data = bytes(rnd.choice(b"abcdef ") for _ in range(9000))
@@ -151,6 +168,12 @@ def test_archives_are_zip_files_and_plain_zip_files_are_read():
     archive = warc.Archive(io.BytesIO(data), len(data))
     assert [c for _, c in archive.records()] == [b"x" * i for i in range(5)]
     assert [c for _, c in archive.records(archive.index()[2:4])] == [b"xx", b"xxx"]
+    assert archive.index(2, 2) == archive.index()[2:4] and archive.index(3, 99) == archive.index()[3:]
+    first = archive.place(warc.INDEX)[0]
+    asked, read = [], archive.read
+    archive.read = lambda at, n: (asked.append((at - first, n)), read(at, n))[1]
+    archive.index(2, 1)
+    assert [x for x in asked if x[0] >= 0] == [(2 * warc.LINE_BYTES, warc.LINE_BYTES)]
     plain = io.BytesIO()
     with zipfile.ZipFile(plain, "w", zipfile.ZIP_STORED) as z:
         z.writestr("a.txt", "hello")
@@ -368,6 +391,16 @@ def test_op6_odd_texts(spark, theirs):
     assert bpe.encode_documents(frame.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_op6_forgets_by_characters(monkeypatch, theirs):
+    monkeypatch.setattr(bpe, "CHARS_KEPT", 2_000)
+    codec = bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    rnd = random.Random(31)
+    for _ in range(12):  # texts without spaces are one part each
+        text = "".join(chr(rnd.randint(0x4E00, 0x4E80)) for _ in range(1_500))
+        assert codec.encode(text).tolist() == theirs.encode_ordinary(text)
+        assert codec.first.chars <= 2_000 + 1_500
+
+
 def test_op6_appends_and_edits():
     v = bpe.Vocabulary(bpe.read_ranks(RANKS))
     rnd = random.Random(1)
@@ -434,6 +467,14 @@ def test_op7_learns_exceptions(spark):
     assert m.score("rotten apples here") == m.score("nothing said here!") < m.score("rotten eggs")
 
 
+def test_op7_many_exceptions_cost_little():
+    m = toxicity.Matcher(toxicity.Model({"=trash": 4.0, "=idiot": 2.0}, ("trash can", "a trash can now"), (0.0, 1.0, 0.0)))
+    assert m.weigh("trash can trash, idiot trash can a trash can now trash")[0] == 10.0
+    began = time.time()
+    assert m.weigh("trash can idiot " * 50_000)[0] == 100_000.0
+    assert time.time() - began < 10
+
+
 def test_op7_folding_exceptions_and_edges(spark):
     model = toxicity.Model({"=idiot": 4.0, "^vequ": 3.0, "=trash": 4.0}, ("trash can",), (-3.0, 1.0, 5.0))
     m = toxicity.Matcher(model)
@@ -538,11 +579,11 @@ def brute_verdicts(urls):
     u, rows_, prior = urlfilter, range(len(urls)), {}
     segs = [[x for x in path.split("/") if x] for _, path in parsed]
     depth = max((len(s) for s, v in zip(segs, says, strict=True) if v), default=0)
-    segs = [s[:depth] + ["**"] if len(s) > depth else s for s in segs]
+    segs = [s[:depth] + [u.DEEPER] if len(s) > depth else s for s in segs]
     at = [(h, "") for h, _ in parsed]
     mine = [u.PRIOR_SHARE] * len(urls)
     for level in range(depth + 2):
-        seg = [None if len(s) < level else "" if len(s) == level else "*" if re.match(u._VARIABLE, s[level]) else s[level] for s in segs]
+        seg = [None if len(s) < level else "" if len(s) == level else u.ANY if re.match(u._VARIABLE, s[level]) else s[level] for s in segs]
         child = defaultdict(lambda: [0, 0, 0])
         for i in rows_:
             if seg[i] is not None:
@@ -558,7 +599,7 @@ def brute_verdicts(urls):
             kinds, nn, nl, nb = node[t]
             share = (nb + u.PRIOR_ROWS * prior[t]) / (nl + u.PRIOR_ROWS)
             far = abs((b + u.PRIOR_ROWS * share) / (l + u.PRIOR_ROWS) - share) > u.Z * (max(share * (1 - share), 1e-9) / (l + u.PRIOR_ROWS)) ** 0.5
-            name[t, s] = s if s in ("", "*", "**") else "*" if kinds > u.CHILDREN and nn < u.RARE * kinds and not l else "~" if kinds > 1 and not far else s
+            name[t, s] = s if s in ("", u.ANY, u.DEEPER) else u.ANY if kinds > u.CHILDREN and nn < u.RARE * kinds and not l else u.LIKE if kinds > 1 and not far else s
             part[t, name[t, s]][0] += l
             part[t, name[t, s]][1] += b
         for i in rows_:
@@ -580,11 +621,21 @@ def test_op9_equals_brute_force(spark):
     urls = [f"http://{rnd.choice(hosts)}/{rnd.choice(['en', 'es', 'de', 'fr', 'En'])}/{rnd.choice(['7', '8', 'x', 'y', 'item', rnd.randint(0, 999), hex(rnd.randint(0, 99))])}{rnd.choice(['', '/', '/deep/er/than/that/is'])}" for _ in range(900)]
     urls += [f"http://b.org/u/{'abcdefgh'[i % 8]}{i}/es" for i in range(60)]
     urls += [f"http://spam.com/en/{i}" for i in range(30)] + ["http://spam.com//en/9"]
+    urls += [f"http://long.com/en/{'/'.join('ab'[i % 2] * 60)}{tail}" for i, tail in enumerate(["", "/c", "/c/d", "/*", "/~", "/**", "/12"])]
     got = {r["page_id"]: r["verdict"] for r in rows(urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")))}
     want = brute_verdicts(urls)
     assert [got[i] for i in range(len(urls))] == want and set(want) == {"allow", "block"}
 
 
+def test_op9_rounds_do_not_grow_with_a_long_path(spark, monkeypatch):
+    urls = [f"http://x.com/en/{'a/' * 4000}{x}" for x in ("b", "c", "c/d")] + ["http://x.com/fr/a", "http://y.com/en"]
+    tables, write = [], urlfilter.written
+    monkeypatch.setattr(urlfilter, "written", lambda df, name: (tables.append(name), write(df, name))[1])
+    got = {r["page_id"]: r["verdict"] for r in rows(urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")))}
+    assert got == dict(enumerate(brute_verdicts(urls)))
+    assert len(tables) < 8
+
+
 def test_op9_query_equals_brute_force_and_the_tree_decides(spark):
     got = sorted(rows(queries.op9_url_filter(spark, SF)), key=lambda r: r["page_id"])
     pages = sorted(rows(spark.read.parquet(f"{SF}/pages.parquet")), key=lambda r: r["page_id"])

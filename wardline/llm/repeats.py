@@ -8,7 +8,9 @@ a shard's suffix array with its permuted common prefixes tells which windows rep
 
 So no window is compared that can't repeat. The segments of most anchors fit in one shard, and shards need nothing from each
 other. An anchor with more is dealt over as many shards as its bytes need: each of them finds the repeats within itself in the same
-way, and which of its windows stand in other shards too is told by 128-bit digests of the distinct ones.
+way. What its shards share is found by blocks of windows: equal windows lie at one distance from their anchor, so blocks of distances
+compare. Where no other shard holds the bytes that all windows of a block have in common, none of them repeats there; only
+other blocks are cut into smaller ones, down to single windows.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ WIDTH, GRAM = 400, 160
 CHUNK = 1 << 20
 #: Bytes in a shard, about: what a suffix array is sorted in without leaving the processor's caches.
 SHARD_BYTES = 1 << 20
+#: Distances from the anchor in a block, step by step, where shards of one anchor are compared.
+BLOCKS = (64, 8, 1)
 
 _POW, _INV = _powers(_BASE, CHUNK + WIDTH), _powers(pow(_BASE, -1, 2**64), CHUNK + WIDTH)
 _LOW = np.uint64((1 << 24) - 1)
@@ -165,59 +169,101 @@ def _judged(touched: DataFrame, kinds: DataFrame, width: int) -> DataFrame:
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, s, body = [], [], []
+            fp, s, whole, body = [], [], [], []
             for segs, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 view = memoryview(t.as_buffer())
                 for x in segs:
                     fp.append(x["fp"])
                     s.append(x["s"])
+                    whole.append(x["whole"])
                     body.append(bytes(view[x["at"] : x["at"] + x["n"] + width - 1]))
-            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(s, pa.int64()), pa.array(body, pa.binary())], names=["fp", "s", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(s, pa.int64()), pa.array(whole, pa.bool_()), pa.array(body, pa.binary())], names=["fp", "s", "whole", "body"])
 
-    reps = touched.select(F.filter("segs", lambda x: x["rep"]).alias("segs"), "data").where("size(segs) > 0").mapInArrow(fetch, "fp long, s long, body binary")
+    reps = touched.select(F.filter("segs", lambda x: x["rep"]).alias("segs"), "data").where("size(segs) > 0").mapInArrow(fetch, "fp long, s long, whole boolean, body binary")
     # a row that stands twice in the table names its segment twice
     one = reps.dropDuplicates(["fp", "s"])
-    split = not wide.isEmpty()
-    if split:
-        one = written(one, "bodies").join(wide, "fp", "left")
-    else:
-        one = one.withColumn("parts", F.lit(None).cast("int"))
-    dealt = one.withColumn("shard", F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("fp"), F.lit(shards))).otherwise(F.xxhash64("fp", F.pmod(F.xxhash64(F.lit(3), "s"), F.col("parts")))))
+    narrow = F.pmod(F.xxhash64("fp"), F.lit(shards))
 
     def shard(t: pa.Table) -> pa.Table:
-        bodies = t.column("body").to_pylist()
-        marks = repeated_windows(bodies, width)
-        out = [_runs(t.column("fp"), t.column("s"), marks)]
-        spread = np.flatnonzero(np.asarray(t.column("parts").is_valid())).tolist()
-        seen: set[bytes] = set()
-        for i in spread:
-            fp, s, body, mark = t.column("fp")[i].as_py(), t.column("s")[i].as_py(), bodies[i], marks[i].tolist()
-            at, digests = [], []
-            for k, twice in enumerate(mark):
-                d = xxhash.xxh3_128_digest(body[k : k + width])
-                if twice and d in seen:
-                    continue  # one row for each window of the shard
-                if twice:
-                    seen.add(d)
-                at.append(None if twice else k)
-                digests.append(d)
-            d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            m = len(at)
-            out.append(pa.RecordBatch.from_arrays([pa.array([fp] * m, pa.int64()), pa.array([s] * m, pa.int64()), pa.nulls(m, _RUNS), pa.array(at, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1])], names=_JUDGED))
-        return pa.Table.from_batches(out)
-
-    judged = dealt.select("shard", "fp", "s", "body", "parts").groupBy("shard").applyInArrow(shard, "fp long, s long, runs array<struct<a:int,b:int>>, i int, d1 long, d2 long")
-    if not split:
-        return judged.select("fp", "s", "runs")
-    judged = written(judged, "judged")
-    windows = judged.where("d1 is not null")
-    twice = written(windows.groupBy("d1", "d2").agg(F.count("*").alias("c")).where("c > 1").select("d1", "d2"), "across-shards")
-    back = windows.where("i is not null").join(twice, ["d1", "d2"], "left_semi").groupBy("fp", "s").agg(F.transform(F.array_sort(F.collect_set("i")), lambda i: F.struct(i.alias("a"), (i + 1).alias("b"))).alias("runs"))
-    return judged.where("runs is not null").select("fp", "s", "runs").union(back)
+        return pa.Table.from_batches([_runs(t.column("fp"), t.column("s"), repeated_windows(t.column("body").to_pylist(), width))])
+
+    def judged(dealt: DataFrame) -> DataFrame:
+        return dealt.select("shard", "fp", "s", "body").groupBy("shard").applyInArrow(shard, "fp long, s long, runs array<struct<a:int,b:int>>")
+
+    if wide.isEmpty():
+        return judged(one.withColumn("shard", narrow))
+    dealt = one.join(wide, "fp", "left").withColumn("shard", F.when(F.col("parts").isNull(), narrow).otherwise(F.xxhash64("fp", F.pmod(F.xxhash64(F.lit(3), "s"), F.col("parts")))))
+    dealt = written(dealt, "bodies")
+    within = written(judged(dealt), "judged")
+    spread = dealt.where("parts is not null").drop("parts").join(within, ["fp", "s"], "left")
+    return within.union(_across(written(spread, "wide-bodies"), width))
+
+
+def _across(spread: DataFrame, width: int) -> DataFrame:
+    """(fp, s, runs): windows that stand in several shards of an anchor and that their own shard, whose runs are given, has once.
+
+    A block is asked for while it has such windows. Of the other blocks with the same windows one is enough."""
+    asked, parent = spread.withColumn("blocks", F.lit(None).cast("array<int>")), None
+    for size in BLOCKS:
+        rows = written(_blocks(asked, size, parent, width), "blocks")
+        key = ["fp", "b", "i1", "i2"]
+        shared = rows.groupBy(*key).agg(F.min("shard").alias("lo"), F.max("shard").alias("hi"), F.bool_or("open").alias("asked")).where("lo <> hi and asked").select(*key)
+        rows = written(rows.join(written(shared, "shared-blocks"), key, "left_semi"), "blocks-left")
+        if size > 1:
+            same = rows.where("not open").groupBy("fp", "shard", "b", "u1", "u2").agg(F.min("s").alias("s")).select("fp", "s", "b")
+            left = rows.where("open").select("fp", "s", "b").union(same).groupBy("fp", "s").agg(F.collect_set("b").alias("blocks"))
+            asked, parent = spread.join(written(left, "blocks-asked"), ["fp", "s"]), size
+    return rows.where("open").groupBy("fp", "s").agg(F.transform(F.array_sort(F.collect_set("at")), lambda i: F.struct(i.alias("a"), (i + 1).alias("b"))).alias("runs"))
+
+
+def _blocks(asked: DataFrame, size: int, parent: int | None, width: int) -> DataFrame:
+    """A row for each block of `size` distances of each segment, within the given blocks of `parent` distances or everywhere.
+
+    i1, i2 are a digest of what all windows of the block share, u1, u2 one of what the segment's windows in it cover; open says
+    whether one of these is not known to repeat, and at is the first of them."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
+        for batch in batches:
+            ident, b, at, opened, common, covered = [], [], [], [], [], []
+            for i, (body, whole, runs, blocks) in enumerate(zip(batch.column(0), *(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
+                view = memoryview(body.as_buffer())
+                known = np.full(len(view) - width + 1, whole)
+                for r in runs or ():
+                    known[r["a"] : r["b"]] = True
+                far = _anchor_place(view[:width])
+                near = far - len(known) + 1
+                chosen = None if blocks is None else set(blocks)
+                for k in range(near // size, far // size + 1):
+                    if chosen is not None and k * size // parent not in chosen:
+                        continue
+                    low, high = k * size, k * size + size - 1
+                    first, last = far - min(high, far), far - max(low, near)
+                    ident.append(i)
+                    b.append(k)
+                    at.append(first)
+                    opened.append(not known[first : last + 1].all())
+                    common.append(digest(view[far - low : far - high + width]))
+                    covered.append(digest(view[first : last + width], seed=far - first))
+            halves = [np.frombuffer(b"".join(x), np.int64).reshape(-1, 2) for x in (common, covered)]
+            ids = batch.select(["fp", "s", "shard"]).take(pa.array(ident, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(b, pa.int32()), pa.array(at, pa.int32()), pa.array(opened, pa.bool_()), *(pa.array(np.ascontiguousarray(h[:, j])) for h in halves for j in (0, 1))], names=_CUT)
+
+    return asked.select("body", "whole", "runs", "blocks", "fp", "s", "shard").mapInArrow(cut, "fp long, s long, shard long, b int, at int, open boolean, i1 long, i2 long, u1 long, u2 long")
+
+
+_CUT = ["fp", "s", "shard", "b", "at", "open", "i1", "i2", "u1", "u2"]
+
+
+def _anchor_place(window: memoryview, gram: int = GRAM) -> int:
+    """Where the anchor of a window begins in it."""
+    part = np.frombuffer(window, np.uint8)
+    sums = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum(_MIX[part] * _POW[: len(part)], out=sums[1:])
+    return int(np.argmin(_scatter((sums[gram:] - sums[:-gram]) * _INV[: len(part) - gram + 1]) & ~_LOW))
 
 
 _RUNS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-_JUDGED = ["fp", "s", "runs", "i", "d1", "d2"]
 
 
 def _runs(fp, s, marks: list[np.ndarray]) -> pa.RecordBatch:
@@ -226,6 +272,4 @@ def _runs(fp, s, marks: list[np.ndarray]) -> pa.RecordBatch:
         e = np.flatnonzero(np.diff(np.concatenate([[False], m, [False]]))).tolist()
         found.append([{"a": a, "b": b} for a, b in zip(e[::2], e[1::2], strict=True)])
     keep = pa.array([bool(x) for x in found], pa.bool_())
-    n = len(found)
-    whole = pa.RecordBatch.from_arrays([fp.combine_chunks(), s.combine_chunks(), pa.array(found, _RUNS), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=_JUDGED)
-    return whole.filter(keep)
+    return pa.RecordBatch.from_arrays([fp.combine_chunks(), s.combine_chunks(), pa.array(found, _RUNS)], names=["fp", "s", "runs"]).filter(keep)
