@@ -121,6 +121,7 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url", labels: DataFrame | N
         paths = given.unionByName(paths).groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
     leaves = templates(paths)
     purity = leaves.groupBy("host", "template").agg(((F.sum("blocked") + PRIOR_ROWS * F.min("prior")) / (F.sum("labelled") + PRIOR_ROWS)).alias("purity"))
-    verdicts = leaves.join(purity, ["host", "template"]).select("host", "path", "template", F.when(F.col("purity") >= PURITY, "block").otherwise("allow").alias("by_tree"))
-    judged = salted_lookup(rows, verdicts, ["host", "path"], ["deal"])
+    # a template may hold a third of all paths; what is repeated for every salt is shuffled and never broadcast
+    verdicts = salted_lookup(leaves, purity.hint("merge"), ["host", "template"], ["path"]).select("host", "path", "template", F.when(F.col("purity") >= PURITY, "block").otherwise("allow").alias("by_tree"))
+    judged = salted_lookup(rows, written(verdicts, "verdicts"), ["host", "path"], ["deal"])
     return judged.select("row.*", "host", "path", "template", "rule", F.coalesce("says", "by_tree").alias("verdict"))
