@@ -5,13 +5,14 @@ import json
 import math
 import random
 import re
+import time
 
 import pytest
 import regex
 from pyspark.sql import functions as F
 
 from wardline.functions import lexicon as lx
-from wardline.functions.spans import clauses, located_long, message_clauses, running_totals, rx
+from wardline.functions.spans import clauses, extended, located_long, message_clauses, running_totals, rx
 from wardline.operators import casestore, evidence, ingest, layout, masking, metrics, respace, responses
 from wardline.plans import texts
 from wardline.plans.messages import analyse
@@ -307,3 +308,22 @@ def test_entities_of_documents_and_turns(spark):
             seen += len(want)
         assert links == [s for s in trimmed if not within(s, emails)]
     assert seen > 30
+
+
+def test_cutting_is_quick_beside_long_words_and_counts_gaps_as_columns_do(spark):
+    rnd = random.Random(4)
+    made = {"".join(rnd.choice("abcde") for _ in range(rnd.randint(2, 5))): rnd.uniform(1, 9) for _ in range(60)}
+    speller = respace.Speller(made | {"x" * 5000: 9.0, "abcdx": 9.0})
+    run = "".join(rnd.choice(list(made)) for _ in range(20_000))
+    began = time.perf_counter()
+    got = speller.pieces(run)
+    # looking back from every place as far as the longest word took some 4,000 looks for each letter
+    assert time.perf_counter() - began < 5 and "".join(got) == run and all(p in made for p in got)
+    texts_ = ["a b  cd e", " ab", "ab ", "é 😀 x y", "", "a b c d e f"]
+    put = ["ab  c d e", "a b", "ab", "é😀 xy ", "", "abc def"]
+    d = spark.createDataFrame([(t, t.replace("a b", "ab"), p) for t, p in zip(texts_, put, strict=True)], "text string, glued string, respaced string")
+    placed = [F.array_distinct(texts.gap_places(F.col(c))).alias(f"_{c}") for c in ("text", "glued", "respaced")]
+    e = extended(d, "n", respace.GAPS, respace.gap_counts).select("n", *placed)
+    taken, new = F.array_except("_text", "_glued"), F.array_except("_respaced", "_glued")
+    for r in rows(e.select("n.*", F.size(taken).alias("t"), F.size(F.array_intersect(taken, new)).alias("b"), F.size(F.array_except(new, taken)).alias("e"))):
+        assert (r["taken"], r["back"], r["elsewhere"]) == (r["t"], r["b"], r["e"])

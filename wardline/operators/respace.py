@@ -10,6 +10,7 @@ import math
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from wardline.functions.spans import extended
 
 #: Words that costs are kept of, the most frequent ones; occurrences that make a word; tokens that a task remembers.
 VOCABULARY, LEAST, REMEMBERED = 200_000, 2, 50_000
+#: Letters that words are looked up by, and the longest token that is remembered.
+HEAD, TOKEN = 4, 40
 #: Letters that are words; shorter runs are left alone.
 SINGLE, SHORTEST = frozenset("ai"), 4
 # Tokens that are links or addresses, a sentence's end glued to the next, and contractions.
@@ -46,25 +49,45 @@ class Speller:
     def __init__(self, costs: dict[str, float], keep=()):
         dearest = max(costs.values(), default=0.0)
         self.costs = {w.lower(): dearest for w in keep} | costs
-        self.longest = max(map(len, self.costs), default=0)
-        self.token = lru_cache(REMEMBERED)(self._token)
+        sizes: dict[str, set[int]] = {}
+        for w in self.costs:
+            if len(w) > 1 or w in SINGLE:
+                sizes.setdefault(w[:HEAD], set()).add(len(w))
+        # a head has the lengths of the shorter words that it begins with, too
+        self.sizes = {head: tuple(sorted(set().union(*(sizes.get(head[:k], ()) for k in range(1, len(head) + 1))))) for head in sizes}
+        self.remembered = lru_cache(REMEMBERED)(self._token)
+
+    def token(self, token: str) -> str:
+        return self.remembered(token) if len(token) <= TOKEN else self._token(token)
 
     def known(self, word: str) -> bool:
         return word.lower() in self.costs
 
     def pieces(self, run: str) -> list[str]:
-        """The cheapest words that make up a run; the run itself if it is short, known, or can't be cut. Of equal ways that whose last words are shorter."""
+        """The cheapest words that make up a run; the run itself if it is short, known, or can't be cut. Of equal ways that whose last words are shorter.
+
+        From each place that can be reached, only lengths of words that begin with the letters there are tried, however long the longest word is."""
         n, low = len(run), run.lower()
         if n < SHORTEST or low in self.costs or len(low) != n:
             return [run]
-        best, step = [0.0] + [math.inf] * n, [0] * (n + 1)
-        for end in range(1, n + 1):
-            for size in range(1, min(self.longest, end) + 1):
-                word = low[end - size : end]
-                if word in self.costs and (size > 1 or word in SINGLE):
-                    cost = best[end - size] + self.costs[word]
-                    if cost < best[end]:
-                        best[end], step[end] = cost, size
+        best, step, costs, sizes = [0.0] + [math.inf] * n, [0] * (n + 1), self.costs, self.sizes
+        for start in range(n):
+            if best[start] == math.inf:
+                continue
+            for head in range(HEAD, 0, -1):
+                found = sizes.get(low[start : start + head])
+                if found is not None:
+                    break
+            else:
+                continue
+            for size in found:
+                end = start + size
+                if end > n:
+                    break
+                word = costs.get(low[start:end])
+                # later starts are shorter last words
+                if word is not None and best[start] + word <= best[end]:
+                    best[end], step[end] = best[start] + word, size
         if best[n] == math.inf:
             return [run]
         out = []
@@ -115,3 +138,23 @@ def respace(df: DataFrame, text: str, costs: DataFrame, out: str = "respaced") -
         return pa.array([None if t is None else speller.text(t) for t in batch.column(batch.schema.get_field_index("__glued")).to_pylist()], pa.string())
 
     return extended(df.withColumn("__glued", F.col(text)), out, T.StringType(), make).drop("__glued")
+
+
+GAPS = T.StructType().add("taken", "long").add("back", "long").add("elsewhere", "long")
+
+
+def gap_counts(batch: pa.RecordBatch) -> pa.Array:
+    """Of columns text, glued and respaced: how many spaces were taken out, came back where they were, and came elsewhere. A space's place is the
+    number of other characters before it."""
+
+    def places(text: str) -> np.ndarray:
+        space = np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32
+        return np.unique(np.cumsum(~space)[space])
+
+    out = []
+    for row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "glued", "respaced")), strict=True):
+        text, left, respaced = map(places, row)
+        taken, put = np.setdiff1d(text, left, True), np.setdiff1d(respaced, left, True)
+        back = len(np.intersect1d(taken, put, True))
+        out.append({"taken": len(taken), "back": back, "elsewhere": len(put) - back})
+    return pa.array(out, pa.struct([(f.name, pa.int64()) for f in GAPS]))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wardline.functions import lexicon as lx
-from wardline.functions.spans import clauses, running_totals, rx
+from wardline.functions.spans import clauses, extended, running_totals, rx
 from wardline.operators import brands, casestore, evidence, layout, metrics, respace, responses, rules
 from wardline.plans.messages import analyse, templated
 from wardline.plans.made import _BRAND_SQL, _BRANDS, _branded, _by, _text
@@ -65,11 +65,12 @@ def respaced_documents(spark, sf_dir):
     """Spaces between letters are taken out of all documents and put back by what words cost in them: how many were, came back, and came elsewhere.
 
     A way to cut a whole text can't be said in SQL; a test holds it against brute force."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("glued", F.regexp_replace("text", r"(?<=\p{L}) (?=\p{L})", ""))
-    d = respace.respace(d, "glued", respace.word_costs(table(spark, sf_dir, "documents"), "text"))
-    d = d.select("doc_id", *[F.array_distinct(gap_places(F.col(c))).alias(c) for c in ("text", "glued", "respaced")])
-    taken, put = F.array_except("text", "glued"), F.array_except("respaced", "glued")
-    return d.select("doc_id", F.size(taken).cast("long").alias("taken"), F.size(F.array_intersect(taken, put)).cast("long").alias("back"), F.size(F.array_except(put, taken)).cast("long").alias("elsewhere"))
+    docs, least = table(spark, sf_dir, "documents"), 4 * spark.sparkContext.defaultParallelism
+    # a document costs milliseconds: a few files are too few partitions for that
+    d = docs.repartition(least) if docs.rdd.getNumPartitions() < least else docs
+    d = d.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("glued", F.regexp_replace("text", r"(?<=\p{L}) (?=\p{L})", ""))
+    d = respace.respace(d, "glued", respace.word_costs(docs, "text"))
+    return extended(d, "n", respace.GAPS, respace.gap_counts).select("doc_id", "n.taken", "n.back", "n.elsewhere")
 
 
 # a turn of a conversation as a phone shows it: status bar, sender, who it is, the beginning of the text, and the text in lines
