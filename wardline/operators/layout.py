@@ -102,11 +102,16 @@ def glued(before: Column, after: Column) -> Column:
     return F.when(before == "", after).when((cut & close) | (~cut & hyphen), F.concat(before, after)).otherwise(F.concat_ws(" ", before, after))
 
 
-def paragraphs(found: Column) -> Column:
-    """Rows as text: a gap of more than 0.9 typical (median) heights starts a new paragraph."""
+def typical_height(found: Column) -> Column:
+    """The median height of rows."""
     heights = F.array_sort(F.transform(found, lambda r: F.greatest(F.lit(1.0), r["y1"] - r["y0"])))
     n = F.size(heights)
-    typical = (F.get(heights, ((n - 1) / 2).cast("int")) + F.get(heights, (n / 2).cast("int"))) / 2
+    return (F.get(heights, ((n - 1) / 2).cast("int")) + F.get(heights, (n / 2).cast("int"))) / 2
+
+
+def paragraphs(found: Column) -> Column:
+    """Rows as text: a gap of more than 0.9 typical heights starts a new paragraph."""
+    typical = typical_height(found)
     begin = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(None).cast("double").alias("bottom"))
 
     def step(acc: Column, r: Column) -> Column:
@@ -137,11 +142,14 @@ def is_preview(words: Column, following: Column) -> Column:
     return (F.size(words) >= 3) & (5 * bound(both, lambda p: hits(p["a"], p["b"])) >= 4 * (F.size(words) - 1))
 
 
-def leading_previews(texts: Column) -> Column:
-    """How many rows at the top only repeat what follows them, as subjects and previews do. The last row never does."""
+def leading_previews(texts: Column, beyond: Column | None = None) -> Column:
+    """How many rows at the top only repeat what follows them, as subjects and previews do. The last row never does. beyond has for each row the
+    first one that it may repeat; without it that is the next."""
 
-    def count(words: Column) -> Column:
-        rest = lambda i: F.flatten(F.slice(words, i + 2, F.greatest(F.size(words) - i - 1, F.lit(0))))
+    def count(both: Column) -> Column:
+        words = both["words"]
+        first = lambda i: i + 1 if beyond is None else F.get(both["beyond"], i)
+        rest = lambda i: F.flatten(F.slice(words, first(i) + 1, F.greatest(F.size(words) - first(i), F.lit(0))))
         begin = F.struct(F.lit(0).alias("n"), F.lit(True).alias("on"))
 
         def step(acc: Column, i: Column) -> Column:
@@ -150,7 +158,20 @@ def leading_previews(texts: Column) -> Column:
 
         return F.aggregate(F.sequence(F.lit(0), F.size(words)), begin, step, lambda acc: acc["n"])
 
-    return bound(F.transform(texts, preview_words), count)
+    fields = [F.transform(texts, preview_words).alias("words")] + ([] if beyond is None else [beyond.alias("beyond")])
+    return bound(F.struct(*fields), count)
+
+
+def repeatable(found: Column, headers: Column) -> Column:
+    """For each row the first one that it may repeat as a preview: the next one for the headers at the top, else the first row of the next paragraph (if there
+    is none, the number of rows). Lines of a paragraph share words with the lines after them, and are no previews of these."""
+
+    def of(b: Column) -> Column:
+        far = lambda j: F.get(b["rows"], j)["y0"] - F.get(b["rows"], j - 1)["y1"] > 0.9 * b["typical"]
+        heads = lambda n: F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda j: (j < n) & far(j))
+        return bound(heads(F.size(b["rows"])), lambda h: F.transform(b["rows"], lambda _, i: F.when(i < b["headers"], i + 1).otherwise(F.coalesce(F.get(F.filter(h, lambda j: j > i), F.lit(0)), F.size(b["rows"])))))
+
+    return bound(F.struct(found.alias("rows"), typical_height(found).alias("typical"), headers.alias("headers")), of)
 
 
 def clean_paragraphs(text: Column) -> Column:
@@ -185,10 +206,11 @@ def extract_messages(images: DataFrame, lines: str = "lines") -> DataFrame:
     first = F.array_position(F.transform("__kept", lambda r: r["text"]), F.col("sender_hint"))
     left = F.filter("__kept", lambda r, i: F.coalesce(i + 1 != first, F.lit(True)))
     d = d.withColumn("__left", left)
-    titles = F.slice("__left", F.lit(1), F.greatest(F.when(at > 0, at - 1).otherwise(F.size("__kept")) - F.when(F.col("sender_hint").isNotNull(), 1).otherwise(0), F.lit(0)))
+    headers = F.greatest(F.when(at > 0, at - 1).otherwise(F.size("__kept")) - F.when(F.col("sender_hint").isNotNull(), 1).otherwise(0), F.lit(0))
+    titles = F.slice("__left", F.lit(1), headers)
     named = F.filter(F.transform(titles, lambda r: r["text"]), lambda t: (F.length(t) <= 30) & t.rlike(NAME_LINE) & ~F.lower(t).isin(*NO_NAMES))
     d = d.withColumn("claimed_hint", F.when(F.size("__left") > 1, F.get(named, F.lit(0))))
-    d = d.withColumn("__previews", leading_previews(F.transform("__left", lambda r: r["text"])))
+    d = d.withColumn("__previews", leading_previews(F.transform("__left", lambda r: r["text"]), repeatable(F.col("__left"), headers)))
     d = d.withColumn("dropped", F.concat("dropped", F.transform(F.slice("__left", F.lit(1), F.col("__previews")), lambda r: r["text"])))
     left = F.slice("__left", F.col("__previews") + 1, F.size("__left"))
     mean = F.try_divide(F.aggregate(F.col(lines).cast(f"array<{LINE}>"), F.lit(0.0), lambda a, l: a + l["confidence"]), F.size(lines))
