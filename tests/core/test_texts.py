@@ -317,7 +317,7 @@ def test_cutting_is_quick_beside_long_words_and_counts_gaps_as_columns_do(spark)
     run = "".join(rnd.choice(list(made)) for _ in range(20_000))
     began = time.perf_counter()
     got = speller.pieces(run)
-    # looking back from every place as far as the longest word took some 4,000 looks for each letter
+    # looking back from every place as far as the longest word was not done after 25 s
     assert time.perf_counter() - began < 5 and "".join(got) == run and all(p in made for p in got)
     texts_ = ["a b  cd e", " ab", "ab ", "é 😀 x y", "", "a b c d e f"]
     put = ["ab  c d e", "a b", "ab", "é😀 xy ", "", "abc def"]
