@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline.config import Config, load_config
+from wardline.functions import lexicon as lx
+from wardline.functions.spans import any_of, quick, rx
 from wardline.operators import brands, casestore, classifier, evidence, ingest, layout, masking, rules
 from wardline.plans.messages import TEMPLATES, analyse
 from wardline.streaming.limits import decide_hits, rate_limit
@@ -126,3 +128,23 @@ def test_config(tmp_path):
     assert (c.medium, c.retention_days, c.config_hash) == (20, 7, hashlib.sha256(p.read_bytes()).hexdigest()[:16])
     with pytest.raises(ValueError):
         Config(medium=60)
+
+
+def test_quick_patterns_are_found_in_the_same_texts(spark):
+    spelled = ["kelvin \u212aeep this between u\u017f", "\u0130mmediate help", "re-activate", "can\u2019t talk, in a meeting all day", "$5 a day", "a|b (c) [d]", "", "x\u0301urgent", "1.2.3.4 wins", "code\u0301s"]
+    texts = [t.replace("{n}", "1234") for _, _, _, _, t, _ in TEMPLATES] + spelled + [str(v) for k, v in vars(lx).items() if k.isupper() and isinstance(v, str)]
+    texts = list(dict.fromkeys(x for t in texts for x in (t, t.upper(), t.replace(" ", "\n"), t[1:], t[: len(t) // 2])))
+    words = [any_of(lx.WORDS[n]) for n in lx.WORDS] + [p for n in lx.WORDS for p in lx.WORDS[n]] + [any_of(lx.AUTHORITY), any_of(lx.NEW_NUMBER), any_of(lx.PROTECTIVE), any_of([lx.SECRET, lx.VERIFY_ACCOUNT])]
+    words += [lx.PAY_TERM, lx.PAY_VERB, lx.P2P_TERM, lx.P2P_VERB, lx.CALL_VERB, lx.FAMILY, lx.NEGATION, lx.ORG_WORD, lx.EXECUTIVE, lx.URL, lx.AMOUNT, lx.PHONE, lx.CRYPTO, lx.EMAIL, lx.CLAUSE_BREAK, lx.ASK_CODE]
+    made = [r"\b(a |b )?(the )?end\b|\bx?", r"(?:\ba|b)c", r"[|(]\w|\bq", r"(?:\bone\b)|(?:\btwo\b|three)", r"\bI[st]\b", r"[^a-m]z|\bk"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    for fold in (True, False):
+        differ = d.select(*[F.sum((F.col("t").rlike(rx(p, fold)) != F.col("t").rlike(rx(quick(p), fold))).cast("int")).alias(f"p{i}") for i, p in enumerate(words + made)]).first()
+        assert [p for p, n in zip(words + made, differ, strict=True) if n] == []
+    assert quick(made[3]) == r"(?=[o-t])\b(?:one\b|two\b)|(?=[t])(?:three)".replace("[o-t]", "[ot]")
+
+
+def test_only_single_columns_travel_to_python(spark):
+    """Whole rows, with all their arrays, went to Python and back: for each one, Spark measured every array."""
+    plan = analyse(spark.createDataFrame([("1", "We met at www.shop.com today")], "msg_id string, text string")).select("msg_id", "score")
+    assert "MapInArrow" not in plan._jdf.queryExecution().optimizedPlan().toString()

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from wardline.config import Config
 from wardline.functions import lexicon as lx
-from wardline.functions.spans import extended, located, rx, settled, starts_in
+from wardline.functions.spans import answered, located, rx, settled, starts_in
 from wardline.operators.brands import official_brand, registrable_domain
 
 CHANNELS = ("sms", "email", "chat")
@@ -31,9 +31,8 @@ def _class(chars: str) -> str:
     return "".join(f"\\x{{{ord(c):x}}}" for c in chars)
 
 
-def _nfkc(batch: pa.RecordBatch) -> pa.Array:
-    texts = batch.column(batch.schema.get_field_index("__plain")).to_pylist()
-    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts], pa.string())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
 
 def stopword_count(text: Column, words) -> Column:
@@ -69,7 +68,7 @@ def normalise(messages: DataFrame, config: Config) -> DataFrame:
         .when(F.col("original_length") > config.reject_over, "too_long").when(F.regexp_replace(raw, _SPACE_ENDS, "") == "", "empty")
     )
     m = m.withColumn("__early", early).withColumn("__ascii", raw.rlike(r"^\p{ASCII}*$"))
-    m = extended(m.withColumn("__plain", F.when(F.col("__early").isNull() & ~F.col("__ascii"), raw)), "__nfkc", T.StringType(), _nfkc)
+    m = answered(m.withColumn("__plain", F.when(F.col("__early").isNull() & ~F.col("__ascii"), raw)), "__nfkc", T.StringType(), "__plain", _nfkc)
     display = F.when(F.col("__early").isNull(), F.coalesce("__nfkc", raw))
     m = m.withColumn("__display", display).withColumn("truncated", F.coalesce(F.length("__display") > config.truncate_at, F.lit(False)))
     m = m.withColumn("display_text", F.coalesce(F.left("__display", F.lit(config.truncate_at)), F.lit("")))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wardline.config import Config
 from wardline.functions import lexicon as lx
-from wardline.functions.spans import any_of, extended, located, located_any, message_clauses, no_spans, rx, settled, shifted, starts_in
+from wardline.functions.spans import answered, has, has_any, located, located_any, message_clauses, no_spans, rx, settled, shifted, starts_in
 from wardline.operators import brands as br
 
 HIT = "struct<rule_id:string,name:string,category:string,weight:int,reason:string,spans:array<struct<start:int,end:int>>,snippets:array<string>>"
@@ -48,9 +48,9 @@ def credential_spans(text: Column, bad_link: Column) -> tuple[Column, Column]:
         def of_term(t: Column) -> Column:
             before = F.substr(clause, F.lit(1), t["start"])
             reach = lambda p: F.filter(located(before, rx(p)), lambda v: t["start"] - v["end"] <= 60)
-            verbs = F.concat(reach(lx.GIVE_VERB), F.when(bad_link & before.rlike(rx(lx.YOUR_BEFORE)), reach(lx.ENTER_VERB)).otherwise(no_spans()))
+            verbs = F.concat(reach(lx.GIVE_VERB), F.when(bad_link & has(before, lx.YOUR_BEFORE), reach(lx.ENTER_VERB)).otherwise(no_spans()))
             negated = F.exists(verbs, lambda v: negated_before(clause, v["start"]))
-            denied = before.rlike(rx(lx.NEGATION)) & clause.rlike(rx(lx.PROTECTIVE_VERB))
+            denied = has(before, lx.NEGATION) & has(clause, lx.PROTECTIVE_VERB)
             asks = (F.size(verbs) > 0) & ~negated
             start = F.when(asks, F.element_at(verbs, -1)["start"]).otherwise(t["start"])
             kind = F.when(asks, "asks").when(((F.size(verbs) > 0) & negated) | denied, "protects")
@@ -62,7 +62,7 @@ def credential_spans(text: Column, bad_link: Column) -> tuple[Column, Column]:
         whole = F.transform(F.concat(ready, verify), lambda m: F.struct((c["start"] + m["start"]).alias("start"), (c["start"] + m["end"]).alias("end"), F.lit("asks").alias("kind")))
         return F.concat(F.transform(terms, of_term), whole)
 
-    relevant = text.rlike(rx(any_of([lx.SECRET, lx.VERIFY_ACCOUNT])))
+    relevant = has_any(text, [lx.SECRET, lx.VERIFY_ACCOUNT])
     found = F.when(relevant, F.flatten(F.transform(message_clauses(text, rx(lx.CLAUSE_BREAK)), judged))).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string>>"))
     of = lambda kind: F.transform(F.filter(found, lambda s: s["kind"] == kind), _bare)
     asked = F.concat(of("asks"), F.transform(located(text, rx(lx.ASK_CODE)), _bare))
@@ -84,7 +84,7 @@ def clause_pair_spans(text: Column, term: str, verb: str) -> Column:
         terms, verbs = located(c["value"], rx(term)), F.filter(located(c["value"], rx(verb)), lambda v: ~negated_before(c["value"], v["start"]))
         return F.when((F.size(terms) > 0) & (F.size(verbs) > 0), shifted(F.concat(terms, F.slice(verbs, 1, 1)), c["start"])).otherwise(no_spans())
 
-    return F.when(text.rlike(rx(term)) & text.rlike(rx(verb)), F.array_sort(F.array_distinct(F.flatten(F.transform(message_clauses(text, rx(lx.CLAUSE_BREAK)), pair))))).otherwise(no_spans())
+    return F.when(has(text, term) & has(text, verb), F.array_sort(F.array_distinct(F.flatten(F.transform(message_clauses(text, rx(lx.CLAUSE_BREAK)), pair))))).otherwise(no_spans())
 
 
 def with_context(signals: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def with_context(signals: DataFrame) -> DataFrame:
     mails = F.transform("emails", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), F.lower(F.substring_index(e["value"], "@", -1)).alias("host")))
     d = d.withColumn("__own", own).withColumn("__mailed", F.concat(mails, F.col("__own")))
     hosts = F.concat(F.transform("urls", lambda u: u["host"]), F.transform("__mailed", lambda m: m["host"]))
-    d = extended(d.withColumn("__hosts", F.when(F.size(hosts) > 0, hosts)), "__imitates", br.IMITATIONS, br.imitations)
+    d = answered(d.withColumn("__hosts", F.when(F.size(hosts) > 0, hosts)), "__imitates", br.IMITATIONS, "__hosts", br.imitations)
     spoof = lambda u: (u["has_homoglyphs"] | u["is_punycode"]) & u["official"].isNotNull()
     link_pairs = F.arrays_zip(F.col("urls").alias("u"), F.slice("__imitates", 1, F.size("urls")).alias("i"))
     mail_pairs = F.arrays_zip(F.col("__mailed").alias("m"), F.slice("__imitates", F.size("urls") + 1, F.size("__mailed")).alias("i"))
@@ -141,7 +141,7 @@ def _mismatches() -> Column:
     single = F.array(
         F.when(brand.isNotNull() & dom.isNotNull() & ~br.owns(brand, br.registrable_domain(dom)), item(none, none, F.concat(F.lit("claims to be "), name, F.lit(" but writes from @"), dom))),
         F.when(brand.isNotNull() & (F.length("sender_digits") >= 10) & kind.isin("bank", "government", "delivery", "payments"), item(none, none, F.concat(name, F.lit(" writes from a personal-looking number")))),
-        F.when(dom.isNotNull() & br.registrable_domain(dom).isin(*lx.FREEMAIL) & claimed.rlike(rx(lx.EXECUTIVE)), item(none, none, F.concat(F.lit("an executive writes from free mail @"), dom))),
+        F.when(dom.isNotNull() & br.registrable_domain(dom).isin(*lx.FREEMAIL) & has(claimed, lx.EXECUTIVE), item(none, none, F.concat(F.lit("an executive writes from free mail @"), dom))),
     )
     return F.concat(F.filter(single, lambda x: x.isNotNull()), links)
 
@@ -177,19 +177,19 @@ def _detectors() -> dict[str, Callable[[], tuple[Column | None, Column, Column]]
     none = F.array().cast(SPANS)
 
     def words(name: str):
-        return lambda: (text.rlike(rx(any_of(lx.WORDS[name]))), F.lit(REASONS[name]), bare(located_any(text, lx.WORDS[name])))
+        return lambda: (has_any(text, lx.WORDS[name]), F.lit(REASONS[name]), bare(located_any(text, lx.WORDS[name])))
 
     def listed(spans: Column, reason: str | Column):
         return None, F.lit(reason) if isinstance(reason, str) else reason, bare(spans)
 
     def payment():
-        coins = F.when(text.rlike(rx(lx.PAY_VERB)), bare(F.col("crypto"))).otherwise(none)
+        coins = F.when(has(text, lx.PAY_VERB), bare(F.col("crypto"))).otherwise(none)
         return listed(F.array_sort(F.array_distinct(F.concat(bare(clause_pair_spans(text, lx.PAY_TERM, lx.PAY_VERB)), coins))), "Asks for payment by gift card, crypto-currency or transfer")
 
     def new_number():
         found = located_any(text, lx.NEW_NUMBER)
         family = F.slice(located(text, rx(lx.FAMILY)), 1, 1)
-        fired = text.rlike(rx(any_of(lx.NEW_NUMBER))) & ((F.col("channel") != "email") | text.rlike(rx(lx.FAMILY)))
+        fired = has_any(text, lx.NEW_NUMBER) & ((F.col("channel") != "email") | has(text, lx.FAMILY))
         return fired, F.lit("Says to be family or a friend on a new number"), bare(F.concat(found, family))
 
     def obfuscation():
@@ -206,10 +206,10 @@ def _detectors() -> dict[str, Callable[[], tuple[Column | None, Column, Column]]
     def authority(placed: bool = True):
         generic = located_any(text, lx.AUTHORITY) if placed else no_spans()
         claimed = F.coalesce("claimed_sender", F.lit(""))
-        org = (claimed != "") & (claimed.rlike(rx(lx.ORG_WORD)) | claimed.rlike(rx(lx.EXECUTIVE)) | F.col("__meta").isNotNull())
+        org = (claimed != "") & (has(claimed, lx.ORG_WORD) | has(claimed, lx.EXECUTIVE) | F.col("__meta").isNotNull())
         who = F.filter(F.array(br.brand_field(F.col("claimed_brand"), "display"), F.when(org, F.concat(F.lit("'"), claimed, F.lit("'")))), lambda w: w.isNotNull())
         label = F.when(F.size(who) > 0, F.array_join(F.array_distinct(who), ", ")).otherwise("an authority")
-        return text.rlike(rx(any_of(lx.AUTHORITY))) | (F.size("brand_spans") > 0) | (F.size(who) > 0), F.concat(F.lit("Claims to be "), label, F.lit("; this is not verified")), F.concat(F.col("brand_spans"), bare(generic))
+        return has_any(text, lx.AUTHORITY) | (F.size("brand_spans") > 0) | (F.size(who) > 0), F.concat(F.lit("Claims to be "), label, F.lit("; this is not verified")), F.concat(F.col("brand_spans"), bare(generic))
 
     def callback():
         def in_clause(c: Column) -> Column:
@@ -218,8 +218,8 @@ def _detectors() -> dict[str, Callable[[], tuple[Column | None, Column, Column]]
             fires = (F.size(verb) > 0) & ((F.size(phone) > 0) | F.exists(verb, lambda v: F.contains(F.lower(v["value"]), F.lit("press"))))
             return F.when(fires, F.concat(shifted(verb, c["start"]), phone)).otherwise(no_spans())
 
-        pressed = text.rlike(rx(any_of(lx.WORDS["URGENCY"] + lx.WORDS["THREAT"] + lx.CALL_CONTEXT)))
-        spans = F.when(authority(False)[0] & pressed & text.rlike(rx(lx.CALL_VERB)), F.flatten(F.transform(message_clauses(text, rx(lx.CLAUSE_BREAK)), in_clause))).otherwise(no_spans())
+        pressed = has_any(text, lx.WORDS["URGENCY"] + lx.WORDS["THREAT"] + lx.CALL_CONTEXT)
+        spans = F.when(authority(False)[0] & has(text, lx.CALL_VERB) & pressed, F.flatten(F.transform(message_clauses(text, rx(lx.CLAUSE_BREAK)), in_clause))).otherwise(no_spans())
         return listed(spans, "Wants you to call a number from the message")
 
     def lookalike():
