@@ -9,7 +9,7 @@ from wardline.config import Config
 from wardline.functions import lexicon as lx
 from wardline.functions.spans import clauses, rx
 from wardline.operators import brands, casestore, classifier, evidence, ingest, masking, metrics, rules, scoring
-from wardline.plans.registry import _CASES, _EVENTS, _RECORDS, _TRUST, _cases, _events, _quote, _records, query, table
+from wardline.plans.registry import _CASES, _EVENTS, _RECORDS, _TRUST, _cases, _events, _quote, _records, query, table, spread
 from wardline.sources import readers
 
 _WIDE = "".join(chr(0xFEE0 + ord(c)) for c in "abcdefghijklmnopqrstuvwxyz")
@@ -90,7 +90,7 @@ def links_without_scheme(spark, sf_dir):
 def entities(spark, sf_dir):
     k = F.col("o_orderkey")
     text = _text("Write to u", k, "@mail.example.com or call 212-555-", F.lpad((k % 10000).cast("string"), 4, "0"), " about $", k, ".50 for 0x", F.lpad(k.cast("string"), 40, "0"), ", see https://shop.example.com/o?id=", k, ". Thank you")
-    d = ingest.ingest(table(spark, sf_dir, "orders").select(k, text.alias("text")))
+    d = ingest.ingest(spread(table(spark, sf_dir, "orders").select(k)).select(k, text.alias("text")))
     values = lambda c: F.array_join(F.transform(c, lambda s: s["value"]), " ")
     return d.select("o_orderkey", values("emails").alias("email"), values("phones").alias("phone"), values("amounts").alias("amount"), values("crypto").alias("wallet"), F.array_join(F.transform("urls", lambda u: u["raw"]), " ").alias("link"))
 
@@ -293,7 +293,7 @@ def calm_messages(spark, sf_dir):
 def screenshots_and_trust(spark, sf_dir):
     """A domain one letter off is an error of recognition in a screenshot and an imitation in a text."""
     k = F.col("c_custkey")
-    d = table(spark, sf_dir, "customer").select(k, k.cast("string").alias("msg_id"), _text("Order ", k, " of ours is at http://paypall.com/o for you").alias("text"), (k % 2 == 0).alias("trusted_sender"), F.when(k % 2 == 0, F.array(F.lit("from_image"))).alias("extra_flags"))
+    d = spread(table(spark, sf_dir, "customer").select(k)).select(k, k.cast("string").alias("msg_id"), _text("Order ", k, " of ours is at http://paypall.com/o for you").alias("text"), (k % 2 == 0).alias("trusted_sender"), F.when(k % 2 == 0, F.array(F.lit("from_image"))).alias("extra_flags"))
     d = rules.evaluate(ingest.ingest(d))
     has = lambda n: F.array_contains("fired", n)
     return d.select(k, has("TRUSTED_SENDER").alias("trusted"), has("POSSIBLE_LOOKALIKE_OCR").alias("misread"), has("LOOKALIKE_DOMAIN").alias("imitated"))
