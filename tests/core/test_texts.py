@@ -342,3 +342,34 @@ def test_lines_of_a_body_are_no_previews_of_each_other(spark):
     assert got[1] == (1, "Your parcel waits for you at the depot today. Come soon.")
     assert got[2] == (2, "Your parcel waits for you at the depot of our town in the north.")
     assert got[3] == (1, "Harbour Club Your parcel waits for you at x0z the depot x1z")
+
+
+def test_one_file_is_dealt_over_tasks(spark):
+    """Rows of one file that cost much to work on came in one task."""
+    from wardline.plans import made, registry, texts
+
+    for f in (made.entities, made.screenshots_and_trust, registry.layout_messages, registry.mask_documents, texts.display_pieces):
+        assert f(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism, f.__name__
+
+
+def test_pieces_of_many_spans_against_a_plain_sweep(spark):
+    """Every bound looked at every span: 8,000 spans took 16,000 x 8,000 looks."""
+    text, n = "abcdefghij" * 4000, 8000
+    spans = [(5 * i, 5 * i + (0 if i % 7 == 0 else 3), "link" if i % 2 else "request", [str(i % 3)]) for i in range(n)]
+    hidden = list(range(1, 40000, 997))
+    d = spark.createDataFrame([(text, spans, hidden)], "t string, spans array<struct<start:int,end:int,category:string,labels:array<string>>>, hidden array<int>")
+    began = time.time()
+    got = [(p["text"], p["category"], p["labels"], p["hidden"]) for p in d.select(evidence.display_pieces(F.col("t"), F.col("spans"), F.col("hidden")).alias("p")).first()["p"]]
+    assert time.time() - began < 60
+    cover = [None] * len(text)
+    for a, b, c, names in spans:
+        cover[a:b] = [(c, tuple(names))] * (b - a)
+    want = []
+    for i, ch in enumerate(text):
+        c, names = cover[i] or (None, ())
+        now = (c, list(names), i in set(hidden[i // 997 : i // 997 + 1]))
+        if want and not now[2] and not want[-1][3] and want[-1][1:3] == now[:2]:
+            want[-1] = (want[-1][0] + ch, *want[-1][1:])
+        else:
+            want.append((ch, *now))
+    assert got == want

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.lexicon import PRIORITY
-from wardline.functions.spans import bound
+from wardline.functions.spans import bound, running_totals
 from wardline.operators.ingest import INVISIBLE, to_display
 
 
@@ -71,11 +71,23 @@ def display_pieces(text: Column, spans: Column, hidden: Column) -> Column:
     fits = lambda p: (p >= 0) & (p <= n)
     ends = F.concat(F.array(F.lit(0), n), F.transform(spans, lambda s: s["start"].cast("int")), F.transform(spans, lambda s: s["end"].cast("int")), hidden.cast("array<int>"), F.transform(hidden, lambda p: (p + 1).cast("int")))
 
-    def cut(bounds: Column) -> Column:
-        def piece(a: Column, i: Column) -> Column:
-            b = F.get(bounds, i + 1)
-            over = F.get(F.filter(spans, lambda s: (s["start"] <= a) & (b <= s["end"])), F.lit(0))
-            return F.struct(a.alias("a"), b.alias("b"), over["category"].alias("category"), F.coalesce(over["labels"], F.array().cast("array<string>")).alias("labels"), F.array_contains(hidden.cast("array<int>"), a).alias("hidden"))
+    filled = F.filter(spans, lambda s: s["end"] > s["start"])
+
+    def counted(bounds: Column) -> Column:
+        """(p, k) for every bound: k spans begin at it or before it, so only the last of these can cover what follows."""
+        mark = lambda p, kind: F.struct(p.cast("int").alias("p"), F.lit(kind).alias("kind"))
+        marks = F.array_sort(F.concat(F.transform(filled, lambda s: mark(s["start"], 0)), F.transform(bounds, lambda p: mark(p, 1))))
+        with_counts = lambda m: F.zip_with(m, running_totals(F.transform(m, lambda x: 1 - x["kind"])), lambda x, k: F.struct(x["p"].alias("p"), x["kind"].alias("kind"), k.alias("k")))
+        return F.filter(bound(marks, with_counts), lambda x: x["kind"] == 1)
+
+    def cut(both: Column) -> Column:
+        bounds = both["bounds"]
+
+        def piece(x: Column, i: Column) -> Column:
+            a, b = x["p"], F.get(bounds, i + 1)["p"]
+            last = F.get(both["spans"], x["k"] - 1)
+            over = F.when(b <= last["end"], last)
+            return F.struct(a.alias("a"), b.alias("b"), over["category"].alias("category"), F.coalesce(over["labels"], F.array().cast("array<string>")).alias("labels"), F.array_contains(both["hidden"], a).alias("hidden"))
 
         return F.transform(F.slice(bounds, F.lit(1), F.size(bounds) - 1), piece)
 
@@ -85,7 +97,8 @@ def display_pieces(text: Column, spans: Column, hidden: Column) -> Column:
         told = lambda h, p, stop: F.struct(F.substr(text, p["a"] + 1, stop - p["a"]).alias("text"), p["category"].alias("category"), p["labels"].alias("labels"), p["hidden"].alias("hidden"))
         return bound(heads, lambda h: F.transform(h, lambda p, i: told(h, p, F.coalesce(F.get(h, i + 1)["a"], n))))
 
-    pieces = bound(bound(F.array_sort(F.array_distinct(F.filter(ends, fits))), cut), joined)
+    whole = lambda bounds: F.struct(counted(bounds).alias("bounds"), filled.alias("spans"), hidden.cast("array<int>").alias("hidden"))
+    pieces = bound(bound(bound(F.array_sort(F.array_distinct(F.filter(ends, fits))), whole), cut), joined)
     return F.when(n > 0, pieces).otherwise(F.array().cast(f"array<{PIECE}>"))
 
 

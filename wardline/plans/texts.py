@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wardline.functions import lexicon as lx
-from wardline.functions.spans import clauses, extended, running_totals, rx
+from wardline.functions.spans import clauses, extended, located_long, running_totals, rx
 from wardline.operators import brands, casestore, evidence, layout, metrics, respace, responses, rules
 from wardline.plans.messages import analyse, templated
 from wardline.plans.made import _BRAND_SQL, _BRANDS, _branded, _by, _text
-from wardline.plans.registry import _CASES, _EVENTS, _FINAL, _LIST, _R, _RECORDS, _TIER, _cases, _events, _records, query, table
+from wardline.plans.registry import _CASES, _EVENTS, _FINAL, _LIST, _R, _RECORDS, _TIER, _cases, _events, _records, query, table, spread
 from wardline.sources import readers
 
 # DuckDB has no look-behind: a break after a sign takes the sign along, which belongs to the clause before
@@ -125,10 +125,10 @@ _SHOWN = f"(SELECT conv_id, turn, replace(replace(text, 'n ', 'n{_ZERO} '), 'e.'
 def display_pieces(spark, sf_dir):
     """Turns of conversations with invisible characters, cut at these and at the bounds of spans."""
     t = F.replace(F.replace("text", F.lit("n "), F.lit(f"n{_ZERO} ")), F.lit("e."), F.lit(f"e{_ZERO}{_ZERO}."))
-    d = table(spark, sf_dir, "conversations").select("conv_id", "turn", t.alias("t"))
+    d = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", t.alias("t"))
     span = lambda j: F.struct((8 * j).alias("start"), F.least(8 * j + F.when(j % 3 == 0, 8).otherwise(5), F.length("t")).alias("end"), F.when((j / 2).cast("int") % 2 == 0, "link").otherwise("request").alias("category"), F.array(F.concat(F.lit("L"), ((j / 2).cast("int") % 3).cast("string"))).alias("labels"))
     spans = F.filter(F.transform(F.sequence(F.lit(0), (F.length("t") / 8).cast("int")), span), lambda s: s["end"] > s["start"])
-    hidden = F.filter(F.sequence(F.lit(0), F.length("t")), lambda i: F.substr("t", i + 1, F.lit(1)) == _ZERO)
+    hidden = F.transform(located_long(F.col("t"), _ZERO), lambda s: s["start"])
     d = d.withColumn("spans", spans).withColumn("hidden", hidden)
     d = d.select("conv_id", "turn", F.posexplode(evidence.display_pieces(F.col("t"), F.col("spans"), F.col("hidden"))).alias("n", "p"))
     return d.select("conv_id", "turn", "n", "p.text", "p.category", F.array_join("p.labels", ";").alias("labels"), "p.hidden")
