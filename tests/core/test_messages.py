@@ -144,7 +144,7 @@ def test_quick_patterns_are_found_in_the_same_texts(spark):
     assert quick(made[3]) == r"(?=[o-t])\b(?:one\b|two\b)|(?=[t])(?:three)".replace("[o-t]", "[ot]")
 
 
-def test_only_single_columns_travel_to_python(spark):
-    """Whole rows, with all their arrays, went to Python and back: for each one, Spark measured every array."""
-    plan = analyse(spark.createDataFrame([("1", "We met at www.shop.com today")], "msg_id string, text string")).select("msg_id", "score")
-    assert "MapInArrow" not in plan._jdf.queryExecution().optimizedPlan().toString()
+def test_names_of_hits_are_counted(spark):
+    """A helper in Python came into a lambda here, where it can't be called."""
+    d = rules.evaluate(ingest.ingest(spark.createDataFrame([("1", "Act now: see http://paypa1.com/x today")], "msg_id string, text string")))
+    assert "LOOKALIKE_DOMAIN" in {r["name"] for r in rules.rule_hits(d).groupBy("name").count().collect()}

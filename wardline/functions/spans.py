@@ -256,5 +256,9 @@ def extended(df: DataFrame, name: str, kind: T.DataType, make: Callable[[pa.Reco
 
 
 def answered(df: DataFrame, name: str, kind: T.DataType, column: str, make: Callable[[pa.Array], pa.Array]) -> DataFrame:
-    """extended() by a helper that reads one column: no other one travels. Settled on both sides, so the function stays out of lambdas."""
-    return settled(settled(df).withColumn(name, F.arrow_udf(make, kind)(F.col(column))))
+    """extended() by a helper that reads one column. A function column, even between settled() ones, still came into lambdas (rule_frequency)."""
+
+    def one(b: pa.RecordBatch) -> pa.Array:
+        return make(b.column(b.schema.get_field_index(column)))
+
+    return extended(df, name, kind, one)
