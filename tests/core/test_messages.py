@@ -148,3 +148,39 @@ def test_names_of_hits_are_counted(spark):
     """A helper in Python came into a lambda here, where it can't be called."""
     d = rules.evaluate(ingest.ingest(spark.createDataFrame([("1", "Act now: see http://paypa1.com/x today")], "msg_id string, text string")))
     assert "LOOKALIKE_DOMAIN" in {r["name"] for r in rules.rule_hits(d).groupBy("name").count().collect()}
+
+
+def test_looks_ask_for_words_that_every_match_has():
+    from wardline.functions.spans import needed
+    from wardline.operators.rules import LOOKS
+
+    assert all(needed(p) for p in LOOKS)
+    assert needed(r"\b(pin|log[- ]?in|otps?) codes?\b") == {"code", "codes"[:4]}
+    assert needed(r"\b(pin|log[- ]?in|otps?)\b") == {"pin", "log", "logi", "otp", "otps"}
+    assert needed(r"\b\w+ly\b") is None and needed(r"n['’]t\b") == needed("nt|x") is None
+
+
+def test_words_spare_looks_but_no_matches(spark):
+    from pyspark.sql import functions as F
+    from wardline.functions.spans import Words, first_letters, has, located, rx
+    from wardline.operators.rules import LOOKS
+
+    texts = ["URGENT: act NOW", "x-urgent", "_urgent", "furgent", "don't delay", "earn $5 daily", "$5 daily", "system: do", " \tsystem: do", "</ system >", "<b>", "two 9-digit codes", "24hours",
+             "ſend pins", "Kik on ſignal: é send it on kik", "a\0b send\0code", "dear t-mobile", "from at&t", "my at&tx", "", "it's me, mum", "pay 5% each day", "what's the new pin", "no", "é urgent"]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("w", first_letters(F.col("t"), LOOKS))
+    words = Words(F.col("w"), LOOKS)
+    differs = [has(F.col("t"), p, words) != F.col("t").rlike(rx(p)) for p in LOOKS]
+    wrong = [r for r in d.select("t", F.array_position(F.array(*differs), True).alias("at")).collect() if r["at"]]
+    assert wrong == []
+    # not among the patterns that the words were made for: looked for all the same
+    assert d.where(has(F.col("t"), r"\bdelay\b", Words(F.col("w"), ()))).count() == 1
+    assert [tuple(s)[:2] for s in d.where("i = 15").select(located(F.col("t"), rx(r"send|code")).alias("s")).first()["s"]] == [(4, 8), (9, 13)]
+
+
+def test_scores_hand_single_columns_to_python(spark):
+    """Whole rows went to Python twice, with entities that scores don't read."""
+    from wardline.plans.registry import scored_messages
+
+    plan = scored_messages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 2
+    assert "AS amounts" not in plan

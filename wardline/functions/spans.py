@@ -7,12 +7,15 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 from re import _constants as C
 from re import _parser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardline.functions.lexicon import ENGLISH
+
 #: Places of a block in running_totals().
 BLOCK = 256
 SPAN = "struct<start:int,end:int,value:string>"
@@ -118,6 +121,171 @@ def quick(pattern: str) -> str:
     return "|".join(([rf"{_start(words)}\b(?:{words})"] if bounded else []) + [f"{_start(a)}(?:{a})" for a in rest])
 
 
+#: Letters of a word that first_letters() keeps.
+LETTERS = 4
+#: Beginnings of words that a look for a pattern asks for at most.
+BEGINNINGS = 400
+_COMMON = frozenset(w[:LETTERS] for w in ENGLISH)
+
+
+def _inside(op, arg) -> list[str] | None:
+    """The signs that a literal or a set of signs stands for, "\\s" for all kinds of space; None: too many to name."""
+    if op is C.LITERAL:
+        return [chr(arg)]
+    out: list[str] = []
+    for o, v in arg:
+        if o is C.LITERAL:
+            out.append(chr(v))
+        elif o is C.RANGE and v[1] - v[0] < 64:
+            out += map(chr, range(v[0], v[1] + 1))
+        elif (o, v) == (C.CATEGORY, C.CATEGORY_DIGIT):
+            out += "0123456789"
+        elif (o, v) == (C.CATEGORY, C.CATEGORY_SPACE):
+            out.append(r"\s")
+        else:
+            return None
+    return out
+
+
+class _Unnamed(Exception):
+    """A word may begin with anything."""
+
+
+def _beginnings(items: list, have: str, out: set[str], spaced: bool = False) -> None:
+    """Adds to out how the first word of what items match can begin, where have was read of it: LETTERS letters, a shorter word as a whole,
+    or the sign that stands there instead of a word."""
+    if len(out) > BEGINNINGS:
+        raise _Unnamed
+    if len(have) == LETTERS:
+        out.add(have)
+        return
+    if not items:
+        raise _Unnamed  # the word may go on
+    (op, arg), rest = items[0], items[1:]
+    if op in (C.LITERAL, C.IN):
+        signs = _inside(op, arg)
+        if signs is None:
+            raise _Unnamed
+        for c in {c.lower() for c in signs}:
+            if c == r"\s" or c.isspace():
+                if have:
+                    out.add(have)
+                else:
+                    _beginnings(rest, "", out, True)
+            elif c.isascii():  # others don't stand in the texts that are asked
+                if c.isalnum() or c == "_":
+                    _beginnings(rest, have + c, out)
+                else:
+                    out.add(have or c)
+    elif op is C.AT:
+        if have:
+            if arg is not C.AT_BOUNDARY:
+                raise _Unnamed
+            out.add(have)
+        else:
+            _beginnings(rest, have, out, spaced)
+    elif op in (C.ASSERT, C.ASSERT_NOT):
+        if have and op is C.ASSERT_NOT and arg[0] > 0 and _any_letter(arg[1]):
+            out.add(have)
+        else:
+            _beginnings(rest, have, out, spaced)
+    elif op is C.SUBPATTERN:
+        _beginnings([*arg[-1], *rest], have, out, spaced)
+    elif op is C.BRANCH:
+        for b in arg[1]:
+            _beginnings([*b, *rest], have, out, spaced)
+    elif op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT):
+        least, most, sub = arg
+        if least == 0:
+            _beginnings(rest, have, out, spaced)
+        if most and not (spaced and _blank(sub)):
+            _beginnings([*sub, *([(op, (max(least - 1, 0), most - 1 if most is not C.MAXREPEAT else most, sub))] if most != 1 else []), *rest], have, out, spaced)
+        elif most and least:
+            _beginnings(rest, have, out, spaced)
+    else:
+        raise _Unnamed
+
+
+def _any_letter(parsed) -> bool:
+    """Whether a pattern is one sign, which can be any letter."""
+    return len(parsed) == 1 and parsed[0][0] is C.IN and (C.CATEGORY, C.CATEGORY_WORD) in parsed[0][1]
+
+
+def _blank(parsed) -> bool:
+    """Whether a pattern is one sign of space."""
+    return len(parsed) == 1 and parsed[0][0] in (C.LITERAL, C.IN) and all(c == r"\s" or c.isspace() for c in _inside(*parsed[0]) or ["x"])
+
+
+def _opens(op, arg) -> bool:
+    """Whether what follows this item begins a word, if it begins with a letter: a bound of words, the text's start, a space, or no letter before."""
+    if op is C.AT:
+        return arg in (C.AT_BOUNDARY, C.AT_BEGINNING)
+    if op is C.ASSERT_NOT:
+        return arg[0] < 0 and _any_letter(arg[1])
+    if op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT):
+        return arg[0] > 0 and _blank(arg[2])
+    return op in (C.LITERAL, C.IN) and _blank([(op, arg)])
+
+
+def _needed(items: list) -> set[str] | None:
+    """Beginnings of words of which each match of a sequence has one: the rarest that a place in it gives."""
+    found: list[set[str]] = []
+    for i, (op, arg) in enumerate(items):
+        if op is C.SUBPATTERN:
+            inner = _needed(list(arg[-1]))
+        elif op is C.BRANCH:
+            each = [_needed([*b]) for b in arg[1]]
+            inner = None if None in each else set().union(*each)
+        else:
+            inner = {chr(arg)} if op is C.LITERAL and 32 < arg < 127 and not chr(arg).isalnum() and arg != ord("_") else None
+        if inner is not None:
+            found.append(inner)
+        opened = i > 0 and _opens(*items[i - 1]) or i > 1 and items[i - 1][0] is C.MAX_REPEAT and _blank(items[i - 1][1][2]) and _opens(*items[i - 2])
+        if opened:
+            out: set[str] = set()
+            try:
+                _beginnings(items[i:], "", out)
+                found.append(out)
+            except _Unnamed:
+                pass
+    return min(found, key=lambda f: (len(f) + 50 * len(f & _COMMON), sorted(f)), default=None)
+
+
+@lru_cache(maxsize=None)
+def needed(pattern: str) -> frozenset[str] | None:
+    """Beginnings as first_letters() gives them, of which every ASCII text that a pattern is found in has one, in any case; None: not known."""
+    try:
+        each = [_needed(list(_parser.parse(a))) for a in _alternatives(pattern)]
+    except re.error:  # what only Java knows
+        return None
+    return None if None in each else frozenset().union(*each)
+
+
+def _all_needed(patterns) -> frozenset[str]:
+    return frozenset().union(*(needed(p) or () for p in patterns))
+
+
+def first_letters(text: Column, patterns) -> Column:
+    """How the words of an ASCII text begin, in small letters, and its signs, as far as these patterns need() them; null for other texts."""
+    kept = sorted(_all_needed(patterns))
+    return F.when(text.rlike(r"^\p{ASCII}*$"), F.filter(F.regexp_extract_all(F.lower(text), F.lit(rf"\b\w{{1,{LETTERS}}}|[^\w\s]"), F.lit(0)), lambda w: w.isin(*kept)))
+
+
+class Words(NamedTuple):
+    """A column of first_letters() and the patterns that it was made for."""
+
+    column: Column
+    patterns: tuple[str, ...]
+
+    def may_have(self, patterns) -> Column:
+        """Whether one of some patterns can be found in the text; always true of patterns that the column wasn't made for."""
+        each = [needed(p) for p in patterns]
+        if None in each or not frozenset().union(*each) <= _all_needed(self.patterns):
+            return F.lit(True)
+        signs = sorted(frozenset().union(*each))
+        return F.coalesce(F.exists(self.column, lambda w: w.isin(*signs)), F.lit(True))
+
+
 def _quick_rx(pattern: str) -> str:
     """quick() of a pattern of rx()."""
     head = next((h for h in ("(?iU)", "(?U)") if pattern.startswith(h)), "")
@@ -128,15 +296,22 @@ def no_spans() -> Column:
     return F.array().cast(EMPTY)
 
 
-def located(text: Column, pattern: str | Column) -> Column:
+def _gaps(text: Column, pattern: str | Column) -> Column:
+    """split() at the matches of a pattern that matches no empty text. split() compiles its pattern for every row, replacing once for all:
+    matches become a sign that the text doesn't have, and a single sign is no pattern to split()."""
+    return F.when(F.contains(text, F.lit("\0")), F.split(text, pattern, -1)).otherwise(F.split(F.regexp_replace(text, pattern, F.lit("\0")), "\0", -1))
+
+
+def located(text: Column, pattern: str | Column, may: Column | None = None) -> Column:
     """All matches, leftmost first and not overlapping, as (start, end, value) in code points.
 
     What lies between matches comes from splitting at the same pattern; a match starts where all before it ends. The array grows
-    by a place for each match: this is for messages, whose length is limited.
+    by a place for each match: this is for messages, whose length is limited. Where may is false nothing is looked for.
     """
-    may, pattern = (F.lit(_quick_rx(pattern)), F.lit(pattern)) if isinstance(pattern, str) else (pattern, pattern)
+    quick_pattern, pattern = (F.lit(_quick_rx(pattern)), F.lit(pattern)) if isinstance(pattern, str) else (pattern, pattern)
+    look = F.rlike(text, quick_pattern) if may is None else may & F.rlike(text, quick_pattern)
     value = F.regexp_extract_all(text, pattern, F.lit(0))
-    steps = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(value)).alias("gap"), value.alias("value"))
+    steps = F.arrays_zip(F.slice(_gaps(text, pattern), 1, F.size(value)).alias("gap"), value.alias("value"))
     begin = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -144,24 +319,25 @@ def located(text: Column, pattern: str | Column) -> Column:
         end = start + F.length(x["value"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
 
-    return F.when(F.rlike(text, may), F.aggregate(steps, begin, step, lambda acc: acc["out"])).otherwise(no_spans())
+    return F.when(look, F.aggregate(steps, begin, step, lambda acc: acc["out"])).otherwise(no_spans())
 
 
-def located_any(text: Column, patterns, fold: bool = True) -> Column:
+def located_any(text: Column, patterns, words: Words | None = None, fold: bool = True) -> Column:
     """Matches of several patterns, sorted and distinct. One look at all of them spares most texts the rest, and a look at each one
     the places of those that don't match: a pattern out of an array is compiled for every text."""
     each = F.array_compact(F.array(*[F.when(text.rlike(rx(quick(p), fold)), F.lit(rx(p, fold))) for p in patterns]))
     found = F.flatten(F.transform(each, lambda p: located(text, p)))
-    return F.when(has_any(text, patterns, fold), F.array_sort(F.array_distinct(found))).otherwise(no_spans())
+    return F.when(has_any(text, patterns, words, fold), F.array_sort(F.array_distinct(found))).otherwise(no_spans())
 
 
-def has(text: Column, pattern: str, fold: bool = True) -> Column:
-    """Whether a pattern is found in a text."""
-    return text.rlike(rx(quick(pattern), fold))
+def has(text: Column, pattern: str, words: Words | None = None, fold: bool = True) -> Column:
+    """Whether a pattern is found in a text; words are the text's, which spare most texts the look."""
+    return has_any(text, [pattern], words, fold)
 
 
-def has_any(text: Column, patterns, fold: bool = True) -> Column:
-    return has(text, any_of(patterns), fold)
+def has_any(text: Column, patterns, words: Words | None = None, fold: bool = True) -> Column:
+    found = text.rlike(rx(quick(any_of(patterns) if len(patterns) > 1 else patterns[0]), fold))
+    return found if words is None else words.may_have(patterns) & found
 
 
 def starts_in(span: Column, spans: Column) -> Column:
@@ -209,7 +385,7 @@ def located_long(text: Column, pattern: str) -> Column:
 
 def message_clauses(text: Column, pattern: str) -> Column:
     """clauses() of messages, whose length is limited: a fold whose array grows by a place for each clause, and a smaller plan."""
-    parts = F.split(text, pattern, -1)
+    parts = _gaps(text, pattern)
     breaks = F.concat(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array(F.lit("")))
     begin = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
 
@@ -256,9 +432,11 @@ def extended(df: DataFrame, name: str, kind: T.DataType, make: Callable[[pa.Reco
 
 
 def answered(df: DataFrame, name: str, kind: T.DataType, column: str, make: Callable[[pa.Array], pa.Array]) -> DataFrame:
-    """extended() by a helper that reads one column. A function column, even between settled() ones, still came into lambdas (rule_frequency)."""
+    """df with one more column that a helper in Python makes from one other. Only that column travels, and columns that nobody reads
+    aren't made. Called nondeterministic, because the optimiser takes any other function along into lambdas and filters above it,
+    where Python can't be called (rule_frequency) or is called again."""
 
-    def one(b: pa.RecordBatch) -> pa.Array:
-        return make(b.column(b.schema.get_field_index(column)))
+    def one(values: pa.Array) -> pa.Array:
+        return make(values)
 
-    return extended(df, name, kind, one)
+    return df.withColumn(name, F.arrow_udf(one, kind).asNondeterministic()(F.col(column)))

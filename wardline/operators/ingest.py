@@ -60,19 +60,22 @@ def normalise(messages: DataFrame, config: Config) -> DataFrame:
     bad = F.col("text").isNull() & F.col("text_bytes").isNotNull() & ~F.call_function("is_valid_utf8", F.col("text_bytes").cast("string"))
     m = m.withColumn("__raw", F.coalesce("text", F.when(~bad, F.col("text_bytes").cast("string")))).withColumn("original_length", F.coalesce(F.length("__raw"), F.octet_length("text_bytes"), F.lit(0)))
     raw = F.col("__raw")
-    control = F.length(F.regexp_replace(raw, r"[^\p{Cc}\p{Cs}\p{Co}\p{Cn}]|[\n\r\t]", ""))
+    control = F.regexp_count(raw, F.lit(r"[\p{Cc}\p{Cs}\p{Co}\p{Cn}&&[^\n\r\t]]"))
     binary = (F.instr(raw, "\x00") > 0) | (control > config.max_control_ratio * F.length(raw))
     early = (
         F.when(F.size("precheck_flags") > 0, F.lit("precheck"))
         .when(bad, "binary_input").when(raw.isNull(), "non_text_input").when(binary, "binary_input")
-        .when(F.col("original_length") > config.reject_over, "too_long").when(F.regexp_replace(raw, _SPACE_ENDS, "") == "", "empty")
+        .when(F.col("original_length") > config.reject_over, "too_long").when(~raw.rlike(r"(?U)\S"), "empty")
     )
     m = m.withColumn("__early", early).withColumn("__ascii", raw.rlike(r"^\p{ASCII}*$"))
     m = answered(m.withColumn("__plain", F.when(F.col("__early").isNull() & ~F.col("__ascii"), raw)), "__nfkc", T.StringType(), "__plain", _nfkc)
     display = F.when(F.col("__early").isNull(), F.coalesce("__nfkc", raw))
     m = m.withColumn("__display", display).withColumn("truncated", F.coalesce(F.length("__display") > config.truncate_at, F.lit(False)))
     m = m.withColumn("display_text", F.coalesce(F.left("__display", F.lit(config.truncate_at)), F.lit("")))
-    m = m.withColumn("clean_text", F.translate("display_text", INVISIBLE, "")).withColumn("analysis_text", F.translate("clean_text", lx.LOOKALIKE_FROM, lx.LOOKALIKE_TO))
+    # what is removed or folded is never ASCII
+    plain = F.coalesce("__ascii", F.lit(False))
+    m = m.withColumn("clean_text", F.when(plain, F.col("display_text")).otherwise(F.translate("display_text", INVISIBLE, "")))
+    m = m.withColumn("analysis_text", F.when(plain, F.col("clean_text")).otherwise(F.translate("clean_text", lx.LOOKALIKE_FROM, lx.LOOKALIKE_TO)))
     words = F.regexp_extract_all("clean_text", F.lit(r"\p{L}+"), F.lit(0))
     mixed = F.filter(words, lambda w: w.rlike(r"\p{IsLatin}") & w.rlike(r"[\p{IsCyrillic}\p{IsGreek}]"))
     m = m.withColumn("mixed_script_words", F.when(F.col("__ascii"), F.array().cast("array<string>")).otherwise(mixed))
@@ -80,7 +83,8 @@ def normalise(messages: DataFrame, config: Config) -> DataFrame:
     other = F.regexp_count("clean_text", F.lit(r"(?:(?!\p{IsLatin})\p{L})"))
     excused = F.regexp_count(F.array_join("mixed_script_words", " "), F.lit(r"(?:(?!\p{IsLatin})\p{L})"))
     ratio = F.when(F.col("__ascii") | (letters == 0), F.lit(0.0)).otherwise((other - excused) / letters)
-    counted = lambda words: stopword_count(F.col("analysis_text"), words)
+    small = F.regexp_extract_all(F.lower("analysis_text"), F.lit("[a-z]+"), F.lit(0))  # the words of ASCII texts
+    counted = lambda words: F.when(plain, F.size(F.filter(small, lambda w: w.isin(*words)))).otherwise(stopword_count(F.col("analysis_text"), words))
     foreign = (ratio > 0.3) | ((counted(lx.FOREIGN) >= 3) & (counted(lx.FOREIGN) > 2 * counted(lx.ENGLISH)))
     late = F.when(~F.col("analysis_text").rlike(r"[\p{L}\p{N}]"), "no_text_content").when(F.length(F.regexp_replace("analysis_text", _SPACE_ENDS, "")) < config.min_chars, "too_short").when(foreign, "unsupported_language")
     m = m.withColumn("__flag", F.coalesce("__early", late)).withColumn("status", F.when(F.col("__flag").isNull(), "OK").otherwise("INSUFFICIENT_DATA"))
@@ -96,7 +100,7 @@ def normalise(messages: DataFrame, config: Config) -> DataFrame:
         "compat_chars": F.regexp_count(raw, F.lit(r"[\x{1D400}-\x{1D7FF}\x{FF21}-\x{FF5A}]")),
         "homoglyph_chars": F.length(F.regexp_replace(F.array_join("mixed_script_words", ""), f"[^{_class(lx.LOOKALIKE_FROM)}]", "")),
     }
-    m = m.withColumns({k: F.when(ok, v).otherwise(0).cast("int") for k, v in counts.items()})
+    m = m.withColumns({k: F.when(ok & ~plain, v).otherwise(0).cast("int") for k, v in counts.items()})
     hidden = F.filter(F.sequence(F.lit(0), F.length("display_text")), lambda i: (i < F.length("display_text")) & F.substr(F.col("display_text"), i + 1, F.lit(1)).rlike(f"[{both}]"))
     m = m.withColumn("hidden_positions", F.when(ok & (F.col("zero_width_removed") > 0), hidden).otherwise(F.array().cast("array<int>")))
     m = m.withColumns({c: F.when(ok, F.col(c)).otherwise("") for c in ("analysis_text", "clean_text")}).withColumn("mixed_script_words", F.when(ok, F.col("mixed_script_words")).otherwise(F.array().cast("array<string>")))
@@ -110,7 +114,7 @@ def to_display(position: Column, hidden: Column) -> Column:
 
 def extract_urls(text: Column, clean: Column) -> Column:
     """Links as (start, end, raw, host, registrable, official, is_shortener, is_ip_literal, is_punycode, has_homoglyphs)."""
-    trimmed = F.transform(located(text, rx(lx.URL)), lambda s: F.struct(s["start"].alias("start"), F.regexp_replace(s["value"], r"""[.,;:!?)'"]+$""", "").alias("raw")))
+    trimmed = F.transform(located(text, rx(lx.URL), F.contains(text, F.lit(".")) | F.contains(text, F.lit("://"))), lambda s: F.struct(s["start"].alias("start"), F.regexp_replace(s["value"], r"""[.,;:!?)'"]+$""", "").alias("raw")))
     rest = lambda u: F.regexp_replace(F.regexp_extract(F.regexp_replace(u["raw"], r"(?i)^(?:https?|hxxps?)://", ""), r"^([^/?#]*)", 1), r"^.*@", "")
     host = lambda u: F.when(rest(u).startswith("["), F.concat(F.substring_index(rest(u), "]", 1), F.lit("]"))).otherwise(F.regexp_replace(F.lower(F.substring_index(rest(u), ":", 1)), r"\.+$", ""))
     hosted = F.filter(F.transform(trimmed, lambda u: F.struct(u["start"].alias("start"), u["raw"].alias("raw"), host(u).alias("host"))), lambda u: F.instr(u["host"], ".") > 0)
@@ -138,10 +142,10 @@ def extract(normal: DataFrame) -> DataFrame:
     """Adds urls, emails, crypto, phones and amounts; links and addresses shut out what lies in them."""
     text = F.col("analysis_text")
     digits = lambda s: F.length(F.regexp_replace(s["value"], "[^0-9]", ""))
-    d = normal.withColumn("__urls", extract_urls(text, F.col("clean_text"))).withColumn("emails", located(text, rx(lx.EMAIL, fold=False)))
+    d = normal.withColumn("__urls", extract_urls(text, F.col("clean_text"))).withColumn("emails", located(text, rx(lx.EMAIL, fold=False), F.contains(text, F.lit("@"))))
     d = d.withColumn("__skip", F.concat(F.transform("__urls", lambda u: F.struct(u["start"].alias("start"), u["end"].alias("end"))), F.transform("emails", lambda u: F.struct(u["start"].alias("start"), u["end"].alias("end")))))
     d = d.withColumn("crypto", F.filter(located(text, rx(lx.CRYPTO, fold=False)), lambda s: ~starts_in(s, F.col("__skip"))))
-    d = d.withColumn("phones", F.filter(located(text, rx(lx.PHONE, fold=False)), lambda s: ~starts_in(s, F.col("__skip")) & ~starts_in(s, F.col("crypto")) & digits(s).between(7, 15)))
+    d = d.withColumn("phones", F.filter(located(text, rx(lx.PHONE, fold=False), text.rlike(rx(r"\d{3}", fold=False))), lambda s: ~starts_in(s, F.col("__skip")) & ~starts_in(s, F.col("crypto")) & digits(s).between(7, 15)))
     d = d.withColumn("amounts", F.filter(located(text, rx(lx.AMOUNT)), lambda s: ~starts_in(s, F.col("__skip"))))
     d = settled(d)
     return d.withColumn("urls", F.filter("__urls", lambda u: ~starts_in(u, F.col("emails")))).drop("__urls", "__skip")

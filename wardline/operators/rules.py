@@ -14,13 +14,25 @@ from pyspark.sql import functions as F
 
 from wardline.config import Config
 from wardline.functions import lexicon as lx
-from wardline.functions.spans import answered, has, has_any, located, located_any, message_clauses, no_spans, rx, settled, shifted, starts_in
+from wardline.functions.spans import Words, answered, first_letters, has, has_any, located, located_any, message_clauses, no_spans, rx, settled, shifted, starts_in
 from wardline.operators import brands as br
 
 HIT = "struct<rule_id:string,name:string,category:string,weight:int,reason:string,spans:array<struct<start:int,end:int>>,snippets:array<string>>"
 SPANS = "array<struct<start:int,end:int>>"
 
 
+#: Patterns that are looked for in whole texts, and the words of a text that these looks ask first.
+LOOKS = (
+    *(p for patterns in lx.WORDS.values() for p in patterns), *lx.NEW_NUMBER, *lx.PROTECTIVE, *lx.CALL_CONTEXT, *lx.AUTHORITY, *br.MENTIONS,
+    lx.FAMILY, lx.SECRET, lx.VERIFY_ACCOUNT, lx.ASK_CODE, lx.PAY_TERM, lx.PAY_VERB, lx.P2P_TERM, lx.P2P_VERB, lx.CALL_VERB,
+)
+_WORDS = "__words"
+
+
+def _words() -> Words:
+    return Words(F.col(_WORDS), LOOKS)
+
+
 def negated_before(clause: Column, at: Column) -> Column:
     """Whether one of the five words before a place denies it; a comma or colon ends the reach."""
     near = F.regexp_extract(F.substr(clause, F.lit(1), at), r"([^,:]*)$", 1)
@@ -39,8 +51,8 @@ def _secret_terms(clause: Column) -> Column:
     return F.filter(located(clause, rx(lx.SECRET)), secret)
 
 
-def credential_spans(text: Column, bad_link: Column) -> tuple[Column, Column]:
-    """(spans that ask for a secret, spans that protect one)."""
+def secret_spans(text: Column, bad_link: Column, words: Words | None = None) -> Column:
+    """Spans of terms for secrets and of verbs with them, by kind: asks, protects or none of these."""
 
     def judged(c: Column) -> Column:
         clause = c["value"]
@@ -62,11 +74,16 @@ def credential_spans(text: Column, bad_link: Column) -> tuple[Column, Column]:
         whole = F.transform(F.concat(ready, verify), lambda m: F.struct((c["start"] + m["start"]).alias("start"), (c["start"] + m["end"]).alias("end"), F.lit("asks").alias("kind")))
         return F.concat(F.transform(terms, of_term), whole)
 
-    relevant = has_any(text, [lx.SECRET, lx.VERIFY_ACCOUNT])
-    found = F.when(relevant, F.flatten(F.transform(message_clauses(text, rx(lx.CLAUSE_BREAK)), judged))).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string>>"))
+    relevant = has_any(text, [lx.SECRET, lx.VERIFY_ACCOUNT], words)
+    return F.when(relevant, F.flatten(F.transform(message_clauses(text, rx(lx.CLAUSE_BREAK)), judged))).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string>>"))
+
+
+def credential_spans(text: Column, found: Column, words: Words | None = None) -> tuple[Column, Column]:
+    """(spans that ask for a secret, spans that protect one), given secret_spans()."""
     of = lambda kind: F.transform(F.filter(found, lambda s: s["kind"] == kind), _bare)
-    asked = F.concat(of("asks"), F.transform(located(text, rx(lx.ASK_CODE)), _bare))
-    return F.array_sort(F.array_distinct(asked)), F.array_sort(F.array_distinct(of("protects")))
+    asked = F.array_sort(F.array_distinct(F.concat(of("asks"), F.transform(located(text, rx(lx.ASK_CODE)), _bare))))
+    none = F.array().cast(SPANS)
+    return F.when((F.size(found) > 0) | has(text, lx.ASK_CODE, words), asked).otherwise(none), F.when(F.size(found) > 0, F.array_sort(F.array_distinct(of("protects")))).otherwise(none)
 
 
 def _bare(s: Column) -> Column:
@@ -77,22 +94,24 @@ def bare(spans: Column) -> Column:
     return F.transform(spans, _bare)
 
 
-def clause_pair_spans(text: Column, term: str, verb: str) -> Column:
+def clause_pair_spans(text: Column, term: str, verb: str, words: Words | None = None) -> Column:
     """Terms and the first verb that isn't denied, of each clause that has both."""
 
     def pair(c: Column) -> Column:
         terms, verbs = located(c["value"], rx(term)), F.filter(located(c["value"], rx(verb)), lambda v: ~negated_before(c["value"], v["start"]))
         return F.when((F.size(terms) > 0) & (F.size(verbs) > 0), shifted(F.concat(terms, F.slice(verbs, 1, 1)), c["start"])).otherwise(no_spans())
 
-    return F.when(has(text, term) & has(text, verb), F.array_sort(F.array_distinct(F.flatten(F.transform(message_clauses(text, rx(lx.CLAUSE_BREAK)), pair))))).otherwise(no_spans())
+    pairs = F.array_sort(F.array_distinct(bare(F.flatten(F.transform(message_clauses(text, rx(lx.CLAUSE_BREAK)), pair)))))
+    return F.when(has(text, term, words) & has(text, verb, words), pairs).otherwise(F.array().cast(SPANS))
 
 
 def with_context(signals: DataFrame) -> DataFrame:
     """Columns that several rules need: claimed brand, sender's domain and digits, and judged links."""
     sender = F.col("sender_id")
-    d = signals.withColumn("sender_domain", F.when(F.instr(sender, "@") > 0, F.lower(F.regexp_replace(F.regexp_replace(F.substring_index(sender, "@", -1), r"(?U)^\s+|\s+$", ""), "^>+|>+$", ""))))
+    d = settled(signals.withColumn(_WORDS, first_letters(F.col("analysis_text"), LOOKS)))
+    d = d.withColumn("sender_domain", F.when(F.instr(sender, "@") > 0, F.lower(F.regexp_replace(F.regexp_replace(F.substring_index(sender, "@", -1), r"(?U)^\s+|\s+$", ""), "^>+|>+$", ""))))
     d = d.withColumn("sender_digits", F.when(sender.isNull() | (F.instr(sender, "@") > 0), "").otherwise(F.regexp_replace(sender, "[^0-9]", "")))
-    d = d.withColumn("__claims", F.filter(br.claims(F.col("analysis_text")), lambda c: ~starts_in(c, F.col("urls")) & ~starts_in(c, F.col("emails"))))
+    d = d.withColumn("__claims", F.filter(br.claims(F.col("analysis_text"), _words()), lambda c: ~starts_in(c, F.col("urls")) & ~starts_in(c, F.col("emails"))))
     d = d.withColumn("__meta", br.brand_of_sender(F.col("claimed_sender"))).withColumn("claimed_brand", F.coalesce("__meta", F.try_element_at("__claims", F.lit(1))["brand"]))
     d = d.withColumn("brand_spans", bare(F.filter("__claims", lambda c: c["brand"] == F.col("claimed_brand"))))
     own = F.when(F.col("sender_domain").isNotNull(), F.array(F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.col("sender_domain").alias("host")))).otherwise(F.array().cast("array<struct<start:int,end:int,host:string>>"))
@@ -110,11 +129,15 @@ def with_context(signals: DataFrame) -> DataFrame:
     d = d.withColumn("__mails", F.coalesce(mails, F.array().cast(f"array<struct<start:int,end:int,host:string,imitates:{imitated}>>")))
     d = d.withColumn("ocr_typos", F.filter("__links", lambda u: u["ocr_typo"]))
     d = d.withColumn("bad_link", F.exists("urls", lambda u: u["is_ip_literal"] | u["has_homoglyphs"] | u["is_punycode"] | u["official"].isNull()))
-    asks, protects = credential_spans(F.col("analysis_text"), F.col("bad_link"))
-    d = d.withColumns({"asks_spans": asks, "protects_spans": protects})
+    d = settled(d.withColumn("__secrets", secret_spans(F.col("analysis_text"), F.col("bad_link"), _words())))
+    asks, protects = credential_spans(F.col("analysis_text"), F.col("__secrets"), _words())
+    d = d.withColumns({"asks_spans": asks, "protects_spans": protects}).drop("__secrets")
     return settled(d).withColumns({"__look": _lookalikes(), "__away": _mismatches()})
 
 
+_SAYS = "array<struct<start:int,end:int,says:string>>"
+
+
 def _lookalikes() -> Column:
     """(start, end, says) of every host that imitates a brand, or with digits for letters the claimed organisation."""
     named = lambda u, i: F.concat(F.lit("'"), u["host"], F.lit("' imitates "), br.brand_field(i["brand_ord"], "display"), F.lit(" ("), i["technique"], F.lit(")"))
@@ -127,7 +150,9 @@ def _lookalikes() -> Column:
     raw = lambda u: F.regexp_replace(F.substring_index(br.registrable_domain(u["host"]), ".", 1), "[^a-z0-9]", "")
     swapped = lambda u: (br.deleet(raw(u)) != raw(u)) & F.exists(tokens, lambda t: F.contains(br.deleet(raw(u)), t) & ~F.contains(raw(u), t))
     orgs = F.transform(hosts, lambda u: item(u, F.when(swapped(u), F.concat(F.lit("'"), u["host"], F.lit("' has digits for letters of '"), F.col("claimed_sender"), F.lit("'")))))
-    return F.filter(F.concat(links, mails, orgs), lambda x: x["says"].isNotNull())
+    found = F.filter(F.concat(links, mails, orgs), lambda x: x["says"].isNotNull())
+    # no hosts, nothing to say
+    return F.when((F.size("__links") > 0) | (F.size("__mails") > 0), found).otherwise(F.array().cast(_SAYS))
 
 
 def _mismatches() -> Column:
@@ -137,13 +162,14 @@ def _mismatches() -> Column:
     item = lambda s, e, says: F.struct(s.alias("start"), e.alias("end"), says.alias("says"))
     none = F.lit(-1)
     claimed = F.concat_ws(" ", F.coalesce("claimed_sender", F.lit("")), F.left("analysis_text", F.lit(200)))
-    links = F.when(brand.isNotNull(), F.transform(F.filter("__links", away), lambda u: item(u["start"], u["end"], F.concat(F.lit("claims to be "), name, F.lit(" but links to "), u["host"])))).otherwise(F.array().cast("array<struct<start:int,end:int,says:string>>"))
+    links = F.when(brand.isNotNull(), F.transform(F.filter("__links", away), lambda u: item(u["start"], u["end"], F.concat(F.lit("claims to be "), name, F.lit(" but links to "), u["host"])))).otherwise(F.array().cast(_SAYS))
     single = F.array(
         F.when(brand.isNotNull() & dom.isNotNull() & ~br.owns(brand, br.registrable_domain(dom)), item(none, none, F.concat(F.lit("claims to be "), name, F.lit(" but writes from @"), dom))),
         F.when(brand.isNotNull() & (F.length("sender_digits") >= 10) & kind.isin("bank", "government", "delivery", "payments"), item(none, none, F.concat(name, F.lit(" writes from a personal-looking number")))),
         F.when(dom.isNotNull() & br.registrable_domain(dom).isin(*lx.FREEMAIL) & has(claimed, lx.EXECUTIVE), item(none, none, F.concat(F.lit("an executive writes from free mail @"), dom))),
     )
-    return F.concat(F.filter(single, lambda x: x.isNotNull()), links)
+    # nobody is claimed or written from, nothing to say
+    return F.when(brand.isNotNull() | dom.isNotNull(), F.concat(F.filter(single, lambda x: x.isNotNull()), links)).otherwise(F.array().cast(_SAYS))
 
 
 def _said(items: Column) -> Column:
@@ -173,23 +199,24 @@ REASONS = {
 
 def _detectors() -> dict[str, Callable[[], tuple[Column | None, Column, Column]]]:
     """Rule name -> (fired, reason, spans); a rule without fired fires where it has spans. A deployment may put further entries in DETECTORS."""
-    text = F.col("analysis_text")
+    text, seen = F.col("analysis_text"), _words()
     none = F.array().cast(SPANS)
 
     def words(name: str):
-        return lambda: (has_any(text, lx.WORDS[name]), F.lit(REASONS[name]), bare(located_any(text, lx.WORDS[name])))
+        return lambda: (has_any(text, lx.WORDS[name], seen), F.lit(REASONS[name]), bare(located_any(text, lx.WORDS[name], seen)))
 
     def listed(spans: Column, reason: str | Column):
-        return None, F.lit(reason) if isinstance(reason, str) else reason, bare(spans)
+        return None, F.lit(reason) if isinstance(reason, str) else reason, spans
 
     def payment():
-        coins = F.when(has(text, lx.PAY_VERB), bare(F.col("crypto"))).otherwise(none)
-        return listed(F.array_sort(F.array_distinct(F.concat(bare(clause_pair_spans(text, lx.PAY_TERM, lx.PAY_VERB)), coins))), "Asks for payment by gift card, crypto-currency or transfer")
+        pairs = clause_pair_spans(text, lx.PAY_TERM, lx.PAY_VERB, seen)
+        coins = F.array_sort(F.array_distinct(F.concat(pairs, bare(F.col("crypto")))))
+        return listed(F.when((F.size("crypto") > 0) & has(text, lx.PAY_VERB, seen), coins).otherwise(pairs), "Asks for payment by gift card, crypto-currency or transfer")
 
     def new_number():
-        found = located_any(text, lx.NEW_NUMBER)
-        family = F.slice(located(text, rx(lx.FAMILY)), 1, 1)
-        fired = has_any(text, lx.NEW_NUMBER) & ((F.col("channel") != "email") | has(text, lx.FAMILY))
+        found = located_any(text, lx.NEW_NUMBER, seen)
+        family = F.slice(located(text, rx(lx.FAMILY), seen.may_have([lx.FAMILY])), 1, 1)
+        fired = has_any(text, lx.NEW_NUMBER, seen) & ((F.col("channel") != "email") | has(text, lx.FAMILY, seen))
         return fired, F.lit("Says to be family or a friend on a new number"), bare(F.concat(found, family))
 
     def obfuscation():
@@ -204,12 +231,12 @@ def _detectors() -> dict[str, Callable[[], tuple[Column | None, Column, Column]]
         return F.size(said) > 0, F.concat(F.lit("Obfuscation: "), F.array_join(said, "; ")), _obfuscation_spans()
 
     def authority(placed: bool = True):
-        generic = located_any(text, lx.AUTHORITY) if placed else no_spans()
+        generic = located_any(text, lx.AUTHORITY, seen) if placed else no_spans()
         claimed = F.coalesce("claimed_sender", F.lit(""))
         org = (claimed != "") & (has(claimed, lx.ORG_WORD) | has(claimed, lx.EXECUTIVE) | F.col("__meta").isNotNull())
         who = F.filter(F.array(br.brand_field(F.col("claimed_brand"), "display"), F.when(org, F.concat(F.lit("'"), claimed, F.lit("'")))), lambda w: w.isNotNull())
         label = F.when(F.size(who) > 0, F.array_join(F.array_distinct(who), ", ")).otherwise("an authority")
-        return has_any(text, lx.AUTHORITY) | (F.size("brand_spans") > 0) | (F.size(who) > 0), F.concat(F.lit("Claims to be "), label, F.lit("; this is not verified")), F.concat(F.col("brand_spans"), bare(generic))
+        return has_any(text, lx.AUTHORITY, seen) | (F.size("brand_spans") > 0) | (F.size(who) > 0), F.concat(F.lit("Claims to be "), label, F.lit("; this is not verified")), F.concat(F.col("brand_spans"), bare(generic))
 
     def callback():
         def in_clause(c: Column) -> Column:
@@ -218,8 +245,8 @@ def _detectors() -> dict[str, Callable[[], tuple[Column | None, Column, Column]]
             fires = (F.size(verb) > 0) & ((F.size(phone) > 0) | F.exists(verb, lambda v: F.contains(F.lower(v["value"]), F.lit("press"))))
             return F.when(fires, F.concat(shifted(verb, c["start"]), phone)).otherwise(no_spans())
 
-        pressed = has_any(text, lx.WORDS["URGENCY"] + lx.WORDS["THREAT"] + lx.CALL_CONTEXT)
-        spans = F.when(authority(False)[0] & has(text, lx.CALL_VERB) & pressed, F.flatten(F.transform(message_clauses(text, rx(lx.CLAUSE_BREAK)), in_clause))).otherwise(no_spans())
+        pressed = has_any(text, lx.WORDS["URGENCY"] + lx.WORDS["THREAT"] + lx.CALL_CONTEXT, seen)
+        spans = F.when(has(text, lx.CALL_VERB, seen) & authority(False)[0] & pressed, bare(F.flatten(F.transform(message_clauses(text, rx(lx.CLAUSE_BREAK)), in_clause)))).otherwise(none)
         return listed(spans, "Wants you to call a number from the message")
 
     def lookalike():
@@ -231,19 +258,20 @@ def _detectors() -> dict[str, Callable[[], tuple[Column | None, Column, Column]]
         return F.size(items) > 0, F.concat(F.lit("Sender mismatch: "), _said(items)), F.concat(F.slice("brand_spans", 1, 1), _placed(items))
 
     def links(pick, reason):
-        return lambda: listed(F.filter("urls", pick), reason)
+        return lambda: listed(bare(F.filter("urls", pick)), reason)
 
     def official():
         names = F.array_join(F.array_sort(F.array_distinct(F.transform("urls", lambda u: br.brand_field(u["official"], "display")))), ", ")
         return (F.size("urls") > 0) & ~F.col("bad_link"), F.concat(F.lit("All links go to "), names), bare(F.col("urls"))
 
-    protective = F.array_sort(F.array_distinct(F.concat(F.col("protects_spans"), bare(located_any(text, lx.PROTECTIVE)))))
+    cautious = F.array_sort(F.array_distinct(F.concat(F.col("protects_spans"), bare(located_any(text, lx.PROTECTIVE)))))
+    protective = F.when((F.size("protects_spans") > 0) | has_any(text, lx.PROTECTIVE, seen), cautious).otherwise(none)
     return {
         "URGENCY": words("URGENCY"),
         "THREAT": words("THREAT"),
         "CREDENTIAL_REQUEST": lambda: listed(F.col("asks_spans"), "Asks for a code, password, PIN or card details"),
         "PAYMENT_METHOD": payment,
-        "P2P_TRANSFER_REQUEST": lambda: listed(clause_pair_spans(text, lx.P2P_TERM, lx.P2P_VERB), "Asks for money over a payment app"),
+        "P2P_TRANSFER_REQUEST": lambda: listed(clause_pair_spans(text, lx.P2P_TERM, lx.P2P_VERB, seen), "Asks for money over a payment app"),
         "LOOKALIKE_DOMAIN": lookalike,
         "SENDER_MISMATCH": mismatch,
         "SHORTENED_URL": links(lambda u: u["is_shortener"], "A shortened link hides where it goes"),
@@ -259,7 +287,7 @@ def _detectors() -> dict[str, Callable[[], tuple[Column | None, Column, Column]]
         "UPFRONT_FEE": words("UPFRONT_FEE"),
         "CALLBACK_LURE": callback,
         "AUTHORITY_CLAIM": authority,
-        "POSSIBLE_LOOKALIKE_OCR": lambda: listed(F.col("ocr_typos"), "A link from a screenshot is one letter off an official domain"),
+        "POSSIBLE_LOOKALIKE_OCR": lambda: listed(bare(F.col("ocr_typos")), "A link from a screenshot is one letter off an official domain"),
         "PROTECTIVE_LANGUAGE": lambda: listed(protective, "Words of caution as real senders use them"),
         "OFFICIAL_LINKS_ONLY": official,
         "KNOWN_CONTACT": lambda: (F.col("known_contact"), F.lit("You know this sender"), none),
@@ -306,7 +334,7 @@ def evaluate(signals: DataFrame, config: Config | None = None) -> DataFrame:
         return F.when(counts[name], F.transform(F.array(spans), one)[0])
 
     d = d.withColumn("hits", F.array_compact(F.array(*[hit(n) for n in order])))
-    d = settled(d.select(*[c for c in d.columns if not c.startswith(("__s_", "__f_", "__links", "__mail", "__own", "__look", "__away", "__imitates", "__hosts", "__claims", "__meta"))]))
+    d = settled(d.select(*[c for c in d.columns if not c.startswith(("__s_", "__f_", "__links", "__mail", "__own", "__look", "__away", "__imitates", "__hosts", "__claims", "__meta", _WORDS))]))
     asked = F.array_intersect("fired", F.array(*map(F.lit, lx.REQUESTS)))
     posed = F.array_intersect("fired", F.array(*map(F.lit, lx.IMPERSONATIONS)))
     verified = F.col("known_contact") | F.coalesce("trusted_sender", F.lit(False))
