@@ -128,6 +128,49 @@ def test_op1_chunks_meet_without_a_seam():
         assert anchors(parts) == anchors(whole)
 
 
+def brute_shared(texts, words=51):
+    """Words of each text in passages of that many words which another text has too."""
+    lists = [(t or b"").split() for t in texts]
+    windows = [[tuple(w[i : i + words]) for i in range(len(w) - words + 1)] for w in lists]
+    holders = Counter(x for w in windows for x in set(w))
+    return [len({i + j for i, x in enumerate(w) if holders[x] > 1 for j in range(words)}) for w in windows]
+
+
+def test_op1_counts_words_of_passages_that_other_documents_have(spark, docs):
+    got = {r["doc_id"]: r for r in rows(queries.op1_suffix_dedup(spark, SF))}
+    want = brute_shared([d["text"].encode() for d in docs])
+    assert [got[d["doc_id"]]["n_shared_words"] for d in docs] == want
+    # passages of fewer than 400 bytes are among them, and repeats within one document aren't
+    assert any(w and not got[d["doc_id"]]["n_removed"] for d, w in zip(docs, want, strict=True))
+    assert any(not w and got[d["doc_id"]]["n_removed"] for d, w in zip(docs, want, strict=True))
+
+
+def test_op1_shared_passages_on_odd_rows(spark):
+    rnd = random.Random(11)
+    words = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    p51, p50, p90, line = words(51), words(50), words(90), words(30)
+    j = lambda *x, by=" ": by.join(w for y in x for w in y)
+    texts = [None, "", "short", j(words(9), p51, words(9)), j(p51, by="\n\t"), j(words(70), p50), j(p50, words(70)), j(words(60) * 3), "a " * 200, j(line * 9), j(words(20), line * 3)]
+    texts += [j(words(rnd.randint(0, 80)), p90[rnd.randint(0, 30) : rnd.randint(60, 90)], words(rnd.randint(0, 80))) for _ in range(60)]
+    both = words(75)
+    texts += [j(both[:60], words(3), both[:60], words(40)), j(words(5), both[5:], words(2), both), j(both[20:])]
+    texts += [texts[7], texts[3]]  # ids are those of texts 7 and 3, so that the rows repeat
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:-2])] + [(7, texts[7]), (3, texts[3])], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["shared_words"]) for r in rows(repeats.remove_repeats(frame)))
+    ids = [*range(len(texts) - 2), 7, 3]
+    assert got == sorted(zip(ids, brute_shared([None if t is None else t.encode() for t in texts]), strict=True))
+    assert dict(got)[4] == 51 and dict(got)[5] == dict(got)[8] == 0
+
+
+def test_op1_words_are_whole_whatever_the_chunk():
+    rnd = random.Random(4)
+    data = b" ".join(bytes(rnd.choice(b"abc") for _ in range(rnd.choice([1, 3, 900]))) for _ in range(300)) + b"\n"
+    want = minhash.word_hashes(data).tolist()
+    for chunk in (1, 100, 1000, 10**6):
+        assert repeats.passage_words(data, chunk).tolist() == want
+    assert len(want) == 300 and repeats.passage_words(b"").tolist() == []
+
+
 def test_op1_columns_may_have_any_name(spark):
     frame = spark.createDataFrame([(1, "x" * 500, "a", 5), (2, "y", "b", 6)], "k1 long, text string, `data.x` string, segs int")
     got = rows(repeats.remove_repeats(frame))

@@ -23,6 +23,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
         (F.size("removed") > 0).alias("has_repeats"),
+        F.col("shared_words").alias("n_shared_words"),
         F.call_function("make_valid_utf8", F.col("kept").cast("string")).alias("text"),
     )
 
