@@ -92,40 +92,71 @@ def segments(data: bytes | np.ndarray, width: int = WIDTH, gram: int = GRAM, chu
     return (np.concatenate(fps) if fps else none.astype(np.uint64)), np.concatenate([none, *firsts]), np.concatenate([none, *counts])
 
 
+def _digests(data: pa.Buffer | np.ndarray, unit: int, first: np.ndarray, count: np.ndarray, width: int) -> np.ndarray:
+    """A hash of what the windows of each segment cover; a window has width parts of unit bytes."""
+    digest, view = xxhash.xxh3_64_intdigest, memoryview(data).cast("B")
+    return np.array([digest(view[unit * i : unit * (i + m + width - 1)]) for i, m in zip(first.tolist(), count.tolist(), strict=True)], np.uint64)
+
+
+def word_segments(lists: list[np.ndarray], words: int = WORDS, gram: int = WORD_GRAM) -> tuple[np.ndarray, ...]:
+    """(anchor hash, content hash, which list, first window, number of windows, fresh) of each segment of lists of hashes of words.
+
+    fresh is 2 for the first segment of its list under an anchor, 1 for the first with its content, else 0. Each list has `words` words at least."""
+    size = np.array([len(x) for x in lists])
+    base, every = np.cumsum(size) - size, np.concatenate(lists)
+    fp, first, count = segments(every, words, min(gram, words))
+    # a segment has one anchor, so its windows within lists, if it has any, are in the list where its last window begins
+    stop = first + count
+    of = np.searchsorted(base, stop - 1, side="right") - 1
+    first, stop = np.maximum(first, base[of]), np.minimum(stop, (base + size - words + 1)[of])
+    left = stop > first
+    fp, of, first, count = fp[left], of[left], first[left], (stop - first)[left]
+    s = _digests(every, 8, first, count, words)
+    fresh = np.zeros(len(fp), np.int8)
+    for x in (fp, s):
+        order = np.lexsort((x, of))
+        fresh[order[np.concatenate([[True], (x[order][1:] != x[order][:-1]) | (of[order][1:] != of[order][:-1])])]] += 1
+    return fp, s, of, first - base[of], count, fresh
+
+
+#: Words of rows that are cut into segments together.
+TOGETHER = 1 << 16
+
+
 def _records(keyed: DataFrame, width: int, words: int) -> DataFrame:
     """(fp, s, k1, k2, at, n, word, fresh): every segment of every row; s is a hash of its content, n its windows, word tells segments of
-    words from those of bytes. What isn't fresh doesn't count as an occurrence: a segment of words that its row has had before."""
+    words from those of bytes. fresh is as in word_segments, and 2 for all segments of bytes: there, a row's repeats count."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            fp, s, k1, k2, at, n, word, fresh = [], [], [], [], [], [], [], []
-
-            def put(a: int, b: int, data: pa.Buffer | np.ndarray, unit: int, width: int, gram: int) -> None:
-                f, first, count = segments(data, width, gram)
-                view = memoryview(data).cast("B")
-                found = np.array([digest(view[unit * i : unit * (i + m + width - 1)]) for i, m in zip(first.tolist(), count.tolist(), strict=True)], np.uint64)
-                new = np.ones(len(f), bool)
-                if unit > 1:
-                    new[:] = False
-                    new[np.unique(found, return_index=True)[1]] = True
-                for to, x in zip((fp, s, k1, k2, at, n, word, fresh), (f, found, np.full(len(f), a), np.full(len(f), b), first, count, np.full(len(f), unit > 1), new), strict=True):
-                    to.append(x)
-
-            for a, b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            k1, k2 = (batch.column(i).to_numpy() for i in (0, 1))
+            parts, ids, lists, held = [], [], [], 0
+
+            def put(of: np.ndarray, fp: np.ndarray, s: np.ndarray, first: np.ndarray, count: np.ndarray, word: bool, fresh: np.ndarray) -> None:
+                parts.append((fp.view(np.int64), s.view(np.int64), k1[of], k2[of], first.astype(np.int32), count.astype(np.int32), np.full(len(fp), word), fresh))
+
+            for i, text in enumerate(batch.column(2)):
                 data = text.as_buffer() if text.is_valid else None
                 if data is None:
                     continue
                 if data.size >= width:
-                    put(a, b, data, 1, width, GRAM)
+                    fp, first, count = segments(data, width)
+                    put(np.full(len(fp), i), fp, _digests(data, 1, first, count, width), first, count, False, np.full(len(fp), 2, np.int8))
                 if data.size >= 2 * words - 1 and len(hashes := passage_words(data)) >= words:
-                    put(a, b, hashes, 8, words, min(WORD_GRAM, words))
-            if fp:
-                whole = [np.concatenate(x) for x in (fp, s, k1, k2, at, n, word, fresh)]
-                kinds = (np.int64, np.int64, np.int64, np.int64, np.int32, np.int32, bool, bool)
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(t) if x.dtype == np.uint64 else x.astype(t)) for x, t in zip(whole, kinds, strict=True)], names=["fp", "s", "k1", "k2", "at", "n", "word", "fresh"])
-
-    return keyed.select("k1", "k2", "data").mapInArrow(cut, "fp long, s long, k1 long, k2 long, at int, n int, word boolean, fresh boolean")
+                    ids.append(i)
+                    lists.append(hashes)
+                    held += len(hashes)
+                if held >= TOGETHER:
+                    fp, s, of, first, count, fresh = word_segments(lists, words)
+                    put(np.array(ids)[of], fp, s, first, count, True, fresh)
+                    ids, lists, held = [], [], 0
+            if lists:
+                fp, s, of, first, count, fresh = word_segments(lists, words)
+                put(np.array(ids)[of], fp, s, first, count, True, fresh)
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["fp", "s", "k1", "k2", "at", "n", "word", "fresh"])
+
+    return keyed.select("k1", "k2", "data").mapInArrow(cut, "fp long, s long, k1 long, k2 long, at int, n int, word boolean, fresh byte")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, words: int = WORDS) -> DataFrame:
@@ -148,11 +179,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, word
     # a row travels as one column, so that its names meet no others; k1 and k2 stand for its content
     keyed = docs.select(F.struct(*names).alias("row"), data.alias("data"), F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(7), data).bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).alias("k2"))
     records = written(_records(keyed, width, words), "segments")
-    fresh = F.sum(F.col("fresh").cast("int")).alias("c")
-    anchors = records.groupBy("fp").agg(fresh, F.min("s").alias("s0"), F.max("s").alias("s1")).where("c > 1").select("fp", (F.col("s0") != F.col("s1")).alias("mixed"))
+    count = lambda least: F.sum((F.col("fresh") >= least).cast("int")).alias("c")
+    anchors = records.groupBy("fp").agg(count(2), F.min("s").alias("s0"), F.max("s").alias("s1")).where("c > 1").select("fp", (F.col("s0") != F.col("s1")).alias("mixed"))
     # what is joined is written first: then both sides have a shuffle of their own, and a hot anchor's can be split
     again = written(records.join(written(anchors, "anchors"), "fp"), "repeated-anchors")
-    kinds = again.where("mixed").groupBy("fp", "s").agg(F.min(F.struct("k1", "k2", "at")).alias("rep"), fresh, F.min("n").alias("n"), F.bool_and("word").alias("word"))
+    kinds = again.where("mixed").groupBy("fp", "s").agg(F.min(F.struct("k1", "k2", "at")).alias("rep"), count(1), F.min("n").alias("n"), F.bool_and("word").alias("word"))
     kinds = written(kinds, "kinds")
     # segments that occur twice repeat whole; single ones are compared with the other kinds of their anchor
     marked = again.join(kinds.select("fp", "s", "rep", "c"), ["fp", "s"], "left").select("k1", "k2", "fp", "s", "at", "n", "word", (~F.col("mixed") | (F.coalesce("c", F.lit(2)) > 1)).alias("whole"), (F.col("rep") == F.struct("k1", "k2", "at")).alias("rep"))
