@@ -3,11 +3,12 @@
 import hashlib
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from wardline.llm import centroids, embeddings, negatives, queries, tiles, topk
+from wardline.llm import centroids, common, embeddings, negatives, queries, tiles, topk
 
 VEC = "vec_id long, embedding array<double>, label int"
 SF = "/root/testdata/sf0.01"
@@ -201,3 +202,65 @@ def test_op3_keeps_links_of_vectors_whose_ids_repeat(spark):
         least = [min([least[i], *(least[j] for j in near[i])]) if near[i] else least[i] for i in range(len(made))]
     want = sorted(((i, len(near[n]), least[n], i is None or i == least[n]) for n, (i, _) in enumerate(made)), key=repr)
     assert rows(embeddings.near_duplicates(frame)) == want
+
+
+def brute_near(made):
+    """Rows of near_duplicates() for rows (id, vector), whose ids and vectors may repeat."""
+    good = [i is not None and usable(v) and any(v) for i, v in made]
+    unit = [np.array(v) / np.linalg.norm(v) if g else None for g, (_, v) in zip(good, made, strict=True)]
+    near = [[j for j in range(len(made)) if j != i and good[i] and good[j] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.95] for i in range(len(made))]
+    least, before = [i for i, _ in made], None
+    while least != before:
+        before = least
+        least = [min([least[i], *(least[j] for j in near[i])]) if near[i] else least[i] for i in range(len(made))]
+    return sorted(((i, len(near[n]), least[n], i is None or i == least[n]) for n, (i, _) in enumerate(made)), key=repr)
+
+
+def stages(spark):
+    """Bytes that each stage so far has shuffled or written, by its number."""
+    sc = spark.sparkContext
+    found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    each = [found.apply(k) for k in range(found.size())]
+    return {s.stageId(): s.shuffleWriteBytes() + s.outputBytes() for s in each}
+
+
+def test_op3_moves_and_writes_as_much_as_it_has_vectors(spark, monkeypatch, tmp_path):
+    """Pairs of tiles grow with the square of the vectors; copied for each pair, these 0.8 MB became more than 100 MB."""
+    monkeypatch.setattr(embeddings, "TILE", 50)
+    base = np.random.default_rng(11).normal(size=(1600, 128)).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/vectors")
+    before = max(stages(spark))
+    assert embeddings.near_duplicates(spark.read.parquet(f"{tmp_path}/vectors")).where("n_links > 0 or component_id <> vec_id").count() == 0
+    assert base.nbytes < sum(n for k, n in stages(spark).items() if k > before) < 4 * base.nbytes
+
+
+def test_op3_over_many_tiles_and_lengths(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "TILE", 16)
+    monkeypatch.setattr(embeddings, "EDGES", 20)  # edges are reduced on the way
+    rng = np.random.default_rng(12)
+    base = {n: rng.normal(size=(6, n)) for n in (1, 3, 8)}
+    made = []
+    for i in range(400):  # some vectors are the same as float32, the others aren't
+        n = int(rng.choice([1, 3, 8, 8, 8]))
+        v = base[n][rng.integers(0, 6)] + rng.normal(size=n) * 0.12
+        made.append((int(rng.integers(0, 900)), (v.astype(np.float32).astype(float) if i % 2 else v).tolist()))
+    made += [made[int(k)] for k in rng.integers(0, 400, 30)] + [(900 + k, made[7][1]) for k in range(80)]  # copies with their ids and without
+    made += [(1000, [0.0, 1.0, 0.0]), (1001, [-0.0, 1.0, -0.0]), (1002, [0.0] * 3), (1003, []), (1004, None), (1005, [1.0, float("nan"), 2.0]), (None, made[7][1]), (None, None)]
+    made = [made[int(k)] for k in rng.permutation(len(made))]
+    frame = spark.createDataFrame(made, "vec_id long, embedding array<double>").repartition(5)
+    assert rows(embeddings.near_duplicates(frame)) == brute_near(made)
+
+
+def test_op3_forest_spans():
+    rng = np.random.default_rng(13)
+    for n, m in ((10, 5), (200, 150), (200, 900), (500, 499)):
+        u, v = rng.integers(0, n, m) * 7, rng.integers(0, n, m) * 7
+        if n == 500:
+            u, v = np.arange(499) * 7, np.arange(1, 500) * 7  # a chain
+        least = dict.fromkeys([*u.tolist(), *v.tolist()])
+        least = {i: i for i in least}
+        for _ in range(n):
+            for a, b in zip(u.tolist(), v.tolist(), strict=True):
+                least[a] = least[b] = min(least[a], least[b])
+        ids, roots = embeddings._forest(u, v)
+        assert dict(zip(ids.tolist(), roots.tolist(), strict=True)) == {i: k for i, k in least.items() if i != k}

@@ -1,30 +1,35 @@
 """Near-duplicate embeddings by int8 tile products with rigorous error bounds.
 
-Unit vectors are gathered into tiles around pivots. A pair of tiles is skipped if the angle between their centres
-exceeds both radii and the linking angle together. For the other pairs of tiles the int8 components are
+Vectors are dealt to the nearest of some pivots, moved there once, and written as tiles. A pair of tiles is skipped if the angle between
+their centres exceeds both radii and the linking angle together. For the other pairs of tiles the int8 components are
 multiplied (as whole numbers within float32) and each product is off by at most
 e_a * |y| + |x'| * e_b, where e is the length of what quantising a vector lost; only pairs that may reach the
-threshold by this bound are computed in double precision. A task sends back how many partners each vector has and
-edges that span its linked groups, never the pairs.
+threshold by this bound are computed in double precision. Pairs of tiles are a Cartesian product of the written table with itself, whose
+tasks read both sides where they lie: no bytes are copied for a pair, so what is moved and kept grows with the vectors, not with their pairs.
+A task sends back how many partners each vector has and edges that span its linked groups, never the pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import connected_components, salted_lookup, written
+from wardline.llm.common import connected_components, drop_written, written
+from wardline.llm.tiles import by_length, each_row
 
 THRESHOLD = 0.95
-#: Vectors in a tile, about; and pivots, chosen from a sample that only steers which tiles can be skipped.
-TILE, PIVOTS, PIVOT_SAMPLE = 3072, 64, 4096
+#: Vectors in a tile, about, and its components; pivots at most, which only steer which tiles can be skipped, and the components of all of them.
+TILE, COMPONENTS, PIVOTS, PIVOT_COMPONENTS = 4096, 1 << 20, 1024, 1 << 21
 #: Rounding in float32 scales and double norms, added to every bound.
 SLACK = 1e-6
+#: Edges that a task holds before it reduces them to those that span.
+EDGES = 1 << 20
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -41,22 +46,27 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, scale, np.linalg.norm(x - q * scale[:, None], axis=1)
 
 
-def tile_product(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD, same: bool = False, block: int = 512) -> np.ndarray:
+def tile_product(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD, same: bool = False, block: int = 256) -> np.ndarray:
     """Boolean matrix: which rows of x and y (unit vectors) have a cosine of at least threshold. same: y is x."""
     (qx, sx, ex), (qy, sy, ey) = quantise(x), quantise(y)
     fx, fy = qx.astype(np.float32), qy.astype(np.float32).T.copy()
+    # sums of up to 1000 products of int8 stay below 2 ** 24, where float32 is exact; longer ones are off by 2 ** -24 for each product at most
+    slack = SLACK + (x.shape[1] * 2.0**-23 if x.shape[1] > 1000 else 0.0)
+    # of the bound, a row takes the largest error in y, so that products need one scaling and one comparison
+    least = ((threshold - slack - ex - (1.0 + ex) * ey.max(initial=0)) / sx).astype(np.float32) * np.float32(1 - 3e-7)
+    least[least < 0] *= np.float32(1 + 1e-6)
+    scales = sy.astype(np.float32)
     out = np.zeros((len(x), len(y)), bool)
+    wide = 8 * block
     for i in range(0, len(x), block):
-        rows = slice(i, i + block)
-        # sums of up to 1000 products of int8 stay below 2 ** 24, where float32 is exact; the error of longer ones (6e-8 at 4096
-        # components, relative) is far within SLACK
-        near = (fx[rows] @ fy) * (sx[rows, None] * sy[None, :]).astype(np.float32)
-        bound = ex[rows, None] + (1.0 + ex[rows, None]) * ey[None, :] + SLACK
-        maybe = near >= (threshold - bound).astype(np.float32) - np.float32(SLACK)
-        at = np.flatnonzero(maybe.any(axis=1))
-        if len(at):
-            cols = np.flatnonzero(maybe.any(axis=0))
-            out[np.ix_(at + i, cols)] = (x[at + i] @ y[cols].T >= threshold) & maybe[np.ix_(at, cols)]
+        for j in range(0, len(y), wide):
+            near = fx[i : i + block] @ fy[:, j : j + wide]
+            near *= scales[j : j + wide]
+            maybe = near >= least[i : i + block, None]
+            if not maybe.any():
+                continue
+            at, cols = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
+            out[np.ix_(at + i, cols + j)] = (x[at + i] @ y[cols + j].T >= threshold) & maybe[np.ix_(at, cols)]
     if same:
         np.fill_diagonal(out, False)
     return out
@@ -68,15 +78,32 @@ def _span(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     if not len(r):
         return a[:0], a[:0]
     m, la, lb = linked[np.ix_(r, c)], a[r].copy(), b[c].copy()
+    t = m.T.copy()
     far = np.iinfo(np.int64).max
     while True:
         na = np.minimum(la, np.array([lb[row].min(initial=far) for row in m]))
-        nb = np.minimum(lb, np.array([na[col].min(initial=far) for col in m.T]))
+        nb = np.minimum(lb, np.array([na[col].min(initial=far) for col in t]))
         if (na == la).all() and (nb == lb).all():
             return np.concatenate([a[r], b[c]]), np.concatenate([la, lb])
         la, lb = na, nb
 
 
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (id, least id that it reaches) that connect what the edges (u, v) connect, one for each id but the least ones."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    least = np.arange(len(ids))
+    while True:
+        la, lb = least[a], least[b]
+        low = np.minimum(la, lb)
+        if (la == lb).all():
+            return ids[least != np.arange(len(ids))], ids[least[least != np.arange(len(ids))]]
+        np.minimum.at(least, la, low)  # what both ends pointed to points on
+        np.minimum.at(least, lb, low)
+        while (least[least] != least).any():
+            least = least[least]
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, ident: str = "vec_id", column: str = "embedding") -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept.
 
@@ -86,106 +113,214 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, ident: str
     an id and a vector count as copies; different vectors under one id are compared each, and each has a row of its own. A cosine
     of exactly the threshold links. Very long vectors are compared whole. Other columns play no part. An empty table gives no rows.
     """
-    spark = vectors.sparkSession
     source = vectors.select(F.col(ident).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("embedding"))
-    told = "vec_id long, good boolean, dim int, d1 long, d2 long"
-    table = written(source.mapInArrow(_look(False), told), "vectors")
-    usable = source.mapInArrow(_look(True), f"{told}, embedding array<double>").where("good and vec_id is not null")
+    shape = source.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    pivots = _pivots(source, shape["n"], max(1, shape["dim"] or 1))
+    table = written(source.mapInArrow(_told(pivots), "vec_id long, good boolean, dim int, d1 long, d2 long, pivot int"), "vectors")
+    tiles = _tiles(source, table, pivots)
+    found = written(_links(tiles, threshold), "tile-links")
     # equal vectors are a class with a number of its own: ids may repeat, with other vectors
-    classes = usable.groupBy("d1", "d2", "dim").agg(F.min("vec_id").alias("cid"), F.count("*").alias("copies"), F.any_value("embedding").alias("embedding"))
-    classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    found = None
-    for r in classes.groupBy("dim").count().collect():  # one row for each vector length
-        part = _links(classes.where(F.col("dim") == r["dim"]).select("cls", "embedding", "copies"), int(r["count"]), threshold)
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = spark.createDataFrame([], "a long, b long, n long")
-    found = written(found, "tile-links")
+    classes = written(tiles.select("tile", "cids", "copies", "d1", "d2").mapInArrow(_unpack, "cls long, cid long, copies long, d1 long, d2 long"), "classes")
+    drop_written(tiles)
     degree = found.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("others"))
     comps = written(connected_components(found.where("b is not null").select("a", "b")), "components").withColumnRenamed("id", "cls")
-    least = comps.join(classes.select("cls", "cid"), "cls").groupBy("component").agg(F.min("cid").alias("component_id"))
-    comps = salted_lookup(comps, least, ["component"], ["cls"]).select("cls", "component_id")
-    facts = classes.select("d1", "d2", "cls", "cid", "copies").join(degree, "cls", "left").join(comps, "cls", "left").where("copies > 1 or others > 0")
-    rows = salted_lookup(table, facts, ["d1", "d2"], ["vec_id"])
+    # written, so that both sides of the joins have a shuffle of their own and Spark can split that of a hot component or vector
+    least = written(comps.join(classes.select("cls", "cid"), "cls").groupBy("component").agg(F.min("cid").alias("component_id")), "least")
+    comps = comps.join(least, "component").select("cls", "component_id")
+    facts = classes.join(degree, "cls", "left").join(comps, "cls", "left").where("copies > 1 or others > 0").select("d1", "d2", "cid", "copies", "others", "component_id")
     linked = F.col("good") & F.col("vec_id").isNotNull()
-    rows = rows.withColumn("n_links", F.when(linked, F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("others", F.lit(0))).otherwise(0).cast("long"))
-    rows = rows.withColumn("component_id", F.when(linked, F.coalesce("component_id", "cid", "vec_id")).otherwise(F.col("vec_id")))
+    rows = table.where(linked).select("vec_id", "d1", "d2").join(facts, ["d1", "d2"], "left")
+    n_links = (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("others", F.lit(0))).cast("long")
+    rows = rows.select("vec_id", n_links.alias("n_links"), F.coalesce("component_id", "cid", "vec_id").alias("component_id"))
+    rows = rows.union(table.where(~linked).select("vec_id", F.lit(0).cast("long"), "vec_id"))
     return rows.select("vec_id", "n_links", "component_id", (F.col("vec_id").isNull() | (F.col("vec_id") == F.col("component_id"))).alias("kept"))
 
 
-def _look(whole: bool):
-    """A pass over (vec_id, embedding) that tells usable vectors and gives them 128-bit keys; whole: the vectors go along."""
+Pivots = dict[int, tuple[int, np.ndarray]]
+Batches = Iterator[pa.RecordBatch]
+
+
+def _usable(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of a batch of (vec_id, embedding), for each length: the places of usable vectors, the vectors, and their 128-bit keys as two longs."""
+    for at, x in by_length(batch.column(1)):
+        fine = x.any(axis=1)
+        at, x = at[fine], x[fine] + 0.0
+        if len(at):
+            yield at, x, np.frombuffer(b"".join([xxhash.xxh3_128_digest(v.tobytes()) for v in x]), np.int64).reshape(-1, 2)
+
+
+def _nearest(x: np.ndarray, pivots: Pivots) -> np.ndarray:
+    """The number of each row's pivot, or 0. All in whole numbers, so that equal vectors always have the same one."""
+    if x.shape[1] not in pivots:
+        return np.zeros(len(x), np.int32)
+    first, p = pivots[x.shape[1]]
+    _, exponent = np.frexp(np.abs(x).max(axis=1))
+    return (np.rint(np.ldexp(x, 12 - exponent[:, None])) @ p.T).argmax(axis=1).astype(np.int32) + first
+
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bytes(x: np.ndarray) -> list[bytes]:
+    """Each row's components, as float32 where these are the same numbers."""
+    with np.errstate(over="ignore"):
+        short = x.astype(np.float32)
+    return [(s if fine else v).tobytes() for s, v, fine in zip(short, x, (short == x).all(axis=1), strict=True)]
+
+
+def _matrix(data: bytes, n: int, dim: int) -> np.ndarray:
+    """n rows that _bytes() made, all of one kind, as doubles."""
+    return np.frombuffer(data, np.float32 if len(data) == 4 * n * dim else np.float64).reshape(n, dim).astype(float)
+
+
+def _pivots(source: DataFrame, n: int, dim: int) -> Pivots:
+    """Pivots by length of vector: (number of the first, whole-number rows); the usable vectors with the least hashes."""
+    few = min(PIVOTS, n // TILE + 1, max(1, PIVOT_COMPONENTS // dim))
+    if few == 1:
+        return {}
+
+    def look(batches: Batches) -> Batches:
         for batch in batches:
-            good, dim, d1, d2 = [], [], [], []
-            for v in batch.column(1).to_pylist():
-                x = np.array([], float) if v is None or any(c is None for c in v) else np.array(v, float)
-                fine = len(x) > 0 and bool(np.isfinite(x).all()) and bool(x.any())
-                digest = xxhash.xxh3_128_digest((x + 0.0).tobytes())
-                good.append(fine)
-                dim.append(len(x))
-                d1.append(int.from_bytes(digest[:8], "little", signed=True))
-                d2.append(int.from_bytes(digest[8:], "little", signed=True))
-            arrays = [batch.column(0), pa.array(good, pa.bool_()), pa.array(dim, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())]
-            names = ["vec_id", "good", "dim", "d1", "d2"]
-            yield pa.RecordBatch.from_arrays([*arrays, batch.column(1)], names=[*names, "embedding"]) if whole else pa.RecordBatch.from_arrays(arrays, names=names)
-
-    return look
-
-
-def _links(one: DataFrame, count: int, threshold: float) -> DataFrame:
-    """(a, null, n): class a has n linked vectors in other classes; (a, b, null): edges that span linked classes."""
-    sample = one.orderBy(F.xxhash64("cls"), "cls").limit(min(PIVOT_SAMPLE, PIVOTS * 8)).select("embedding").collect()
-    pivots = unit(np.array([r["embedding"] for r in sample], float))
-    pivots = pivots[: min(PIVOTS, max(1, count // TILE + 1))]
+            for _, x, keys in _usable(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), x.shape[1], np.int32)), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(_bytes(x), pa.binary())], names=["dim", "d1", "d2", "x"])
+
+    order = F.pmod(F.xxhash64("d1", "d2"), F.lit(1 << 40))
+    sample = source.mapInArrow(look, "dim int, d1 long, d2 long, x binary").withColumn("order", order).where(F.col("order") < int(min(1.0, 8 * few / n) * (1 << 40)))
+    found: dict[int, list] = {}
+    for r in sample.dropDuplicates(["d1", "d2"]).orderBy("order", "d1", "d2").limit(few).collect():
+        found.setdefault(r["dim"], []).append(_matrix(bytes(r["x"]), 1, r["dim"])[0])
+    out, first = {}, 1
+    for d, rows in sorted(found.items()):
+        out[d] = (first, np.rint(unit(np.array(rows)) * 4096))
+        first += len(rows)
+    return out
+
+
+def _told(pivots: Pivots) -> Callable[[Batches], Batches]:
+    """A pass over (vec_id, embedding) that tells usable vectors and gives them keys and pivots."""
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(batches: Batches) -> Batches:
         for batch in batches:
-            if len(batch):
-                x = unit(np.array(batch.column(1).to_pylist(), float))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array((x @ pivots.T).argmax(axis=1), pa.int32())], names=["cls", "embedding", "copies", "pivot"])
-
-    placed = written(one.select("cls", "embedding", "copies").mapInArrow(assign, "cls long, embedding array<double>, copies long, pivot int"), "placed")
-    sizes = {r["pivot"]: r["count"] for r in placed.groupBy("pivot").count().collect()}  # a row for each pivot
-    start, first = {}, 0
-    for p in sorted(sizes):
-        start[p], first = first, first + -(-sizes[p] // TILE)
-    table = F.create_map(*[F.lit(v) for p in sizes for v in (p, start[p])])
-    parts = F.create_map(*[F.lit(v) for p in sizes for v in (p, -(-sizes[p] // TILE))])
-    tiled = placed.withColumn("tile", table[F.col("pivot")] + F.pmod(F.xxhash64("cls"), parts[F.col("pivot")]).cast("int"))
-
-    def gather(t: pa.Table) -> pa.Table:
-        x = unit(np.array(t.column("embedding").to_pylist(), float))
-        centre = unit(x.sum(axis=0, keepdims=True) + 1e-12)[0]
-        radius = float(np.arccos(np.clip((x @ centre).min(), -1, 1))) + 1e-6
-        return pa.Table.from_arrays([pa.array([t.column("tile")[0].as_py()], pa.int32()), pa.array([np.asarray(t.column("cls")).tobytes()], pa.binary()), pa.array([np.asarray(t.column("copies")).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([radius], pa.float64())], names=["tile", "ids", "copies", "x", "centre", "radius"])
-
-    tiles = written(tiled.select("tile", "cls", "copies", "embedding").groupBy("tile").applyInArrow(gather, "tile int, ids binary, copies binary, x binary, centre array<double>, radius double"), "tiles")
-    meta = tiles.select("tile", "centre", "radius")
-    pairs = meta.select(F.col("tile").alias("i"), F.col("centre").alias("ci"), F.col("radius").alias("ri"), F.explode(F.sequence(F.col("tile"), F.lit(first - 1))).alias("j"))
-    pairs = pairs.join(meta.select(F.col("tile").alias("j"), F.col("centre").alias("cj"), F.col("radius").alias("rj")), "j")
+            good, dim, pivot, keys = np.zeros(len(batch), bool), np.zeros(len(batch), np.int32), np.zeros(len(batch), np.int32), np.zeros((len(batch), 2), np.int64)
+            for at, x, k in _usable(batch):
+                good[at], dim[at], pivot[at], keys[at] = True, x.shape[1], _nearest(x, pivots), k
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(good), pa.array(dim), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(pivot)], names=["vec_id", "good", "dim", "d1", "d2", "pivot"])
+
+    return told
+
+
+def _tiles(source: DataFrame, table: DataFrame, pivots: Pivots) -> DataFrame:
+    """A row for each tile: its number, which is that of its first class, and its classes' least ids, copies, keys and vectors. Vectors move once."""
+    sizes = table.where("good and vec_id is not null").groupBy("pivot").agg(F.approx_count_distinct("d1").alias("n"), F.avg("dim").alias("dim")).collect()  # a row for each pivot
+    most_rows, most_components = TILE, COMPONENTS
+    parts = np.ones(max([0, *(r["pivot"] for r in sizes)]) + 1, np.int64)
+    for r in sizes:
+        parts[r["pivot"]] = max(1, -(-r["n"] // most_rows), int(r["n"] * r["dim"] // most_components))
+    starts = np.cumsum(parts) - parts
+
+    def place(batches: Batches) -> Batches:
+        for batch in batches:
+            batch = batch.filter(batch.column(0).is_valid())
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for at, x, keys in _usable(batch):
+                # copies within a batch travel once
+                _, one, which, copies = np.unique(keys, axis=0, return_index=True, return_inverse=True, return_counts=True)
+                cid = np.full(len(one), np.iinfo(np.int64).max)
+                np.minimum.at(cid, which.ravel(), ids[at])
+                x, keys = x[one], keys[one]
+                pivot = _nearest(x, pivots)
+                slot = starts[pivot] + (keys[:, 0].view(np.uint64) % parts[pivot].astype(np.uint64)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(np.full(len(x), x.shape[1], np.int32)), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(cid), pa.array(copies.astype(np.int64)), pa.array(_bytes(x), pa.binary())], names=["slot", "dim", "d1", "d2", "cid", "copies", "x"])
+
+    def pack(batches: Batches) -> Batches:
+        waiting: dict[tuple[int, int], list] = {}
+        held, number = 0, TaskContext.get().partitionId() << 40
+
+        def close(key: tuple[int, int]) -> pa.RecordBatch:
+            nonlocal held, number
+            rows = pa.Table.from_batches(waiting.pop(key))
+            n, dim = len(rows), key[1]
+            held -= n * dim
+            data = rows.column("x").to_pylist()
+            if len({len(v) for v in data}) > 1:
+                data = [_matrix(v, 1, dim).tobytes() for v in data]
+            data = b"".join(data)
+            x = unit(_matrix(data, n, dim))
+            centre = unit(x.sum(axis=0, keepdims=True) + 1e-12)[0]
+            radius = float(np.arccos(np.clip((x @ centre).min(), -1, 1))) + 1e-6
+            row = {"tile": number, "dim": dim, **{k: rows.column(k).to_numpy().tobytes() for k in ("cid", "copies", "d1", "d2")}, "x": data, "centre": centre.tolist(), "radius": radius}
+            number += n
+            return pa.RecordBatch.from_pylist([{"cids" if k == "cid" else k: v for k, v in row.items()}], schema=_TILES)
+
+        for batch in batches:
+            slot, dim = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for s, d in np.unique(np.stack([slot, dim], axis=1), axis=0).tolist():
+                mine = batch.filter(pa.array((slot == s) & (dim == d)))
+                most = max(1, min(most_rows * 5 // 4, most_components // d))
+                while len(mine):
+                    there = sum(map(len, waiting.setdefault((s, d), [])))
+                    waiting[s, d].append(mine.slice(0, most - there))
+                    held += len(waiting[s, d][-1]) * d
+                    mine = mine.slice(most - there)
+                    if there + len(waiting[s, d][-1]) >= most:
+                        yield close((s, d))
+            while held > 4 * most_components:
+                yield close(max(waiting, key=lambda k: k[1] * sum(map(len, waiting[k]))))
+        for key in list(waiting):
+            yield close(key)
+
+    placed = source.mapInArrow(place, "slot int, dim int, d1 long, d2 long, cid long, copies long, x binary").repartition("slot")
+    classes = placed.groupBy("slot", "dim", "d1", "d2").agg(F.min("cid").alias("cid"), F.sum("copies").alias("copies"), F.any_value("x").alias("x"))
+    return written(classes.mapInArrow(pack, "tile long, dim int, cids binary, copies binary, d1 binary, d2 binary, x binary, centre array<double>, radius double"), "tiles")
+
+
+_TILES = pa.schema([("tile", pa.int64()), ("dim", pa.int32()), ("cids", pa.binary()), ("copies", pa.binary()), ("d1", pa.binary()), ("d2", pa.binary()), ("x", pa.binary()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64())])
+
+
+def _unpack(batches: Batches) -> Batches:
+    """A row for each class of tiles."""
+    for row in each_row(batches):
+        columns = [np.frombuffer(row[k], np.int64) for k in ("cids", "copies", "d1", "d2")]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (row["tile"] + np.arange(len(columns[0])), *columns)], names=["cls", "cid", "copies", "d1", "d2"])
+
+
+def _links(tiles: DataFrame, threshold: float) -> DataFrame:
+    """(a, null, n): class a has n linked vectors in other classes; (a, b, null): edges that span linked classes."""
+    side = lambda k: tiles.select(F.col("tile").alias(k), F.col("dim").alias(f"dim_{k}"), F.col("copies").alias(f"n_{k}"), F.col("x").alias(f"x_{k}"), F.col("centre").alias(f"c{k}"), F.col("radius").alias(f"r{k}")).hint("shuffle_replicate_nl")
     cosine = F.aggregate(F.zip_with("ci", "cj", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
-    pairs = pairs.where((F.col("i") == F.col("j")) | (angle <= F.col("ri") + F.col("rj") + F.acos(F.lit(threshold)) + 1e-6)).select("i", "j")
-    whole = lambda k: tiles.select(F.col("tile").alias(k), F.col("ids").alias(f"ids_{k}"), F.col("copies").alias(f"n_{k}"), F.col("x").alias(f"x_{k}"))
-    joined = pairs.join(whole("i"), "i").join(whole("j"), "j").repartition("i", "j")
+    near = (F.col("i") == F.col("j")) | (angle <= F.col("ri") + F.col("rj") + F.acos(F.lit(threshold)) + 1e-6)
+    # two tiles meet once; by a bit of their hashes in the one order or the other, so that tasks on both sides of the diagonal have work
+    odd = F.xxhash64("i").bitwiseXOR(F.xxhash64("j")).bitwiseAND(F.lit(1)) == 1
+    once = F.when(odd, F.col("i") > F.col("j")).otherwise(F.col("i") <= F.col("j"))
+    pairs = side("i").join(side("j"), (F.col("dim_i") == F.col("dim_j")) & once & near)
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                a, b = np.frombuffer(row["ids_i"], np.int64), np.frombuffer(row["ids_j"], np.int64)
-                na, nb = np.frombuffer(row["n_i"], np.int64), np.frombuffer(row["n_j"], np.int64)
-                x, y = np.frombuffer(row["x_i"]).reshape(len(a), -1), np.frombuffer(row["x_j"]).reshape(len(b), -1)
-                same = row["i"] == row["j"]
-                linked = tile_product(x, y, threshold, same)
-                ids, counts = [a], [linked @ nb.astype(float)]
+    def multiply(batches: Batches) -> Batches:
+        counts: dict[int, np.ndarray] = {}
+        edges, held, last, x = [], 0, None, None
+        for row in each_row(batches):
+            na, nb = (np.frombuffer(row[k], np.int64).astype(float) for k in ("n_i", "n_j"))
+            if row["i"] != last:
+                last, x = row["i"], unit(_matrix(row["x_i"], len(na), row["dim_i"]))
+            same = row["i"] == row["j"]
+            y = x if same else unit(_matrix(row["x_j"], len(nb), row["dim_i"]))
+            linked = tile_product(x, y, threshold, same)
+            r, c = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+            if not len(r):
+                continue
+            of_a, of_b = counts.setdefault(row["i"], np.zeros(len(na))), counts.setdefault(row["j"], np.zeros(len(nb)))
+            for k in range(0, len(r), 256):
+                m = linked[np.ix_(r[k : k + 256], c)].astype(float)
+                of_a[r[k : k + 256]] += m @ nb[c]
                 if not same:
-                    ids, counts = [a, b], [counts[0], na.astype(float) @ linked]
-                ids, counts = np.concatenate(ids), np.concatenate(counts).astype(np.int64)
-                ids, counts = ids[counts > 0], counts[counts > 0]
-                u, v = _span(linked, a, b)
-                u, v = u[u != v], v[u != v]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids, u]), pa.int64()), pa.array([None] * len(ids) + v.tolist(), pa.int64()), pa.array(counts.tolist() + [None] * len(u), pa.int64())], names=["a", "b", "n"])
-
-    return joined.select("i", "j", "ids_i", "n_i", "x_i", "ids_j", "n_j", "x_j").mapInArrow(multiply, "a long, b long, n long")
+                    of_b[c] += na[r[k : k + 256]] @ m
+            edges.append(_span(linked, row["i"] + np.arange(len(na)), row["j"] + np.arange(len(nb))))
+            held += len(edges[-1][0])
+            if held > EDGES:
+                edges = [_forest(*(np.concatenate(v) for v in zip(*edges, strict=True)))]
+                held = len(edges[0][0])
+        for tile, n in counts.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(tile + at), pa.nulls(len(at), pa.int64()), pa.array(n[at].astype(np.int64))], names=["a", "b", "n"])
+        if edges:
+            u, v = _forest(*(np.concatenate(v) for v in zip(*edges, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64())], names=["a", "b", "n"])
+
+    return pairs.select("i", "j", "dim_i", "n_i", "x_i", "n_j", "x_j").mapInArrow(multiply, "a long, b long, n long")
