@@ -4,7 +4,7 @@ Vectors are dealt to the nearest of some pivots, moved there once, and written a
 their centres exceeds both radii and the linking angle together. For the other pairs of tiles the int8 components are
 multiplied (as whole numbers within float32) and each product is off by at most
 e_a * |y| + |x'| * e_b, where e is the length of what quantising a vector lost; only pairs that may reach the
-threshold by this bound are computed in double precision. Pairs of tiles are a Cartesian product of the written table with itself, whose
+threshold by this bound are computed in double precision. A product's first components come first, with the lengths of the rest as a bound. Pairs of tiles are a Cartesian product of the written table with itself, whose
 tasks read both sides where they lie: no bytes are copied for a pair, so what is moved and kept grows with the vectors, not with their pairs.
 A task sends back how many partners each vector has and edges that span its linked groups, never the pairs.
 """
@@ -28,6 +28,8 @@ THRESHOLD = 0.95
 TILE, COMPONENTS, PIVOTS, PIVOT_COMPONENTS = 4096, 1 << 20, 1024, 1 << 21
 #: Rounding in float32 scales and double norms, added to every bound.
 SLACK = 1e-6
+#: Eighths of the components that products are looked at by first.
+HEAD = 3
 #: Edges that a task holds before it reduces them to those that span.
 EDGES = 1 << 20
 
@@ -56,17 +58,35 @@ def tile_product(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD, sam
     least = ((threshold - slack - ex - (1.0 + ex) * ey.max(initial=0)) / sx).astype(np.float32) * np.float32(1 - 3e-7)
     least[least < 0] *= np.float32(1 + 1e-6)
     scales = sy.astype(np.float32)
+    # most pairs are ruled out by their first components: what the others add is at most the product of their lengths
+    head = x.shape[1] * HEAD // 8
+    hx, hy = (np.concatenate([q[:, :head].astype(np.float32), np.ceil(np.linalg.norm(q[:, head:].astype(float), axis=1, keepdims=True)).astype(np.float32)], axis=1) for q in (qx, qy))
+    hy = hy.T.copy()
     out = np.zeros((len(x), len(y)), bool)
-    wide = 8 * block
+    wide, heads = 8 * block, head > 8
+
+    def may(a: np.ndarray, b: np.ndarray, rows, cols) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows and columns, from the first, that have a product within reach, and which of theirs are."""
+        near = a @ b
+        near *= scales[cols]
+        maybe = near >= least[rows, None]
+        if not maybe.any():
+            return np.arange(0), np.arange(0), maybe[:0, :0]
+        r, c = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
+        return r, c, maybe[np.ix_(r, c)]
+
     for i in range(0, len(x), block):
         for j in range(0, len(y), wide):
-            near = fx[i : i + block] @ fy[:, j : j + wide]
-            near *= scales[j : j + wide]
-            maybe = near >= least[i : i + block, None]
-            if not maybe.any():
-                continue
-            at, cols = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
-            out[np.ix_(at + i, cols + j)] = (x[at + i] @ y[cols + j].T >= threshold) & maybe[np.ix_(at, cols)]
+            rows, cols = np.arange(i, min(i + block, len(x))), np.arange(j, min(j + wide, len(y)))
+            if heads:
+                r, c, maybe = may(hx[i : i + block], hy[:, j : j + wide], rows, cols)
+                heads = 4 * maybe.size < len(rows) * len(cols)  # where many are left, this is in vain
+                rows, cols = rows[r], cols[c]
+            if len(rows):
+                r, c, maybe = may(fx[rows], fy[:, cols], rows, cols)
+                rows, cols = rows[r], cols[c]
+            if len(rows):
+                out[np.ix_(rows, cols)] = (x[rows] @ y[cols].T >= threshold) & maybe
     if same:
         np.fill_diagonal(out, False)
     return out
@@ -212,7 +232,7 @@ def _tiles(source: DataFrame, table: DataFrame, pivots: Pivots) -> DataFrame:
     most_rows, most_components = TILE, COMPONENTS
     parts = np.ones(max([0, *(r["pivot"] for r in sizes)]) + 1, np.int64)
     for r in sizes:
-        parts[r["pivot"]] = max(1, -(-r["n"] // most_rows), int(r["n"] * r["dim"] // most_components))
+        parts[r["pivot"]] = max(1, round(r["n"] / most_rows), int(r["n"] * r["dim"] // most_components))
     starts = np.cumsum(parts) - parts
 
     def place(batches: Batches) -> Batches:
@@ -253,7 +273,7 @@ def _tiles(source: DataFrame, table: DataFrame, pivots: Pivots) -> DataFrame:
             slot, dim = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for s, d in np.unique(np.stack([slot, dim], axis=1), axis=0).tolist():
                 mine = batch.filter(pa.array((slot == s) & (dim == d)))
-                most = max(1, min(most_rows * 5 // 4, most_components // d))
+                most = max(1, min(most_rows * 7 // 4, most_components // d))  # half a tile more, and what counts and hashes are off by
                 while len(mine):
                     there = sum(map(len, waiting.setdefault((s, d), [])))
                     waiting[s, d].append(mine.slice(0, most - there))
@@ -302,9 +322,9 @@ def _links(tiles: DataFrame, threshold: float) -> DataFrame:
             same = row["i"] == row["j"]
             y = x if same else unit(_matrix(row["x_j"], len(nb), row["dim_i"]))
             linked = tile_product(x, y, threshold, same)
-            r, c = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
-            if not len(r):
+            if not linked.any():
                 continue
+            r, c = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
             of_a, of_b = counts.setdefault(row["i"], np.zeros(len(na))), counts.setdefault(row["j"], np.zeros(len(nb)))
             for k in range(0, len(r), 256):
                 m = linked[np.ix_(r[k : k + 256], c)].astype(float)
