@@ -31,6 +31,10 @@ def _class(chars: str) -> str:
     return "".join(f"\\x{{{ord(c):x}}}" for c in chars)
 
 
+#: One of the letters that are folded; ASCII isn't compared with each of them.
+_LOOKALIKE = rf"(?=\P{{ASCII}})[{_class(lx.LOOKALIKE_FROM)}]"
+
+
 def _nfkc(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
@@ -60,7 +64,8 @@ def normalise(messages: DataFrame, config: Config) -> DataFrame:
     bad = F.col("text").isNull() & F.col("text_bytes").isNotNull() & ~F.call_function("is_valid_utf8", F.col("text_bytes").cast("string"))
     m = m.withColumn("__raw", F.coalesce("text", F.when(~bad, F.col("text_bytes").cast("string")))).withColumn("original_length", F.coalesce(F.length("__raw"), F.octet_length("text_bytes"), F.lit(0)))
     raw = F.col("__raw")
-    control = F.regexp_count(raw, F.lit(r"[\p{Cc}\p{Cs}\p{Co}\p{Cn}&&[^\n\r\t]]"))
+    # printable ASCII, most of all texts, is ruled out before the classes of Unicode are asked
+    control = F.regexp_count(raw, F.lit(r"(?=[^ -~\n\r\t])[\p{Cc}\p{Cs}\p{Co}\p{Cn}]"))
     binary = (F.instr(raw, "\x00") > 0) | (control > config.max_control_ratio * F.length(raw))
     early = (
         F.when(F.size("precheck_flags") > 0, F.lit("precheck"))
@@ -133,7 +138,7 @@ def extract_urls(text: Column, clean: Column) -> Column:
             ((u["reg"].isin(*lx.SHORTENERS) | u["host"].isin(*lx.SHORTENERS)) & (u["ip"] | official_brand(u["reg"]).isNull())).alias("is_shortener"),
             u["ip"].alias("is_ip_literal"),
             u["puny"].alias("is_punycode"),
-            F.substr(clean, u["start"] + 1, F.length(u["raw"])).rlike(f"[{_class(lx.LOOKALIKE_FROM)}]").alias("has_homoglyphs"),
+            F.substr(clean, u["start"] + 1, F.length(u["raw"])).rlike(_LOOKALIKE).alias("has_homoglyphs"),
         ),
     )
 
