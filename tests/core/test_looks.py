@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from wardline.functions import lexicon as lx
 from wardline.functions.spans import located, located_any, message_clauses, rx
-from wardline.operators import ingest
+from wardline.operators import ingest, layout
+from wardline.plans import registry
+
+SF = "/root/testdata/sf0.001"
 
 
 def rows(df):
@@ -69,3 +72,52 @@ def test_control_signs_and_lookalike_letters(spark):
     links = [("see http://раypal.com now, my friend", True), ("see http://paypal.com/é now, my friend", False), ("see http://paypal.com now, my friend", False)]
     for r in rows(ingest.ingest(spark.createDataFrame(links, "text string, want boolean")).select("urls", "want")):
         assert [u["has_homoglyphs"] for u in r["urls"]] == [r["want"]]
+
+
+def plain_is_chrome(text):
+    """is_chrome() as it was written before its words were bound."""
+    tokens = F.filter(F.transform(F.split(text, r"(?U)\s+"), lambda w: F.regexp_replace(F.regexp_replace(w, r"(?U)[^\w:/.@+-]", ""), r"^[.-]+|[.-]+$", "")), lambda w: w != "")
+    words = F.transform(F.filter(tokens, lambda t: ~t.rlike(layout.TIME)), lambda t: F.lower(t))
+    timed = F.size(words) < F.size(tokens)
+    only = (F.size(tokens) <= 8) & (F.size(words) > 0) & F.forall(words, lambda w: w.isin(*layout.CHROME_WORDS))
+    return F.regexp_replace(text, r"\s+", "").rlike(layout.CHROME) | layout.is_glued_chrome(text) | (F.size(tokens) == 0) | (only & (timed | F.exists(words, lambda w: w.isin(*layout.CHROME_MARKERS)))) | (timed & (F.size(words) <= 2) & F.forall(words, lambda w: F.length(w) <= 4))
+
+
+def plain_is_garbage(text, confidence):
+    good = F.regexp_count(text, F.lit(r"[\p{L}\p{N}]"))
+    return (good < 2) | ((good / F.greatest(F.lit(1), F.length(F.replace(text, F.lit(" "), F.lit("")))) < 0.5) & (confidence < 0.6))
+
+
+def plain_glued(before, after):
+    last, first = F.regexp_extract(before, r"(\S*)$", 1), F.regexp_extract(after, r"^(\S*)", 1)
+    cut = last.rlike(r"(?i)(https?://|hxxps?://|www\.)\S*$") & first.rlike(r"^[A-Za-z0-9./?=&%#_~:+-]+$")
+    close = last.rlike(r"[-./_=?&%#:]$") | first.rlike(r"^[./_?=&#%-]") | layout.host_incomplete(last)
+    hyphen = before.endswith("-") & ~before.endswith(" -")
+    return F.when(before == "", after).when((cut & close) | (~cut & hyphen), F.concat(before, after)).otherwise(F.concat_ws(" ", before, after))
+
+
+def test_lines_of_screens_are_judged_as_before(spark):
+    rnd = random.Random(11)
+    pieces = ["9:41", "AM", "today", "Message", "·", "...", "-", " ", " ", "  ", "\n", "\u2028", "\u0085", "\u00a0", "é", "😀", "www.a.co", "http://x.y/", "a-", ".b", "me", "Read", "10/12", "(1)", "_", "x", "\0", "?"]
+    made = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 6))) for _ in range(1500)]
+    d = spark.createDataFrame([(a, rnd.choice(made), rnd.choice([0.3, 0.9, None])) for a in [None, "", *made]], "a string, b string, c double")
+    both = {
+        "chrome": (layout.is_chrome(F.col("a")), plain_is_chrome(F.col("a"))),
+        "garbage": (layout.is_garbage(F.col("a"), F.col("c")), plain_is_garbage(F.col("a"), F.col("c"))),
+        "glued": (layout.glued(F.col("a"), F.col("b")), plain_glued(F.col("a"), F.col("b"))),
+    }
+    got = rows(d.select("a", "b", *[x.alias(f"{k}_{i}") for k, pair in both.items() for i, x in enumerate(pair)]))
+    for k in both:
+        assert [(r["a"], r["b"], r[f"{k}_0"]) for r in got if r[f"{k}_0"] != r[f"{k}_1"]] == [], k
+    assert {r["chrome_0"] for r in got} == {True, False, None}
+
+
+def test_words_of_a_line_are_taken_once(spark):
+    """Each test of a line's words cut the line anew, and each row asked again where the body begins."""
+    plan = registry.layout_messages(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("{1,2}/") <= 3 and plan.count("[.!?]") == 1
+    # heights are sorted once for previews and once for paragraphs
+    assert plan.count("array_sort") <= 4
+    empty = [None, [], [{"text": None, "confidence": None, "x0": None, "y0": None, "x1": None, "y1": None}]]
+    got = rows(layout.extract_messages(spark.createDataFrame([(x,) for x in empty], f"lines array<{layout.LINE}>")).select("text", "sender_hint", "dropped"))
+    assert got == [{"text": "", "sender_hint": None, "dropped": []}] * 3
