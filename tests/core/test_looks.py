@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import lexicon as lx
 from wardline.functions.spans import located, located_any, message_clauses, rx
-from wardline.operators import ingest, layout
+from wardline.operators import ingest, layout, rules
 from wardline.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -121,3 +121,14 @@ def test_words_of_a_line_are_taken_once(spark):
     empty = [None, [], [{"text": None, "confidence": None, "x0": None, "y0": None, "x1": None, "y1": None}]]
     got = rows(layout.extract_messages(spark.createDataFrame([(x,) for x in empty], f"lines array<{layout.LINE}>")).select("text", "sender_hint", "dropped"))
     assert got == [{"text": "", "sender_hint": None, "dropped": []}] * 3
+
+
+def test_messages_without_hosts_travel_as_empty_arrays(spark):
+    """Nulls made the writer of a batch pass again over all rows since the last message with a host."""
+    made = [("a plain note for you and me", None, []), ("see http://paypa1.com/track and wait", None, ["paypa1.com"]), ("write to me@paypa1.com for that", "x@b.org", ["paypa1.com", "b.org"]), (None, None, []), ("", None, [])]
+    d = rules.with_context(ingest.ingest(spark.createDataFrame(made, "text string, sender_id string, want array<string>")))
+    got = rows(d.select("text", "__hosts", "__links", "__mails", "__imitates", "want"))
+    assert len(got) == len(made)
+    for r in got:
+        assert r["__hosts"] == r["want"] and [h and h["technique"] for h in r["__imitates"]] == ["leetspeak" if h == "paypa1.com" else None for h in r["want"]]
+        assert [x["host"] for x in [*r["__links"], *r["__mails"]]] == r["want"]
